@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_encode
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .ngram_join import ngram_join
 from .shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), width=4, p=85, q=100)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the documents, by a hash of doc_id, stand for the snapshot; the rest come in as the batch."""
     docs = table(spark, sf_dir, "documents")
@@ -37,6 +42,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_join": op3_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
