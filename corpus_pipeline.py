@@ -1,17 +1,88 @@
-"""The corpus pipeline: stages over `documents`, each a DataFrame from the one before."""
+"""The corpus pipeline: five stages over `documents`, each on all rows that the one before kept.
+
+A stage's result is written as Parquet and read again before the next stage is called; so a
+stage may first delete the scratch tables of the stage before it. Every stage but the last
+returns the columns of `documents`. Rows that repeat an id are one document. Null and empty
+texts are never rejected as such; they are equal to each other, so one of them stays.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinrank.llm import toxicity as toxicity_model
+from skeinrank.llm.byte_bpe import bpe_encode
+from skeinrank.llm.decontaminate import contamination
+from skeinrank.llm.exact_dedup import exact_dedup
+from skeinrank.llm.ngram_join import ngram_join
+from skeinrank.llm.queries import VOCABULARY
+from skeinrank.llm.shared import materialize, release, scratch_paths, short_batches, table, without
+
+_own: list[str] = []
+
+
+def _staged(stage):
+    """Deletes what earlier stages of a pipeline left in the shared folder, and notes what this one leaves."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _own)
+        before = set(scratch_paths())
+        out = stage(spark, docs, sf_dir)
+        _own[:] = [p for p in scratch_paths() if p not in before]
+        return out
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@_staged
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity is below the rejection's."""
+    model = toxicity_model.fit(docs, table(spark, sf_dir, "labels"), "toxic", binary=True)
+    return toxicity_model.severity(docs, model, keep=tuple(docs.columns)).where(F.col("severity") < toxicity_model.REJECT).drop("severity")
+
+
+@_staged
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    short_batches(spark)
+    found = exact_dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    return without(docs, materialize(found.where("not kept").select(F.col("doc_id").alias("id")), "dropped"))
+
+
+@_staged
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links (five-word shingles, similarity of 0.8 or more), the one of the smallest id."""
+    short_batches(spark)
+    found = ngram_join(docs, width=5, p=4, q=5)
+    return without(docs, materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("id")), "dropped"))
+
+
+@_staged
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item stands."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(c for c in docs.columns if c != "doc_id"))
+    return found.where(F.size("spans") == 0).select(*docs.columns)
+
+
+@_staged
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids (little-endian uint32), and a digest of what they decode to."""
+    coded = bpe_encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep=("lang", "source", "n_chars"))
+    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("n-gram Jaccard join", near), ("benchmark decontamination", decontaminate), ("byte-level BPE", encode)]
 
-#: The tokens' last stage has no SQL form; tests/llm compares run() with a brute-force version.
+#: Neither the fitted model nor BPE has an SQL form; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        written = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE_WORDS, components, lowered, materialize, mix64, short_batches, text_buffer, words
+from .shared import SPACE_WORDS, components, is_marked, lowered, marks_of, materialize, mix64, short_batches, text_buffer, words
 
 #: Sets of a bucket from which on it is hot; sets and shingles of a tile, about.
 HOT, TILE_SETS, TILE_SHINGLES = 16, 512, 2_000_000
@@ -344,38 +344,13 @@ def ngram_join(docs: DataFrame, width: int = 4, p: int = 85, q: int = 100, id_co
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-#: Bits of the bitmap that marks wanted rows: some for each, this many (16 MB) at most.
-MARK_BITS, MARK_MOST = 16, 1 << 27
-
-
-def _marks(ids: DataFrame) -> tuple[int, bytes]:
-    """A bitmap of the ids' hashes, gathered from a few tasks: its size is bounded, more ids only fill it."""
-    bits = 1 << max(10, min(MARK_MOST, MARK_BITS * ids.count() + 1).bit_length() - 1)
-
-    def run(batches):
-        own = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = batch["at"].to_numpy()
-            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["bits"])
-
-    rows = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at")).coalesce(8).mapInArrow(run, "bits binary").collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        out |= np.frombuffer(r.bits, np.uint8)
-    return bits, out.tobytes()
-
-
 def _sets_of(source: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, tokens) of the rows whose id is marked: the wanted ones and few others, so that other texts aren't shuffled."""
-    bits, marks = _marks(ids)
-    shared = source.sparkSession.sparkContext.broadcast(marks)
+    bits, shared = marks_of(ids)
 
     def run(batches):
-        own = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at = batch["at"].to_numpy()
-            batch = batch.filter(pa.array((own[at >> 3] >> (at & 7) & 1).astype(bool)))
+            batch = batch.filter(pa.array(is_marked(shared.value, batch["at"].to_numpy())))
             if len(batch):
                 found = [s.tobytes() for s in shingles(*text_buffer(batch["text"]), width)]
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.binary())], ["id", "tokens"])

@@ -4,15 +4,60 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import html_text, language_id, toxicity
 from .byte_bpe import bpe_encode
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
+from .line_dedup import line_dedup
 from .ngram_join import ngram_join
-from .shared import table
+from .shared import materialize, table
+from .token_counts import token_counts, write_tokens
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The flat files' vocabulary, whose id 50256 is free, and so ends a document.
+FILE_VOCABULARY, END_OF_DOCUMENT = "byte_bpe_50k.tiktoken", 50256
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents go to flat token files, whose separators are then found again."""
+    files = materialize(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(FILE_VOCABULARY), public_tokenizers.PATTERN, END_OF_DOCUMENT), "token-files")
+    counts = token_counts(files, END_OF_DOCUMENT)
+    ids = files.select("file", "block", "ids")
+    before = F.coalesce(F.sum(F.size("ids")).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    names = ids.withColumn("before", before).select("file", "before", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("before") + F.col("k")).cast("long").alias("doc"), "doc_id")
+    return counts.join(names, ["file", "doc"]).select("doc_id", "file", "first_token", "n_tokens")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", binary=True)
+    return toxicity.severity(docs, model).withColumn("rejected", F.col("severity") >= toxicity.REJECT)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +87,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_ngram_join": op3_ngram_join,
-    "op7_exact_dedup": op7_exact_dedup,
-    "op8_byte_bpe": op8_byte_bpe,
-    "op9_decontaminate": op9_decontaminate,
+    f.__name__: f
+    for f in (op1_language_id, op2_html_text, op3_ngram_join, op4_token_counts, op5_license_scan, op6_line_dedup, op7_exact_dedup, op8_byte_bpe, op9_decontaminate, op10_toxicity)
 }
 
 _LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -55,4 +98,15 @@ ORACLE_SQL = {
         WITH t AS (SELECT doc_id, sha256({_LOWER_AZ}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op6_line_dedup": """
+        WITH d AS (SELECT DISTINCT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        w AS (SELECT doc_id, unnest(generate_series(0, len(l) - 3)) AS pos, l FROM d WHERE len(l) >= 3),
+        k AS (SELECT doc_id, pos, list_slice(l, pos + 1, pos + 3) AS key FROM w),
+        f AS (SELECT key, min({'d': doc_id, 'a': pos}) AS fst, count(*) AS n FROM k GROUP BY key HAVING count(*) > 1),
+        s AS (SELECT doc_id, CASE WHEN fst.d = doc_id THEN greatest(pos, fst.a + 3) ELSE pos END AS a, pos + 3 AS b
+              FROM k JOIN f USING (key) WHERE NOT (fst.d = doc_id AND fst.a = pos)),
+        r AS (SELECT doc_id, list(DISTINCT x) AS gone FROM (SELECT doc_id, unnest(generate_series(a, b - 1)) AS x FROM s WHERE a < b) GROUP BY doc_id)
+        SELECT t.doc_id, len(string_split(coalesce(t.text, ''), chr(10))) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+               sha256(CASE WHEN gone IS NULL THEN coalesce(t.text, '') ELSE array_to_string(list_filter(string_split(t.text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END) AS text_sha256
+        FROM documents t LEFT JOIN r USING (doc_id)""",
 }

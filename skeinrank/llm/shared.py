@@ -131,7 +131,12 @@ _PIECE = 1 << 21
 
 def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, hashes, row bounds): each word's first byte, its 64-bit hash, and per row the range of its words."""
-    starts, hashes = [], []
+    return sized_words(buf, off, is_word)[:3]
+
+
+def sized_words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `words` returns, and the words' bytes."""
+    starts, hashes, sizes = [], [], []
     edge = np.unique(off[:-1]) if len(off) > 1 else off[:0]
     lo = 0
     while lo < len(buf):
@@ -158,16 +163,74 @@ def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nda
             value = _BYTE[part[inside]] * _powers_to(int(size.max()) + 1)[place]
             hashes.append(mix64(np.add.reduceat(value, begin) ^ size.astype(np.uint64)))
             starts.append(at + lo)
+            sizes.append(size)
         lo = hi
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return s, h, np.searchsorted(s, off)
+    return s, h, np.searchsorted(s, off), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+
+
+def beginnings(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int):
+    """For n = 1..most: (n, the words of n bytes or more, the hashes of their first n bytes)."""
+    value, at, left, power = np.zeros(len(starts), np.uint64), np.arange(len(starts)), sizes, _powers_to(most + 1)
+    for n in range(1, most + 1):
+        at = at[left[at] >= n]
+        value[at] += _BYTE[buf[starts[at] + n - 1]] * power[n - 1]
+        yield n, at, mix64(value[at] + np.uint64(n))
 
 
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+# ---------------------------------------------------------------- marked rows
+
+#: Bits of the bitmap that marks wanted rows: some for each, this many (16 MB) at most.
+MARK_BITS, MARK_MOST = 16, 1 << 27
+
+
+def marks_of(ids: DataFrame):
+    """(bits, broadcast bitmap) of the hashes of column `id`, gathered from a few tasks: its size is bounded, more ids only fill it."""
+    bits = 1 << max(10, min(MARK_MOST, MARK_BITS * ids.count() + 1).bit_length() - 1)
+
+    def run(batches):
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["bits"])
+
+    rows = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at")).coalesce(8).mapInArrow(run, "bits binary").collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out |= np.frombuffer(r.bits, np.uint8)
+    return bits, session_of(ids).sparkContext.broadcast(out.tobytes())
+
+
+def is_marked(bitmap: bytes, at: np.ndarray) -> np.ndarray:
+    own = np.frombuffer(bitmap, np.uint8)
+    return (own[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of `docs` whose id isn't in `ids(id)`. Rows that a bitmap of the ids leaves unmarked, most of
+    them, pass without a shuffle; only the marked ones go through an exact anti join."""
+    bits, shared = marks_of(ids)
+    at = docs.withColumn("__at", F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(bits)))
+
+    def part(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                got = batch.filter(pa.array(is_marked(shared.value, batch["__at"].to_numpy()) == wanted))
+                if len(got):
+                    yield got.drop_columns(["__at"])
+
+        return at.mapInArrow(run, docs.schema)
+
+    wanted = ids.select(F.col("id").alias("__id"))
+    return part(False).unionByName(part(True).join(wanted, F.col(f"`{id_col}`") == F.col("__id"), "left_anti"))
+
+
 # ---------------------------------------------------------------- connected components
 
 
