@@ -1,4 +1,425 @@
 """The registered queries over the driver's tables, and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import audit, chunking, metrics, records, retrieve, sampling
+
+K = 5
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- frames of the domain
+
+
+def _questions(spark, sf):
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+
+
+def _chunks(spark, sf):
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _ids(spark, sf):
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ref_id"), F.col("source").alias("norm"))
+
+
+def qrels(spark, sf) -> DataFrame:
+    """A document that holds a benchmark text is relevant: joined on the text's first line, then verified."""
+    items = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"))
+    six = lambda words: F.concat_ws(" ", words)
+    # a text's first words, up to six, of its first line; documents are joined on their lines' runs of as many words
+    items = items.withColumn("w", F.slice(F.split("head", " "), 1, 6)).withColumn("n", F.size("w")).withColumn("key", six("w"))
+    sizes = [r.n for r in items.select("n").distinct().orderBy("n").limit(7).collect()]
+    docs = _t(spark, sf, "documents").select("doc_id", "source", "text")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.split("line", " ").alias("w"))
+    runs = None
+
+    def run_of(n):
+        return lambda i: six(F.slice("w", i, F.lit(n)))
+
+    for n in sizes:
+        part = lines.where(F.size("w") >= n).select("doc_id", F.lit(n).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), run_of(n))).alias("key"))
+        runs = part if runs is None else runs.unionByName(part)
+    near = runs.join(items.select("n", "key", "item_id", "q"), ["n", "key"]).select("doc_id", "item_id", "q").distinct()
+    return docs.join(near, "doc_id").where(F.contains("text", F.col("q"))).select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("ref_id"), F.col("source").alias("norm"), F.lit(1.0).alias("gain"))
+
+
+def bm25_topk(spark, sf):
+    return retrieve.bm25(_questions(spark, sf), _chunks(spark, sf), K)
+
+
+def _overlap(spark, sf, k=K):
+    """A second, cheap ranking: how many of a question's distinct terms a document holds."""
+    asked = _questions(spark, sf).select("question_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    held = _chunks(spark, sf).select("chunk_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    return retrieve.ranked(asked.join(held, "term").groupBy("question_id", "chunk_id").agg(F.count("*").cast("double").alias("score")), k)
+
+
+def dense_topk(spark, sf):
+    """Queries: every vector whose id is divisible by 50, against all."""
+    v = _t(spark, sf, "embeddings")
+    return retrieve.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
+
+
+def hybrid_rrf(spark, sf):
+    return retrieve.fuse(_overlap(spark, sf), bm25_topk(spark, sf), K)
+
+
+def reranked(spark, sf):
+    return retrieve.rerank(retrieve.bm25(_questions(spark, sf), _chunks(spark, sf), 50), _questions(spark, sf), _chunks(spark, sf), K)
+
+
+def _fragments(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("norm"), "text")
+    return chunking.chunk_lines(docs)
+
+
+def parent_child(spark, sf):
+    chunks = _fragments(spark, sf)
+    hits = retrieve.bm25(_questions(spark, sf), chunks, K)
+    return retrieve.to_parents(hits, chunks.select("chunk_id", "parent_id"))
+
+
+def contextual_bm25(spark, sf):
+    docs = _t(spark, sf, "documents")
+    ctx = docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("context"))
+    chunks = chunking.contextual(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"), ctx)
+    return retrieve.bm25(_questions(spark, sf), chunks, K)
+
+
+def sac_bm25(spark, sf):
+    docs = _t(spark, sf, "documents")
+    chunks = chunking.contextual(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"), docs.select("doc_id", chunking.lead(F.col("text")).alias("context")))
+    return retrieve.bm25(_questions(spark, sf), chunks, K)
+
+
+def raptor_levels(spark, sf):
+    """Documents are groups of lines; lines are leaves."""
+    docs = _t(spark, sf, "documents")
+    leaves = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).withColumn("node_id", F.concat_ws("::", F.col("doc_id").cast("string"), F.col("ord").cast("string")))
+    tree = chunking.raptor(leaves.withColumn("ids", F.array("node_id")))
+    return tree.select("doc_id", "level", "ord", "text", F.size("ids").cast("long").alias("n_ids"))
+
+
+def graph_local(spark, sf):
+    return retrieve.graph_local(_questions(spark, sf), _chunks(spark, sf), K)
+
+
+def _all_hits(spark, sf):
+    parts = {"bm25": bm25_topk, "overlap": _overlap, "hybrid": hybrid_rrf}
+    out = None
+    for name, f in parts.items():
+        own = f(spark, sf).withColumn("strategy", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def question_metrics(spark, sf):
+    return metrics.question_metrics(_all_hits(spark, sf), _ids(spark, sf), qrels(spark, sf), K)
+
+
+def strategy_scorecard(spark, sf):
+    return metrics.scorecard(question_metrics(spark, sf))
+
+
+def breakdown_by_norm(spark, sf):
+    members = qrels(spark, sf).select("question_id", F.col("norm").alias("member"))
+    return metrics.breakdown(question_metrics(spark, sf), members, "document")
+
+
+def chunk_documents(spark, sf):
+    return _fragments(spark, sf).select("chunk_id", "parent_id", "role", F.length("text").cast("long").alias("n_chars"))
+
+
+def html_lite(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", tx.html_lite(F.col("html")).alias("text"))
+
+
+def claim_segments(spark, sf):
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(tx.claims(F.col("text"))).alias("pos", "claim"))
+    return rows.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "claim", tx.abstains(F.col("claim")).alias("abstains"))
+
+
+def citation_parse(spark, sf):
+    d = _t(spark, sf, "documents")
+    t = F.concat(F.lit("See ["), F.col("source"), F.lit("::doc-"), F.col("doc_id").cast("string"), F.lit("] and ["), F.col("source"), F.lit("] ["), F.col("source"), F.lit("::doc-"), F.col("doc_id").cast("string"), F.lit("].[a::b::c]"))
+    return d.select("doc_id", F.concat_ws(",", tx.citation_candidates(t)).alias("candidates"), F.concat_ws(",", tx.citations(t)).alias("citations"))
+
+
+def citation_accuracy(spark, sf):
+    """The hits of a question as its answer's citations, against its relevant documents."""
+    hits = bm25_topk(spark, sf).groupBy("question_id").agg(F.collect_set("chunk_id").alias("cited"))
+    rel = qrels(spark, sf).groupBy("question_id").agg(F.collect_set("ref_id").alias("relevant"))
+    return metrics.citation_accuracy(hits.join(rel, "question_id"))
+
+
+def _audit(spark, sf):
+    """Every hit of a question is a claim that cites its document; the verifier's stand-in supports even documents."""
+    hits = bm25_topk(spark, sf)
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("ref_id"), F.col("source").alias("norm"), F.sha2("text", 256).alias("text_hash"))
+    shown = hits.select("question_id", "rank", F.col("chunk_id").alias("ref_id")).join(docs, "ref_id")
+    cited = shown.select("question_id", F.col("rank").alias("claim"), "ref_id", "norm", (F.col("ref_id") % 7 != 0).alias("well_formed"))
+    versions = docs.groupBy("norm").agg(F.min("text_hash").alias("hash")).where("norm <> 'src3'")
+    checks = audit.citation_checks(cited, docs.where("ref_id % 5 <> 0"), shown.where("rank <= 4"), versions)
+    return shown, checks
+
+
+def citation_checks(spark, sf):
+    return _audit(spark, sf)[1]
+
+
+def audit_rates(spark, sf):
+    return audit.rates(_audit(spark, sf)[1])
+
+
+def audit_outcomes(spark, sf):
+    shown, checks = _audit(spark, sf)
+    claims = shown.select("question_id", F.col("rank").alias("claim"), (F.col("rank") != 2).alias("material"), F.when(F.col("ref_id") % 2 == 0, "supported").otherwise("unsupported").alias("verdict"))
+    # the hash check can't pass here: one digest stands for a whole source
+    return audit.outcomes(audit.claim_support(claims, checks.withColumn("hash_matches", F.lit(True))))
+
+
+def stratified_split(spark, sf):
+    return sampling.stratified_split(_t(spark, sf, "documents"), "doc_id", "lang", 0.15, "split-v1")
+
+
+def stratified_sample(spark, sf):
+    return sampling.stratified_sample(_t(spark, sf, "documents"), "doc_id", "lang", 97, "sample-v1")
+
+
+def _raters(spark, sf):
+    """Labels of quality against the length of the text in thirds of 3000 characters, by source."""
+    d = _t(spark, sf, "documents").select("doc_id", "source", F.least(F.floor(F.col("n_chars") / 1000), F.lit(2)).alias("b"))
+    return _t(spark, sf, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).cast("long").alias("a")).join(d, "doc_id").select("source", "a", "b")
+
+
+def kappa_report(spark, sf):
+    return records.kappa(_raters(spark, sf), ["source"])
+
+
+def spearman_report(spark, sf):
+    return records.spearman(_raters(spark, sf), ["source"])
+
+
+def support_rates(spark, sf):
+    return records.support_rates(_raters(spark, sf).select("source", (F.col("a") / 2).alias("a"), (F.col("b") / 2).alias("b")), ["source"])
+
+
+def circuit_breaker(spark, sf):
+    e = _t(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "purchase").alias("failed"))
+    return metrics.circuit_breaker(e, "user_id", ["ts", "event_id"], "failed").select("event_id", "status")
+
+
+def hash_chain_verify(spark, sf):
+    """Events as a chain by user; every 13th was changed after the hashes were taken, every 29th is lost."""
+    w = W.partitionBy("run_id").orderBy("sequence")
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("sequence"), F.concat("event_type", F.lit("/"), F.col("event_id").cast("string")).alias("payload"), "event_id")
+    e = e.withColumn("event_hash", records.event_hash("run_id")).withColumn("previous_hash", F.lag("event_hash").over(w))
+    bad = e.where("event_id % 29 <> 0").withColumn("payload", F.when(F.col("event_id") % 13 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return records.chain_faults(bad)
+
+
+def latest_record_dedup(spark, sf):
+    e = _t(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return records.latest(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+def record_merge(spark, sf):
+    r = _t(spark, sf, "orders").select("o_orderkey", F.lit("succeeded").alias("retrieval_status"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("").alias("error"))
+    a = _t(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(F.count("*") > 1, "failed").otherwise("succeeded").alias("answer_status"), F.when(F.count("*") > 1, F.concat(F.lit("n="), F.count("*").cast("string"))).alias("answer_error"))
+    out = records.merge_answers(r, a, ["o_orderkey"])
+    return out.select("o_orderkey", "retrieval_status", "answer_status", F.concat_ws(";", "errors").alias("errors"))
+
+
+def usage_cost(spark, sf):
+    c = _t(spark, sf, "lineitem").select("l_returnflag", F.col("l_tax").alias("latency"), F.col("l_partkey").alias("prompt_tokens"), F.when(F.col("l_linenumber") > 2, F.col("l_suppkey")).alias("completion_tokens"), (F.col("l_linestatus") == "F").alias("cache_hit"))
+    return records.usage(c, ["l_returnflag"], 1.0, 2.0)
+
+
+def integrity_refs(spark, sf):
+    """Orders' references to parts: some norms and some ids are unknown."""
+    known = _t(spark, sf, "part").where("p_partkey % 11 <> 0").select(F.col("p_partkey").alias("ref_id"), F.col("p_brand").alias("norm")).where("norm <> 'Brand#11'")
+    refs = _t(spark, sf, "part").select(F.col("p_partkey").alias("ref_id"), F.col("p_brand").alias("norm"))
+    return records.unknown_refs(refs, known)
+
+
+def integrity_keys(spark, sf):
+    a = _t(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
+    b = _t(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
+    return records.set_difference(a, b, "k").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def append_absent(spark, sf):
+    a = _t(spark, sf, "documents").where("doc_id % 3 > 0").select("doc_id", F.lit("old").alias("origin"))
+    b = _t(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("new").alias("origin"))
+    return records.append_new(a, b, ["doc_id"])
+
+
+def corpus_hash(spark, sf):
+    d = _t(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("digest"))
+    return records.set_digest(d, ["source"], "doc_id", "digest")
+
+
+def index_namespace(spark, sf):
+    d = _t(spark, sf, "documents")
+    return d.groupBy("lang").agg(F.count("*").alias("n")).select("lang", tx.short_digest(F.lit("v1"), F.col("lang"), F.col("n").cast("string"), F.lit("True")).alias("namespace"))
+
+
+def slugs(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", tx.slug(F.concat(F.lit("  "), F.col("p_name"), F.lit(" -- "), F.col("p_type"), F.lit("! "))).alias("slug"))
+
+
+def calibration_selection(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "source", F.filter(F.array(F.col("lang"), F.when(F.length("text") > 3000, F.lit("long")), F.when(F.col("text").rlike(r"\d"), F.lit("digits"))), lambda x: x.isNotNull()).alias("features"))
+    ids = sampling.feature_cover(d, "doc_id", "features", "source", 40)
+    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "ord long, doc_id long")
+
+
+def legal_parse(spark, sf):
+    """The grammar over documents that orders make up: an article an order, an inciso a line item."""
+    items = _t(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.format_string("%s - item %s", F.element_at(F.array(*map(F.lit, ["I", "II", "III", "IV", "V", "VI", "VII"])), F.col("l_linenumber")), F.col("l_partkey").cast("string")).alias("line")).alias("i"))
+    arts = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("i")).alias("i")).select((F.col("l_orderkey") % 100).alias("norm"), F.struct("l_orderkey", F.concat_ws("\n", F.format_string("Art. %d Order.", "l_orderkey"), F.array_join(F.transform("i", lambda x: x["line"]), "\n")).alias("t")).alias("a"))
+    docs = arts.groupBy("norm").agg(F.array_join(F.transform(F.array_sort(F.collect_list("a")), lambda x: x["t"]), "\n").alias("text")).select(F.concat(F.lit("N-"), F.col("norm").cast("string")).alias("norm_id"), "text")
+    nodes = chunking.parse_legal(docs)
+    return nodes.select("ref", "kind", "text")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        qrels, bm25_topk, dense_topk, hybrid_rrf, reranked, parent_child, contextual_bm25, sac_bm25, raptor_levels, graph_local, question_metrics, strategy_scorecard, breakdown_by_norm,
+        chunk_documents, html_lite, claim_segments, citation_parse, citation_accuracy, citation_checks, audit_rates, audit_outcomes, stratified_split, stratified_sample, kappa_report, spearman_report,
+        support_rates, circuit_breaker, hash_chain_verify, latest_record_dedup, record_merge, usage_cost, integrity_refs, integrity_keys, append_absent, corpus_hash, index_namespace, slugs, calibration_selection, legal_parse,
+    )
+}
+
+# ---------------------------------------------------------------- the same in DuckDB's SQL
+
+_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _bm25(chunks: str, k: int = K) -> str:
+    """CTEs up to `bm25(question_id, rank, chunk_id, score)`; chunks is SQL with (chunk_id, text)."""
+    return f"""
+    bc AS ({chunks}), bt AS (SELECT chunk_id, {_TOK.format("text")} AS w FROM bc),
+    bs AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM bt),
+    bq AS (SELECT question_id, term, count(*) AS times FROM (SELECT item_id AS question_id, unnest({_TOK.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+    bh AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM bt) WHERE term IN (SELECT term FROM bq) GROUP BY ALL),
+    bd AS (SELECT term, count(*) AS df FROM bh GROUP BY term),
+    bx AS (SELECT question_id, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))), 6) AS score
+           FROM bq JOIN bd USING (term) JOIN bh USING (term) JOIN bt USING (chunk_id), bs GROUP BY ALL),
+    bm25 AS (SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM bx) WHERE rank <= {k})"""
+
+
+_DOCS = "SELECT doc_id AS chunk_id, text FROM documents"
+_OVERLAP = f"""
+    oq AS (SELECT DISTINCT item_id AS question_id, unnest({_TOK.format("text")}) AS term FROM benchmark),
+    oh AS (SELECT DISTINCT doc_id AS chunk_id, unnest({_TOK.format("text")}) AS term FROM documents),
+    ox AS (SELECT question_id, chunk_id, count(*)::DOUBLE AS score FROM oq JOIN oh USING (term) GROUP BY ALL),
+    overlap AS (SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM ox) WHERE rank <= {K})"""
+_HYBRID = f"""
+    hb AS (SELECT *, 0 AS branch FROM overlap UNION ALL SELECT *, 1 FROM bm25),
+    hx AS (SELECT question_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(branch * 1000 + rank) AS seen FROM hb GROUP BY ALL),
+    hybrid AS (SELECT question_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) AS rank FROM hx) WHERE rank <= {K})"""
+_QRELS = "qrels AS (SELECT item_id AS question_id, doc_id AS ref_id, source AS norm, 1.0::DOUBLE AS gain FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_METRICS = f"""
+    hits AS (SELECT 'bm25' AS strategy, * FROM bm25 UNION ALL SELECT 'overlap', * FROM overlap UNION ALL SELECT 'hybrid', * FROM hybrid),
+    h AS (SELECT hits.*, d.source, q.gain, q.gain IS NOT NULL AS hit, EXISTS (SELECT 1 FROM qrels x WHERE x.question_id = hits.question_id AND x.norm = d.source) AS near
+          FROM hits JOIN documents d ON chunk_id = doc_id LEFT JOIN qrels q ON q.question_id = hits.question_id AND q.ref_id = hits.chunk_id),
+    ji AS (SELECT question_id, count(*) AS judged, sum(CASE WHEN i <= {K} THEN 1 / log2(i + 1) END) AS ideal FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id) AS i FROM qrels) GROUP BY 1),
+    qm AS (SELECT strategy, h.question_id, round(count_if(hit AND rank <= {K}) / any_value(judged), 6) AS recall, round(count_if(hit) / count(*), 6) AS precision,
+                  round(coalesce(1.0 / min(rank) FILTER (WHERE hit), 0), 6) AS mrr, round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit), 0) / any_value(ideal), 6) AS ndcg,
+                  round(count_if(NOT near) / count(*), 6) AS drm
+           FROM h JOIN ji USING (question_id) GROUP BY strategy, h.question_id)"""
+_ALL = f"WITH {_bm25(_DOCS)}, {_OVERLAP}, {_HYBRID}, {_QRELS}, {_METRICS} "
+_MEANS = "round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(drm), 6) AS drm, count(*) AS n"
+_LINES = """
+    whole AS (SELECT source || '::doc-' || doc_id AS parent, coalesce(text, '') AS text FROM documents),
+    cut AS (SELECT parent, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM whole WHERE length(text) > 1800),
+    frags AS (SELECT parent AS chunk_id, text, parent AS parent_id, 'article' AS role FROM whole UNION ALL SELECT parent || '::par-' || pos, text, parent, 'fragment' FROM cut WHERE trim(text) <> '')"""
+_RATERS = "raters AS (SELECT source, quality + toxic AS a, least(n_chars // 1000, 2) AS b FROM labels JOIN documents USING (doc_id))"
+_AUDIT = f"""
+    docs AS (SELECT doc_id AS ref_id, source AS norm, sha256(text) AS th FROM documents),
+    shown AS (SELECT question_id, rank AS claim, chunk_id AS ref_id, norm, th FROM bm25 JOIN docs ON chunk_id = ref_id),
+    vers AS (SELECT norm, min(th) AS hash FROM docs WHERE norm <> 'src3' GROUP BY norm),
+    checks AS (SELECT question_id, claim, ref_id, ref_id % 7 <> 0 AS well_formed, ref_id % 5 <> 0 AS exists, hash IS NOT NULL AS in_document, claim <= 4 AS retrieved, coalesce(claim <= 4 AND th = hash, false) AS hash_matches
+               FROM shown LEFT JOIN vers USING (norm))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "qrels": f"WITH {_QRELS} SELECT * FROM qrels",
+    "bm25_topk": f"WITH {_bm25(_DOCS)} SELECT * FROM bm25",
+    "dense_topk": """WITH x AS (SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score
+        FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM x) WHERE rank <= 10""",
+    "hybrid_rrf": f"WITH {_bm25(_DOCS)}, {_OVERLAP}, {_HYBRID} SELECT * FROM hybrid",
+    "reranked": f"""WITH {_bm25(_DOCS, 50)}, p AS (SELECT question_id, rank AS r, chunk_id, list_distinct({_TOK.format("b.text")}) AS q, list_distinct({_TOK.format("d.text")}) AS t
+        FROM bm25 JOIN benchmark b ON item_id = question_id JOIN documents d ON doc_id = chunk_id), s AS (SELECT *, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM p)
+        SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, r) AS rank, chunk_id, score FROM s) WHERE rank <= {K}""",
+    "parent_child": f"""WITH {_LINES}, {_bm25("SELECT chunk_id, text FROM frags")}, e AS (SELECT question_id, parent_id, min(rank) AS r, arg_min(score, rank) AS score FROM bm25 JOIN (SELECT chunk_id, min(parent_id) AS parent_id FROM frags GROUP BY 1) USING (chunk_id) GROUP BY ALL)
+        SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank, parent_id AS chunk_id, score FROM e""",
+    "contextual_bm25": f"""WITH {_bm25("SELECT doc_id AS chunk_id, concat_ws(' ', source, lang) || chr(10) || chr(10) || text AS text FROM documents")} SELECT * FROM bm25""",
+    "sac_bm25": f"""WITH {_bm25("SELECT doc_id AS chunk_id, substr(split_part(text, chr(10), 1), 1, 120) || chr(10) || chr(10) || text AS text FROM documents")} SELECT * FROM bm25""",
+    "graph_local": f"""WITH w AS (SELECT DISTINCT doc_id AS chunk_id, unnest({_TOK.format("text")}) AS term FROM documents), e AS (SELECT * FROM w WHERE term IN (SELECT term FROM w GROUP BY term HAVING count(*) <= 5)),
+        q AS (SELECT DISTINCT item_id AS question_id, unnest({_TOK.format("text")}) AS term FROM benchmark), near AS (SELECT question_id, chunk_id, count(*)::DOUBLE AS w FROM q JOIN e USING (term) GROUP BY ALL),
+        far AS (SELECT question_id, b.chunk_id, count(*) * 0.5 AS w FROM near JOIN e a USING (chunk_id) JOIN e b ON a.term = b.term AND b.chunk_id <> a.chunk_id GROUP BY ALL),
+        t AS (SELECT question_id, chunk_id, round(sum(w), 6) AS s FROM (SELECT * FROM near UNION ALL SELECT * FROM far) GROUP BY ALL),
+        k AS (SELECT * FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, chunk_id) AS rank FROM t) WHERE rank <= {K})
+        SELECT question_id, rank, o.owner AS chunk_id, 1.0::DOUBLE / rank AS score FROM k JOIN documents d ON doc_id = chunk_id JOIN (SELECT trim(text, ' ') AS c, max(doc_id) AS owner FROM documents GROUP BY 1) o ON o.c = trim(d.text, ' ')""",
+    "question_metrics": _ALL + "SELECT * FROM qm",
+    "strategy_scorecard": _ALL + f"SELECT strategy, {_MEANS} FROM qm GROUP BY strategy",
+    "breakdown_by_norm": _ALL + f"SELECT strategy, member, {_MEANS}, 'document' AS dimension FROM qm JOIN (SELECT DISTINCT question_id, norm AS member FROM qrels) USING (question_id) GROUP BY strategy, member",
+    "chunk_documents": f"WITH {_LINES} SELECT chunk_id, parent_id, role, length(text) AS n_chars FROM frags",
+    "citation_parse": "SELECT doc_id, source || '::doc-' || doc_id || ',' || source || ',a::b::c' AS candidates, source || '::doc-' || doc_id || ',a::b::c' AS citations FROM documents",
+    "citation_accuracy": f"""WITH {_bm25(_DOCS)}, {_QRELS} SELECT b.question_id, round(count(q.ref_id) / count(*), 6) AS citation_accuracy FROM bm25 b LEFT JOIN qrels q ON q.question_id = b.question_id AND q.ref_id = b.chunk_id WHERE b.question_id IN (SELECT question_id FROM qrels) GROUP BY 1""",
+    "citation_checks": f"WITH {_bm25(_DOCS)}, {_AUDIT} SELECT * FROM checks",
+    "audit_rates": f"""WITH {_bm25(_DOCS)}, {_AUDIT} SELECT round(avg((NOT well_formed)::INT), 6) AS not_well_formed_rate, round(avg((NOT exists)::INT), 6) AS not_exists_rate, round(avg((NOT in_document)::INT), 6) AS not_in_document_rate,
+        round(avg((NOT retrieved)::INT), 6) AS not_retrieved_rate, round(avg((NOT hash_matches)::INT), 6) AS not_hash_matches_rate, count(*) AS n FROM checks""",
+    "audit_outcomes": f"""WITH {_bm25(_DOCS)}, {_AUDIT}, s AS (SELECT question_id, claim <> 2 AS material, well_formed AND exists AND in_document AND retrieved AND ref_id % 2 = 0 AS ok FROM checks)
+        SELECT question_id, CASE WHEN bool_and(ok OR NOT material) THEN 'accepted' WHEN bool_or(ok AND material) THEN 'accepted_with_caveat' ELSE 'abstain' END AS outcome, count(*) AS claims FROM s GROUP BY 1""",
+    "stratified_split": """SELECT doc_id, lang, CASE WHEN i <= least(greatest(round_even(n * 0.15, 0), 1), n - 1) THEN 'validation' ELSE 'test' END AS partition FROM (
+        SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('split-v1:' || lang || ':' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)""",
+    "stratified_sample": """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT sum(n) AS total, count(*) AS k, least(97, sum(n)) - count(*) AS room FROM c),
+        e AS (SELECT lang, room, (n - 1) * room / (total - k) AS x FROM c, t), f AS (SELECT lang, floor(x) AS whole, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, lang) AS i, room - sum(floor(x)) OVER () AS rest FROM e),
+        p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('stratified-capacity-v1:sample-v1:' || lang || ':' || doc_id), doc_id) AS j FROM documents)
+        SELECT doc_id, lang FROM p JOIN f USING (lang) WHERE j <= 1 + whole + (i <= rest)::INT""",
+    "kappa_report": f"""WITH {_RATERS}, c AS (SELECT source, x, row_number() OVER (PARTITION BY source ORDER BY x) - 1 AS i FROM (SELECT source, a AS x FROM raters UNION SELECT source, b FROM raters)),
+        m AS (SELECT source, count(*) AS k FROM c GROUP BY source), r AS (SELECT source, ca.i AS i, cb.i AS j FROM raters JOIN c ca USING (source) JOIN c cb USING (source) WHERE ca.x = a AND cb.x = b),
+        o AS (SELECT source, sum((i - j) ** 2)::DOUBLE AS seen, count(*) AS n FROM r GROUP BY source), x AS (SELECT p.source, sum((p.i - q.j) ** 2)::DOUBLE AS chance FROM r p JOIN r q ON p.source = q.source GROUP BY 1)
+        SELECT source, round(CASE WHEN chance = 0 THEN 1.0 ELSE 1 - seen * n / chance END, 6) AS kappa, n FROM o JOIN x USING (source)""",
+    "spearman_report": f"""WITH {_RATERS}, r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY a) + (count(*) OVER (PARTITION BY source, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY source ORDER BY b) + (count(*) OVER (PARTITION BY source, b) - 1) / 2 AS rb FROM raters)
+        SELECT source, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) END AS spearman, count(*) AS n FROM r GROUP BY source""",
+    "support_rates": f"""WITH {_RATERS}, t AS (SELECT source, a >= 1 AS up, b >= 1 AS yes FROM raters) SELECT source, coalesce(round(count_if(up AND NOT yes) / nullif(count_if(NOT yes), 0), 6), 0) AS false_supported,
+        coalesce(round(count_if(NOT up AND yes) / nullif(count_if(yes), 0), 6), 0) AS false_unsupported, round(count_if(up = yes) / count(*), 6) AS agreement FROM t GROUP BY source""",
+    "circuit_breaker": """WITH e AS (SELECT user_id, ts, event_id, event_type <> 'purchase' AS failed, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
+        r AS (SELECT *, sum(failed::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS run FROM e),
+        s AS (SELECT *, coalesce(max(run) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS worst FROM r)
+        SELECT event_id, CASE WHEN worst >= 5 THEN 'skipped' WHEN failed THEN 'failed' ELSE 'succeeded' END AS status FROM s""",
+    "hash_chain_verify": """WITH e AS (SELECT user_id, event_id, event_type || '/' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events),
+        k AS (SELECT *, lag(sequence) OVER (PARTITION BY user_id ORDER BY sequence) AS last FROM e WHERE event_id % 29 <> 0),
+        f AS (SELECT user_id::VARCHAR AS run_id, sequence, CASE WHEN last IS NOT NULL AND sequence <> last + 1 THEN 'sequence gap' WHEN last IS NULL AND sequence > 1 THEN 'broken link' WHEN event_id % 13 = 0 THEN 'content changed' END AS fault FROM k)
+        SELECT * FROM f WHERE fault IS NOT NULL""",
+    "latest_record_dedup": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1",
+    "record_merge": """WITH a AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+        SELECT o_orderkey, 'succeeded' AS retrieval_status, CASE WHEN n IS NULL THEN 'not_applicable' WHEN n > 1 THEN 'failed' ELSE 'succeeded' END AS answer_status,
+        concat_ws(';', CASE WHEN o_orderstatus = 'F' THEN 'failed' END, CASE WHEN n > 1 THEN 'n=' || n END) AS errors FROM orders LEFT JOIN a ON l_orderkey = o_orderkey""",
+    "usage_cost": """SELECT l_returnflag, count(*) AS calls, round(sum(l_tax), 6) AS latency, sum(l_partkey)::BIGINT AS prompt_tokens, sum(CASE WHEN l_linenumber > 2 THEN l_suppkey ELSE 0 END)::BIGINT AS completion_tokens,
+        count_if(l_linestatus = 'F')::BIGINT AS cache_hits, round((sum(l_partkey) * 1.0 + sum(CASE WHEN l_linenumber > 2 THEN l_suppkey ELSE 0 END) * 2.0) / 1e6, 9)::DOUBLE AS cost FROM lineitem GROUP BY 1""",
+    "integrity_refs": "SELECT p_partkey AS ref_id, p_brand AS norm, CASE WHEN p_brand = 'Brand#11' THEN 'unknown norm' ELSE 'unknown id' END AS reason FROM part WHERE p_brand = 'Brand#11' OR p_partkey % 11 = 0",
+    "integrity_keys": """WITH a AS (SELECT o_custkey AS k, count(*) AS l FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, count(*) AS r FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1),
+        f AS (SELECT CASE WHEN l IS NULL THEN 'missing left' WHEN r IS NULL THEN 'missing right' WHEN l > 1 OR r > 1 THEN 'duplicate' END AS reason FROM a FULL JOIN b USING (k)) SELECT reason, count(*) AS n FROM f WHERE reason IS NOT NULL GROUP BY 1""",
+    "append_absent": "SELECT doc_id, 'old' AS origin FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 0",
+    "corpus_hash": "SELECT source, sha256(array_to_string(list_sort(list(doc_id || ':' || sha256(text))), '|')) AS content_hash FROM documents GROUP BY source",
+    "index_namespace": "SELECT lang, substr(sha256('v1|' || lang || '|' || count(*) || '|True'), 1, 16) AS namespace FROM documents GROUP BY lang",
+    "slugs": "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' -- ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part",
+    "claim_segments": r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-ZÀ-Ú"\[])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS c FROM conversations)
+        SELECT conv_id, turn, pos - 1 AS pos, claim, contains(lower(claim), 'não encontrei') OR contains(lower(claim), 'não há informação') OR contains(lower(claim), 'não é possível responder') OR contains(lower(claim), 'insufficient information') OR contains(lower(claim), 'cannot answer') OR contains(lower(claim), 'no information') AS abstains
+        FROM (SELECT conv_id, turn, unnest(c) AS claim, generate_subscripts(c, 1) AS pos FROM s)""",
+}
