@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER_TABLE, materialize, mix64, short_batches
+from .shared import LOWER_TABLE, marked, materialize, mix64, short_batches
 
 #: Digests of a filter's bucket, about; the number of buckets follows the snapshot.
 KEYS_PER_FILTER = 1_000_000
@@ -144,7 +144,9 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", te
     positive = _screened(new.select("bucket", "digest"), _filters(old.select("bucket", "digest")))
     both = materialize(positive.join(old.select("digest", F.col("last").alias("old_id")), "digest").join(new.select("digest", F.col("last").alias("new_id")), "digest"), "both")
     # the bytes of one text a side; a sum of two differing texts' digests cannot pass for one text
-    samples = both.select("digest", F.explode(F.array("old_id", "new_id")).alias("id")).join(rows_in.select("id", "text"), "id").groupBy("digest").agg(F.min(_fold("text")).alias("a"), F.max(_fold("text")).alias("b"))
+    wanted = both.select("digest", F.explode(F.array("old_id", "new_id")).alias("id"))
+    texts = marked(rows_in.select("id", "text"), wanted.select("id"), "id")
+    samples = wanted.join(texts, "id").groupBy("digest").agg(F.min(_fold("text")).alias("a"), F.max(_fold("text")).alias("b"))
     same = samples.where("a = b").select("digest", F.lit(True).alias("same"))
 
     groups = (

@@ -212,6 +212,20 @@ def is_marked(bitmap: bytes, at: np.ndarray) -> np.ndarray:
     return (own[at >> 3] >> (at & 7) & 1).astype(bool)
 
 
+def marked(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of `docs` whose id a bitmap of `ids(id)` marks: all wanted ones and few others, so that a join
+    that follows doesn't shuffle the rest."""
+    bits, shared = marks_of(ids)
+
+    def run(batches):
+        for batch in batches:
+            got = batch.filter(pa.array(is_marked(shared.value, batch["__at"].to_numpy())))
+            if len(got):
+                yield got.drop_columns(["__at"])
+
+    return docs.withColumn("__at", F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(bits))).mapInArrow(run, docs.schema)
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of `docs` whose id isn't in `ids(id)`. Rows that a bitmap of the ids leaves unmarked, most of
     them, pass without a shuffle; only the marked ones go through an exact anti join."""
