@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import short_batches
+from .shared import kept, short_batches
 
 #: White space as the Unicode property has it, for engines whose \s has more.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -174,15 +174,9 @@ class BpeCodec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[str, BpeCodec] = {}
-
-
 def codec(ranks: bytes, pattern: str) -> BpeCodec:
-    """One codec for each vocabulary and Python worker."""
-    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = BpeCodec(ranks, pattern)
-    return _codecs[key]
+    """One codec for each Python worker, kept for as long as its tasks ask for the same vocabulary."""
+    return kept(hashlib.sha256(ranks + pattern.encode()).hexdigest(), lambda: BpeCodec(ranks, pattern))
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

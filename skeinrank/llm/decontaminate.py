@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM_WORDS, lowered, short_batches, text_buffer, words
+from .shared import ALNUM_WORDS, let_go, lowered, short_batches, text_buffer, words
 
 #: Words of a window, of a shard of documents, and of a block of benchmark items.
 WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 1_000_000, 5_000_000
@@ -188,6 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(Suffixes([(i, h[b[k] : b[k + 1]]) for k, i in enumerate(rows["item"].to_pylist())], window))
 
         def run(batches):
+            let_go()
             s = shared.value
 
             def shard(held):

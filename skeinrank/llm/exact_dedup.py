@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER_TABLE, marked, materialize, mix64, short_batches
+from .shared import LOWER_TABLE, let_go, marked, materialize, mix64, short_batches
 
 #: Digests of a filter's bucket, about; the number of buckets follows the snapshot.
 KEYS_PER_FILTER = 1_000_000
@@ -103,6 +103,7 @@ def folded(text: str | None) -> bytes:
 
 def _digests(docs: DataFrame) -> DataFrame:
     def run(batches):
+        let_go()
         for b in batches:
             found = [hashlib.sha256(folded(t.as_py())).digest() for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["id"], b["old"], pa.array(found, pa.binary())], ["id", "old", "digest"])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix64, short_batches
+from .shared import let_go, mix64, short_batches
 
 #: Buckets, n-gram lengths, labelled rows to fit on (about), and languages at most.
 BUCKETS, ORDERS, MAX_ROWS, MAX_LANGUAGES = 1 << 15, (1, 2, 3), 20_000, 512
@@ -103,6 +103,7 @@ def predict(docs: DataFrame, model: NaiveBayes, text_col: str = "text", keep: di
     carried = source.schema.fields[:-1]
 
     def run(batches):
+        let_go()
         for batch in batches:
             got = [shared.value.predict(t.as_py()) for t in batch["__text"]]
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in carried), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], [*(f.name for f in carried), "lang_pred", "score"])

@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, short_batches
+from .shared import let_go, materialize, short_batches
 
 LINES = 3
 
 
 def _windows(rows: DataFrame, lines: int) -> DataFrame:
     def run(batches):
+        let_go()
         for batch in batches:
             ids, at, key = [], [], []
             for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):

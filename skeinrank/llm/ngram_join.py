@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE_WORDS, components, is_marked, lowered, marks_of, materialize, mix64, short_batches, text_buffer, words
+from .shared import SPACE_WORDS, components, is_marked, let_go, lowered, marks_of, materialize, mix64, short_batches, text_buffer, words
 
 #: Sets of a bucket from which on it is hot; sets and shingles of a tile, about.
 HOT, TILE_SETS, TILE_SHINGLES = 16, 512, 2_000_000
@@ -174,6 +174,7 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
     """(id, n, cls, cls2, sketch) for each document."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             sets = list(shingles(*text_buffer(batch["text"]), width))
             names = [class_names(s) if len(s) else (None, None) for s in sets]
@@ -190,6 +191,7 @@ def _signature_rows(docs: DataFrame, width: int, schemes: Schemes) -> DataFrame:
     """(sig, cls, info); a task emits a class once, so copies hardly count."""
 
     def run(batches):
+        let_go()
         seen: set[int] = set()
         for batch in batches:
             sig, cls, info = [], [], []
@@ -261,6 +263,7 @@ def _buckets(rows: DataFrame, schemes: Schemes, hot: int) -> DataFrame:
             yield batch_of(sig[many], cls[many], info[many])
 
     def run(batches):
+        let_go()
         held: list[np.ndarray] = []
         n, gone = 0, None  # gone: a hot bucket some of whose rows went out already
 
@@ -296,6 +299,7 @@ def _screened(pairs: DataFrame, sketches: DataFrame, schemes: Schemes) -> DataFr
     """Pairs whose sketches differ in no more bits than similar sets may."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             a, b, na, nb = (batch[c].to_numpy() for c in ("a", "b", "na", "nb"))
             sa, sb = batch["sa"].to_pylist(), batch["sb"].to_pylist()
@@ -349,6 +353,7 @@ def _sets_of(source: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     bits, shared = marks_of(ids)
 
     def run(batches):
+        let_go()
         for batch in batches:
             batch = batch.filter(pa.array(is_marked(shared.value, batch["at"].to_numpy())))
             if len(batch):

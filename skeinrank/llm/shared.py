@@ -3,6 +3,8 @@ shared folder, byte-level word scanning over Arrow buffers, and connected compon
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -65,6 +67,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """What a Python worker keeps from task to task; of several keys only the last one asked for."""
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Workers outlive a query's stages: a task that needs nothing kept drops it, and gives freed memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 # ---------------------------------------------------------------- hashing
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -194,6 +221,7 @@ def marks_of(ids: DataFrame):
     bits = 1 << max(10, min(MARK_MOST, MARK_BITS * ids.count() + 1).bit_length() - 1)
 
     def run(batches):
+        let_go()
         own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             at = batch["at"].to_numpy()
@@ -218,6 +246,7 @@ def marked(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame
     bits, shared = marks_of(ids)
 
     def run(batches):
+        let_go()
         for batch in batches:
             got = batch.filter(pa.array(is_marked(shared.value, batch["__at"].to_numpy())))
             if len(got):
@@ -234,6 +263,7 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
 
     def part(wanted: bool):
         def run(batches):
+            let_go()
             for batch in batches:
                 got = batch.filter(pa.array(is_marked(shared.value, batch["__at"].to_numpy()) == wanted))
                 if len(got):
@@ -281,6 +311,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
     """Per task, the edges replaced by stars on each local component's smallest node."""
 
     def run(batches):
+        let_go()
         up: dict[int, int] = {}
 
         def find(x):

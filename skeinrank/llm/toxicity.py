@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM_WORDS, beginnings, lowered, materialize, mix64, short_batches, sized_words, text_buffer, words
+from .shared import ALNUM_WORDS, beginnings, let_go, lowered, materialize, mix64, short_batches, sized_words, text_buffer, words
 
 #: Labelled rows to fit on (about); features of the model at most; how far from chance one must be.
 MAX_ROWS, MAX_FEATURES, MIN_Z = 8_000, 64, 6.0
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     id_field = rows.schema["id"]
 
     def signed(batches):
+        let_go()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["id"], batch["grade"], batch["text"], pa.array(_signatures(batch["text"]), pa.list_(pa.int64()))], ["id", "grade", "text", "sigs"])
 
@@ -182,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     sample = materialize(sample, "distinct-sample")
 
     def sets_of(batches):
+        let_go()
         for batch in batches:
             found = _feature_sets(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["id"], batch["grade"], pa.array([s.tobytes() for s in found], pa.binary())], ["id", "grade", "words"])
@@ -190,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     found = sample.mapInArrow(sets_of, T.StructType([id_field, T.StructField("grade", T.IntegerType()), T.StructField("words", T.BinaryType())]))
 
     def exploded(batches):
+        let_go()
         for batch in batches:
             lists = [np.frombuffer(x, np.uint64) for x in batch["words"].to_pylist()]
             size = [len(x) for x in lists]
@@ -229,6 +232,7 @@ def grades_from_binary(toxic: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _held(found: DataFrame, names: np.ndarray) -> DataFrame:
     def run(batches):
+        let_go()
         for batch in batches:
             bits = [np.packbits(np.isin(names, np.frombuffer(x, np.uint64))).tobytes() for x in batch["words"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["grade"], pa.array(bits, pa.binary())], ["id", "grade", "bits"])
@@ -238,6 +242,7 @@ def _held(found: DataFrame, names: np.ndarray) -> DataFrame:
 
 def score_features(sample: DataFrame, model: CumulativeLink) -> DataFrame:
     def run(batches):
+        let_go()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["id"], batch["grade"], pa.array(model.rows(batch["text"]).tolist(), pa.list_(pa.float64()))], ["id", "grade", "x"])
 
@@ -251,6 +256,7 @@ def severity(docs: DataFrame, model: CumulativeLink, text_col: str = "text", kee
     carried = [f for n in keep for f in docs.schema.fields if f.name == n]
 
     def run(batches):
+        let_go()
         for batch in batches:
             got = shared.value.severity(shared.value.rows(batch["__text"]))
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in carried), pa.array(got)], [*(f.name for f in carried), "severity"])
