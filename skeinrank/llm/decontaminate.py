@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-The documents of a task form shards of some million words. A shard's suffix array holds
+The documents of a task form shards of some hundred thousand words. A shard's suffix array holds
 the positions where a benchmark passage can begin (those whose first few words stand
 somewhere in a benchmark item), sorted by the words that follow; every suffix of every
 benchmark item is then found in it by binary search. The neighbours of its place give the
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .shared import ALNUM_WORDS, let_go, lowered, short_batches, text_buffer, words
 
 #: Words of a window, of a shard of documents, and of a block of benchmark items.
-WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 1_000_000, 5_000_000
+WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 250_000, 5_000_000
 #: Words that must agree before a position enters the suffix array.
 SEED = 3
 

@@ -338,7 +338,8 @@ def ngram_join(docs: DataFrame, width: int = 4, p: int = 85, q: int = 100, id_co
     stars = kept.join(low, "sig").where("cls <> a").select("a", F.col("cls").alias("b"))
 
     blocks = materialize(components(pairs.union(stars)), "blocks")
-    links = components(_verified(source, blocks, classes, width, schemes))
+    # written before they are contracted: a stage with two steps in Python doubles the workers that stay
+    links = components(materialize(_verified(source, blocks, classes, width, schemes), "verified"))
     links = materialize(links, "links")
     names = links.join(classes.select(F.col("cls").alias("node"), "low"), "node")
     lowest = materialize(names.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")

@@ -153,7 +153,7 @@ def lowered(buf: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed at a time.
-_PIECE = 1 << 21
+_PIECE = 1 << 19
 
 
 def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -189,17 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch["id"], batch["grade"], pa.array([s.tobytes() for s in found], pa.binary())], ["id", "grade", "words"])
 
     # which words: counted over the sample by the tasks, so that the driver holds candidates only
-    found = sample.mapInArrow(sets_of, T.StructType([id_field, T.StructField("grade", T.IntegerType()), T.StructField("words", T.BinaryType())]))
-
     def exploded(batches):
-        let_go()
-        for batch in batches:
+        for batch in sets_of(batches):
             lists = [np.frombuffer(x, np.uint64) for x in batch["words"].to_pylist()]
             size = [len(x) for x in lists]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)), pa.array(np.repeat(batch["grade"].to_numpy(), size).astype(np.int32))], ["word", "grade"])
 
-    counted = found.mapInArrow(exploded, "word long, grade int").groupBy("word").agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("k"))
-    total = found.agg(F.count("*").alias("n"), F.avg((F.col("grade") > 0).cast("double")).alias("rate"), F.max("grade").alias("top")).first()
+    counted = sample.mapInArrow(exploded, "word long, grade int").groupBy("word").agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("k"))
+    total = sample.agg(F.count("*").alias("n"), F.avg((F.col("grade") > 0).cast("double")).alias("rate"), F.max("grade").alias("top")).first()
     if not total.n or total.rate in (0.0, 1.0):
         return CumulativeLink(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]))
     z = (F.col("k") - F.col("n") * total.rate) / F.sqrt(F.col("n") * (total.rate * (1 - total.rate)))
@@ -208,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     features = names
     if len(names):
         # which text holds which candidate: at most max_rows x CANDIDATES bits
-        own = _held(found, names).orderBy("id").toArrow()
+        own = _held(sample, sets_of, names).orderBy("id").toArrow()
         held = np.unpackbits(np.frombuffer(b"".join(own["bits"].to_pylist()), np.uint8).reshape(len(own), -1), axis=1)[:, : len(names)].astype(bool)
         features = np.sort(names[_chosen(held, own["grade"].to_numpy() > 0, names)])
     model = CumulativeLink(features, np.zeros(len(features)), np.zeros(0))
@@ -230,14 +227,13 @@ def grades_from_binary(toxic: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(bad, np.where(amount > middle, 2, 1), 0)
 
 
-def _held(found: DataFrame, names: np.ndarray) -> DataFrame:
+def _held(sample: DataFrame, sets_of, names: np.ndarray) -> DataFrame:
     def run(batches):
-        let_go()
-        for batch in batches:
+        for batch in sets_of(batches):
             bits = [np.packbits(np.isin(names, np.frombuffer(x, np.uint64))).tobytes() for x in batch["words"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["grade"], pa.array(bits, pa.binary())], ["id", "grade", "bits"])
 
-    return found.mapInArrow(run, T.StructType([found.schema["id"], found.schema["grade"], T.StructField("bits", T.BinaryType())]))
+    return sample.mapInArrow(run, T.StructType([sample.schema["id"], sample.schema["grade"], T.StructField("bits", T.BinaryType())]))
 
 
 def score_features(sample: DataFrame, model: CumulativeLink) -> DataFrame:
