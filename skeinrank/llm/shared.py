@@ -289,11 +289,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for r in range(1, max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"cc-{r}m")
-        # large star: every larger neighbour of u hangs on u's smallest
-        big = both.where("b > a").join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
-        # small star: u itself hangs on its smallest
-        own = low.where("m < a").select(F.col("a").alias("x"), F.col("m").alias("y"))
-        nxt = materialize(_contracted(big.union(own).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))), f"cc-{r}")
+        if r % 2:  # large star: every larger neighbour of u hangs on u's smallest
+            stars = both.where("b > a").join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
+        else:  # small star: u and its smaller neighbours hang on u's smallest
+            own = low.where("m < a").select(F.col("a").alias("x"), F.col("m").alias("y"))
+            stars = both.where("b < a").join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).union(own)
+        nxt = materialize(_contracted(stars.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))), f"cc-{r}")
         # done when the graph is stars already: no root hangs on anything, every leaf hangs on one root
         roots = nxt.select("b").distinct()
         leaves = nxt.groupBy("a").agg(F.countDistinct("b").alias("n"))
