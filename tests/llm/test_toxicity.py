@@ -50,3 +50,22 @@ def test_odd_rows_and_empty(spark):
     assert severity(frame(spark, []), model).count() == 0
     none = fit(df, labels.limit(0), "toxic")
     assert not any(r.severity >= toxicity.REJECT for r in severity(df, none).collect())
+
+
+def test_held_out_in_every_language(spark):
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit(docs, labels.where("doc_id % 2 = 0"), "toxic", binary=True)
+    rows = severity(docs, model, keep=("doc_id", "lang")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        bad = [r.severity >= toxicity.REJECT for r in rows if r.lang == lang and r.toxic == 1]
+        assert sum(bad) >= 0.8 * len(bad), (lang, sum(bad), len(bad))
+    said = [r.toxic for r in rows if r.severity >= toxicity.REJECT]
+    assert sum(said) >= 0.9 * len(said)
+
+
+def test_cut_keeps_its_precision():
+    bad = np.array([True] * 32 + [False] + [True] + [False] * 9)
+    at = np.linspace(1, 0, 43)
+    assert at[34] < toxicity._cut(at, bad) < at[33]
+    assert toxicity._cut(np.zeros(43), bad & (at > 0.5)) == float("inf")
