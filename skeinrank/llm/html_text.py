@@ -33,7 +33,9 @@ from .shared import short_batches
 
 # Element names of the HTML standard, and words that name parts of pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template title textarea select option button svg math iframe object canvas".split())
+HIDDEN = frozenset("head script style template title textarea select option button svg iframe canvas".split())
+#: What may stand in a head; anything else ends it, tags left out or not.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 BLOCK = frozenset(
     "html body article main section div nav header footer aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th blockquote pre figure figcaption address fieldset details summary dialog menu center hgroup search".split()
 )
@@ -95,7 +97,13 @@ class _Tree(HTMLParser):
                 return 0
         return 0
 
+    def end_head(self):
+        if self.open[-1][0] == "head":
+            self.pop(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in VOID:
             if tag in ("br", "hr", "wbr") and not self.hidden:
                 self.run.append("" if tag == "wbr" else " ")
@@ -135,6 +143,8 @@ class _Tree(HTMLParser):
             self.pop(at)
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if not self.hidden:
             self.run.append(data)
             if self.links:

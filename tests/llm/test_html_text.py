@@ -60,3 +60,10 @@ def test_odd_pages_and_empty(spark):
     got = extract(df).collect()
     assert len(got) == 7 and [r.text for r in got if r.page_id <= 2] == [""] * 3
     assert extract(df.limit(0)).count() == 0
+
+
+def test_head_left_open_and_embedded_text():
+    texts = lambda page: [t for _, t in read(page).runs]
+    assert texts("<html><head><title>t</title><article><p>One two.</p></article>") == ["One two."]
+    assert texts("<head><meta charset=utf-8><noscript><style>a{}</style></noscript><script>x<p>y</script>Plain text.") == ["Plain text."]
+    assert texts("<article><p>Let <math><mi>x</mi></math> be <object>a thing</object><noscript> seen</noscript>.</p></article>") == ["Let x be a thing seen."]
