@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import kept, short_batches
+from .shared import kept, sliced
 
 #: White space as the Unicode property has it, for engines whose \s has more.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -185,14 +185,13 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     The rank file (under a megabyte, fixed) is read on the driver and broadcast; nothing is shuffled.
     """
     spark: SparkSession = docs.sparkSession
-    short_batches(spark)
     shared = spark.sparkContext.broadcast((read_ranks(ranks_path), pattern))
     carried = [f for f in docs.schema.fields if f.name in (id_col, *keep)]
     schema = T.StructType([*carried, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         own = codec(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches, "__text"):
             ids = [own.encode(t.as_py()) for t in batch["__text"]]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[f.name] for f in carried), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())],

@@ -7,14 +7,16 @@ benchmark item is then found in it by binary search. The neighbours of its place
 longest verbatim match, the range of suffixes that begin with its window gives every
 location. Words are compared by 64-bit hashes, the suffixes' order is that of the hashes.
 
-Nothing is shuffled. The benchmark is broadcast in blocks of at most `block_words` words,
-a size that is counted, not assumed; with several blocks the hits of a document are merged
-by a second grouping on its rows, each of which holds one block's spans of one document.
+Nothing is shuffled, and the documents are read once. The benchmark is broadcast in blocks
+of at most `block_words` words, a size that is counted, not assumed; a task reads one
+block after the other for each shard and holds one at a time, with shards that are larger
+the more blocks there are. Items shorter than the seed have blocks of their own, so that
+they don't make the others' suffix arrays dense.
 
 Edge cases: a null or empty text has no words; an item without words is ignored, one of
 fewer words than a window is a window itself; repeated items count under each id; repeated
-documents give repeated rows; an empty benchmark finds nothing. A shard holds at least one
-whole document, so memory follows the longest one.
+documents give repeated rows, however many blocks there are; an empty benchmark finds
+nothing. A shard holds at least one whole document, so memory follows the longest one.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM_WORDS, let_go, lowered, short_batches, text_buffer, words
+from .shared import ALNUM_WORDS, let_go, lowered, sliced, text_buffer, words
 
 #: Words of a window, of a shard of documents, and of a block of benchmark items.
 WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 250_000, 5_000_000
+#: Shards grow with the number of blocks, up to so many times SHARD_WORDS.
+LARGEST_SHARD = 8
 #: Words that must agree before a position enters the suffix array.
 SEED = 3
 
@@ -145,98 +149,97 @@ def find(w: np.ndarray, bounds: np.ndarray, s: Suffixes):
     return sa[np.repeat(first, n) + inside], s.need[which], which, longest
 
 
-def _spans(bounds: np.ndarray, at: np.ndarray, size: np.ndarray, which: np.ndarray, s: Suffixes, longest: np.ndarray):
-    """Per row: merged spans as [begin, end, ...], item places, and the longest match of any of its suffixes."""
-    total = int(bounds[-1])
-    cover = np.zeros(total + 1, np.int64)
+def _covered(cover: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
     np.add.at(cover, at, 1)
     np.add.at(cover, at + size, -1)
+
+
+def _rows_found(bounds: np.ndarray, cover: np.ndarray, found: list[tuple[np.ndarray, list, np.ndarray]]):
+    """Per row: merged spans as [begin, end, ...], item ids, and the longest match of any of its suffixes.
+
+    `found` has for each block (position, item id, longest match) of every window found.
+    """
+    n = len(bounds) - 1
+    items: list[set] = [set() for _ in range(n)]
+    longest = np.zeros(n, np.int64)
+    for at, ids, most in found:
+        row = np.searchsorted(bounds, at, "right") - 1
+        np.maximum.at(longest, row, most)
+        for r, i in zip(row.tolist(), ids):
+            items[r].add(i)
     hit = np.cumsum(cover[:-1]) > 0
-    row = np.searchsorted(bounds, at, "right") - 1
-    out = []
-    order = np.argsort(row, kind="stable")
-    cuts = np.searchsorted(row[order], np.arange(len(bounds)))
-    for r in range(len(bounds) - 1):
-        mine = which[order[cuts[r] : cuts[r + 1]]]
-        if not len(mine):
-            out.append(([], [], 0))
+    for r in range(n):
+        if not longest[r]:
+            yield [], [], 0
             continue
-        h = np.concatenate([[0], hit[bounds[r] : bounds[r + 1]].view(np.int8), [0]])
-        step = np.diff(h)
+        step = np.diff(np.concatenate([[0], hit[bounds[r] : bounds[r + 1]].view(np.int8), [0]]))
         spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).ravel().tolist()
-        out.append((spans, np.unique(s.item[mine]).tolist(), int(longest[mine].max())))
+        yield spans, sorted(items[r]), int(longest[r])
+
+
+def _blocks(spark, bench: DataFrame, n: int, window: int) -> list:
+    """Broadcast blocks, each made of two sets of suffixes: the items of fewer words than the seed, and the others."""
+    out = []
+    for k in range(n):
+        rows = bench.where(F.col("block") == k).select("item", "text").toArrow()
+        buf, off = text_buffer(rows["text"])
+        _, h, b = words(lowered(buf), off, ALNUM_WORDS)
+        items = [(i, h[b[j] : b[j + 1]]) for j, i in enumerate(rows["item"].to_pylist())]
+        parts = [[x for x in items if (len(x[1]) < SEED) == short] for short in (True, False)]
+        out.append(spark.sparkContext.broadcast([Suffixes(p, window) for p in parts if p]))
     return out
 
 
+def _read(block, keep: bool):
+    """A block's suffixes; unless it is to be kept, the worker lets it go with the caller."""
+    got = block.value
+    if not keep:
+        block.__dict__.pop("_value", None)
+    return got
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, `keep`, n_words, spans (array of begin, end, ... in words), items (array of item ids as strings) and longest (words; of matches that hold a window)."""
     spark = docs.sparkSession
-    short_batches(spark)
     bench = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text"))
     # a word takes two bytes or more with its separator
     weight = F.coalesce(F.sum((F.octet_length("text") + 2) / 2), F.lit(0.0))
-    blocks = max(1, math.ceil(bench.agg(weight.cast("double")).first()[0] / block_words))
-    bench = bench.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    n = max(1, math.ceil(bench.agg(weight.cast("double")).first()[0] / block_words))
+    blocks = _blocks(spark, bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n, window)
     carried = [f for f in docs.schema.fields if f.name in (id_col, *keep)]
     schema = T.StructType([*carried, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType())])
     source = docs.select(*(F.col(f"`{f.name}`") for f in carried), F.col(f"`{text_col}`").alias("__text"))
-
-    def found(block: int) -> DataFrame:
-        rows = bench.where(F.col("block") == block).select("item", "text").toArrow()
-        buf, off = text_buffer(rows["text"])
-        _, h, b = words(lowered(buf), off, ALNUM_WORDS)
-        shared = spark.sparkContext.broadcast(Suffixes([(i, h[b[k] : b[k + 1]]) for k, i in enumerate(rows["item"].to_pylist())], window))
-
-        def run(batches):
-            let_go()
-            s = shared.value
-
-            def shard(held):
-                hashes, sizes = [x[1] for x in held], np.concatenate([np.diff(x[2]) for x in held])
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                at, size, which, longest = find(np.concatenate(hashes), bounds, s)
-                got = _spans(bounds, at, size, which, s, longest)
-                k = 0
-                for batch, _, b in held:
-                    mine = got[k : k + len(b) - 1]
-                    k += len(b) - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch[f.name] for f in carried), pa.array(np.diff(b), pa.int64()), pa.array([x[0] for x in mine], pa.list_(pa.int64())), pa.array([[s.ids[i] for i in x[1]] for x in mine], pa.list_(pa.string())), pa.array([x[2] for x in mine], pa.int64())],
-                        [f.name for f in schema.fields],
-                    )
-
-            held, n = [], 0
-            for batch in batches:
-                buf, off = text_buffer(batch["__text"])
-                _, h, b = words(lowered(buf), off, ALNUM_WORDS)
-                held.append((batch.drop_columns(["__text"]) if carried else batch, h, b))
-                n += len(h)
-                if n >= SHARD_WORDS:
-                    yield from shard(held)
-                    held, n = [], 0
-            if held:
+    shard_words = SHARD_WORDS * min(n, LARGEST_SHARD)
+
+    def run(batches):
+        let_go()
+
+        def shard(held):
+            w, bounds = np.concatenate([x[1] for x in held]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in held]))])
+            cover, found = np.zeros(len(w) + 1, np.int64), []
+            for block in blocks:
+                for s in _read(block, n == 1):
+                    at, size, which, longest = find(w, bounds, s)
+                    _covered(cover, at, size)
+                    found.append((at, [s.ids[i] for i in s.item[which].tolist()], longest[which]))
+            got = _rows_found(bounds, cover, found)
+            for batch, _, b in held:
+                mine = [next(got) for _ in range(len(b) - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[f.name] for f in carried), pa.array(np.diff(b), pa.int64()), pa.array([x[0] for x in mine], pa.list_(pa.int64())), pa.array([x[1] for x in mine], pa.list_(pa.string())), pa.array([x[2] for x in mine], pa.int64())],
+                    [f.name for f in schema.fields],
+                )
+
+        held, n_held = [], 0
+        for batch in sliced(batches, "__text"):
+            buf, off = text_buffer(batch["__text"])
+            _, h, b = words(lowered(buf), off, ALNUM_WORDS)
+            held.append((batch.drop_columns(["__text"]) if carried else batch, h, b))
+            n_held += len(h)
+            if n_held >= shard_words:
                 yield from shard(held)
+                held, n_held = [], 0
+        if held:
+            yield from shard(held)
 
-        return source.mapInArrow(run, schema)
-
-    out = found(0)
-    if blocks == 1:
-        return out
-    # several blocks: a row for each document and block, merged by the document's columns (repeated rows then become one)
-    parts = [found(b) for b in range(blocks)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    names = [f.name for f in carried]
-
-    @F.udf(T.ArrayType(T.LongType()))
-    def merged(spans):
-        out: list[int] = []
-        for a, b in sorted((s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)):
-            if out and a <= out[-1]:
-                out[-1] = max(out[-1], b)
-            else:
-                out += [a, b]
-        return out
-
-    return whole.groupBy(*names, "n_words").agg(merged(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+    return source.mapInArrow(run, schema)

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import short_batches
 
 # Element names of the HTML standard, and words that name parts of pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -342,7 +341,6 @@ def default_model() -> TreeModel:
 
 def extract(pages: DataFrame, model: TreeModel | None = None, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """`keep` and the text of each page."""
-    short_batches(pages.sparkSession)
     model = model or default_model()
     carried = [f for n in keep for f in pages.schema.fields if f.name == n]
 

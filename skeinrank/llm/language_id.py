@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import let_go, mix64, short_batches
+from .shared import let_go, mix64, sliced
 
 #: Buckets, n-gram lengths, labelled rows to fit on (about), and languages at most.
 BUCKETS, ORDERS, MAX_ROWS, MAX_LANGUAGES = 1 << 15, (1, 2, 3), 20_000, 512
@@ -68,7 +68,6 @@ class NaiveBayes:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS, buckets: int = BUCKETS) -> NaiveBayes:
-    short_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("string").alias("id")).where("lang is not null and text is not null")
     documents = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(documents) > MAX_LANGUAGES:
@@ -97,14 +96,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 def predict(docs: DataFrame, model: NaiveBayes, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """`keep` (columns by name), lang_pred and score (the posterior of the language predicted)."""
-    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*(c.alias(n) for n, c in (keep or {}).items()), F.col(f"`{text_col}`").alias("__text"))
     carried = source.schema.fields[:-1]
 
     def run(batches):
         let_go()
-        for batch in batches:
+        for batch in sliced(batches, "__text"):
             got = [shared.value.predict(t.as_py()) for t in batch["__text"]]
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in carried), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], [*(f.name for f in carried), "lang_pred", "score"])
 

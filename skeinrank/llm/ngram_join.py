@@ -16,13 +16,17 @@ large group of near copies) keeps them all.
 
 Buckets of few sets give candidate pairs, which a parity sketch screens (it never drops a
 similar pair). Buckets of many give a star each, not pairs. The connected components of
-both are dealt out in tiles; each pair of tiles is one task, which holds both tiles' sets,
-screens by sketches, verifies exactly, skips what it has already joined, and returns a
-spanning forest. No task holds more than two tiles, however large the group.
+both are verified exactly in two steps. First every set meets its component's hub, the set
+of most candidates; those that link to it need no comparison among themselves any more.
+Only the sets left loose meet all others: loose sets and members are dealt out in tiles,
+each pair of a loose tile and a tile is one task, which screens by sketches, skips what is
+joined already and returns a spanning forest. No task holds more than two tiles, however
+large the group, and a group whose sets link to its hub costs one comparison a set.
 
 Edge cases: documents without words (null, empty or white space only) have no shingles and
 no links; one of fewer words than a shingle has one shingle; rows that repeat are copies
-like any other; null ids are carried along, but name no group unless alone; other columns
+like any other; sets are fetched by their own name, so ids may repeat with other texts or
+be null; null ids are carried along, but name no group unless alone; other columns
 are ignored; an empty table gives no rows. Shingles and classes are named by 64-bit hashes;
 two classes under one name would raise an error, not merge.
 """
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE_WORDS, components, is_marked, let_go, lowered, marks_of, materialize, mix64, short_batches, text_buffer, words
+from .shared import SPACE_WORDS, Marks, components, id_hash, let_go, lowered, materialize, mix64, size_of, sliced, text_buffer, words
 
 #: Sets of a bucket from which on it is hot; sets and shingles of a tile, about.
 HOT, TILE_SETS, TILE_SHINGLES = 16, 512, 2_000_000
@@ -122,6 +126,10 @@ class Schemes:
         k = self.band(n)
         return [(i, h) for i in (k, k - 1) if i >= 0 and (h := self.budget(i)) > 0]
 
+    def may(self, a, b):
+        """Of size codes: False only if no such sets can be similar."""
+        return np.abs(a - b) <= CODES * np.log(self.q / self.p) + 1
+
     def can(self, a, b):
         return self.q * np.minimum(a, b) >= self.p * np.maximum(a, b)
 
@@ -132,10 +140,20 @@ class Schemes:
         return self.q * common >= self.p * (a + b - common)
 
 
-#: The fields of a signature's info, from the low bits: size 24, segment 20, in the deletion part 1,
+#: The fields of a signature's info, from the low bits: size's code 12, segment 32, in the deletion part 1,
 #: one-deletion 1, usable deletion segments 3, spare segments less empty ones + 1024 11, band's parity 1.
+#: More than 1023 spare segments count as 1023 (then fewer hot buckets can be left out, and none is wrongly);
+#: with fewer than -1024 no bucket can be left out anyway.
 def _info(n, segment, listed, deletion, usable, slack, band):
-    return (band & 1) << 60 | n | segment << 24 | listed << 44 | deletion << 45 | usable << 46 | (max(slack, -1024) + 1024) << 49
+    return (band & 1) << 60 | size_code(n) | segment << 12 | listed << 44 | deletion << 45 | usable << 46 | (min(max(slack, -1024), 1023) + 1024) << 49
+
+
+#: Codes grow by one with each 1 % of a set's size: 12 bits are enough for any set.
+CODES = 100
+
+
+def size_code(n):
+    return np.floor(CODES * np.log(np.maximum(n, 1))).astype(np.int64)
 
 
 def signatures(tokens: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +193,7 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         let_go()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             sets = list(shingles(*text_buffer(batch["text"]), width))
             names = [class_names(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -193,7 +211,7 @@ def _signature_rows(docs: DataFrame, width: int, schemes: Schemes) -> DataFrame:
     def run(batches):
         let_go()
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             sig, cls, info = [], [], []
             for s in shingles(*text_buffer(batch["text"]), width):
                 if not len(s) or (name := class_names(s)[0]) in seen:
@@ -219,7 +237,7 @@ def _buckets(rows: DataFrame, schemes: Schemes, hot: int) -> DataFrame:
 
     def pairs(sig, cls, info, begin, size):
         """Of the small buckets: all pairs whose sizes allow it and of which one side is undiminished."""
-        size_of, gone = info & 0xFFFFFF, (info >> 45) & 1
+        code, gone = info & 0xFFF, (info >> 45) & 1
         left = np.repeat(size, size) - (np.arange(len(sig)) - np.repeat(begin, size))  # rows to the bucket's end
         out = []
         for d in range(1, int(size.max(initial=1))):
@@ -227,7 +245,7 @@ def _buckets(rows: DataFrame, schemes: Schemes, hot: int) -> DataFrame:
             if not len(i):
                 break
             j = i + d
-            ok = (cls[i] != cls[j]) & schemes.can(size_of[i], size_of[j]) & (gone[i] + gone[j] < 2)
+            ok = (cls[i] != cls[j]) & schemes.may(code[i], code[j]) & (gone[i] + gone[j] < 2)
             i, j = i[ok], j[ok]
             out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
         x = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
@@ -315,80 +333,125 @@ def _screened(pairs: DataFrame, sketches: DataFrame, schemes: Schemes) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, width: int = 4, p: int = 85, q: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """Per document: (id, n_shingles, component_id): the smallest id that links lead to, its own included."""
-    short_batches(docs.sparkSession)
+def ngram_join(docs: DataFrame, width: int = 4, p: int = 85, q: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, classes_too: bool = False) -> DataFrame:
+    """Per document: (id, n_shingles, component_id): the smallest id that links lead to, its own included.
+
+    With `classes_too` also cls and component: the names of the document's set and of its group, whatever the ids are (null without words).
+    """
     schemes = Schemes(p, q)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = materialize(_rows(source, width), "sets")
-    classes = materialize(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), F.max("n").alias("n"), F.min("cls2").alias("c1"), F.max("cls2").alias("c2"), F.first("sketch").alias("sketch")), "classes")
+    classes = materialize(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), F.max("n").alias("n"), F.min("cls2").alias("c1"), F.max("cls2").alias("c2"), F.first("sketch").alias("sketch")), "classes", size_of(rows))
     if not classes.where("c1 <> c2").isEmpty():
         raise RuntimeError("two different sets share a 64-bit name")
 
     found = materialize(_buckets(_signature_rows(source, width, schemes), schemes, hot), "buckets")
-    pairs = materialize(_screened(found.where("info is null").select("a", "b").distinct(), classes, schemes), "pairs")
+    pairs = materialize(_screened(found.where("info is null").select("a", "b").distinct(), classes, schemes), "pairs", size_of(found))
     # hot buckets: a set may leave them out while its other segments suffice
     part = lambda shift, bits: F.shiftrightunsigned("info", shift).bitwiseAND(F.lit((1 << bits) - 1))
-    rows_hot = found.where("info is not null").select(F.col("a").alias("sig"), F.col("b").alias("cls"), part(24, 20).alias("segment"), part(44, 1).alias("listed"), part(45, 1).alias("gone"), part(46, 3).alias("usable"), part(49, 11).alias("slack"), part(60, 1).alias("scheme"))
+    rows_hot = found.where("info is not null").select(F.col("a").alias("sig"), F.col("b").alias("cls"), part(12, 32).alias("segment"), part(44, 1).alias("listed"), part(45, 1).alias("gone"), part(46, 3).alias("usable"), part(49, 11).alias("slack"), part(60, 1).alias("scheme"))
     own = F.when((F.col("gone") == 0), F.col("segment"))
     need = rows_hot.groupBy("cls", "scheme", "slack", "usable").agg(F.count_distinct(own).alias("own"), F.count_distinct(F.when(F.col("listed") == 1, F.col("segment"))).alias("listed"))
     need = need.where("slack - 1024 - own + usable - listed < 0").select("cls", "scheme")
-    kept = materialize(rows_hot.join(need, ["cls", "scheme"]).select("sig", "cls").distinct(), "hot")
-    low = materialize(kept.groupBy("sig").agg(F.min("cls").alias("a")), "hubs")
+    kept = materialize(rows_hot.join(need, ["cls", "scheme"]).select("sig", "cls").distinct(), "hot", size_of(found))
+    low = materialize(kept.groupBy("sig").agg(F.min("cls").alias("a")), "hubs", size_of(found))
     stars = kept.join(low, "sig").where("cls <> a").select("a", F.col("cls").alias("b"))
 
-    blocks = materialize(components(pairs.union(stars)), "blocks")
-    # written before they are contracted: a stage with two steps in Python doubles the workers that stay
-    links = components(materialize(_verified(source, blocks, classes, width, schemes), "verified"))
-    links = materialize(links, "links")
+    edges = pairs.union(stars)
+    room = size_of(classes)
+    blocks = materialize(components(edges), "blocks", room)
+    degree = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    hubs = materialize(blocks.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"), F.count("*").alias("members")), "block-hubs", room)
+    links = materialize(components(_verified(source, blocks.join(hubs, "component"), classes, width, schemes)), "links", room)
     names = links.join(classes.select(F.col("cls").alias("node"), "low"), "node")
-    lowest = materialize(names.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
-    named = links.join(lowest, "component").select(F.col("node").alias("cls"), "component_id")
-    of_class = materialize(classes.select("cls", "low").join(named, "cls", "left").select("cls", F.coalesce("component_id", "low").alias("component_id")), "of-class")
-    out = rows.select("id", "n", "cls").join(of_class, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    lowest = materialize(names.groupBy("component").agg(F.min("low").alias("component_id"), F.min("node").alias("first")), "lowest", room)
+    named = links.join(lowest, "component").select(F.col("node").alias("cls"), "component_id", "first")
+    of_class = classes.select("cls", "low").join(named, "cls", "left").select("cls", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("first", "cls").alias("component"))
+    out = rows.select("id", "n", "cls").join(materialize(of_class, "of-class", room), "cls", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *(["cls", "component"] if classes_too else []))
 
 
-def _sets_of(source: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, tokens) of the rows whose id is marked: the wanted ones and few others, so that other texts aren't shuffled."""
-    bits, shared = marks_of(ids)
+def class_of(width: int):
+    """Of an Arrow column of texts the names of their sets, null for the empty one."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([class_names(s)[0] if len(s) else None for s in shingles(*text_buffer(texts), width)], pa.int64())
+
+    return run
+
+
+def _sets_of(source: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(cls, tokens) of the rows whose id members(low) marks, each class once a task: the wanted ones and few others, so that other texts aren't shuffled."""
+    marks = Marks(members.select(id_hash("low").alias("h")))
 
     def run(batches):
         let_go()
+        seen: set[int] = set()
         for batch in batches:
-            batch = batch.filter(pa.array(is_marked(shared.value, batch["at"].to_numpy())))
-            if len(batch):
-                found = [s.tobytes() for s in shingles(*text_buffer(batch["text"]), width)]
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.binary())], ["id", "tokens"])
+            batch = batch.filter(pa.array(marks.hits(batch["h"].to_numpy())))
+            for part in sliced([batch] if len(batch) else [], "text"):
+                names, sets = [], []
+                for s in shingles(*text_buffer(part["text"]), width):
+                    if len(s) and (name := class_names(s)[0]) not in seen:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(name)
+                        names.append(name)
+                        sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["cls", "tokens"])
 
-    rows = source.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at"))
-    return rows.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("tokens", T.BinaryType())]))
+    return source.select("text", id_hash("id").alias("h")).mapInArrow(run, "cls long, tokens binary")
 
 
 def _verified(source: DataFrame, blocks: DataFrame, classes: DataFrame, width: int, schemes: Schemes) -> DataFrame:
-    """Edges of a spanning forest of each pair of tiles of each block."""
-    sized = blocks.join(classes.select(F.col("cls").alias("node"), "low", "n"), "node")
-    tiles = materialize(sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")), "tiles")
-    members = materialize(sized.join(tiles, "component").select(F.col("low").alias("id"), F.col("node").alias("cls"), "component", "tiles"), "members")
+    """Edges (a, b) that join all that links join: blocks(node, component, hub, members)."""
+    members = materialize(blocks.join(classes.select(F.col("cls").alias("node"), "low", "n"), "node").withColumnRenamed("node", "cls"), "members", 3 * size_of(classes))
+    sets = materialize(_sets_of(source, members, width).join(members, "cls").select("cls", "component", "hub", "members", "n", "tokens").dropDuplicates(["cls"]), "members-sets", 8 * size_of(source))
+    hubs = sets.where("cls = hub").select("component", F.col("tokens").alias("hub_tokens"))
 
-    own = _sets_of(source, members.select("id"), width).join(members, "id").select("cls", "component", "tiles", "tokens")
-    tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    dealt = own.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "cls", "tokens")
+    def meet(batches):
+        let_go()
+        for batch in batches:
+            linked = []
+            for a, b in zip(batch["tokens"], batch["hub_tokens"]):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                linked.append(bool(schemes.can(len(a), len(b))) and schemes.similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
+            yield pa.RecordBatch.from_arrays([batch["cls"], batch["hub"], batch["component"], batch["members"], batch["n"], pa.array(linked, pa.bool_())], ["cls", "hub", "component", "members", "n", "linked"])
+
+    asked = sets.where("cls <> hub").join(hubs, "component")
+    met = materialize(asked.mapInArrow(meet, "cls long, hub long, component long, members long, n long, linked boolean"), "met", size_of(members))
+    stars = met.where("linked").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+
+    # the loose sets meet all others of their component but the hub
+    open_ = met.where("members > 2").groupBy("component").agg(
+        F.count_if(~F.col("linked")).alias("loose"), F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"),
+        F.ceil(F.greatest(F.count_if(~F.col("linked")) / TILE_SETS, F.sum(F.when(~F.col("linked"), F.col("n"))) / TILE_SHINGLES)).cast("int").alias("loose_tiles"),
+    )
+    open_ = materialize(open_.where("loose > 0").drop("loose"), "open", size_of(members))
+    part = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    left = materialize(met.join(open_, "component").select("cls", "component", "linked", "tiles", "loose_tiles"), "left", size_of(members))
+    rest = left.join(sets.select("cls", "tokens"), "cls")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ones = rest.where("not linked").withColumn("t", part("loose_tiles")).withColumn("u", each("tiles")).withColumn("one", F.lit(True))
+    others = rest.withColumn("u", part("tiles")).withColumn("t", each("loose_tiles")).withColumn("one", F.lit(False))
+    columns = ["component", "t", "u", "one", "cls", "linked", "tokens"]
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("cls").sort_values("cls")
-        t, u = int(frame["t"].iloc[0]), int(frame["u"].iloc[0])
-        one = frame[frame["tile"] == t]
-        two = one if t == u else frame[frame["tile"] == u]
-        edges = forest([np.frombuffer(x, np.uint64) for x in one["tokens"]], None if t == u else [np.frombuffer(x, np.uint64) for x in two["tokens"]], schemes)
+        frame = frame.sort_values("cls")
+        one, two = frame[frame["one"]], frame[~frame["one"]]
+        tokens = lambda f: [np.frombuffer(x, np.uint64) for x in f["tokens"]]
+        edges = forest(tokens(one), tokens(two), schemes, np.flatnonzero(two["linked"].to_numpy(bool)))
         a, b = one["cls"].to_numpy(), two["cls"].to_numpy()
-        return pd.DataFrame({"a": [a[i] for i, _ in edges], "b": [b[j] for _, j in edges]}, dtype=np.int64)
+        edges = [(a[i], b[j]) for i, j in edges if a[i] != b[j]]
+        return pd.DataFrame({"a": [x for x, _ in edges], "b": [y for _, y in edges]}, dtype=np.int64)
 
-    return dealt.groupBy("component", "t", "u").applyInPandas(verify, "a long, b long")
+    more = ones.select(*columns).unionByName(others.select(*columns)).groupBy("component", "t", "u").applyInPandas(verify, "a long, b long")
+    # written before they are contracted: a stage with two steps in Python doubles the workers that stay
+    return stars.unionByName(materialize(more, "verified", size_of(members)))
 
 
-def forest(one: list[np.ndarray], two: list[np.ndarray] | None, schemes: Schemes) -> list[tuple[int, int]]:
-    """Links (i, j) between two lists of sets (or within one) that join all that links join."""
+def forest(one: list[np.ndarray], two: list[np.ndarray] | None, schemes: Schemes, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) between two lists of sets (or within one) that join all that links join; the places `joined` of the second are one already."""
     other = one if two is None else two
     if not one or not other:
         return []
@@ -406,6 +469,9 @@ def forest(one: list[np.ndarray], two: list[np.ndarray] | None, schemes: Schemes
             up[x] = x = up[up[x]]
         return x
 
+    if joined is not None and len(joined):
+        for k in joined.tolist():
+            up[shift + k] = shift + int(joined[0])
     found = []
     for i in range(len(one)):
         near, bits = [], []

@@ -13,9 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows in one Arrow batch; texts vary from a few bytes to megabytes, so batches stay short.
+#: Rows in one Arrow batch of the registered queries; texts vary from a few bytes to megabytes, so batches stay short.
 BATCH_ROWS = 256
+#: Bytes of text that an operator works on at a time, whatever the batch holds (or one longer text); bytes of a scratch file, about.
+PIECE_BYTES, FILE_BYTES = 1 << 20, 1 << 25
 
 _scratch: list[str] = []
 
@@ -36,12 +39,26 @@ def scratch_root(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage is cut, a lost executor costs nothing."""
+def size_of(df: DataFrame) -> int:
+    """Bytes of `df` as Spark's statistics have them: of a written table its files' size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def materialize(df: DataFrame, label: str, at_most: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage is cut, a lost executor costs nothing.
+
+    `at_most` is a bound in bytes, if one is known: a table goes to no more files than that
+    needs (but to two for each core). The folder goes when the application ends, if `release`
+    doesn't delete it before.
+    """
     spark = session_of(df)
     path = f"{scratch_root(spark).rstrip('/')}/skeinrank-{uuid.uuid4().hex}/{label}"
+    if at_most is not None:
+        df = df.coalesce(_files(df, at_most))
     df.write.parquet(path)
     _scratch.append(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +77,7 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """For applications: operators leave the session's settings alone and only cut what they are given."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -67,6 +85,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches, name: str, size: int = PIECE_BYTES):
+    """The batches in runs of rows whose texts (column `name`) have `size` bytes together, or one longer text."""
+    for batch in batches:
+        _, off = text_buffer(batch[name])
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 # ---------------------------------------------------------------- memory of Python workers
 
 _kept: dict[str, object] = {}
@@ -216,63 +245,63 @@ def sha256_hex(data: bytes) -> str:
 MARK_BITS, MARK_MOST = 16, 1 << 27
 
 
-def marks_of(ids: DataFrame):
-    """(bits, broadcast bitmap) of the hashes of column `id`, gathered from a few tasks: its size is bounded, more ids only fill it."""
-    bits = 1 << max(10, min(MARK_MOST, MARK_BITS * ids.count() + 1).bit_length() - 1)
+class Marks:
+    """A broadcast bitmap of hashes: all that are in it, and some others when it fills up. Its size is bounded, so
+    what it saves shrinks beyond some 8 million marks, never what it lets through."""
 
-    def run(batches):
-        let_go()
-        own = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = batch["at"].to_numpy()
-            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["bits"])
+    def __init__(self, hashes: DataFrame):
+        """hashes(h): longs."""
+        self.bits = 1 << max(10, min(MARK_MOST, MARK_BITS * hashes.count() + 1).bit_length() - 1)
+        at = hashes.select(F.col("h").bitwiseAND(F.lit(self.bits - 1)).alias("at"))
+        # a row for each word of the bitmap that isn't zero, put together before it is shuffled
+        rows = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("v")).toArrow()
+        words_ = np.zeros(self.bits // 64, np.int64)
+        words_[rows["w"].to_numpy()] = rows["v"].to_numpy()
+        self.shared = session_of(hashes).sparkContext.broadcast(words_.tobytes())
 
-    rows = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at")).coalesce(8).mapInArrow(run, "bits binary").collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        out |= np.frombuffer(r.bits, np.uint8)
-    return bits, session_of(ids).sparkContext.broadcast(out.tobytes())
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        at = h.view(np.int64) & (self.bits - 1)
+        own = np.frombuffer(self.shared.value, np.int64)
+        return (own[at >> 6] >> (at & 63) & 1).astype(bool)
 
 
-def is_marked(bitmap: bytes, at: np.ndarray) -> np.ndarray:
-    own = np.frombuffer(bitmap, np.uint8)
-    return (own[at >> 3] >> (at & 7) & 1).astype(bool)
+def id_hash(name: str):
+    return F.xxhash64(F.col(f"`{name}`"))
 
 
-def marked(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id a bitmap of `ids(id)` marks: all wanted ones and few others, so that a join
-    that follows doesn't shuffle the rest."""
-    bits, shared = marks_of(ids)
+def parted(docs: DataFrame, marks: Marks, id_col: str, wanted: bool) -> DataFrame:
+    """Rows of `docs` whose id is marked, or the others."""
 
     def run(batches):
         let_go()
         for batch in batches:
-            got = batch.filter(pa.array(is_marked(shared.value, batch["__at"].to_numpy())))
+            got = batch.filter(pa.array(marks.hits(batch["__h"].to_numpy()) == wanted))
             if len(got):
-                yield got.drop_columns(["__at"])
+                yield got.drop_columns(["__h"])
 
-    return docs.withColumn("__at", F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(bits))).mapInArrow(run, docs.schema)
+    return docs.withColumn("__h", id_hash(id_col)).mapInArrow(run, docs.schema)
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id isn't in `ids(id)`. Rows that a bitmap of the ids leaves unmarked, most of
-    them, pass without a shuffle; only the marked ones go through an exact anti join."""
-    bits, shared = marks_of(ids)
-    at = docs.withColumn("__at", F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(bits)))
+def settled(docs: DataFrame, verdicts: DataFrame, key_of, key_type: T.DataType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows that verdicts(id, key, stays) turn down, and with one row of each id and key that stays.
 
-    def part(wanted: bool):
-        def run(batches):
-            let_go()
-            for batch in batches:
-                got = batch.filter(pa.array(is_marked(shared.value, batch["__at"].to_numpy()) == wanted))
-                if len(got):
-                    yield got.drop_columns(["__at"])
+    `key_of` makes the keys of an Arrow column of texts. Rows whose id isn't marked, most of them,
+    pass without a shuffle; only the marked ones are joined. Every id and key that repeats needs a verdict.
+    """
+    marks = Marks(verdicts.select(id_hash("id").alias("h")))
 
-        return at.mapInArrow(run, docs.schema)
+    def run(batches):
+        let_go()
+        for batch in batches:
+            got = batch.filter(pa.array(marks.hits(batch["__h"].to_numpy()))).drop_columns(["__h"])
+            for part in sliced([got] if len(got) else [], text_col):
+                yield part.append_column("__key", key_of(part[text_col]))
 
-    wanted = ids.select(F.col("id").alias("__id"))
-    return part(False).unionByName(part(True).join(wanted, F.col(f"`{id_col}`") == F.col("__id"), "left_anti"))
+    keyed = docs.withColumn("__h", id_hash(id_col)).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__key", key_type)]))
+    said = verdicts.select(F.col("id").alias("__id"), F.col("key").alias("__k"), F.col("stays").alias("__stays"))
+    both = keyed.join(said, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__k")), "left").where(F.coalesce("__stays", F.lit(True)))
+    own = both.dropDuplicates([id_col, "__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return parted(docs, marks, id_col, False).unionByName(own)
 
 
 # ---------------------------------------------------------------- connected components
@@ -286,21 +315,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     in one place: stars are joined on written tables, where skewed keys can be split.
     """
     e = materialize(_contracted(edges), "cc-0")
+    old: list[str] = []
     for r in range(1, max_rounds):
+        before, room = scratch_paths(), 2 * size_of(e)
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"cc-{r}m")
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"cc-{r}m", room)
         if r % 2:  # large star: every larger neighbour of u hangs on u's smallest
             stars = both.where("b > a").join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         else:  # small star: u and its smaller neighbours hang on u's smallest
             own = low.where("m < a").select(F.col("a").alias("x"), F.col("m").alias("y"))
             stars = both.where("b < a").join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).union(own)
-        nxt = materialize(_contracted(stars.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))), f"cc-{r}")
+        nxt = materialize(_contracted(stars.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).coalesce(_files(e, room))), f"cc-{r}")
         # done when the graph is stars already: no root hangs on anything, every leaf hangs on one root
         roots = nxt.select("b").distinct()
         leaves = nxt.groupBy("a").agg(F.countDistinct("b").alias("n"))
         open_ = leaves.where("n > 1").select("a").union(leaves.join(roots, leaves.a == roots.b, "left_semi").select("a"))
         e = nxt
-        if open_.isEmpty():
+        done = open_.isEmpty()
+        release(session_of(edges), old)  # what the round before wrote, read for the last time in this one
+        old = [p for p in scratch_paths() if p not in before]
+        if done:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -308,35 +342,38 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return leaf.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _files(df: DataFrame, at_most: int) -> int:
+    return max(2 * session_of(df).sparkContext.defaultParallelism, min(-(-at_most // FILE_BYTES), 1 << 30))
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) over the edges given, for all nodes but the smallest ones."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, up = place[: len(a)], place[len(a) :], np.arange(len(ids))
+    while len(u):
+        u, v = up[u], up[v]
+        apart = u != v
+        u, v = np.maximum(u, v)[apart], np.minimum(u, v)[apart]
+        np.minimum.at(up, u, v)
+        while not np.array_equal(flat := up[up], up):
+            up = flat
+    own = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[own], ids[up[own]]
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
     """Per task, the edges replaced by stars on each local component's smallest node."""
 
     def run(batches):
         let_go()
-        up: dict[int, int] = {}
-
-        def find(x):
-            while up.get(x, x) != x:
-                up[x] = x = up.get(up[x], up[x])
-            return x
-
-        def flush():
-            rows = [(x, find(x)) for x in up]
-            rows = [(x, y) for x, y in rows if x != y]
-            up.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], ["a", "b"])
-
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
-                if a == b:
-                    continue
-                ra, rb = find(a), find(b)
-                up.setdefault(a, a)
-                up.setdefault(b, b)
-                if ra != rb:
-                    up[max(ra, rb)] = min(ra, rb)
-            if len(up) > 500_000:
-                yield flush()
-        yield flush()
+            a, b = np.concatenate([a, batch["a"].to_numpy()]), np.concatenate([b, batch["b"].to_numpy()])
+            if len(a) > 500_000:
+                a, b = _roots(a, b)
+                if len(a) > 250_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    a, b = a[:0], b[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _roots(a, b)], ["a", "b"])
 
     return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")

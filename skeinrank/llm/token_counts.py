@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import codec, read_ranks
-from .shared import short_batches
 
 #: Ids of a block that is written.
 BLOCK_IDS = 1 << 18
@@ -35,7 +34,6 @@ BLOCK_IDS = 1 << 18
 
 def write_tokens(docs: DataFrame, ranks_path: str, pattern: str, eod: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(file, block, data, ids): blocks of token files, and in `ids` the documents closed in each, in order."""
-    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = source.schema["id"].dataType
@@ -81,7 +79,6 @@ def read_token_files(spark: SparkSession, path: str, width: int = 2) -> DataFram
                     piece = data.slice(lo, min(BLOCK_IDS * width, data.size - lo)).to_pybytes()
                     yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k]), pa.array([piece], pa.binary())], ["file", "block", "data"])
 
-    short_batches(spark, 1)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
 
 

@@ -102,6 +102,43 @@ def test_odd_rows_and_empty(spark):
     assert ngram_join(frame(spark, [])).count() == 0
 
 
+def test_loose_sets_meet_in_tiles(spark, monkeypatch):
+    """A large group of which many sets don't link to the hub."""
+    monkeypatch.setattr(nj, "TILE_SETS", 8)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, edited(rng, base, rng.randrange(0, 5))) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for hot in (2, 16):
+        assert sorted(tuple(r) for r in ngram_join(df, hot=hot).collect()) == brute(docs)
+
+
+def test_sets_beyond_the_fields_of_small_ones(spark):
+    """Over 100,000 shingles, where spare segments are more than their field holds; a passage is shared by many."""
+    rng = random.Random(4)
+    long = [f"v{i}" for i in range(110_000)]
+    docs = [(i, edited(rng, long, n)) for i, n in enumerate((0, 10, 2000, 4700))]
+    docs += [(10 + i, " ".join(long[:40] + [f"o{i}x{k}" for k in range(20)])) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert sorted(tuple(r) for r in ngram_join(df, hot=4).collect()) == brute(docs)
+
+
+def test_size_codes_never_part_similar_sets():
+    for p, q in ((85, 100), (4, 5), (1, 2)):
+        schemes = Schemes(p, q)
+        a = np.unique(np.geomspace(1, 1e9, 4000).astype(np.int64))
+        b = a * q // p
+        assert schemes.may(nj.size_code(a), nj.size_code(b)).all() and nj.size_code(10**12) < 1 << 12
+
+
+def test_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(80)]
+    docs = [(1, " ".join(base)), (None, " ".join(base[:78])), (2, " ".join(base[2:78])), (1, "something else altogether, quite short"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join(df, classes_too=True).collect()}
+    assert got == {(1, 77): 1, (None, 75): 1, (2, 73): 1, (1, 2): 1, (None, 0): None}
+
+
 def test_query(spark):
     from skeinrank.llm.queries import op3_ngram_join
 
