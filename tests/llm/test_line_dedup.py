@@ -30,6 +30,18 @@ def test_random_lines(spark):
     assert sorted((r.doc_id, r.text, r.n_lines, r.removed) for r in line_dedup(df).collect()) == brute(docs)
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    rows = [(1, "a\nb\nc\nd"), (5, "x\na\nb\nc"), (5, "k\nl\nm\nn"), (5, "k\nl\nm\nn"), (None, "a\nb\nc"), (7, "k\nl\nm\no")]
+    got = sorted((r.doc_id or 0, r.text, r.removed) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted([(1, "a\nb\nc\nd", []), (5, "x", [1, 2, 3]), (5, "k\nl\nm\nn", []), (5, "k\nl\nm\nn", []), (0, "a\nb\nc", []), (7, "o", [0, 1, 2])])
+
+
+def test_many_lines_take_linear_time(spark):
+    text = "\n".join(f"line {i}" for i in range(60_000))
+    got = line_dedup(spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id long, text string")).where("doc_id = 2").first()
+    assert got.text == "end" and got.n_lines == 60_001
+
+
 def test_odd_rows_and_empty(spark):
     df = crowded(frame(spark), "id", "at", "key", "removed")
     want = {x[0]: x for x in brute([(r.doc_id, r.text) for r in df.collect()])}
