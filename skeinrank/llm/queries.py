@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,12 +16,14 @@ from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
-from .shared import materialize, table
+from .shared import materialize, short_batches, table
 from .token_counts import token_counts, write_tokens
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The flat files' vocabulary, whose id 50256 is free, and so ends a document.
 FILE_VOCABULARY, END_OF_DOCUMENT = "byte_bpe_50k.tiktoken", 50256
+#: How severe an objection the raters had: none, to the text's quality, to its being toxic; and the grade that is bad.
+GRADE, BAD = "CASE WHEN toxic > 0 THEN 2 WHEN toxic = 0 THEN CASE WHEN quality = 0 THEN 1 ELSE 0 END END", 2
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +60,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", binary=True)
-    return toxicity.severity(docs, model).withColumn("rejected", F.col("severity") >= toxicity.REJECT)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), GRADE, bad_from=BAD)
+    return toxicity.severity(docs, model).withColumn("rejected", F.col("severity") >= model.reject)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +90,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+def _short(query):
+    """With short Arrow batches for the session, as texts may be long: this is the application's choice, not the operators'."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        short_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _short(f)
     for f in (op1_language_id, op2_html_text, op3_ngram_join, op4_token_counts, op5_license_scan, op6_line_dedup, op7_exact_dedup, op8_byte_bpe, op9_decontaminate, op10_toxicity)
 }
 

@@ -11,21 +11,21 @@ those whose texts another one of another length, chosen before, holds already (s
 stands for its words). None has to be certain by itself: an L2 penalty keeps weak ones small. The text's
 expected severity is the mean grade.
 
-The severity from which a text is rejected is set on rows that were held out: the sample is
-dealt into `FOLDS`, each scored by a model whose features and weights come from the others,
-and the lowest cut is taken at which `PRECISION` of the rejected are of higher grades. The
-thresholds are then moved so that this cut's severity is `REJECT`, with all weights as they are.
+The severity from which a text is rejected, `reject`, is set on rows that were held out: the
+sample is dealt into `FOLDS`, each scored by a model whose features and weights come from the
+others, and the lowest cut is taken at which `PRECISION` of the rejected are bad.
 `held_out` says how many of each language were caught at it.
 
-Grades come from any integer label; `grades_from_binary` makes three of a 0/1 label: toxic
-texts are split at the median of how much of the features the toxic ones hold.
+Grades are what raters gave: any integer expression over the labels' columns, never over the
+texts; those of `bad_from` and beyond are bad. There is a threshold for each step between grades.
 
 The fit takes a bounded sample (`max_rows` labelled rows, about, by a hash of the id), of whose
-near copies only one is used; every
-text is scored whole. Nothing is shuffled when scoring; the model is some kilobytes.
+near copies only one is used. The sample is kept on the executors' disks while it is fitted;
+one that is lost is made again. Every text is scored whole. Nothing is shuffled when scoring;
+the model is some kilobytes.
 
 Edge cases: a null or empty text has no features and gets the severity of a text without any;
-rows that repeat score alike; labels of unknown documents, null grades and repeated labels (the
+rows that repeat score alike; labels of unknown documents, null and negative grades and repeated labels (the
 highest counts) do no harm; with fewer than two grades, or no cut of that precision, none is
 rejected; other columns are carried only when asked for.
 """
@@ -34,17 +34,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM_WORDS, beginnings, let_go, lowered, materialize, mix64, short_batches, sized_words, text_buffer, words
+from .shared import ALNUM_WORDS, beginnings, let_go, lowered, mix64, sized_words, sliced, text_buffer, words
 
 #: Labelled rows to fit on (about); how far from chance a candidate must be (the bar that does best on held-out rows counts); texts it must stand in.
 MAX_ROWS, MIN_Z, MIN_TEXTS = 8_000, (2.8, 3.5, 4.5, 6.0), 2
-#: L2 penalty of one weight against the whole sample's likelihood; expected severity from which a text is rejected.
-PENALTY, REJECT = 1.0, 0.2
+#: L2 penalty of one weight against the whole sample's likelihood.
+PENALTY = 1.0
 #: The share of a feature's texts from which another one stands for it; words among which one makes it stand densely.
 COVERED, DENSE = 0.95, 250
 #: Added to what is found and to what chance would give.
@@ -64,13 +65,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class CumulativeLink:
     """Ordered thresholds and shared weights; `features` are sorted word hashes, `chance` how often a clean text's word is one.
 
-    `held_out`: (language, texts, of higher grades, caught, wrongly rejected).
+    `reject` is the severity from which a text is rejected; `held_out`: (language, texts, bad ones, caught, wrongly rejected).
     """
 
-    def __init__(self, features: np.ndarray, weights: np.ndarray, thresholds: np.ndarray, chance: np.ndarray | None = None, held_out: tuple = ()):
+    def __init__(self, features: np.ndarray, weights: np.ndarray, thresholds: np.ndarray, chance: np.ndarray | None = None, reject: float = float("inf"), held_out: tuple = ()):
         self.features, self.weights, self.thresholds = features, weights, thresholds
         self.chance = np.zeros(len(features)) if chance is None else chance
-        self.held_out = held_out
+        self.reject, self.held_out = reject, held_out
 
     def severity(self, x: np.ndarray) -> np.ndarray:
         """Expected grade: the sum over thresholds of the probability to be beyond."""
@@ -210,36 +211,44 @@ def _signatures(column: pa.Array) -> list[list[int]]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, binary: bool = False, lang_col: str = "lang") -> CumulativeLink:
-    """A model from labelled rows; `binary`: make three grades of a 0/1 label. Without `lang_col` all texts are of one language."""
+def fit(docs: DataFrame, labels: DataFrame, grade: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, lang_col: str = "lang", bad_from: int = 1) -> CumulativeLink:
+    """A model from labelled rows; `grade` is an SQL expression over the labels' columns: the larger, the worse, from 0 on. Without `lang_col` all texts are of one language."""
     none = CumulativeLink(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]))
-    spark = docs.sparkSession
-    grades = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("grade"))
+    given = labels.select(F.col(f"`{id_col}`").alias("id"), F.expr(grade).cast("int").alias("grade"))
+    grades = given.where("grade >= 0").groupBy("id").agg(F.max("grade").alias("grade"))
     n = grades.count()
     if n > max_rows:
         grades = grades.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
     # the sample's ids are bounded by max_rows
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), lang.alias("lang"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    short_batches(spark)
 
     def signed(batches):
         let_go()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             sigs = [x for part in _pieces(batch["text"]) for x in _signatures(part)]
             yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], batch["grade"], batch["lang"], batch["text"], pa.array(sigs, pa.list_(pa.int64()))], ["row", "id", "grade", "lang", "text", "sigs"])
 
     sample = rows.join(F.broadcast(grades), "id").select(F.monotonically_increasing_id().alias("row"), "id", "grade", "lang", "text")
-    sample = materialize(sample.mapInArrow(signed, T.StructType([*sample.schema, T.StructField("sigs", T.ArrayType(T.LongType()))])), "sample")
+    sample = sample.mapInArrow(signed, T.StructType([*sample.schema, T.StructField("sigs", T.ArrayType(T.LongType()))])).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _fitted(sample, none, bad_from)
+    finally:
+        sample.unpersist()
+
+
+def _fitted(sample: DataFrame, none: CumulativeLink, bad_from: int) -> CumulativeLink:
+    spark = sample.sparkSession
     known = sample.select("row", "id", "grade", "lang", "sigs").orderBy("id", "row").toArrow()
     known = known.take(pa.array(_distinct(known["id"].to_pylist(), known["sigs"].to_pylist()), pa.int64()))
     grade, row = known["grade"].to_numpy().astype(int), known["row"].to_numpy()
-    if not len(known) or (grade > 0).all() or not (grade > 0).any():
+    toxic = grade >= bad_from
+    if not len(known) or toxic.all() or not toxic.any():
         return none
     langs, group = np.unique(known["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-    fold = _dealt(group * 2 + (grade > 0))
+    fold = _dealt(group * 2 + toxic)
     # (language, fold and badness): texts
-    slot = fold * 2 + (grade > 0)
+    slot = fold * 2 + toxic
     texts = np.zeros((len(langs), 2 * FOLDS), np.int64)
     np.add.at(texts, (group, slot), 1)
     order = np.argsort(row)
@@ -304,13 +313,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
             texts_of = np.flatnonzero(train & (group == g))
             cols = column[own]
             part = counts[np.ix_(texts_of, cols)]
-            clean = grade[texts_of] == 0
+            clean = ~toxic[texts_of]
             for c in _chosen(part * DENSE >= np.maximum(n_words[texts_of], 1)[:, None], names[cols], z[own]):
                 chance[cols[c]] = max(chance.get(cols[c], 0.0), part[clean, c].sum() / max(1, n_words[texts_of][clean].sum()))
         cols = np.array(sorted(chance), int)
         rate = np.array([chance[c] for c in cols.tolist()])
         x = _values(counts[np.ix_(train, cols)], n_words[train], rate)
-        y = grades_from_binary(grade[train], x) if binary else grade[train]
+        y = grade[train]
         if not len(cols) or y.max() == y.min():
             return none
         weights, thresholds = fit_ordinal(x, y, int(y.max()) + 1, penalty=PENALTY / len(cols))
@@ -322,35 +331,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
         for k in range(FOLDS):
             model, test = model_of(k, bar), fold == k
             x = _values(counts[np.ix_(test, np.searchsorted(names, model.features))], n_words[test], model.chance)
-            out[test], bad[test] = model.severity(x), _sigmoid(x @ model.weights - model.thresholds[0])
+            out[test], bad[test] = model.severity(x), _sigmoid(x @ model.weights - model.thresholds[min(bad_from, len(model.thresholds)) - 1])
         bad = np.clip(bad, 1e-4, 1 - 1e-4)
-        return -np.log(np.where(grade > 0, bad, 1 - bad)).mean(), out
+        return -np.log(np.where(toxic, bad, 1 - bad)).mean(), out
 
     tried = [(*left_out(bar), bar) for bar in MIN_Z]
     _, out, bar = min(tried, key=lambda x: x[0])
     model = model_of(FOLDS, bar)
-    cut = _cut(out, grade > 0)
+    cut = _cut(out, toxic)
     said = out >= cut
-    model = CumulativeLink(model.features, model.weights, _moved(model.thresholds, cut), model.chance)
-    model.held_out = tuple((str(name), int(o.sum()), int((o & (grade > 0)).sum()), int((o & said & (grade > 0)).sum()), int((o & said & (grade == 0)).sum())) for g, name in enumerate(langs) for o in [group == g])
+    model.reject = cut
+    model.held_out = tuple((str(name), int(o.sum()), int((o & toxic).sum()), int((o & said & toxic).sum()), int((o & said & (~toxic)).sum())) for g, name in enumerate(langs) for o in [group == g])
     return model
 
 
-def _moved(thresholds: np.ndarray, cut: float) -> np.ndarray:
-    """The thresholds, moved together: what had the severity `cut` has `REJECT`; of no text, if the cut is beyond all severities."""
-    if not np.isfinite(cut):
-        return thresholds - thresholds[0] + 40.0
-
-    def place(severity):
-        low, high = -100.0, 100.0
-        for _ in range(100):
-            z = (low + high) / 2
-            low, high = (z, high) if _sigmoid(z - thresholds).sum() < severity else (low, z)
-        return low
-
-    return thresholds + place(cut) - place(REJECT)
-
-
 def _row_pieces(batch: pa.RecordBatch):
     at = 0
     for part in _pieces(batch["text"]):
@@ -391,23 +385,14 @@ def _cut(severity: np.ndarray, bad: np.ndarray) -> float:
     return float(np.sqrt(at[i] * at[i - 1]) if i else at[i])
 
 
-def grades_from_binary(toxic: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """0, 1 and 2: toxic texts with more of the features than the median toxic text are 2."""
-    amount = x.sum(1)
-    bad = toxic > 0
-    middle = np.median(amount[bad]) if bad.any() else 0.0
-    return np.where(bad, np.where(amount > middle, 2, 1), 0)
-
-
 def severity(docs: DataFrame, model: CumulativeLink, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and `severity`, the expected grade."""
-    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = [f for n in keep for f in docs.schema.fields if f.name == n]
 
     def run(batches):
         let_go()
-        for batch in batches:
+        for batch in sliced(batches, "__text"):
             got = shared.value.severity(shared.value.rows(batch["__text"]))
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in carried), pa.array(got)], [*(f.name for f in carried), "severity"])
 

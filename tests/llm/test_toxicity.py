@@ -1,9 +1,7 @@
-import re
-
 import numpy as np
 
 from skeinrank.llm import toxicity
-from skeinrank.llm.queries import op10_toxicity
+from skeinrank.llm.queries import BAD, GRADE, op10_toxicity
 from skeinrank.llm.toxicity import CumulativeLink, fit, fit_ordinal, severity
 
 from .helpers import SF, crowded, frame
@@ -24,43 +22,44 @@ def test_recovers_an_ordinal_model():
 def test_held_out(spark):
     sf = SF.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = fit(docs, labels.where("doc_id % 2 = 0"), "toxic", binary=True)
+    model = fit(docs, labels.where("doc_id % 2 = 0"), GRADE, bad_from=BAD)
     rows = severity(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
-    said = [(r.severity >= toxicity.REJECT, r.toxic == 1) for r in rows]
+    said = [(r.severity >= model.reject, r.toxic == 1) for r in rows]
     assert sum(a and not b for a, b in said) <= 0.005 * len(said)
     assert sum(a and b for a, b in said) >= 0.8 * sum(b for _, b in said)
     assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
 
 
-def test_query_rejects_texts_with_marked_words(spark):
+def test_query_by_its_labels(spark):
     sf = SF.replace("0.001", "0.01")
     rows = {r.doc_id: r for r in op10_toxicity(spark, sf).collect()}
-    bad = {"idiot", "scum", "moron", "loser", "pathetic", "worthless", "stupid", "trash", "clown", "disgusting"}
-    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        assert rows[r.doc_id].rejected or not bad & set(re.findall("[a-z]+", r.text.lower())), r
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    said = [(rows[i].rejected, t == 1) for i, t in labels.items() if i in rows]
+    assert sum(a and not b for a, b in said) <= 0.01 * len(said)
+    assert sum(a and b for a, b in said) >= 0.6 * sum(b for _, b in said)
     assert len(rows) == 1000
 
 
 def test_odd_rows_and_empty(spark):
     df = crowded(frame(spark), "id", "grade", "severity", "x")
-    labels = spark.createDataFrame([(0, 1), (3, None), (3, 0), (11, 1), (11, 0), (999, 1)], "doc_id long, toxic int")
-    model = fit(df, labels, "toxic", binary=True)
+    labels = spark.createDataFrame([(0, 1, 1), (3, None, 1), (3, 0, None), (11, 1, 0), (11, 0, 1), (999, 1, 1)], "doc_id long, toxic int, quality int")
+    model = fit(df, labels, GRADE, bad_from=BAD)
     got = severity(df, model).collect()
     assert len(got) == 13 and all(0 <= r.severity <= 2 for r in got)
     assert severity(frame(spark, []), model).count() == 0
     none = fit(df, labels.limit(0), "toxic")
-    assert not any(r.severity >= toxicity.REJECT for r in severity(df, none).collect())
+    assert not any(r.severity >= none.reject for r in severity(df, none).collect())
 
 
 def test_held_out_in_every_language(spark):
     sf = SF.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = fit(docs, labels.where("doc_id % 2 = 0"), "toxic", binary=True)
+    model = fit(docs, labels.where("doc_id % 2 = 0"), GRADE, bad_from=BAD)
     rows = severity(docs, model, keep=("doc_id", "lang")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     for lang in ("en", "de", "fr", "es"):
-        bad = [r.severity >= toxicity.REJECT for r in rows if r.lang == lang and r.toxic == 1]
+        bad = [r.severity >= model.reject for r in rows if r.lang == lang and r.toxic == 1]
         assert sum(bad) >= 0.8 * len(bad), (lang, sum(bad), len(bad))
-    said = [r.toxic for r in rows if r.severity >= toxicity.REJECT]
+    said = [r.toxic for r in rows if r.severity >= model.reject]
     assert sum(said) >= 0.9 * len(said)
 
 
