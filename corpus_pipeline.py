@@ -2,8 +2,11 @@
 
 A stage's result is written as Parquet and read again before the next stage is called; so a
 stage may first delete the scratch tables of the stage before it. Every stage but the last
-returns the columns of `documents`. Rows that repeat an id are one document. Null and empty
+returns the columns of `documents`. Of rows that repeat an id and
+a text one stays. Null and empty
 texts are never rejected as such; they are equal to each other, so one of them stays.
+Decisions hold for an id and a text (or its set of shingles), so different texts under one
+id, and null ids, are judged each by itself.
 """
 
 from __future__ import annotations
@@ -11,14 +14,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinrank.llm import toxicity as toxicity_model
 from skeinrank.llm.byte_bpe import bpe_encode
 from skeinrank.llm.decontaminate import contamination
-from skeinrank.llm.exact_dedup import exact_dedup
-from skeinrank.llm.ngram_join import ngram_join
-from skeinrank.llm.queries import VOCABULARY
-from skeinrank.llm.shared import materialize, release, scratch_paths, short_batches, table, without
+from skeinrank.llm.exact_dedup import digests_of, exact_dedup
+from skeinrank.llm.ngram_join import class_of, ngram_join
+from skeinrank.llm.queries import BAD, GRADE, VOCABULARY
+from skeinrank.llm.shared import materialize, release, scratch_paths, settled, short_batches, size_of, table
 
 _own: list[str] = []
 
@@ -28,6 +32,7 @@ def _staged(stage):
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, _own)
+        short_batches(spark)
         before = set(scratch_paths())
         out = stage(spark, docs, sf_dir)
         _own[:] = [p for p in scratch_paths() if p not in before]
@@ -40,24 +45,28 @@ def _staged(stage):
 @_staged
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the rejection's."""
-    model = toxicity_model.fit(docs, table(spark, sf_dir, "labels"), "toxic", binary=True)
-    return toxicity_model.severity(docs, model, keep=tuple(docs.columns)).where(F.col("severity") < toxicity_model.REJECT).drop("severity")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity_model.fit(docs, labels, GRADE, bad_from=BAD)
+    return toxicity_model.severity(docs, model, keep=tuple(docs.columns)).where(F.col("severity") < model.reject).drop("severity")
 
 
 @_staged
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    short_batches(spark)
+    """Of equal texts, the document with the largest id; of rows that repeat an id and a text, one."""
     found = exact_dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
-    return without(docs, materialize(found.where("not kept").select(F.col("doc_id").alias("id")), "dropped"))
+    # each id and text that is dropped or stands more than once
+    some = found.where("group_size > 1").groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("key")).agg(F.count("*").alias("n"), F.every("kept").alias("stays"))
+    return settled(docs, materialize(some.where("n > 1 OR NOT stays").drop("n"), "verdicts"), digests_of, T.BinaryType())
 
 
 @_staged
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links (five-word shingles, similarity of 0.8 or more), the one of the smallest id."""
-    short_batches(spark)
-    found = ngram_join(docs, width=5, p=4, q=5)
-    return without(docs, materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("id")), "dropped"))
+    found = materialize(ngram_join(docs, width=5, p=4, q=5, classes_too=True).where("cls is not null").select("doc_id", "cls", "component"), "found")
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "cls")
+    groups = materialize(found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("members")).where("members > 1"), "groups", size_of(found))
+    every = found.join(groups, "component").select(F.col("doc_id").alias("id"), F.col("cls").alias("key"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("cls") == F.col("first.cls"))).alias("stays"))
+    return settled(docs, materialize(every.distinct(), "verdicts", size_of(found)), class_of(5), T.LongType())
 
 
 @_staged
