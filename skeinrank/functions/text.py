@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sentence starts that mark an abstention, in lower case.
-ABSTENTION_MARKERS = ["não encontrei", "não há informação", "não é possível responder", "insufficient information", "cannot answer", "no information"]
+# What a sentence that abstains holds, in lower case.
+ABSTENTION_MARKERS = ["não há evidência", "evidência insuficiente", "não foi possível", "insuficiente para responder", "não consta", "não localizei"]
+
+# Portuguese stop words of the analyzer (without accents, as terms are compared), and suffixes that its stemmer takes off.
+STOP_WORDS = (
+    "a ao aos as ate com como da das de dela dele delas deles do dos e ela elas ele eles em entre era essa essas esse esses esta estas este estes eu foi foram ha isso isto ja lhe lhes mais mas me mesmo meu minha muito na nao nas nem no nos"
+    " nossa nosso num numa o os ou para pela pelas pelo pelos por qual quando que quem se seja sem ser seu seus so sua suas tambem te tem teu tu tua um uma voce voces"
+).split()
+SUFFIXES = "amentos imentos amento imento mente idades idade acoes ucoes icoes acao ucao icao oes aes ais eis ois ados idos adas idas ado ido ada ida ando endo indo ar er ir os as es s".split()
+
+# Ligatures that one PDF reader gets wrong, and keys that a trace may carry.
+LIGATURES = {"ą": "fi", "Ć": "fl"}
+TRACE_KEYS = "correlation_id environment feature operation outcome provider retry_count service trace_id".split()
+TRACE_LENGTH = 256
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -20,6 +32,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def terms(text: Column) -> Column:
+    """The analyzer of the sparse index: words in lower case without accents and stop words, cut to a light stem."""
+    plain = F.translate(F.lower(text), "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
+    words = F.filter(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
+    return F.transform(words, lambda w: F.regexp_replace(w, stem_pattern(), "$1"))
+
+
+def stem_pattern() -> str:
+    """At least three letters stay; of several suffixes the longest goes."""
+    return f"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})$"
+
+
 def ref_parts(ref: Column) -> Column:
     """norm::article or norm::article::fragment as a struct; null if it is neither."""
     parts = F.split(ref, "::", -1)
@@ -53,16 +77,87 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def decoded(raw: Column) -> Column:
+    """Bytes as UTF-8; if they aren't, as Windows-1252 (bytes it has no letter for become a replacement mark)."""
+    high = bytes(range(0x80, 0xA0))
+    western = F.translate(F.decode(raw, "ISO-8859-1"), high.decode("latin-1"), high.decode("cp1252", "replace"))
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(western)
+
+
 def html_lite(html: Column) -> Column:
-    """Text of a page by native functions: scripts, styles and comments go, block ends become newlines, a few references are decoded."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"\s+", " ")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|br|li|tr|table|h1|h2|h3|h4|h5|h6)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.array_join(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
-    return t
+    """Text of a page: scripts, styles and comments go, white space within text becomes a space, both ends of a
+    block become a newline, character references are decoded (the named ones of `REFERENCES`, and all numbers)."""
+    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<![^>]*>|<script([\s/][^>]*)?>.*?</script\s*>|<style([\s/][^>]*)?>.*?</style\s*>", "")
+    t = F.regexp_replace(t, r"(?U)\s+", " ")
+    t = F.regexp_replace(t, r"(?i)</?(p|div|br|li|tr|table|h1|h2|h3|h4|h5|h6)([\s/][^>]*)?>", "\n")
+    t = F.regexp_replace(t, r"</?[a-zA-Z][^>]*>", "")
+    for name, letter in REFERENCES.items():
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(letter))
+    number = lambda n: F.when(n.cast("int").between(1, 0xFFFF), F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 4, "0")), "UTF-16BE"))
+    parts = F.split(t, "&#", -1)
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x: F.when(x.rlike("^[0-9]{1,6};"), F.concat(F.coalesce(number(F.regexp_extract(x, "^([0-9]+);", 1)), F.lit("\ufffd")), F.regexp_replace(x, "^[0-9]+;", ""))).otherwise(F.concat(F.lit("&#"), x)))
+    t = F.when(F.contains(t, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(t)
+    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+
+
+# Character references by name; &amp; is decoded last.
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "ordm": "º", "ordf": "ª", "sect": "§", "deg": "°", "laquo": "«", "raquo": "»"}
+
+
+def mended(text: Column) -> Column:
+    """Ligatures of extracted PDF text."""
+    for broken, right in LIGATURES.items():
+        text = F.replace(text, F.lit(broken), F.lit(right))
+    return text
+
+
+def first_good(primary: Column, fallback: Column, least: int = 20) -> Column:
+    """The primary extraction, unless it failed (null) or has fewer than `least` characters without outer white space."""
+    return F.when(F.length(strip(primary)) >= least, primary).otherwise(fallback)
+
+
+def context_block(hits: Column) -> Column:
+    """hits: array of (rank, ids, text); blocks in rank order, as a generator is shown them."""
+    one = lambda h: F.concat(F.lit("[structural_ids: "), F.array_join(h["ids"], ", "), F.lit("]\n"), h["text"])
+    return F.array_join(F.transform(F.array_sort(hits), one), "\n\n")
+
+
+def trace_metadata(metadata: Column) -> Column:
+    """Of a map only the keys that are allowed, with values that aren't too long."""
+    return F.map_filter(metadata, lambda k, v: k.isin(TRACE_KEYS) & (v.isNull() | (F.length(v) <= TRACE_LENGTH)))
+
+
+def valid_run_id(run_id: Column) -> Column:
+    return F.coalesce(run_id.rlike("^[0-9]{8}T[0-9]{6}Z$"), F.lit(False))
+
+
+def unit_score(score: Column) -> Column:
+    """A finite number from 0 to 1."""
+    return F.coalesce(~F.isnan(score) & score.between(0.0, 1.0), F.lit(False))
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string in ASCII, or null: quotes, backslashes and control characters escaped, all else beyond ASCII by UTF-16 unit."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    code = F.ascii
+    pair = lambda c: F.concat(unit(F.lit(0xD800) + F.floor((code(c) - 0x10000) / 1024).cast("int")), unit(F.lit(0xDC00) + (code(c) - 0x10000) % 1024))
+    named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def letter(c):
+        out = F.when(c == '"', F.lit(named['"']))
+        for k, v in list(named.items())[1:]:
+            out = out.when(c == k, F.lit(v))
+        return out.when((c >= " ") & (c <= "~"), c).when(code(c) < 0x10000, unit(code(c))).otherwise(pair(c))
+
+    escaped = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), letter), "")
+    plain = text.rlike(r'^[ !#-\[\]-~]*$')
+    return F.when(text.isNull(), "null").otherwise(F.concat(F.lit('"'), F.when(plain, text).otherwise(escaped), F.lit('"')))
+
+
+def canonical_json(**fields: tuple[str, Column]) -> Column:
+    """An object with sorted keys, as `json.dumps(..., sort_keys=True)` writes it; values are (kind, column), kind string or number."""
+    parts = [F.concat(F.lit(f'"{k}": '), json_string(c) if kind == "string" else F.coalesce(c.cast("string"), F.lit("null"))) for k, (kind, c) in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
 def short_digest(*parts: Column) -> Column:

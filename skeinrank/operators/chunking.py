@@ -11,34 +11,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The markers of the grammar's levels, and the chunk limit in characters.
-ARTICLE = re.compile(r"^\s*Art\.?\s*(\d+)(?:\s*[ºo°])?(?:-([A-Z]))?(?=[\s.\-–]|$)")
-PARAGRAPH = re.compile(r"^\s*§\s*(\d+)")
-SOLE = re.compile(r"^\s*Parágrafo\s+único", re.I)
-INCISO = re.compile(r"^\s*([IVXLCDM]+)\s*[-–]\s")
-ALINEA = re.compile(r"^\s*([a-z])\)\s")
-HEADING = re.compile(r"^\s*(TÍTULO|CAPÍTULO|Seção|SEÇÃO|ANEXO)\b")
+ARTICLE = re.compile(r"Art(?:igo)?\.?\s+(\d+)\s*[ºo°]?\s*(-[A-Z])?[\s.\-–]")
+PARAGRAPH = re.compile(r"§\s*(\d+)")
+SOLE = re.compile(r"par[áa]grafo\s+[úu]nico", re.IGNORECASE)
+INCISO = re.compile(r"([IVXLCDM]+)\s*[-–—]\s+")
+ALINEA = re.compile(r"([a-z])\)\s+")
+HEADING = re.compile(r"(?:T[ÍI]TULO|CAP[ÍI]TULO|Se[çc][ãa]o|Subse[çc][ãa]o|ANEXO)\b")
 LIMIT = 1800
 
 NODES = "norm_id string, node_ord int, kind string, ref string, parent_ord int, text string, headings array<string>"
 
 
+#: Levels below an article, outermost first, each with what names a node of it.
+LEVELS = [("paragraph", SOLE, lambda m: "par-unico"), ("paragraph", PARAGRAPH, lambda m: f"par-{m[1]}"), ("inciso", INCISO, lambda m: f"inc-{m[1].lower()}"), ("alinea", ALINEA, lambda m: f"ali-{m[1]}")]
+DEPTH = {"article": 0, "paragraph": 1, "inciso": 2, "alinea": 3}
+
+
 def parse(norm_id: str, text: str | None) -> list[tuple]:
-    """Nodes in order. A repeated article adds its own line to the first one; headings add up and are never reset."""
+    """Nodes in order. A repeated article adds its own line to the first one; headings add up and are never reset; an
+    annex changes the names of the articles that follow, while what is open stays open."""
     nodes: list[list] = [[norm_id, 0, "preamble", f"{norm_id}::preamble", None, [], []]]
-    by_article: dict[str, int] = {}
-    scope, annexes, headings = "", 0, []
-    article = paragraph = inciso = None
-    current = 0
+    first_of: dict[str, int] = {}
+    headings: list[str] = []
+    scope, annexes = "", 0
+    open_: list[int] = []  # the article and the nodes below it that are open, outermost first
 
     def add(kind, ref, parent, line):
         nodes.append([norm_id, len(nodes), kind, ref, parent, [line], list(headings)])
         return len(nodes) - 1
 
-    def child(label, parent):
-        ref = nodes[parent][3]
-        return f"{ref}::{label}" if nodes[parent][2] == "article" else f"{ref}-{label}"
-
-    for line in re.split(r"\r\n|[\n\r\v\f\x1c-\x1e\x85  ]", text or ""):
+    for line in (text or "").splitlines():
         line = line.strip()
         if not line:
             continue
@@ -46,29 +48,25 @@ def parse(norm_id: str, text: str | None) -> list[tuple]:
             headings.append(line)
             if line.startswith("ANEXO"):
                 annexes += 1
-                scope = (re.sub("[^a-z0-9]+", "-", line.lower()).strip("-") or f"anexo-{annexes}") + "-"
-                article = paragraph = inciso = None
-        elif m := ARTICLE.match(line):
-            label = f"{scope}art-{m[1]}" + (f"-{m[2].lower()}" if m[2] else "")
-            paragraph = inciso = None
-            if label in by_article:
-                article = by_article[label]
-                nodes[article][5].append(line)
+                scope = f"anexo-{re.sub('[^a-z0-9]+', '-', line[5:].strip().lower()).strip('-') or annexes}-"
+            continue
+        if m := ARTICLE.match(line):
+            ref = f"{norm_id}::{scope}art-{m[1]}{(m[2] or '').lower()}"
+            if ref in first_of:
+                nodes[first_of[ref]][5].append(line)
             else:
-                article = by_article[label] = add("article", f"{norm_id}::{label}", None, line)
-            current = article
-        elif article is not None and (m := PARAGRAPH.match(line) or SOLE.match(line)):
-            inciso = None
-            current = paragraph = add("paragraph", child("par-unico" if not m.re.groups else f"par-{m[1]}", article), article, line)
-        elif article is not None and (m := INCISO.match(line)):
-            over = paragraph if paragraph is not None else article
-            current = inciso = add("inciso", child(f"inc-{m[1].lower()}", over), over, line)
-        elif article is not None and (m := ALINEA.match(line)):
-            over = next(x for x in (inciso, paragraph, article) if x is not None)
-            current = add("alinea", child(f"ali-{m[1]}", over), over, line)
-        else:
-            nodes[current][5].append(line)
-    return [(*n[:5], "\n".join(n[5]), n[6]) for n in nodes if n[5]]
+                first_of[ref] = add("article", ref, None, line)
+            open_ = [first_of[ref]]
+            continue
+        kind, label = next(((k, name(m)) for k, pattern, name in LEVELS if open_ and (m := pattern.match(line))), (None, None))
+        if kind is None:
+            nodes[open_[-1] if open_ else 0][5].append(line)
+            continue
+        while DEPTH[nodes[open_[-1]][2]] >= DEPTH[kind]:
+            open_.pop()
+        over = nodes[open_[-1]]
+        open_.append(add(kind, over[3] + ("::" if over[2] == "article" else "-") + label, over[1], line))
+    return [(*n[:5], "\n".join(n[5]).strip(), n[6]) for n in nodes if n[5]]
 
 
 def parse_legal(docs: DataFrame) -> DataFrame:
@@ -82,34 +80,57 @@ def parse_legal(docs: DataFrame) -> DataFrame:
     return docs.select("norm_id", "text").mapInPandas(run, NODES)
 
 
+CHUNKS = "norm_id string, chunk_ord int, chunk_id string, text string, structural_ids array<string>, parent_id string, role string, section string"
+
+
+def chunks_of(nodes: list[tuple], limit: int) -> list[tuple]:
+    """Of one document's nodes in order: the preamble, every article with all below it, and of articles over `limit`
+    characters their direct parts, too."""
+    below: dict[int, list[int]] = {}
+    for n in nodes:
+        if n[4] is not None:
+            below.setdefault(n[4], []).append(n[1])
+    at = {n[1]: n for n in nodes}
+
+    def tree(o):
+        return [o] + [x for c in below.get(o, []) for x in tree(c)]
+
+    def whole(top, parent, role, section):
+        own = tree(top)
+        out.append((at[top][3], "\n".join(at[o][5] for o in own if at[o][5]), [at[o][3] for o in own], parent, role, section))
+
+    out: list[tuple] = []
+    for _, o, kind, ref, _, text, headings in nodes:
+        if kind == "preamble":
+            out.append((ref, text, [], None, "preamble", None))
+        elif kind == "article":
+            section = " > ".join(headings) or None
+            whole(o, ref, "article", section)
+            if len(out[-1][1]) > limit:
+                for c in below.get(o, []):
+                    whole(c, ref, "fragment", section)
+    return [(nodes[0][0], i, *c) for i, c in enumerate(out)]
+
+
+def chunk_legal(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """docs(norm_id, text) to chunks: parsed and cut in one pass over the documents, without a shuffle."""
+
+    def run(frames):
+        names = [c.split()[0] for c in CHUNKS.split(", ")]
+        for f in frames:
+            yield pd.DataFrame([c for i, t in zip(f["norm_id"], f["text"]) if (nodes := parse(i, t)) for c in chunks_of(nodes, limit)], columns=names)
+
+    return docs.select("norm_id", "text").mapInPandas(run, CHUNKS)
+
+
 def chunk_nodes(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(norm_id, chunk_ord, chunk_id, text, structural_ids, parent_id, role): the preamble, every article with all
-    below it, and of articles over `limit` characters their direct parts, too. A document's nodes meet in one group."""
+    """`chunk_legal` of a stored table of nodes; a document's nodes meet in one group."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("node_ord")
-        below: dict = {}
-        for r in f.itertuples():
-            if not pd.isna(r.parent_ord):
-                below.setdefault(int(r.parent_ord), []).append(r.node_ord)
-        at = {r.node_ord: r for r in f.itertuples()}
-
-        def tree(o):
-            return [o] + [x for c in below.get(o, []) for x in tree(c)]
-
-        out = []
-        for r in f.itertuples():
-            if r.kind == "preamble":
-                out.append((r.ref, r.text, [], None, "preamble"))
-            elif r.kind == "article":
-                own = tree(r.node_ord)
-                text = "\n".join(at[o].text for o in own if at[o].text)
-                out.append((r.ref, text, [at[o].ref for o in own], r.ref, "article"))
-                if len(text) > limit:
-                    out += [(at[c].ref, "\n".join(at[o].text for o in tree(c)), [at[o].ref for o in tree(c)], r.ref, "fragment") for c in below.get(r.node_ord, [])]
-        return pd.DataFrame([(r_norm, i, *o) for i, o in enumerate(out) for r_norm in [f["norm_id"].iloc[0]]], columns=["norm_id", "chunk_ord", "chunk_id", "text", "structural_ids", "parent_id", "role"])
-
-    return nodes.groupBy("norm_id").applyInPandas(run, "norm_id string, chunk_ord int, chunk_id string, text string, structural_ids array<string>, parent_id string, role string")
+        rows = [(r.norm_id, int(r.node_ord), r.kind, r.ref, None if pd.isna(r.parent_ord) else int(r.parent_ord), r.text, list(r.headings)) for r in f.sort_values("node_ord").itertuples()]
+        return pd.DataFrame(chunks_of(rows, limit), columns=[c.split()[0] for c in CHUNKS.split(", ")])
+
+    return nodes.groupBy("norm_id").applyInPandas(run, CHUNKS)
 
 
 def collisions(nodes: DataFrame) -> DataFrame:
@@ -119,8 +140,11 @@ def collisions(nodes: DataFrame) -> DataFrame:
 
 def count_gate(nodes: DataFrame, manifest: DataFrame) -> DataFrame:
     """Documents whose articles aren't as many as manifest(norm_id, expected) says; empty means passed."""
-    n = nodes.where("kind = 'article'").groupBy("norm_id").agg(F.count("*").alias("found"))
-    both = manifest.where("expected is not null").join(n, "norm_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return gate_faults(nodes.where("kind = 'article'").groupBy("norm_id").agg(F.count("*").alias("found")), manifest)
+
+
+def gate_faults(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    both = manifest.where("expected is not null").join(found, "norm_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
     return both.where("found <> expected")
 
 
@@ -133,12 +157,44 @@ def chunk_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return whole.select(F.col("parent").alias("chunk_id"), "text", F.col("parent").alias("parent_id"), F.lit("article").alias("role")).unionByName(parts)
 
 
-def latest_chunks(chunks: DataFrame, order: str) -> DataFrame:
-    """One row a chunk_id, the last loaded: structural references can collide."""
+def ingest(docs: DataFrame, manifest: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """docs(norm_id, text, source_hash), manifest(norm_id, expected): chunks with metadata, and the documents that
+    fail the gate (an empty table means passed). A document without articles has none found, so it fails, too."""
+    chunks = chunk_legal(docs, limit)
+    faults = gate_faults(chunks.where("role = 'article'").groupBy("norm_id").agg(F.count("*").alias("found")), manifest)
+    meta = F.map_filter(F.create_map(F.lit("norm"), F.col("norm_id"), F.lit("section"), F.col("section"), F.lit("source_hash"), F.col("source_hash")), lambda k, v: v.isNotNull())
+    out = chunks.join(docs.select("norm_id", "source_hash"), "norm_id").withColumn("metadata", meta)
+    return out.select("norm_id", "chunk_ord", "chunk_id", "text", "structural_ids", "parent_id", "role", "metadata"), faults
+
+
+def corpus_text(nodes: DataFrame) -> DataFrame:
+    """(ref, text): the text of each structural id with all below it; of ids that collide the last one holds."""
+    up = nodes.select("norm_id", "node_ord", "parent_ord", "ref", "text")
+    pairs = up.select("norm_id", F.col("node_ord").alias("top"), "node_ord", "text")
+    level = up.where("parent_ord is not null").select("norm_id", F.col("parent_ord").alias("top"), "node_ord", "text")
+    above = up.select("norm_id", F.col("node_ord").alias("top"), F.col("parent_ord").alias("next"))
+    for _ in range(3):  # the grammar has four levels
+        pairs = pairs.unionByName(level)
+        level = level.join(above, ["norm_id", "top"]).where("next is not null").select("norm_id", F.col("next").alias("top"), "node_ord", "text")
+    whole = pairs.groupBy("norm_id", "top").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    named = whole.join(up.select("norm_id", F.col("node_ord").alias("top"), "ref"), ["norm_id", "top"])
+    return named.groupBy("ref").agg(F.max_by("text", "top").alias("text"))
+
+
+def latest_chunks(chunks: DataFrame, order: str, dimensions: int | None = None) -> DataFrame:
+    """One row a chunk_id, the last loaded: structural references can collide. With `dimensions` a vector of another length is an error."""
     rest = [c for c in chunks.columns if c != "chunk_id"]
+    if dimensions is not None:
+        chunks = chunks.withColumn("embedding", F.when(F.size("embedding") == dimensions, F.col("embedding")).otherwise(F.raise_error(F.lit(f"an embedding has not {dimensions} dimensions"))))
     return chunks.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("chunk_id", *(F.col(f"r.{c}") for c in rest))
 
 
+def same_ids(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two tables hold exactly the same chunk ids."""
+    a, b = left.select("chunk_id"), right.select("chunk_id")
+    return a.join(b, "chunk_id", "left_anti").isEmpty() and b.join(a, "chunk_id", "left_anti").isEmpty()
+
+
 # ---------------------------------------------------------------- enriched text
 
 
@@ -148,8 +204,9 @@ def lead(text, n: int = 120):
 
 
 def contextual(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """chunks(chunk_id, doc_id, text), docs(doc_id, context): context, a blank line, the chunk."""
-    return chunks.join(docs, "doc_id").select("chunk_id", "doc_id", F.concat_ws("\n\n", "context", "text").alias("text"))
+    """chunks(chunk_id, doc_id, text), docs(doc_id, context): context, a blank line, the chunk. What comes out can go in
+    again: a summary goes before what the chunk has already."""
+    return chunks.join(docs.select("doc_id", "context"), "doc_id").select("chunk_id", "doc_id", F.concat_ws("\n\n", "context", "text").alias("text"))
 
 
 def raptor(leaves: DataFrame, group: int = 5, levels: int = 5) -> DataFrame:

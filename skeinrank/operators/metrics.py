@@ -42,8 +42,66 @@ def question_metrics(hits: DataFrame, ids: DataFrame, qrels: DataFrame, k: int)
     )
 
 
-def scorecard(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("strategy").agg(*(F.round(F.avg(m), 6).alias(m) for m in NAMES), F.count("*").alias("n"))
+def scorecard(metrics: DataFrame, k: int = 5, failed: DataFrame | None = None) -> DataFrame:
+    """Means by strategy with n, k and how many questions failed: failed(strategy, question_id)."""
+    means = metrics.groupBy("strategy").agg(*(F.round(F.avg(m), 6).alias(m) for m in NAMES), F.count("*").alias("n"))
+    if failed is not None:
+        n = failed.groupBy("strategy").agg(F.count("*").alias("errors"))
+        means = means.join(n, "strategy", "full").fillna(0.0, NAMES).fillna(0, ["n"])
+    else:
+        means = means.withColumn("errors", F.lit(0).cast("long"))
+    return means.select("strategy", *NAMES, "n", F.coalesce("errors", F.lit(0)).cast("long").alias("errors"), F.lit(k).alias("k"))
+
+
+ANSWER_NAMES = ["faithfulness", "answer_relevancy", "abstention_appropriate"]
+
+
+def answer_means(records: DataFrame) -> DataFrame:
+    """records(strategy, question_id, generation_status, judge_status, metrics map): means over answers that were judged;
+    citation accuracy has a count of its own, as unanswerable questions have none. All rates are 0 without rows."""
+    good = (F.col("generation_status") == "succeeded") & (F.col("judge_status") == "succeeded")
+    value = lambda m: F.when(good, F.col("metrics")[m])
+    mean = lambda m: F.round(F.coalesce(F.avg(value(m)), F.lit(0.0)), 6).alias(m)
+    failed = (F.col("generation_status") == "failed") | (F.col("judge_status") == "failed")
+    return records.groupBy("strategy").agg(mean("citation_accuracy"), *map(mean, ANSWER_NAMES), F.count(value("citation_accuracy")).alias("citation_n"), F.count_if(good).alias("answer_n"), F.count_if(failed).alias("answer_errors"))
+
+
+UNANSWERABLE = "__unanswerable__"
+
+
+def record_breakdowns(records: DataFrame, judgments: DataFrame) -> DataFrame:
+    """records(strategy, question_id, query_class, retrieval_status, generation_status, metrics map),
+    judgments(question_id, norms array): by query class, and by each document that is relevant (a record counts once
+    in each). One row a group and metric, with the group's counts; a record without a judgment is an error."""
+    both = records.join(judgments.withColumn("__known", F.lit(True)), "question_id", "left")
+    norms = F.when(F.coalesce(F.size("norms"), F.lit(0)) > 0, F.array_distinct("norms")).otherwise(F.array(F.lit(UNANSWERABLE)))
+    norms = F.when(F.col("__known"), norms).otherwise(F.raise_error(F.concat(F.lit("no judgment of question "), F.col("question_id").cast("string"))))
+    rows = both.select(
+        "strategy", "question_id", "retrieval_status", "generation_status", "metrics",
+        F.explode(F.concat(F.array(F.struct(F.lit("query_class").alias("dimension"), F.coalesce("query_class", F.lit("unknown")).alias("member"))), F.transform(norms, lambda n: F.struct(F.lit("document").alias("dimension"), n.alias("member"))))).alias("g"),
+    ).select("*", "g.dimension", "g.member")
+    groups = ["dimension", "strategy", "member"]
+    counts = rows.groupBy(*groups).agg(F.count("*").alias("selected"), F.count_if(F.col("retrieval_status") == "succeeded").alias("retrieval_succeeded"), F.count_if(F.col("generation_status") == "succeeded").alias("answer_succeeded"))
+    values = rows.select(*groups, F.explode_outer("metrics").alias("metric", "value")).where("metric is not null").groupBy(*groups, "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
+    return counts.join(values, groups, "left")
+
+
+def stage_durations(events: DataFrame) -> DataFrame:
+    """events(run_id, stage, name, event_type, seconds): seconds from a stage's first start to its last end; null while it is open."""
+    at = lambda kind: F.when(F.col("event_type") == kind, F.col("seconds"))
+    return events.groupBy("run_id", "stage", "name").agg(F.round(F.max(at("completed")) - F.min(at("started")), 6).alias("seconds"))
+
+
+def dashboard(card: DataFrame) -> DataFrame:
+    """The scorecard in the order of a dashboard: best nDCG first, then best reciprocal rank, then by name."""
+    return card.withColumn("place", F.row_number().over(W.orderBy(F.desc("ndcg"), F.desc("mrr"), "strategy")))  # a row a strategy
+
+
+def result_line(width: int = 14):
+    """A fixed-width line of the scorecard."""
+    cells = [F.rpad("strategy", width, " ")]
+    cells += [F.lpad(F.format_string(f"%.{3}f", F.col(m)), n, " ") for m, n in (("recall", 9), ("precision", 12), ("ndcg", 8), ("mrr", 6), ("drm", 7))]
+    return F.concat_ws(" ", *cells, F.lpad(F.col("n").cast("string"), 4, " "), F.lpad(F.col("errors").cast("string"), 6, " "))
 
 
 def breakdown(metrics: DataFrame, members: DataFrame, dimension: str) -> DataFrame:

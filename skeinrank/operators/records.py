@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_json
+
 
 def latest(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last record of each key: the largest of `order`, aggregated before the shuffle."""
@@ -51,25 +58,54 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(key, "reason")
 
 
-def event_hash(chain: str = "run_id") -> Column:
-    """An event's digest, of its chain, its number and its payload."""
-    return F.sha2(F.concat_ws("|", F.col(chain).cast("string"), F.col("sequence").cast("string"), "payload"), 256)
+#: The envelope of an event: kind of each field in its canonical form, beside its own hash.
+ENVELOPE = {
+    "schema_version": "number", "sequence": "number", "event_id": "string", "run_id": "string", "correlation_id": "string",
+    "stage": "string", "event_type": "string", "occurred_at": "string", "payload_hash": "string", "previous_event_hash": "string",
+}
+
+
+def event_hash() -> Column:
+    """An event's digest, of all its envelope but the digest itself."""
+    return F.sha2(canonical_json(**{k: (kind, F.col(k)) for k, kind in ENVELOPE.items()}), 256)
+
+
+def chained(events: DataFrame) -> DataFrame:
+    """Events of a run numbered and chained in the order of `ord`: run_id, ord, event_id, correlation_id, stage, event_type,
+    occurred_at, payload_hash come in. A chain is sequential by nature, so a run is one group's work; runs are independent."""
+    rows = events.withColumn("schema_version", F.lit(1)).withColumn("correlation_id", F.coalesce("correlation_id", "run_id"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord").reset_index(drop=True)
+        frame["sequence"] = np.arange(1, len(frame) + 1)
+        before, hashes, links = None, [], []
+        for row in frame.to_dict("records"):
+            body = {k: row.get(k) for k in ENVELOPE} | {"previous_event_hash": before, "schema_version": 1, "sequence": int(row["sequence"])}
+            links.append(before)
+            before = hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
+            hashes.append(before)
+        return frame.assign(previous_event_hash=links, event_hash=hashes)[[*ENVELOPE, "event_hash"]]
+
+    schema = ", ".join(f"{k} {'int' if k == 'schema_version' else 'long' if kind == 'number' else 'string'}" for k, kind in ENVELOPE.items())
+    return rows.groupBy("run_id").applyInPandas(run, f"{schema}, event_hash string")
 
 
-def chain_faults(events: DataFrame, chain: str = "run_id") -> DataFrame:
-    """Events whose number or previous hash doesn't follow from the event before, or whose own hash isn't that of their content."""
-    w = W.partitionBy(chain).orderBy("sequence")
+def chain_faults(events: DataFrame) -> DataFrame:
+    """(run_id, sequence, fault), a row for each thing wrong with an event: its own hash isn't that of its content, its
+    number doesn't follow, its link isn't the hash of the event before (null for the first)."""
+    w = W.partitionBy("run_id").orderBy("sequence")
     step = events.withColumn("before", F.lag("event_hash").over(w)).withColumn("last", F.lag("sequence").over(w))
-    fault = (
-        F.when(F.col("last").isNotNull() & (F.col("sequence") != F.col("last") + 1), "sequence gap")
-        .when(~F.col("previous_hash").eqNullSafe(F.col("before")), "broken link")
-        .when(F.col("event_hash") != event_hash(chain), "content changed")
+    faults = F.array(
+        F.when(F.col("event_hash") != event_hash(), "content changed"),
+        F.when(F.col("last").isNotNull() & (F.col("sequence") != F.col("last") + 1), "sequence gap"),
+        F.when(~F.col("previous_event_hash").eqNullSafe(F.col("before")), "broken link"),
     )
-    return step.withColumn("fault", fault).where(F.col("fault").isNotNull()).select(F.col(chain).cast("string").alias(chain), "sequence", "fault")
+    return step.select("run_id", "sequence", F.explode(F.array_compact(faults)).alias("fault"))
 
 
 def set_digest(rows: DataFrame, group: list[str], name: str, digest: str) -> DataFrame:
-    """sha256 of the sorted `name:digest` list of each group of a manifest (a manifest is small)."""
+    """sha256 of the sorted `name:digest` list of each group. It is one digest of one list, so a group is a manifest's
+    enabled documents, not a corpus' texts: a list of some hundred thousand lines is what one task should hold."""
     item = F.concat_ws(":", F.col(name).cast("string"), digest)
     return rows.groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "|"), 256).alias("content_hash"))
 
@@ -111,7 +147,8 @@ def spearman(pairs: DataFrame, group: list[str]) -> DataFrame:
 
 
 def support_rates(pairs: DataFrame, group: list[str], threshold: float = 0.5) -> DataFrame:
-    """Of judged scores a and human scores b: supported though the human denies it, the reverse, and agreement."""
+    """Of judged scores a and human scores b: the share of what the judge supports that the human denies, of what it denies
+    that the human supports, and how often both say the same."""
     up, yes = F.col("a") >= threshold, F.col("b") >= threshold
     share = lambda x, y: F.round(F.coalesce(F.try_divide(F.count_if(x), F.count_if(y)), F.lit(0.0)), 6)
-    return pairs.groupBy(*group).agg(share(up & ~yes, ~yes).alias("false_supported"), share(~up & yes, yes).alias("false_unsupported"), share(up == yes, F.lit(True)).alias("agreement"))
+    return pairs.groupBy(*group).agg(share(up & ~yes, up).alias("false_supported"), share(~up & yes, ~up).alias("false_unsupported"), share(up == yes, F.lit(True)).alias("agreement"))

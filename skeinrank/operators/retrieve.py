@@ -4,18 +4,20 @@ scores are rounded to six digits and ties go to the smaller chunk_id, so ranks a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..ports import EmbeddingModel, Reranker
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Query vectors of one broadcast block: a bound on what is broadcast, not on what is searched.
-QUERY_BLOCK = 8192
+#: Query vectors of one broadcast block, and scores held at a time: bounds on memory, not on what is searched.
+QUERY_BLOCK, SCORES = 8192, 4_000_000
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -24,11 +26,11 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "rank", "chunk_id", "score")
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True) -> DataFrame:
     """Exact cosine top-k. queries(question_id, embedding), vectors(chunk_id, embedding).
 
     Queries go out in blocks of a fixed size; every task keeps its k best a query before
-    anything is shuffled. A question's own vector (equal ids) isn't a hit of itself.
+    anything is shuffled. Unless `itself`, a question's own vector (equal ids) isn't a hit of it.
     """
     spark = vectors.sparkSession
     n = queries.count()
@@ -43,34 +45,82 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
         def best(frames):
             names, q = shared.value
+            if not len(names):
+                return
+            step = max(1, SCORES // len(names))
             for f in frames:
-                if not len(f) or not len(names):
-                    continue
-                v = np.array(f["embedding"].tolist(), float)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                ids = f["chunk_id"].to_numpy()
-                score = np.round(q @ v.T, 6) + 0.0
-                score[names[:, None] == ids[None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                picked = np.take_along_axis(score, order, 1)
-                good = np.isfinite(picked)
-                yield pd.DataFrame({"question_id": np.repeat(names, good.sum(1)), "chunk_id": ids[order[good]], "score": picked[good]})
-
-        parts.append(vectors.select("chunk_id", "embedding").mapInPandas(best, "question_id long, chunk_id long, score double"))
+                for lo in range(0, len(f), step):
+                    yield _nearest(names, q, f["chunk_id"].to_numpy()[lo : lo + step], np.array(f["embedding"].iloc[lo : lo + step].tolist(), float), k, itself)
+
+        parts.append(vectors.select("chunk_id", "embedding").mapInPandas(best, f"question_id {queries.schema['question_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return ranked(out, k)
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """questions(question_id, text), chunks(chunk_id, text): any common term makes a hit; a question's repeated terms count."""
-    asked = questions.select("question_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    cut = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("words"))
-    stats = cut.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    # only the terms asked for are shuffled, each once a chunk
-    terms = asked.select("term").distinct()
-    held = cut.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
+def _nearest(names: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, itself: bool) -> pd.DataFrame:
+    """Of some vectors each query's k best; only what reaches the k-th score is sorted."""
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    score = np.round(q @ v.T, 6) + 0.0
+    if not itself:
+        score[names[:, None] == ids[None]] = -np.inf
+    least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(names), -np.inf)
+    row, column = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+    order = np.lexsort((ids[column], -score[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column = row[place < k], column[place < k]
+    return pd.DataFrame({"question_id": names[row], "chunk_id": ids[column], "score": score[row, column]})
+
+
+def embedded(texts: DataFrame, model: EmbeddingModel, id_col: str) -> DataFrame:
+    """(id, embedding) of texts(id, text), a batch of texts at a time, with the vector in the row of its text."""
+
+    def run(frames):
+        for f in frames:
+            vectors = model.embed(f["text"].fillna("").tolist())
+            if vectors.shape != (len(f), model.dimensions):
+                raise ValueError(f"the embedder returned {vectors.shape} for {len(f)} texts of {model.dimensions} dimensions")
+            yield pd.DataFrame({id_col: f[id_col], "embedding": list(vectors)})
+
+    return texts.select(id_col, "text").mapInPandas(run, f"{id_col} {texts.schema[id_col].dataType.simpleString()}, embedding array<double>")
+
+
+def embed_missing(texts: DataFrame, cache: DataFrame, model: EmbeddingModel) -> tuple[DataFrame, DataFrame]:
+    """texts(text), cache(key, embedding): (text, embedding) of each row, and what is to be added to the cache.
+    Only distinct texts that the cache lacks are embedded."""
+    keyed = texts.withColumn("key", F.sha2(F.concat(F.lit(model.identity + "\0"), "text"), 256))
+    missing = keyed.select("key", "text").dropDuplicates(["key"]).join(cache, "key", "left_anti")
+    fresh = embedded(missing.withColumnRenamed("key", "id"), model, "id").withColumnRenamed("id", "key")
+    return keyed.join(cache.unionByName(fresh), "key").select("text", "embedding"), fresh
+
+
+def dense_texts(questions: DataFrame, chunks: DataFrame, k: int, model: EmbeddingModel) -> DataFrame:
+    """questions(question_id, text), chunks(chunk_id, text)."""
+    return dense(embedded(questions, model, "question_id"), embedded(chunks, model, "chunk_id"), k)
+
+
+# ---------------------------------------------------------------- the sparse index
+
+
+def postings(chunks: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(term, chunk_id, tf, len) of chunks(chunk_id, text); of an id that repeats the caller keeps one row."""
+    words = chunks.select("chunk_id", analyzer(F.col("text")).alias("words"))
+    each = words.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term"))
+    return each.groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
+
+
+def index_stats(chunks: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """One row: n chunks and their mean length, those without terms included."""
+    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(analyzer(F.col("text")))).alias("mean"))
+
+
+def score_bm25(questions: DataFrame, held: DataFrame, stats: DataFrame, k: int, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """Over postings and stats, stored or made: any common term makes a hit; a question's repeated terms count."""
+    asked = questions.select("question_id", F.explode(analyzer(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
+    # only the terms asked for are scored
+    held = held.join(asked.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     scored = asked.join(df, "term").join(held, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -78,6 +128,15 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_i
     return ranked(scored.groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("times") * idf * tf), 6).alias("score")), k)
 
 
+def bm25(questions: DataFrame, chunks: DataFrame, k: int, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """questions(question_id, text), chunks(chunk_id, text). Without a stored index, only the terms asked for are counted and shuffled."""
+    asked = questions.select(F.explode(analyzer(F.col("text"))).alias("term")).distinct()
+    words = chunks.select("chunk_id", analyzer(F.col("text")).alias("words"))
+    each = words.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked, "term", "left_semi")
+    held = each.groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
+    return score_bm25(questions, held, index_stats(chunks, analyzer), k, analyzer)
+
+
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """Reciprocal ranks added up; equal sums go to what was seen first, the first ranking before the second."""
     both = first.select("question_id", "chunk_id", "rank", F.lit(0).alias("branch")).unionByName(second.select("question_id", "chunk_id", "rank", F.lit(1).alias("branch")))
@@ -86,12 +145,23 @@ def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "rank", "chunk_id", "score")
 
 
-def rerank(base: DataFrame, questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The pool ordered anew by the stand-in scorer, the share of the question's terms that a chunk holds; ties keep the base order."""
-    pool = base.join(questions.select("question_id", F.array_distinct(tokens(F.col("text"))).alias("q")), "question_id").join(chunks.select("chunk_id", F.col("text").alias("__t")), "chunk_id")
-    score = F.round(F.coalesce(F.try_divide(F.size(F.array_intersect("q", tokens(F.col("__t")))), F.size("q")), F.lit(0.0)), 6)
+def rerank(base: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, scorer: Reranker | None = None) -> DataFrame:
+    """The pool ordered anew by a scorer of (question, chunk) pairs; ties keep the base order. Without one, by the
+    native stand-in: the share of the question's terms that a chunk holds."""
+    pool = base.join(questions.select("question_id", F.col("text").alias("__q")), "question_id").join(chunks.select("chunk_id", F.col("text").alias("__t")), "chunk_id")
+    pool = pool.select("question_id", "chunk_id", F.col("rank").alias("base_rank"), "__q", "__t")
+    if scorer is None:
+        q = F.array_distinct(tokens(F.col("__q")))
+        pool = pool.withColumn("score", F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(q, tokens(F.col("__t")))), F.size(q)), F.lit(0.0)), 6)).drop("__q", "__t")
+    else:
+
+        def run(frames):
+            for f in frames:
+                yield f.assign(score=np.asarray(scorer.score(f["__q"].tolist(), f["__t"].tolist()), float)).drop(columns=["__q", "__t"])
+
+        kept = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in pool.schema.fields[:3])
+        pool = pool.mapInPandas(run, f"{kept}, score double")
     order = W.partitionBy("question_id").orderBy(F.desc("score"), "base_rank")
-    pool = pool.select("question_id", "chunk_id", F.col("rank").alias("base_rank"), score.alias("score"))
     return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "rank", "chunk_id", "score")
 
 
@@ -104,10 +174,12 @@ def to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def graph_local(questions: DataFrame, chunks: DataFrame, k: int, rare: int = 5) -> DataFrame:
-    """Entities are terms that at most `rare` chunks hold; a question's entities lead to their chunks (weight 1)
-    and, over one more entity, to those chunks' neighbours (weight 1/2). The k best are cut first, then looked
-    up by content, so a text that several chunks share counts for the last of them only; scores are 1/rank."""
-    words = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    """Entities are terms that at most `rare` different contents hold; a question's entities lead to their contents
+    (weight 1) and, over one more entity, to those contents' neighbours (weight 1/2). The k best are cut first, then
+    looked up by content, so a text that several chunks share is the last of them; scores are 1/rank. Copies of a
+    text are one content, so they take away no entity."""
+    content = chunks.groupBy(F.sha2(F.trim("text"), 256).alias("content")).agg(F.max("chunk_id").alias("owner"), F.min(F.trim("text")).alias("text"))
+    words = content.select(F.col("owner").alias("chunk_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     few = words.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= rare).select("term")
     edges = words.join(few, "term")
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
@@ -115,7 +187,56 @@ def graph_local(questions: DataFrame, chunks: DataFrame, k: int, rare: int = 5)
     hop = near.join(edges, "chunk_id").select("question_id", "term", "w", F.col("chunk_id").alias("via"))
     far = hop.join(edges, "term").where(F.col("chunk_id") != F.col("via")).groupBy("question_id", "chunk_id").agg((F.count("*") * 0.5).alias("w"))
     total = near.unionByName(far).groupBy("question_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    top = ranked(total, k)
-    content = chunks.select("chunk_id", F.sha2(F.trim("text"), 256).alias("content"))
-    owner = content.groupBy("content").agg(F.max("chunk_id").alias("owner"))
-    return top.join(content, "chunk_id").join(owner, "content").select("question_id", "rank", F.col("owner").alias("chunk_id"), (1.0 / F.col("rank")).alias("score"))
+    return ranked(total, k).select("question_id", "rank", "chunk_id", (1.0 / F.col("rank")).alias("score"))
+
+
+# ---------------------------------------------------------------- the ten strategies
+
+
+class Corpus:
+    """What the strategies are built from: questions(question_id, text), chunks(chunk_id, text), fragments(chunk_id, text,
+    parent_id), contextual, summarized and both (chunk_id, text), nodes of the summary tree (chunk_id, text)."""
+
+    def __init__(self, model: EmbeddingModel, analyzer: Callable[[Column], Column] = tokens, **frames: DataFrame):
+        self.model, self.analyzer, self.frames = model, analyzer, frames
+
+    def near(self, name: str, k: int) -> DataFrame:
+        return dense_texts(self.frames["questions"], self.frames[name], k, self.model)
+
+    def hybrid(self, name: str, k: int) -> DataFrame:
+        return fuse(self.near(name, k), bm25(self.frames["questions"], self.frames[name], k, self.analyzer), k)
+
+
+#: A pool for the scorer, at least.
+POOL = 50
+
+
+def _reranked(c: Corpus, k: int) -> DataFrame:
+    return rerank(c.hybrid("chunks", max(POOL, k)), c.frames["questions"], c.frames["chunks"], k)
+
+
+STRATEGIES: dict[str, Callable[[Corpus, int], DataFrame]] = {
+    "dense": lambda c, k: c.near("chunks", k),
+    "sparse_bm25": lambda c, k: bm25(c.frames["questions"], c.frames["chunks"], k, c.analyzer),
+    "hybrid_rrf": lambda c, k: c.hybrid("chunks", k),
+    "reranked": _reranked,
+    "contextual": lambda c, k: c.hybrid("contextual", k),
+    "parent_child": lambda c, k: to_parents(c.near("fragments", k), c.frames["fragments"].select("chunk_id", "parent_id")),
+    "sac": lambda c, k: c.near("summarized", k),
+    "sac_contextual": lambda c, k: c.near("both", k),
+    "raptor": lambda c, k: c.near("nodes", k),
+    "graphrag": lambda c, k: graph_local(c.frames["questions"], c.frames["chunks"], k),
+}
+
+
+def requested(labels: list) -> list[str]:
+    """Checked labels of strategies: some, all strings, each once, all known."""
+    if not isinstance(labels, list) or not labels:
+        raise ValueError("strategies must be a list that isn't empty")
+    if not all(isinstance(x, str) for x in labels):
+        raise ValueError("strategies must be strings")
+    if len(set(labels)) < len(labels):
+        raise ValueError("strategies are given twice")
+    if unknown := sorted(set(labels) - set(STRATEGIES)):
+        raise ValueError(f"unknown strategies: {', '.join(unknown)}")
+    return labels

@@ -1,17 +1,30 @@
-"""Deterministic stratified splits and samples, and a greedy selection that covers features."""
+"""Deterministic stratified splits and samples."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _placed(rows: DataFrame, id_col: str, class_col: str, key: Column) -> DataFrame:
+    """(id, class, i, n): each row's place by its key within its class, and the class's size.
+
+    A class may hold most rows: it is ranked in buckets of the key's first digits, whose sizes add up to what
+    comes before each, so no task sorts a class.
+    """
+    keyed = rows.select(id_col, class_col, key.alias("__key"), F.substring(key, 1, 4).alias("__bucket"))
+    sizes = keyed.groupBy(class_col, "__bucket").agg(F.count("*").alias("m"))
+    all_ = W.partitionBy(class_col)
+    sizes = sizes.select(class_col, "__bucket", F.sum("m").over(all_).alias("n"), (F.sum("m").over(all_.orderBy("__bucket")) - F.col("m")).alias("before"))
+    own = F.row_number().over(W.partitionBy(class_col, "__bucket").orderBy("__key", id_col))
+    return keyed.withColumn("j", own).join(sizes, [class_col, "__bucket"]).select(id_col, class_col, (F.col("before") + F.col("j")).alias("i"), "n")
+
+
 def stratified_split(rows: DataFrame, id_col: str, class_col: str, ratio: float, seed: str) -> DataFrame:
     """(id, class, partition): of each class the share `ratio`, half to even, at least one and not all, is validation."""
     key = F.sha2(F.concat(F.lit(seed + ":"), F.col(class_col), F.lit(":"), F.col(id_col).cast("string")), 256)
-    w = W.partitionBy(class_col)
-    placed = rows.select(id_col, class_col, F.row_number().over(w.orderBy(key, id_col)).alias("i"), F.count("*").over(w).alias("n"))
+    placed = _placed(rows, id_col, class_col, key)
     size = F.least(F.greatest(F.bround(F.col("n") * ratio, 0).cast("long"), F.lit(1)), F.col("n") - 1)
     return placed.select(id_col, class_col, F.when(F.col("i") <= size, "validation").otherwise("test").alias("partition"))
 
@@ -26,30 +39,5 @@ def stratified_sample(rows: DataFrame, id_col: str, class_col: str, size: int, s
     left = F.first("room").over(W.partitionBy()) - F.sum("whole").over(W.partitionBy())  # a row a class
     quota = quota.withColumn("take", 1 + F.col("whole") + (F.row_number().over(W.orderBy(F.desc("rest"), class_col)) <= left).cast("long")).select(class_col, "take")
     key = F.sha2(F.concat(F.lit(f"stratified-capacity-v1:{seed}:"), F.col(class_col), F.lit(":"), F.col(id_col).cast("string")), 256)
-    placed = rows.select(id_col, class_col, F.row_number().over(W.partitionBy(class_col).orderBy(key, id_col)).alias("i"))
+    placed = _placed(rows, id_col, class_col, key)
     return placed.join(F.broadcast(quota), class_col).where(F.col("i") <= F.col("take")).select(id_col, class_col)
-
-
-def feature_cover(rows: DataFrame, id_col: str, feature_col: str, stratum_col: str, size: int) -> list:
-    """Ids: first those that add most features not yet covered (ties by hash), then strata in turn, largest hash first.
-    The candidates are one row a distinct (stratum, features), `size` at most of each, so the driver's table is bounded."""
-    key = F.sha2(F.col(id_col).cast("string"), 256)
-    kept = rows.select(id_col, stratum_col, F.array_sort(F.array_distinct(feature_col)).alias("f"), key.alias("h"))
-    kept = kept.withColumn("i", F.row_number().over(W.partitionBy(stratum_col, "f").orderBy(F.desc("h")))).where(F.col("i") <= size)
-    pool = sorted(((r[stratum_col], r["h"], r[id_col], set(r["f"])) for r in kept.collect()), key=lambda x: (str(x[0]), x[1]))
-    out, covered = [], set()
-    while len(out) < size and pool:
-        best = max(pool, key=lambda x: (len(x[3] - covered), x[1]))
-        if not best[3] - covered:
-            break
-        out.append(best[2])
-        covered |= best[3]
-        pool.remove(best)
-    strata: dict = {}
-    for s, _, i, _ in pool:
-        strata.setdefault(s, []).append(i)
-    while len(out) < size and any(strata.values()):
-        for s in sorted(strata, key=str):
-            if strata[s] and len(out) < size:
-                out.append(strata[s].pop())
-    return out

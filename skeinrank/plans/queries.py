@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import ports
 from ..functions import text as tx
-from ..operators import audit, chunking, metrics, records, retrieve, sampling
+from ..operators import audit, calibration, chunking, evidence, metrics, records, retrieve, sampling
+from ..sources import readers
 
 K = 5
 
@@ -53,28 +57,14 @@ def qrels(spark, sf) -> DataFrame:
 
 
 def bm25_topk(spark, sf):
+    """BM25 over plain words, beside the strategy with the analyzer."""
     return retrieve.bm25(_questions(spark, sf), _chunks(spark, sf), K)
 
 
-def _overlap(spark, sf, k=K):
-    """A second, cheap ranking: how many of a question's distinct terms a document holds."""
-    asked = _questions(spark, sf).select("question_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    held = _chunks(spark, sf).select("chunk_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    return retrieve.ranked(asked.join(held, "term").groupBy("question_id", "chunk_id").agg(F.count("*").cast("double").alias("score")), k)
-
-
 def dense_topk(spark, sf):
     """Queries: every vector whose id is divisible by 50, against all."""
     v = _t(spark, sf, "embeddings")
-    return retrieve.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
-
-
-def hybrid_rrf(spark, sf):
-    return retrieve.fuse(_overlap(spark, sf), bm25_topk(spark, sf), K)
-
-
-def reranked(spark, sf):
-    return retrieve.rerank(retrieve.bm25(_questions(spark, sf), _chunks(spark, sf), 50), _questions(spark, sf), _chunks(spark, sf), K)
+    return retrieve.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10, itself=False)
 
 
 def _fragments(spark, sf):
@@ -82,52 +72,75 @@ def _fragments(spark, sf):
     return chunking.chunk_lines(docs)
 
 
-def parent_child(spark, sf):
-    chunks = _fragments(spark, sf)
-    hits = retrieve.bm25(_questions(spark, sf), chunks, K)
-    return retrieve.to_parents(hits, chunks.select("chunk_id", "parent_id"))
+def _tree(spark, sf):
+    """Documents are groups of lines; lines are leaves."""
+    docs = _t(spark, sf, "documents")
+    leaves = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).withColumn("node_id", F.concat_ws("::", F.col("doc_id").cast("string"), F.col("ord").cast("string")))
+    return chunking.raptor(leaves.withColumn("ids", F.array("node_id")))
 
 
-def contextual_bm25(spark, sf):
-    docs = _t(spark, sf, "documents")
-    ctx = docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("context"))
-    chunks = chunking.contextual(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"), ctx)
-    return retrieve.bm25(_questions(spark, sf), chunks, K)
+def raptor_levels(spark, sf):
+    return _tree(spark, sf).select("doc_id", "level", "ord", "text", F.size("ids").cast("long").alias("n_ids"))
 
 
-def sac_bm25(spark, sf):
-    docs = _t(spark, sf, "documents")
-    chunks = chunking.contextual(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"), docs.select("doc_id", chunking.lead(F.col("text")).alias("context")))
-    return retrieve.bm25(_questions(spark, sf), chunks, K)
+def _corpus(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    plain = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
+    sections = docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("context"))
+    leads = docs.select("doc_id", chunking.lead(F.col("text")).alias("context"))
+    contextual = chunking.contextual(plain, sections)
+    return retrieve.Corpus(
+        ports.HashedTerms(), tx.terms, questions=_questions(spark, sf), chunks=plain, fragments=_fragments(spark, sf), contextual=contextual,
+        summarized=chunking.contextual(plain, leads), both=chunking.contextual(contextual, leads), nodes=_tree(spark, sf).select(F.col("node_id").alias("chunk_id"), "text"),
+    )
 
 
-def raptor_levels(spark, sf):
-    """Documents are groups of lines; lines are leaves."""
-    docs = _t(spark, sf, "documents")
-    leaves = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).withColumn("node_id", F.concat_ws("::", F.col("doc_id").cast("string"), F.col("ord").cast("string")))
-    tree = chunking.raptor(leaves.withColumn("ids", F.array("node_id")))
-    return tree.select("doc_id", "level", "ord", "text", F.size("ids").cast("long").alias("n_ids"))
+def _strategy(label):
+    def run(spark, sf):
+        return retrieve.STRATEGIES[label](_corpus(spark, sf), K)
 
+    run.__name__, run.__doc__ = label, f"The strategy `{label}` over documents and benchmark."
+    return run
 
-def graph_local(spark, sf):
-    return retrieve.graph_local(_questions(spark, sf), _chunks(spark, sf), K)
+
+STRATEGY_QUERIES = [_strategy(label) for label in retrieve.STRATEGIES]
 
 
 def _all_hits(spark, sf):
-    parts = {"bm25": bm25_topk, "overlap": _overlap, "hybrid": hybrid_rrf}
+    """The hits of all ten strategies, stored: what is scored afterwards reads them."""
     out = None
-    for name, f in parts.items():
-        own = f(spark, sf).withColumn("strategy", F.lit(name))
+    for f in STRATEGY_QUERIES:
+        own = f(spark, sf).select(F.lit(f.__name__).alias("strategy"), "question_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "score")
         out = own if out is None else out.unionByName(own)
-    return out
+    return readers.stored(out, "hits")
+
+
+def _covered(spark, sf, hits):
+    """(chunk_id, ref_id, norm) of the chunks hit: a document, its fragment or a node of its tree covers the document."""
+    docs = _t(spark, sf, "documents").select("doc_id", "source")
+    ref = F.coalesce(F.regexp_extract("chunk_id", "^([0-9]+)(?:::[0-9]+)?$", 1), F.lit(""))
+    ref = F.when(ref != "", ref).otherwise(F.regexp_extract("chunk_id", "(?:::doc-|^summary::)([0-9]+)", 1))
+    return hits.select("chunk_id").distinct().withColumn("ref_id", ref.cast("long")).join(docs, F.col("ref_id") == F.col("doc_id")).select("chunk_id", "ref_id", F.col("source").alias("norm"))
 
 
 def question_metrics(spark, sf):
-    return metrics.question_metrics(_all_hits(spark, sf), _ids(spark, sf), qrels(spark, sf), K)
+    hits = _all_hits(spark, sf)
+    return metrics.question_metrics(hits, _covered(spark, sf, hits), readers.stored(qrels(spark, sf), "qrels"), K)
 
 
 def strategy_scorecard(spark, sf):
-    return metrics.scorecard(question_metrics(spark, sf))
+    """Of all ten strategies; questions that a strategy has no hit for count as failed."""
+    hits = _all_hits(spark, sf)
+    judged = readers.stored(qrels(spark, sf), "qrels")
+    own = metrics.question_metrics(hits, _covered(spark, sf, hits), judged, K)
+    asked = judged.select("question_id").distinct()
+    failed = hits.select("strategy").distinct().join(F.broadcast(asked)).join(hits, ["strategy", "question_id"], "left_anti")  # ten strategies
+    return metrics.scorecard(own, K, failed)
+
+
+def scorecard_lines(spark, sf):
+    card = metrics.dashboard(strategy_scorecard(spark, sf))
+    return card.select("place", "strategy", metrics.result_line().alias("line"))
 
 
 def breakdown_by_norm(spark, sf):
@@ -135,12 +148,28 @@ def breakdown_by_norm(spark, sf):
     return metrics.breakdown(question_metrics(spark, sf), members, "document")
 
 
+def ordered_ids(spark, sf):
+    """What the sparse strategy's hits cover, in rank order."""
+    hits = bm25_topk(spark, sf).withColumn("strategy", F.lit("bm25"))
+    ids = _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.posexplode(F.array("source", F.concat("source", F.lit("::"), "lang"))).alias("place", "ref_id"))
+    return evidence.ordered_ids(hits, ids).select("question_id", F.concat_ws(",", "ids").alias("ids"))
+
+
+def embed_missing(spark, sf):
+    """Turns of conversations against a cache that lacks every third; the vectors' sums show what came out."""
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
+    model = ports.HashedTerms()
+    some = retrieve.embedded(rows.where("conv_id % 3 > 0").select("text").distinct().withColumn("id", F.sha2(F.concat(F.lit(model.identity + "\0"), "text"), 256)), model, "id").withColumnRenamed("id", "key")
+    out, _ = retrieve.embed_missing(rows.select("text"), some, model)
+    return out.groupBy("text").agg(F.count("*").alias("n"), F.min(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b)).cast("long").alias("words")).select(F.sha2("text", 256).alias("text"), "n", "words")
+
+
 def chunk_documents(spark, sf):
     return _fragments(spark, sf).select("chunk_id", "parent_id", "role", F.length("text").cast("long").alias("n_chars"))
 
 
 def html_lite(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", tx.html_lite(F.col("html")).alias("text"))
+    return _t(spark, sf, "pages").select("page_id", F.sha2(tx.html_lite(F.col("html")), 256).alias("digest"), F.length(tx.html_lite(F.col("html"))).cast("long").alias("n_chars"))
 
 
 def claim_segments(spark, sf):
@@ -162,11 +191,12 @@ def citation_accuracy(spark, sf):
 
 
 def _audit(spark, sf):
-    """Every hit of a question is a claim that cites its document; the verifier's stand-in supports even documents."""
-    hits = bm25_topk(spark, sf)
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("ref_id"), F.col("source").alias("norm"), F.sha2("text", 256).alias("text_hash"))
+    """Every hit of a question is a claim that cites its document, but for the third, which cites nothing; the documents'
+    versions are those of three sources in four."""
+    hits = readers.stored(bm25_topk(spark, sf), "audited")
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("ref_id"), F.col("source").alias("norm"), F.sha2("text", 256).alias("text_hash"), "text")
     shown = hits.select("question_id", "rank", F.col("chunk_id").alias("ref_id")).join(docs, "ref_id")
-    cited = shown.select("question_id", F.col("rank").alias("claim"), "ref_id", "norm", (F.col("ref_id") % 7 != 0).alias("well_formed"))
+    cited = shown.where("rank <> 3").select("question_id", F.col("rank").alias("claim"), "ref_id", "norm", (F.col("ref_id") % 7 != 0).alias("well_formed"))
     versions = docs.groupBy("norm").agg(F.min("text_hash").alias("hash")).where("norm <> 'src3'")
     checks = audit.citation_checks(cited, docs.where("ref_id % 5 <> 0"), shown.where("rank <= 4"), versions)
     return shown, checks
@@ -176,15 +206,55 @@ def citation_checks(spark, sf):
     return _audit(spark, sf)[1]
 
 
-def audit_rates(spark, sf):
-    return audit.rates(_audit(spark, sf)[1])
+def _passes(spark, sf):
+    """The first answer's claims, and those of its rewriting, which leaves out what no document supports. Here the hash isn't
+    checked, as one digest stands for a whole source; a verdict is given where all checks pass."""
+    shown, checks = _audit(spark, sf)
+    checks = checks.withColumn("hash_matches", F.lit(True))
+    claims = shown.select("question_id", F.col("rank").alias("claim"), (F.col("rank") != 2).alias("material"), (F.col("rank") != 3).alias("cites"), F.when(F.col("ref_id") % 2 == 0, "supported").otherwise("unsupported").alias("verdict"))
+    first = audit.claim_support(claims, checks).withColumn("verdict", F.when(F.col("valid"), F.col("verdict")))
+    second = first.where("supported OR (claim = 1 AND question_id % 3 = 0) OR (claim = 5 AND question_id % 4 = 1)")
+    failed = first.where("question_id % 10 = 7").select("question_id").distinct()
+    return shown, checks, first, second, failed
 
 
 def audit_outcomes(spark, sf):
-    shown, checks = _audit(spark, sf)
-    claims = shown.select("question_id", F.col("rank").alias("claim"), (F.col("rank") != 2).alias("material"), F.when(F.col("ref_id") % 2 == 0, "supported").otherwise("unsupported").alias("verdict"))
-    # the hash check can't pass here: one digest stands for a whole source
-    return audit.outcomes(audit.claim_support(claims, checks.withColumn("hash_matches", F.lit(True))))
+    *_, first, second, failed = _passes(spark, sf)
+    return audit.final_outcomes(first, second, failed)
+
+
+def audit_rates(spark, sf):
+    _, checks, first, second, failed = _passes(spark, sf)
+    return audit.rates(audit.final_outcomes(first, second, failed), first, checks)
+
+
+def claim_status(spark, sf):
+    _, checks, first, *_ = _passes(spark, sf)
+    return audit.claim_status(first, checks)
+
+
+def valid_sources(spark, sf):
+    shown, checks, *_ = _passes(spark, sf)
+    found = audit.valid_sources(checks, shown.select("question_id", "ref_id", "text"))
+    return found.select("question_id", F.size("sources").cast("long").alias("n"), F.sha2(F.array_join("sources", "|"), 256).alias("digest"))
+
+
+def audit_lineage(spark, sf):
+    _, checks, first, second, failed = _passes(spark, sf)
+    answers = _questions(spark, sf).select("question_id", F.concat(F.lit("Olá \"q"), F.col("question_id").cast("string"), F.lit("\"\n")).alias("original_answer"), F.lit("fim").alias("final_answer"))
+    out = audit.audit_lineage(audit.final_outcomes(first, second, failed).join(answers, "question_id"), audit.claim_status(first, checks))
+    return out.withColumn("claims", F.concat_ws(",", "claims"))
+
+
+def judge_lineage(spark, sf):
+    r = _t(spark, sf, "labels").select(F.col("doc_id").alias("question_id"), F.col("quality").cast("string").alias("faithfulness"), F.lit("0.5").alias("answer_relevancy"), F.when(F.col("toxic") == 1, "true").otherwise("false").alias("abstention_appropriate"), F.concat(F.lit("razão "), F.col("doc_id").cast("string")).alias("rationale"))
+    return audit.judge_lineage(r)
+
+
+def context_blocks(spark, sf):
+    hits = bm25_topk(spark, sf).join(_t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text"), "chunk_id")
+    own = F.struct("rank", F.array(F.concat_ws("::", "source", F.concat(F.lit("doc-"), F.col("chunk_id").cast("string")))).alias("ids"), "text")
+    return hits.groupBy("question_id").agg(F.sha2(tx.context_block(F.collect_list(own)), 256).alias("digest"))
 
 
 def stratified_split(spark, sf):
@@ -218,13 +288,21 @@ def circuit_breaker(spark, sf):
     return metrics.circuit_breaker(e, "user_id", ["ts", "event_id"], "failed").select("event_id", "status")
 
 
+def _chain(spark, sf):
+    e = _t(spark, sf, "events")
+    text = F.col("event_id").cast("string")
+    return records.chained(e.select(F.col("user_id").cast("string").alias("run_id"), F.struct("ts", "event_id").alias("ord"), text.alias("event_id"), F.lit(None).cast("string").alias("correlation_id"), F.lit("use").alias("stage"), "event_type", F.concat(F.lit("t"), text).alias("occurred_at"), F.sha2(text, 256).alias("payload_hash")).withColumn("ord", F.row_number().over(W.partitionBy("run_id").orderBy("ord"))))
+
+
 def hash_chain_verify(spark, sf):
     """Events as a chain by user; every 13th was changed after the hashes were taken, every 29th is lost."""
-    w = W.partitionBy("run_id").orderBy("sequence")
-    e = _t(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("sequence"), F.concat("event_type", F.lit("/"), F.col("event_id").cast("string")).alias("payload"), "event_id")
-    e = e.withColumn("event_hash", records.event_hash("run_id")).withColumn("previous_hash", F.lag("event_hash").over(w))
-    bad = e.where("event_id % 29 <> 0").withColumn("payload", F.when(F.col("event_id") % 13 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
-    return records.chain_faults(bad)
+    bad = _chain(spark, sf).where("cast(event_id AS long) % 29 <> 0")
+    return records.chain_faults(bad.withColumn("payload_hash", F.when(F.col("event_id").cast("long") % 13 == 0, F.lit("changed")).otherwise(F.col("payload_hash"))))
+
+
+def stage_durations(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"), F.lit("use").alias("stage"), F.col("event_type").alias("name"), F.when(F.col("event_id") % 2 == 0, "started").otherwise("completed").alias("event_type"), F.col("event_id").cast("double").alias("seconds"))
+    return metrics.stage_durations(e)
 
 
 def latest_record_dedup(spark, sf):
@@ -263,11 +341,6 @@ def append_absent(spark, sf):
     return records.append_new(a, b, ["doc_id"])
 
 
-def corpus_hash(spark, sf):
-    d = _t(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("digest"))
-    return records.set_digest(d, ["source"], "doc_id", "digest")
-
-
 def index_namespace(spark, sf):
     d = _t(spark, sf, "documents")
     return d.groupBy("lang").agg(F.count("*").alias("n")).select("lang", tx.short_digest(F.lit("v1"), F.col("lang"), F.col("n").cast("string"), F.lit("True")).alias("namespace"))
@@ -277,27 +350,237 @@ def slugs(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", tx.slug(F.concat(F.lit("  "), F.col("p_name"), F.lit(" -- "), F.col("p_type"), F.lit("! "))).alias("slug"))
 
 
+def _answers(spark, sf):
+    """Labelled documents as records of answers, by three strategies."""
+    d = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id").where("text IS NOT NULL")
+    by = lambda n: F.col("doc_id") % n
+    gen = F.when(by(11) == 0, "not_applicable").when(by(7) == 0, "failed").otherwise("succeeded")
+    values = F.map_concat(
+        F.create_map(F.lit("faithfulness"), (F.col("n_chars") % 3) / 2, F.lit("answer_relevancy"), (F.col("n_chars") % 5) / 4, F.lit("abstention_appropriate"), F.col("quality").cast("double")),
+        F.when(F.col("toxic") == 0, F.create_map(F.lit("citation_accuracy"), F.round(by(4) / 3, 6))).otherwise(F.create_map().cast("map<string,double>")),
+    )
+    return d.select(
+        F.col("doc_id").alias("question_id"), F.when(by(3) == 0, "dense").when(by(3) == 1, "sparse_bm25").otherwise("raptor").alias("strategy"), F.when(by(5) > 0, F.col("lang")).alias("query_class"), (F.col("toxic") == 1).alias("unanswerable"),
+        F.when(by(11) == 0, "failed").otherwise("succeeded").alias("retrieval_status"), gen.alias("generation_status"), F.when(gen != "succeeded", "not_applicable").when(by(13) == 0, "failed").otherwise("succeeded").alias("judge_status"), values.alias("metrics"),
+        F.concat(F.substring("text", 1, 200), F.lit(" [a::b]"), F.when(by(4) == 0, " [bad]").when(by(4) == 1, " sem salvo").otherwise("")).alias("answer_text"), F.array("source").alias("judge_contexts"), F.array_repeat("source", F.when(F.col("toxic") == 1, 0).otherwise(by(3).cast("int"))).alias("norms"),
+    )
+
+
+def _judgments(spark, sf):
+    return _answers(spark, sf).select("question_id", F.lit("pergunta").alias("text"), "query_class", F.lit(None).cast("string").alias("reference_answer"), F.size("norms").alias("n_refs"), "norms")
+
+
+def answer_means(spark, sf):
+    return metrics.answer_means(_answers(spark, sf))
+
+
+def record_breakdowns(spark, sf):
+    return metrics.record_breakdowns(_answers(spark, sf).drop("norms"), _judgments(spark, sf).select("question_id", "norms"))
+
+
+def _tagged(spark, sf):
+    return calibration.features(_answers(spark, sf).where(calibration.usable()), _judgments(spark, sf))
+
+
+def calibration_features(spark, sf):
+    return _tagged(spark, sf).select("question_id", "strategy", "stratum", F.concat_ws(",", "features").alias("features"))
+
+
+def feature_coverage(spark, sf):
+    return calibration.coverage(_tagged(spark, sf))
+
+
 def calibration_selection(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", "source", F.filter(F.array(F.col("lang"), F.when(F.length("text") > 3000, F.lit("long")), F.when(F.col("text").rlike(r"\d"), F.lit("digits"))), lambda x: x.isNotNull()).alias("features"))
-    ids = sampling.feature_cover(d, "doc_id", "features", "source", 40)
-    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "ord long, doc_id long")
+    picked = calibration.select(_tagged(spark, sf), calibration.LEAST, concepts=["answer_quality:partial", "claim:numerical"])
+    return spark.createDataFrame([(i, int(q), s) for i, (q, s) in enumerate(picked)], "ord long, question_id long, strategy string")
+
+
+def _scored(spark, sf):
+    """Human labels stand by the texts' numbers of words in thirds; the judge's are the records' metrics."""
+    own = _answers(spark, sf).where(calibration.usable())
+    labels = calibration.empty_labels(own).withColumn("human_score", F.floor(F.pmod(F.length("sample_id") * 7 + F.regexp_extract("sample_id", "^([0-9]+)", 1).cast("long"), F.lit(3))) / 2)
+    return labels, calibration.sealed_scores(own)
+
+
+def calibration_labels(spark, sf):
+    return calibration.empty_labels(_answers(spark, sf))
+
+
+def calibration_sealed(spark, sf):
+    return calibration.sealed_scores(_answers(spark, sf).where(calibration.usable()))
+
+
+def calibration_report(spark, sf):
+    labels, sealed = _scored(spark, sf)
+    return calibration.report(labels.join(sealed, "sample_id"))
+
+
+def calibration_gate(spark, sf):
+    return calibration.gate(calibration_report(spark, sf)).withColumn("failed", F.concat_ws(",", "failed"))
+
+
+def calibration_disagreements(spark, sf):
+    labels, sealed = _scored(spark, sf)
+    return calibration.disagreements(labels.join(sealed, "sample_id")).select("sample_id", "judge_score", "human_score")
+
+
+def calibration_faults(spark, sf):
+    """Labels and scores of which some are lost, empty or none of the scale."""
+    labels, sealed = _scored(spark, sf)
+    n = F.regexp_extract("sample_id", "^([0-9]+)", 1).cast("long")
+    labels = labels.where(n % 17 != 0).withColumn("human_score", F.when(n % 19 != 0, F.col("human_score") + F.when(n % 23 == 0, 0.2).otherwise(0.0)))
+    return calibration.sample_faults(labels, sealed.where(n % 29 != 0))
+
+
+def worksheet(spark, sf):
+    own = _answers(spark, sf).where(calibration.usable())
+    return calibration.worksheet(own, _judgments(spark, sf)).select("question_id", F.sha2("text", 256).alias("digest"))
+
+
+def checkpoint_status(spark, sf):
+    m = metrics.answer_means(_answers(spark, sf)).select("strategy", F.create_map(F.lit("answer_n"), F.col("answer_n").cast("double"), F.lit("answer_errors"), F.lit(0.0), F.lit("errors"), F.when(F.col("strategy") == "dense", 1.0).otherwise(0.0)).alias("m"), F.col("answer_n").alias("n"))
+    return m.select("strategy", evidence.checkpoint_complete(F.col("m"), F.col("n").cast("double")).alias("complete"))
+
+
+def identity_faults(spark, sf):
+    """Suppliers as runs, some changed since."""
+    now = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("run_id"), F.col("s_name").alias("model"), F.col("s_nationkey").cast("string").alias("split"))
+    old = now.where("run_id % 9 > 0").withColumn("model", F.when(F.col("run_id") % 4 > 0, F.col("model"))).withColumn("split", F.when(F.col("run_id") % 5 == 0, "other").otherwise(F.col("split")))
+    return evidence.identity_faults(old, now, "run_id")
+
+
+def _manifests(spark, sf):
+    none = F.lit(None).cast("string")
+    h = F.sha2(F.col("o_orderkey").cast("string"), 256)
+    done = F.col("o_orderstatus") == "F"
+    return _t(spark, sf, "orders").select(
+        F.lit(1).alias("schema_version"), F.col("o_orderkey").cast("string").alias("run_id"), F.when(done, "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("odd").alias("status"), F.when(F.col("o_orderkey") % 7 > 0, h).otherwise("").alias("git_sha"),
+        F.lit("t").alias("started_at"), F.when(done & (F.col("o_orderkey") % 3 > 0), "u").otherwise(none).alias("completed_at"), *(h.alias(c) for c in evidence.HASHES[1:]), F.create_map(F.lit("m"), F.lit("x")).alias("models"),
+        F.array(F.lit("dense"), F.lit("raptor")).alias("strategies"), F.create_map().cast("map<string,string>").alias("execution"), F.when(done, h).alias("artifact_root_hash"),
+    )
+
+
+def manifest_faults(spark, sf):
+    return evidence.manifest_faults(_manifests(spark, sf))
+
+
+def artifacts_missing(spark, sf):
+    a = _t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), F.when(F.col("l_returnflag") == "R", "raptor").otherwise("dense").alias("strategy"))
+    return evidence.artifacts_missing(_manifests(spark, sf), a)
+
+
+def question_artifacts(spark, sf):
+    hits = bm25_topk(spark, sf).select("question_id", F.lit("bm25").alias("strategy"), (F.col("rank") - 1).alias("candidate_rank"), "chunk_id", F.lit(0.5).alias("score"))
+    r = _questions(spark, sf).select("question_id", F.lit("bm25").alias("strategy"), F.lit("succeeded").alias("retrieval_status"))
+    return evidence.question_artifacts(r, hits)
+
+
+def merge_summaries(spark, sf):
+    old = _t(spark, sf, "nation").where("n_nationkey % 3 > 0").select(F.col("n_name").alias("strategy"), F.lit("old").alias("body"))
+    new = _t(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("strategy"), F.lit("new").alias("body"))
+    return evidence.merge_summaries(old, new)
+
+
+def pending_strategies(spark, sf):
+    asked = _t(spark, sf, "nation").select(F.col("n_name").alias("strategy"), F.col("n_nationkey").alias("ord"))
+    done = _t(spark, sf, "supplier").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 2 = 0").select(F.col("n_name").alias("strategy"))
+    return evidence.pending(asked, done.distinct())
+
+
+def _split(spark, sf):
+    s = sampling.stratified_split(_t(spark, sf, "documents"), "doc_id", "lang", 0.15, "split-v1")
+    return s.select(F.col("doc_id").alias("question_id"), "partition", F.col("doc_id").alias("ord"))
+
+
+def split_judgments(spark, sf):
+    texts = _t(spark, sf, "documents").select(F.col("doc_id").alias("question_id"), F.length("text").alias("n"))
+    return evidence.select_split(_split(spark, sf), texts, "validation")
+
+
+def split_faults(spark, sf):
+    s = _split(spark, sf)
+    s = s.where("question_id % 10 > 0").unionByName(s.where("question_id % 7 = 0"))
+    return evidence.split_faults(s, _t(spark, sf, "documents").where("doc_id % 9 > 0").select(F.col("doc_id").alias("question_id")))
+
+
+def _corpus_manifest(spark, sf):
+    p = _t(spark, sf, "part")
+    return p.select(F.col("p_name").alias("norm_id"), F.col("p_partkey").cast("string").alias("source_path"), F.when(F.col("p_partkey") % 13 > 0, F.sha2("p_type", 256)).alias("source_sha256"), F.lit(1).alias("expected_article_count"), (F.col("p_partkey") % 2 == 0).alias("enabled"))
+
+
+def source_faults(spark, sf):
+    found = _t(spark, sf, "part").where("p_partkey % 5 > 0").select(F.sha2(F.when(F.col("p_partkey") % 6 == 0, "x").otherwise(F.col("p_type")), 256).alias("digest"), F.col("p_partkey").cast("string").alias("relative_path"))
+    return evidence.source_faults(_corpus_manifest(spark, sf), found)
+
+
+def corpus_hash(spark, sf):
+    """Of a manifest whose documents are the suppliers, half of them enabled."""
+    m = _t(spark, sf, "supplier").select(F.col("s_name").alias("norm_id"), F.sha2(F.col("s_suppkey").cast("string"), 256).alias("source_sha256"), (F.col("s_suppkey") % 2 == 0).alias("enabled"))
+    return evidence.corpus_hash(m)
+
+
+def published_runs(spark, sf):
+    run = F.concat(F.lit("20260726T"), F.lpad(F.col("n_nationkey").cast("string"), 6, "0"), F.when(F.col("n_nationkey") % 5 == 4, "").otherwise("Z"))
+    n = _t(spark, sf, "nation").withColumn("run_id", run)
+    catalog = n.select("run_id", F.col("n_name").alias("title"), F.lit("dense").alias("recommended"), F.lit("20260726T000003Z").alias("latest_run_id"))
+    catalog = catalog.unionByName(catalog.where("title = 'NATION_0' OR run_id = '20260726T000000Z'"))
+    results = n.where("n_nationkey % 7 <> 1").select("run_id", F.array(F.when(F.col("n_nationkey") % 8 == 0, "raptor").otherwise("dense")).alias("strategies"))
+    manifests = n.select("run_id", F.when(F.col("n_nationkey") % 6 == 5, "running").otherwise("completed").alias("status"), F.when(F.col("n_nationkey") % 11 == 10, "2026-07-26T00:00:00").otherwise("2026-07-26T00:00:00+00:00").alias("completed_at"))
+    return evidence.published(catalog, results, manifests)
+
+
+def trace_metadata(spark, sf):
+    m = F.create_map(F.lit("feature"), F.col("p_name"), F.lit("operation"), F.repeat("p_type", F.when(F.col("p_partkey") % 2 == 0, 30).otherwise(1)), F.lit("content"), F.col("p_brand"))
+    return _t(spark, sf, "part").select("p_partkey", F.concat_ws(",", F.array_sort(F.map_keys(tx.trace_metadata(m)))).alias("keys"))
+
+
+def extraction_choice(spark, sf):
+    t = tx.first_good(F.when(F.col("page_id") % 5 > 0, F.substring(tx.mended(tx.html_lite(F.col("html"))), 1, (F.col("page_id") % 40).cast("int"))), F.lit("fallback"))
+    return _t(spark, sf, "pages").select("page_id", F.when(t == "fallback", "fallback").otherwise("primary").alias("chosen"))
+
+
+# The lines of the made-up norms, in order.
+NORM_LINES = ["§ 1º item %d", "I - item %d", "a) item %d", "Parágrafo único. item %d", "II — item %d", "goes on %d", "§ 2 item %d"]
+
+
+def _norms(spark, sf):
+    """Norms that orders make up: an article, whose parts are up to seven line items, and for some a heading or an annex before it."""
+    items = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_set(F.struct("l_linenumber", "l_partkey"))), 1, len(NORM_LINES)).alias("i"))
+    lines = F.transform("i", lambda x, n: F.replace(F.get(F.array(*map(F.lit, NORM_LINES)), n), F.lit("%d"), x["l_partkey"].cast("string")))
+    head = F.when(F.col("l_orderkey") % 4 == 0, F.array(F.lit("Preamble"), F.lit("CAPITULO I"))).when(F.col("l_orderkey") % 4 == 1, F.array(F.lit("ANEXO"))).otherwise(F.array().cast("array<string>"))
+    return items.select(F.concat(F.lit("N-"), F.col("l_orderkey").cast("string")).alias("norm_id"), F.array_join(F.concat(head, F.array(F.format_string("Artigo %d Order.", "l_orderkey")), lines), "\n").alias("text"))
 
 
 def legal_parse(spark, sf):
-    """The grammar over documents that orders make up: an article an order, an inciso a line item."""
-    items = _t(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.format_string("%s - item %s", F.element_at(F.array(*map(F.lit, ["I", "II", "III", "IV", "V", "VI", "VII"])), F.col("l_linenumber")), F.col("l_partkey").cast("string")).alias("line")).alias("i"))
-    arts = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("i")).alias("i")).select((F.col("l_orderkey") % 100).alias("norm"), F.struct("l_orderkey", F.concat_ws("\n", F.format_string("Art. %d Order.", "l_orderkey"), F.array_join(F.transform("i", lambda x: x["line"]), "\n")).alias("t")).alias("a"))
-    docs = arts.groupBy("norm").agg(F.array_join(F.transform(F.array_sort(F.collect_list("a")), lambda x: x["t"]), "\n").alias("text")).select(F.concat(F.lit("N-"), F.col("norm").cast("string")).alias("norm_id"), "text")
-    nodes = chunking.parse_legal(docs)
-    return nodes.select("ref", "kind", "text")
+    return chunking.parse_legal(_norms(spark, sf)).select("ref", "kind", "text", F.concat_ws(" > ", "headings").alias("headings"))
+
+
+def corpus_text(spark, sf):
+    return chunking.corpus_text(chunking.parse_legal(_norms(spark, sf)).where("kind IN ('article', 'paragraph')"))
+
+
+def ingest_gate(spark, sf):
+    """Norms of one article each, of which the manifest expects two of some."""
+    docs = _norms(spark, sf).withColumn("source_hash", F.sha2("text", 256))
+    manifest = docs.select("norm_id", F.when(F.endswith("norm_id", F.lit("7")), 2).otherwise(1).alias("expected"))
+    return chunking.ingest(docs, manifest)[1].select("norm_id", "expected", "found")
+
+
+def ingest_chunks(spark, sf):
+    docs = _norms(spark, sf).withColumn("source_hash", F.sha2("text", 256))
+    chunks = chunking.ingest(docs, docs.select("norm_id", F.lit(1).alias("expected")), limit=60)[0]
+    return chunks.where("role <> 'fragment'").select("chunk_id", "role", F.size("structural_ids").cast("long").alias("n_ids"), F.col("metadata")["section"].alias("section"), F.col("metadata")["source_hash"].alias("source_hash"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        qrels, bm25_topk, dense_topk, hybrid_rrf, reranked, parent_child, contextual_bm25, sac_bm25, raptor_levels, graph_local, question_metrics, strategy_scorecard, breakdown_by_norm,
-        chunk_documents, html_lite, claim_segments, citation_parse, citation_accuracy, citation_checks, audit_rates, audit_outcomes, stratified_split, stratified_sample, kappa_report, spearman_report,
-        support_rates, circuit_breaker, hash_chain_verify, latest_record_dedup, record_merge, usage_cost, integrity_refs, integrity_keys, append_absent, corpus_hash, index_namespace, slugs, calibration_selection, legal_parse,
+        qrels, bm25_topk, dense_topk, *STRATEGY_QUERIES, raptor_levels, question_metrics, strategy_scorecard, scorecard_lines, breakdown_by_norm, ordered_ids, embed_missing,
+        chunk_documents, html_lite, claim_segments, citation_parse, citation_accuracy, citation_checks, audit_rates, audit_outcomes, claim_status, valid_sources, audit_lineage, judge_lineage, context_blocks,
+        stratified_split, stratified_sample, kappa_report, spearman_report, support_rates, circuit_breaker, hash_chain_verify, stage_durations, latest_record_dedup, record_merge, usage_cost, integrity_refs, integrity_keys,
+        append_absent, corpus_hash, index_namespace, slugs, answer_means, record_breakdowns, calibration_features, feature_coverage, calibration_selection, calibration_labels, calibration_sealed, calibration_report, calibration_gate,
+        calibration_disagreements, calibration_faults, worksheet, checkpoint_status, identity_faults, manifest_faults, artifacts_missing, question_artifacts, merge_summaries, pending_strategies, split_judgments, split_faults,
+        source_faults, published_runs, trace_metadata, extraction_choice, legal_parse, corpus_text, ingest_gate, ingest_chunks,
     )
 }
 
@@ -306,12 +589,12 @@ QUERIES = {
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
-def _bm25(chunks: str, k: int = K) -> str:
+def _bm25(chunks: str, k: int = K, words: str = _TOK) -> str:
     """CTEs up to `bm25(question_id, rank, chunk_id, score)`; chunks is SQL with (chunk_id, text)."""
     return f"""
-    bc AS ({chunks}), bt AS (SELECT chunk_id, {_TOK.format("text")} AS w FROM bc),
+    bc AS ({chunks}), bt AS (SELECT chunk_id, {words.format("text")} AS w FROM bc),
     bs AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM bt),
-    bq AS (SELECT question_id, term, count(*) AS times FROM (SELECT item_id AS question_id, unnest({_TOK.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+    bq AS (SELECT question_id, term, count(*) AS times FROM (SELECT item_id AS question_id, unnest({words.format("text")}) AS term FROM benchmark) GROUP BY ALL),
     bh AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM bt) WHERE term IN (SELECT term FROM bq) GROUP BY ALL),
     bd AS (SELECT term, count(*) AS df FROM bh GROUP BY term),
     bx AS (SELECT question_id, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))), 6) AS score
@@ -320,38 +603,147 @@ def _bm25(chunks: str, k: int = K) -> str:
 
 
 _DOCS = "SELECT doc_id AS chunk_id, text FROM documents"
-_OVERLAP = f"""
-    oq AS (SELECT DISTINCT item_id AS question_id, unnest({_TOK.format("text")}) AS term FROM benchmark),
-    oh AS (SELECT DISTINCT doc_id AS chunk_id, unnest({_TOK.format("text")}) AS term FROM documents),
-    ox AS (SELECT question_id, chunk_id, count(*)::DOUBLE AS score FROM oq JOIN oh USING (term) GROUP BY ALL),
-    overlap AS (SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM ox) WHERE rank <= {K})"""
-_HYBRID = f"""
-    hb AS (SELECT *, 0 AS branch FROM overlap UNION ALL SELECT *, 1 FROM bm25),
-    hx AS (SELECT question_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(branch * 1000 + rank) AS seen FROM hb GROUP BY ALL),
-    hybrid AS (SELECT question_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) AS rank FROM hx) WHERE rank <= {K})"""
-_QRELS = "qrels AS (SELECT item_id AS question_id, doc_id AS ref_id, source AS norm, 1.0::DOUBLE AS gain FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
-_METRICS = f"""
-    hits AS (SELECT 'bm25' AS strategy, * FROM bm25 UNION ALL SELECT 'overlap', * FROM overlap UNION ALL SELECT 'hybrid', * FROM hybrid),
-    h AS (SELECT hits.*, d.source, q.gain, q.gain IS NOT NULL AS hit, EXISTS (SELECT 1 FROM qrels x WHERE x.question_id = hits.question_id AND x.norm = d.source) AS near
-          FROM hits JOIN documents d ON chunk_id = doc_id LEFT JOIN qrels q ON q.question_id = hits.question_id AND q.ref_id = hits.chunk_id),
-    ji AS (SELECT question_id, count(*) AS judged, sum(CASE WHEN i <= {K} THEN 1 / log2(i + 1) END) AS ideal FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id) AS i FROM qrels) GROUP BY 1),
-    qm AS (SELECT strategy, h.question_id, round(count_if(hit AND rank <= {K}) / any_value(judged), 6) AS recall, round(count_if(hit) / count(*), 6) AS precision,
-                  round(coalesce(1.0 / min(rank) FILTER (WHERE hit), 0), 6) AS mrr, round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit), 0) / any_value(ideal), 6) AS ndcg,
-                  round(count_if(NOT near) / count(*), 6) AS drm
-           FROM h JOIN ji USING (question_id) GROUP BY strategy, h.question_id)"""
-_ALL = f"WITH {_bm25(_DOCS)}, {_OVERLAP}, {_HYBRID}, {_QRELS}, {_METRICS} "
-_MEANS = "round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(drm), 6) AS drm, count(*) AS n"
+_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_TERMS = r"list_transform(list_filter(regexp_extract_all(translate(lower({}), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), '[\p{{L}}\p{{N}}]+'), lambda w: w NOT IN (" + _STOP + ")), lambda w: regexp_replace(w, '" + tx.stem_pattern().replace("{", "{{").replace("}", "}}") + r"', '\1'))"
+
+
+def _top(cte: str, k: int, source: str) -> str:
+    return f"{cte} AS (SELECT question_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM {source}) WHERE rank <= {k})"
+
+
+def _near(name: str, chunks: str, k: int = K) -> str:
+    """CTEs up to `name(question_id, rank, chunk_id, score)`: cosine of hashed terms; chunks is SQL with (chunk_id, text)."""
+
+    def vector(c, source):
+        return f"{c}t AS (SELECT id, ('0x' || substr(md5(w), 1, 4))::INT % 64 AS b, count(*)::DOUBLE AS v FROM (SELECT id, unnest({_TOK.format('text')}) AS w FROM ({source})) GROUP BY ALL), {c}n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM {c}t GROUP BY id)"
+
+    q, d = vector(f"{name}_q", "SELECT item_id AS id, text FROM benchmark"), vector(f"{name}_d", f"SELECT chunk_id AS id, text FROM ({chunks})")
+    x = f"{name}_x AS (SELECT q.id AS question_id, d.id AS chunk_id, round(sum(q.v * d.v) / any_value(qn.norm * dn.norm), 6) AS score FROM {name}_qt q JOIN {name}_dt d ON q.b = d.b JOIN {name}_qn qn ON qn.id = q.id JOIN {name}_dn dn ON dn.id = d.id GROUP BY q.id, d.id)"
+    return f"{q}, {d}, {x}, {_top(name, k, name + '_x')}"
+
+
+def _sparse(name: str, chunks: str, k: int = K) -> str:
+    """As `_bm25`, with the analyzer's terms."""
+    return _renamed(_bm25(chunks, k, _TERMS), name)
+
+
+def _renamed(sql: str, name: str) -> str:
+    for c in ("bc", "bt", "bs", "bq", "bh", "bd", "bx"):
+        sql = re.sub(rf"\b{c}\b", f"{name}_{c}", sql)
+    return re.sub(r"\bbm25\b", name, sql)
+
+
+def _fused(name: str, one: str, two: str, k: int = K) -> str:
+    return f"""{name}_b AS (SELECT *, 0 AS branch FROM {one} UNION ALL SELECT *, 1 FROM {two}),
+    {name}_x AS (SELECT question_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(branch * 1000 + rank) AS seen FROM {name}_b GROUP BY ALL),
+    {name} AS (SELECT question_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) AS rank FROM {name}_x) WHERE rank <= {k})"""
+
+
+_LEAD = "substr(split_part(text, chr(10), 1), 1, 120)"
+_CONTEXT = "concat_ws(' ', source, lang) || chr(10) || chr(10) || text"
+_CTX_CHUNKS = f"SELECT doc_id AS chunk_id, {_CONTEXT} AS text FROM documents"
+_SAC_CHUNKS = f"SELECT doc_id AS chunk_id, {_LEAD} || chr(10) || chr(10) || text AS text FROM documents"
+_BOTH_CHUNKS = f"SELECT doc_id AS chunk_id, {_LEAD} || chr(10) || chr(10) || {_CONTEXT} AS text FROM documents"
+_TREE = "l0 AS (SELECT doc_id, 0 AS level, pos - 1 AS ord, doc_id || '::' || (pos - 1) AS node_id, text, [doc_id || '::' || (pos - 1)] AS ids FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))" + "".join(
+    f""", l{k} AS (SELECT doc_id, {k} AS level, ord // 5 AS ord, 'summary::' || doc_id || '::{k}::' || (ord // 5) AS node_id, string_agg(substr(split_part(text, chr(10), 1), 1, 40), ' ' ORDER BY ord) AS text, list_distinct(flatten(list(ids ORDER BY ord))) AS ids
+    FROM l{k - 1} WHERE doc_id IN (SELECT doc_id FROM l{k - 1} GROUP BY doc_id HAVING count(*) > 1) GROUP BY doc_id, ord // 5)""" for k in range(1, 6)
+) + ", tree AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(6)) + ")"
+_GRAPH = f"""own AS (SELECT trim(text, ' ') AS text, max(doc_id) AS chunk_id FROM documents GROUP BY 1), gw AS (SELECT DISTINCT chunk_id, unnest({_TOK.format("text")}) AS term FROM own), ge AS (SELECT * FROM gw WHERE term IN (SELECT term FROM gw GROUP BY term HAVING count(*) <= 5)),
+    gq AS (SELECT DISTINCT item_id AS question_id, unnest({_TOK.format("text")}) AS term FROM benchmark), gn AS (SELECT question_id, chunk_id, count(*)::DOUBLE AS w FROM gq JOIN ge USING (term) GROUP BY ALL),
+    gf AS (SELECT question_id, b.chunk_id, count(*) * 0.5 AS w FROM gn JOIN ge a USING (chunk_id) JOIN ge b ON a.term = b.term AND b.chunk_id <> a.chunk_id GROUP BY ALL),
+    gs AS (SELECT question_id, chunk_id, round(sum(w), 6) AS score FROM (SELECT * FROM gn UNION ALL SELECT * FROM gf) GROUP BY ALL),
+    {_top("gk", K, "gs")}, graphrag AS (SELECT question_id, rank, chunk_id, 1.0::DOUBLE / rank AS score FROM gk)"""
+_RERANKED = f"""rp AS (SELECT question_id, rank AS r, chunk_id, list_distinct({_TOK.format("b.text")}) AS q, list_distinct({_TOK.format("d.text")}) AS t FROM pool JOIN benchmark b ON item_id = question_id JOIN documents d ON doc_id = chunk_id),
+    rs AS (SELECT *, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM rp),
+    reranked AS (SELECT question_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, r) AS rank FROM rs) WHERE rank <= {K})"""
+_PARENTS = "pe AS (SELECT question_id, parent_id, min(rank) AS r, arg_min(score, rank) AS score FROM fnear JOIN (SELECT chunk_id, min(parent_id) AS parent_id FROM frags GROUP BY 1) USING (chunk_id) GROUP BY ALL), parent_child AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank, parent_id AS chunk_id, score FROM pe)"
 _LINES = """
     whole AS (SELECT source || '::doc-' || doc_id AS parent, coalesce(text, '') AS text FROM documents),
     cut AS (SELECT parent, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM whole WHERE length(text) > 1800),
     frags AS (SELECT parent AS chunk_id, text, parent AS parent_id, 'article' AS role FROM whole UNION ALL SELECT parent || '::par-' || pos, text, parent, 'fragment' FROM cut WHERE trim(text) <> '')"""
+_QRELS = "qrels AS (SELECT item_id AS question_id, doc_id AS ref_id, source AS norm, 1.0::DOUBLE AS gain FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_NODES = "SELECT node_id AS chunk_id, text FROM tree"
+#: The CTEs of each strategy, up to one that bears its name.
+_STRATEGY_SQL = {
+    "dense": _near("dense", _DOCS), "sparse_bm25": _sparse("sparse_bm25", _DOCS), "hybrid_rrf": f"{_near('hn', _DOCS)}, {_sparse('hs', _DOCS)}, {_fused('hybrid_rrf', 'hn', 'hs')}",
+    "reranked": f"{_near('pn', _DOCS, 50)}, {_sparse('ps', _DOCS, 50)}, {_fused('pool', 'pn', 'ps', 50)}, {_RERANKED}", "contextual": f"{_near('cn', _CTX_CHUNKS)}, {_sparse('cs', _CTX_CHUNKS)}, {_fused('contextual', 'cn', 'cs')}",
+    "parent_child": f"{_LINES}, {_near('fnear', 'SELECT chunk_id, text FROM frags')}, {_PARENTS}", "sac": _near("sac", _SAC_CHUNKS), "sac_contextual": _near("sac_contextual", _BOTH_CHUNKS), "raptor": f"{_TREE}, {_near('raptor', _NODES)}", "graphrag": _GRAPH,
+}
+_HITS = "hits AS (" + " UNION ALL ".join(f"SELECT '{x}' AS strategy, question_id, rank, chunk_id::VARCHAR AS chunk_id, score FROM {x}" for x in _STRATEGY_SQL) + ")"
+_METRICS = f"""
+    hd AS (SELECT *, coalesce(nullif(regexp_extract(chunk_id, '^([0-9]+)(?:::[0-9]+)?$', 1), ''), regexp_extract(chunk_id, '(?:::doc-|^summary::)([0-9]+)', 1))::BIGINT AS ref_id FROM hits),
+    h AS (SELECT hd.*, d.source, q.gain IS NOT NULL AS hit, EXISTS (SELECT 1 FROM qrels x WHERE x.question_id = hd.question_id AND x.norm = d.source) AS near,
+          row_number() OVER (PARTITION BY strategy, hd.question_id, hd.ref_id ORDER BY rank) = 1 AS first
+          FROM hd JOIN documents d ON ref_id = doc_id LEFT JOIN qrels q ON q.question_id = hd.question_id AND q.ref_id = hd.ref_id),
+    ji AS (SELECT question_id, count(*) AS judged, sum(CASE WHEN i <= {K} THEN 1 / log2(i + 1) END) AS ideal FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id) AS i FROM qrels) GROUP BY 1),
+    qm AS (SELECT strategy, question_id, round(count_if(coalesce(hit AND first, false)) / any_value(judged), 6) AS recall, round(coalesce(count_if(hit) / nullif(count(h.question_id), 0), 0), 6) AS precision,
+                  round(coalesce(1.0 / min(rank) FILTER (WHERE hit), 0), 6) AS mrr, round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit AND first), 0) / any_value(ideal), 6) AS ndcg,
+                  round(coalesce(count_if(NOT near) / nullif(count(h.question_id), 0), 0), 6) AS drm, count(h.question_id) AS shown
+           FROM (SELECT DISTINCT strategy FROM hits) CROSS JOIN ji LEFT JOIN h USING (strategy, question_id) GROUP BY strategy, question_id)"""
+_ALL = "WITH " + ", ".join(_STRATEGY_SQL.values()) + f", {_HITS}, {_QRELS}, {_METRICS} "
+_MEANS = "round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(drm), 6) AS drm, count(*) AS n"
+_CARD = f"card AS (SELECT strategy, {_MEANS}, count_if(shown = 0)::BIGINT AS errors, {K} AS k FROM qm GROUP BY strategy)"
 _RATERS = "raters AS (SELECT source, quality + toxic AS a, least(n_chars // 1000, 2) AS b FROM labels JOIN documents USING (doc_id))"
-_AUDIT = f"""
-    docs AS (SELECT doc_id AS ref_id, source AS norm, sha256(text) AS th FROM documents),
-    shown AS (SELECT question_id, rank AS claim, chunk_id AS ref_id, norm, th FROM bm25 JOIN docs ON chunk_id = ref_id),
+_AUDIT = """
+    docs AS (SELECT doc_id AS ref_id, source AS norm, sha256(text) AS th, text FROM documents),
+    shown AS (SELECT question_id, rank AS claim, chunk_id AS ref_id, norm, th, text FROM bm25 JOIN docs ON chunk_id = ref_id),
     vers AS (SELECT norm, min(th) AS hash FROM docs WHERE norm <> 'src3' GROUP BY norm),
     checks AS (SELECT question_id, claim, ref_id, ref_id % 7 <> 0 AS well_formed, ref_id % 5 <> 0 AS exists, hash IS NOT NULL AS in_document, claim <= 4 AS retrieved, coalesce(claim <= 4 AND th = hash, false) AS hash_matches
-               FROM shown LEFT JOIN vers USING (norm))"""
+               FROM shown LEFT JOIN vers USING (norm) WHERE claim <> 3),
+    good AS (SELECT *, well_formed AND exists AND in_document AND retrieved AS valid FROM checks),
+    cl AS (SELECT s.question_id, s.claim, s.claim <> 2 AS material, s.claim <> 3 AS cites, CASE WHEN g.valid THEN CASE WHEN s.ref_id % 2 = 0 THEN 'supported' ELSE 'unsupported' END END AS verdict,
+           coalesce(g.valid AND s.ref_id % 2 = 0, false) AS supported FROM shown s LEFT JOIN good g USING (question_id, claim)),
+    o1 AS (SELECT question_id, bool_and(supported OR NOT material) AS every, bool_or(supported AND material) AS some FROM cl GROUP BY 1),
+    o2 AS (SELECT question_id, bool_and(supported OR NOT material) AS every, bool_or(supported AND material) AS some FROM cl WHERE supported OR (claim = 1 AND question_id % 3 = 0) OR (claim = 5 AND question_id % 4 = 1) GROUP BY 1),
+    outcomes AS (SELECT o1.question_id, CASE WHEN o1.question_id % 10 = 7 THEN 'audit_failed' WHEN o1.every OR o2.question_id IS NULL OR o2.every THEN 'accepted' WHEN o2.some THEN 'accepted_with_caveat' ELSE 'abstain' END AS outcome,
+                 o1.question_id % 10 <> 7 AND NOT o1.every AS rewritten FROM o1 LEFT JOIN o2 USING (question_id)),
+    statuses AS (SELECT question_id, claim, CASE WHEN NOT well_formed THEN 'malformed_citation' WHEN NOT (exists AND retrieved) THEN 'citation_not_verifiable' WHEN verdict IS NULL THEN 'not_semantically_verified' ELSE verdict END AS status FROM cl LEFT JOIN checks USING (question_id, claim))"""
+_ANSWERS = """
+    ad AS (SELECT d.*, quality, toxic, doc_id % 11 = 0 AS lost, doc_id % 11 <> 0 AND doc_id % 7 = 0 AS failed FROM documents d JOIN labels USING (doc_id) WHERE text IS NOT NULL),
+    ans AS (SELECT doc_id AS question_id, CASE doc_id % 3 WHEN 0 THEN 'dense' WHEN 1 THEN 'sparse_bm25' ELSE 'raptor' END AS strategy, CASE WHEN doc_id % 5 > 0 THEN lang END AS query_class, toxic = 1 AS unanswerable, source,
+            CASE WHEN lost THEN 'failed' ELSE 'succeeded' END AS retrieval_status, CASE WHEN lost THEN 'not_applicable' WHEN failed THEN 'failed' ELSE 'succeeded' END AS generation_status,
+            CASE WHEN lost OR failed THEN 'not_applicable' WHEN doc_id % 13 = 0 THEN 'failed' ELSE 'succeeded' END AS judge_status,
+            (n_chars % 3) / 2 AS faithfulness, (n_chars % 5) / 4 AS answer_relevancy, quality::DOUBLE AS abstention_appropriate, CASE WHEN toxic = 0 THEN round((doc_id % 4) / 3, 6) END AS citation_accuracy,
+            substr(text, 1, 200) || ' [a::b]' || CASE doc_id % 4 WHEN 0 THEN ' [bad]' WHEN 1 THEN ' sem salvo' ELSE '' END AS answer_text, CASE WHEN toxic = 1 THEN 0 ELSE doc_id % 3 END AS n_refs, text FROM ad),
+    usable AS (SELECT * FROM ans WHERE generation_status = 'succeeded' AND judge_status = 'succeeded'),
+    dims AS (SELECT *, unnest(CASE WHEN unanswerable THEN ['faithfulness', 'answer_relevancy', 'abstention'] ELSE ['faithfulness', 'answer_relevancy'] END) AS dimension FROM ans),
+    lab AS (SELECT question_id || '-' || strategy || '-' || dimension AS sample_id, question_id, strategy, dimension, generation_status = 'succeeded' AND judge_status = 'succeeded' AS usable,
+            CASE dimension WHEN 'faithfulness' THEN faithfulness WHEN 'answer_relevancy' THEN answer_relevancy ELSE abstention_appropriate END AS judge_score FROM dims),
+    scored AS (SELECT *, ((length(sample_id) * 7 + question_id) % 3) / 2 AS human_score FROM lab WHERE usable)"""
+_TAGS = r"""
+    base AS (SELECT *, coalesce(query_class, 'unclassified') AS qc, CASE WHEN unanswerable THEN 'unanswerable' ELSE 'answerable' END AS able, CASE WHEN strategy IN ('dense', 'raptor') THEN 'strong' ELSE 'weak' END AS strong FROM usable),
+    cites AS (SELECT *, list_distinct(regexp_extract_all(answer_text, '\[([^\[\]]+)\]', 1)) AS c FROM base),
+    tags AS (SELECT question_id, strategy, concat_ws(':', qc, able, strong) AS stratum, list_sort(list_filter([concat_ws(':', 'stratum', qc, able, strong), 'class:' || qc, 'answerability:' || able, 'strategy:' || strong,
+            CASE WHEN faithfulness >= 2 / 3 AND answer_relevancy >= 2 / 3 THEN 'answer_quality:complete' ELSE 'answer_quality:partial' END,
+            CASE WHEN coalesce(citation_accuracy, 1) < 1 OR len(list_filter(c, lambda x: NOT (len(string_split(x, '::')) IN (2, 3) AND NOT list_contains(string_split(x, '::'), '')))) > 0 OR len(list_filter(c, lambda x: contains(x, ','))) > 0 THEN 'citation:unsupported' END,
+            CASE WHEN regexp_matches('pergunta' || chr(10) || answer_text, '(?i)(^|[^\p{L}\p{N}_])(não|nunca|sem|veda(do|da)?|proibi(do|da))($|[^\p{L}\p{N}_])') THEN 'language:negation' END,
+            CASE WHEN regexp_matches('pergunta' || chr(10) || answer_text, '(?i)(^|[^\p{L}\p{N}_])(salvo|exceto|ressalvad[\p{L}\p{N}_]*|desde que|a menos que)($|[^\p{L}\p{N}_])') THEN 'language:exception' END,
+            CASE WHEN n_refs > 1 THEN 'reasoning:cross_reference' END, CASE WHEN regexp_matches(answer_text, '[0-9%]|R\$') THEN 'claim:numerical' END], lambda x: x IS NOT NULL)) AS features FROM cites)"""
+_KAPPA = """
+    pr AS (SELECT scope, CASE WHEN judge_score < 1 / 3 THEN 0 WHEN judge_score < 2 / 3 THEN 1 ELSE 2 END AS a, CASE WHEN human_score < 1 / 3 THEN 0 WHEN human_score < 2 / 3 THEN 1 ELSE 2 END AS b, judge_score AS js, human_score AS hs, dimension
+           FROM (SELECT *, unnest(['overall', dimension]) AS scope FROM scored)),
+    cat AS (SELECT scope, x, row_number() OVER (PARTITION BY scope ORDER BY x) - 1 AS i FROM (SELECT scope, a AS x FROM pr UNION SELECT scope, b FROM pr)), pij AS (SELECT pr.scope, ca.i AS i, cb.i AS j FROM pr JOIN cat ca ON ca.scope = pr.scope AND ca.x = a JOIN cat cb ON cb.scope = pr.scope AND cb.x = b),
+    ob AS (SELECT scope, sum((i - j) ** 2)::DOUBLE AS seen, count(*) AS n FROM pij GROUP BY 1), mi AS (SELECT scope, i, count(*) AS c FROM pij GROUP BY ALL), mj AS (SELECT scope, j, count(*) AS c FROM pij GROUP BY ALL),
+    ex AS (SELECT mi.scope, sum((i - j) ** 2 * mi.c * mj.c)::DOUBLE AS chance FROM mi JOIN mj ON mi.scope = mj.scope GROUP BY 1),
+    rk AS (SELECT scope, rank() OVER (PARTITION BY scope ORDER BY js) + (count(*) OVER (PARTITION BY scope, js) - 1) / 2 AS ra, rank() OVER (PARTITION BY scope ORDER BY hs) + (count(*) OVER (PARTITION BY scope, hs) - 1) / 2 AS rb FROM pr),
+    sp AS (SELECT scope, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) END AS spearman FROM rk GROUP BY 1),
+    su AS (SELECT scope, round(coalesce(count_if(dimension = 'faithfulness' AND js >= 0.5 AND hs < 0.5) / nullif(count_if(dimension = 'faithfulness' AND js >= 0.5), 0), 0), 6) AS false_supported,
+           round(coalesce(count_if(dimension = 'faithfulness' AND js < 0.5 AND hs >= 0.5) / nullif(count_if(dimension = 'faithfulness' AND js < 0.5), 0), 0), 6) AS false_unsupported,
+           round(coalesce(count_if(dimension = 'abstention' AND (js >= 0.5) = (hs >= 0.5)) / nullif(count_if(dimension = 'abstention'), 0), 0), 6) AS abstention_agreement FROM pr GROUP BY 1),
+    rep AS (SELECT scope, round(CASE WHEN chance = 0 THEN 1.0 ELSE 1 - seen * n / chance END, 6) AS weighted_kappa, n, spearman, false_supported, false_unsupported, abstention_agreement, scope <> 'abstention' AS required,
+            scope = 'abstention' OR round(CASE WHEN chance = 0 THEN 1.0 ELSE 1 - seen * n / chance END, 6) >= 0.6 AS passed FROM ob JOIN ex USING (scope) JOIN sp USING (scope) JOIN su USING (scope))"""
+_PAGE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<![^>]*>|<script([\s/][^>]*)?>.*?</script\s*>|<style([\s/][^>]*)?>.*?</style\s*>', '', 'g'), '\s+', ' ', 'g'), '(?i)</?(p|div|br|li|tr|table|h1|h2|h3|h4|h5|h6)([\s/][^>]*)?>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
+for _name, _letter in {**tx.REFERENCES, "amp": "&"}.items():
+    _PAGE = f"replace({_PAGE}, '&{_name};', chr({ord(_letter)}))"
+_MANIFESTS = "man AS (SELECT o_orderkey::VARCHAR AS run_id, o_orderkey % 7 = 0 AS no_sha, o_orderstatus AS st, o_orderkey % 3 = 0 AS no_time FROM orders)"
+_NORMS = """
+    ln AS (SELECT k, n, p FROM (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY l, p) AS n FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS l, l_partkey AS p FROM lineitem)) WHERE n <= 7), pre AS (SELECT DISTINCT k, 'N-' || k || CASE WHEN k % 4 = 1 THEN '::anexo-1-art-' ELSE '::art-' END || k AS art, CASE WHEN k % 4 = 0 THEN 'CAPITULO I' WHEN k % 4 = 1 THEN 'ANEXO' ELSE '' END AS heads FROM ln),
+    nodes AS (SELECT k, 0 AS o, art AS ref, 'article' AS kind, 'Artigo ' || k || ' Order.' AS text, heads FROM pre UNION ALL
+              SELECT k, -1, 'N-' || k || '::preamble', 'preamble', 'Preamble', '' FROM pre WHERE k % 4 = 0 UNION ALL
+              SELECT k, n, art || CASE n WHEN 1 THEN '::par-1' WHEN 2 THEN '::par-1-inc-i' WHEN 3 THEN '::par-1-inc-i-ali-a' WHEN 4 THEN '::par-unico' WHEN 5 THEN '::par-unico-inc-ii' ELSE '::par-2' END, CASE n WHEN 2 THEN 'inciso' WHEN 3 THEN 'alinea' WHEN 5 THEN 'inciso' ELSE 'paragraph' END,
+                     CASE n WHEN 1 THEN '§ 1º item ' WHEN 2 THEN 'I - item ' WHEN 3 THEN 'a) item ' WHEN 4 THEN 'Parágrafo único. item ' WHEN 5 THEN 'II — item ' ELSE '§ 2 item ' END || p
+                     || CASE WHEN n = 5 THEN coalesce((SELECT chr(10) || 'goes on ' || x.p FROM ln x WHERE x.k = ln.k AND x.n = 6), '') ELSE '' END, heads FROM ln JOIN pre USING (k) WHERE n <> 6),
+    whole AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'Preamble' || chr(10) || 'CAPITULO I' || chr(10) WHEN k % 4 = 1 THEN 'ANEXO' || chr(10) ELSE '' END || string_agg(text, chr(10) ORDER BY o) FILTER (WHERE o >= 0) AS text FROM nodes GROUP BY k)"""
 
 ORACLE_SQL: dict[str, str] = {
     "qrels": f"WITH {_QRELS} SELECT * FROM qrels",
@@ -359,31 +751,8 @@ ORACLE_SQL: dict[str, str] = {
     "dense_topk": """WITH x AS (SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score
         FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
         SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM x) WHERE rank <= 10""",
-    "hybrid_rrf": f"WITH {_bm25(_DOCS)}, {_OVERLAP}, {_HYBRID} SELECT * FROM hybrid",
-    "reranked": f"""WITH {_bm25(_DOCS, 50)}, p AS (SELECT question_id, rank AS r, chunk_id, list_distinct({_TOK.format("b.text")}) AS q, list_distinct({_TOK.format("d.text")}) AS t
-        FROM bm25 JOIN benchmark b ON item_id = question_id JOIN documents d ON doc_id = chunk_id), s AS (SELECT *, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM p)
-        SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, r) AS rank, chunk_id, score FROM s) WHERE rank <= {K}""",
-    "parent_child": f"""WITH {_LINES}, {_bm25("SELECT chunk_id, text FROM frags")}, e AS (SELECT question_id, parent_id, min(rank) AS r, arg_min(score, rank) AS score FROM bm25 JOIN (SELECT chunk_id, min(parent_id) AS parent_id FROM frags GROUP BY 1) USING (chunk_id) GROUP BY ALL)
-        SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank, parent_id AS chunk_id, score FROM e""",
-    "contextual_bm25": f"""WITH {_bm25("SELECT doc_id AS chunk_id, concat_ws(' ', source, lang) || chr(10) || chr(10) || text AS text FROM documents")} SELECT * FROM bm25""",
-    "sac_bm25": f"""WITH {_bm25("SELECT doc_id AS chunk_id, substr(split_part(text, chr(10), 1), 1, 120) || chr(10) || chr(10) || text AS text FROM documents")} SELECT * FROM bm25""",
-    "graph_local": f"""WITH w AS (SELECT DISTINCT doc_id AS chunk_id, unnest({_TOK.format("text")}) AS term FROM documents), e AS (SELECT * FROM w WHERE term IN (SELECT term FROM w GROUP BY term HAVING count(*) <= 5)),
-        q AS (SELECT DISTINCT item_id AS question_id, unnest({_TOK.format("text")}) AS term FROM benchmark), near AS (SELECT question_id, chunk_id, count(*)::DOUBLE AS w FROM q JOIN e USING (term) GROUP BY ALL),
-        far AS (SELECT question_id, b.chunk_id, count(*) * 0.5 AS w FROM near JOIN e a USING (chunk_id) JOIN e b ON a.term = b.term AND b.chunk_id <> a.chunk_id GROUP BY ALL),
-        t AS (SELECT question_id, chunk_id, round(sum(w), 6) AS s FROM (SELECT * FROM near UNION ALL SELECT * FROM far) GROUP BY ALL),
-        k AS (SELECT * FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, chunk_id) AS rank FROM t) WHERE rank <= {K})
-        SELECT question_id, rank, o.owner AS chunk_id, 1.0::DOUBLE / rank AS score FROM k JOIN documents d ON doc_id = chunk_id JOIN (SELECT trim(text, ' ') AS c, max(doc_id) AS owner FROM documents GROUP BY 1) o ON o.c = trim(d.text, ' ')""",
-    "question_metrics": _ALL + "SELECT * FROM qm",
-    "strategy_scorecard": _ALL + f"SELECT strategy, {_MEANS} FROM qm GROUP BY strategy",
-    "breakdown_by_norm": _ALL + f"SELECT strategy, member, {_MEANS}, 'document' AS dimension FROM qm JOIN (SELECT DISTINCT question_id, norm AS member FROM qrels) USING (question_id) GROUP BY strategy, member",
     "chunk_documents": f"WITH {_LINES} SELECT chunk_id, parent_id, role, length(text) AS n_chars FROM frags",
-    "citation_parse": "SELECT doc_id, source || '::doc-' || doc_id || ',' || source || ',a::b::c' AS candidates, source || '::doc-' || doc_id || ',a::b::c' AS citations FROM documents",
     "citation_accuracy": f"""WITH {_bm25(_DOCS)}, {_QRELS} SELECT b.question_id, round(count(q.ref_id) / count(*), 6) AS citation_accuracy FROM bm25 b LEFT JOIN qrels q ON q.question_id = b.question_id AND q.ref_id = b.chunk_id WHERE b.question_id IN (SELECT question_id FROM qrels) GROUP BY 1""",
-    "citation_checks": f"WITH {_bm25(_DOCS)}, {_AUDIT} SELECT * FROM checks",
-    "audit_rates": f"""WITH {_bm25(_DOCS)}, {_AUDIT} SELECT round(avg((NOT well_formed)::INT), 6) AS not_well_formed_rate, round(avg((NOT exists)::INT), 6) AS not_exists_rate, round(avg((NOT in_document)::INT), 6) AS not_in_document_rate,
-        round(avg((NOT retrieved)::INT), 6) AS not_retrieved_rate, round(avg((NOT hash_matches)::INT), 6) AS not_hash_matches_rate, count(*) AS n FROM checks""",
-    "audit_outcomes": f"""WITH {_bm25(_DOCS)}, {_AUDIT}, s AS (SELECT question_id, claim <> 2 AS material, well_formed AND exists AND in_document AND retrieved AND ref_id % 2 = 0 AS ok FROM checks)
-        SELECT question_id, CASE WHEN bool_and(ok OR NOT material) THEN 'accepted' WHEN bool_or(ok AND material) THEN 'accepted_with_caveat' ELSE 'abstain' END AS outcome, count(*) AS claims FROM s GROUP BY 1""",
     "stratified_split": """SELECT doc_id, lang, CASE WHEN i <= least(greatest(round_even(n * 0.15, 0), 1), n - 1) THEN 'validation' ELSE 'test' END AS partition FROM (
         SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('split-v1:' || lang || ':' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)""",
     "stratified_sample": """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT sum(n) AS total, count(*) AS k, least(97, sum(n)) - count(*) AS room FROM c),
@@ -396,16 +765,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT source, round(CASE WHEN chance = 0 THEN 1.0 ELSE 1 - seen * n / chance END, 6) AS kappa, n FROM o JOIN x USING (source)""",
     "spearman_report": f"""WITH {_RATERS}, r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY a) + (count(*) OVER (PARTITION BY source, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY source ORDER BY b) + (count(*) OVER (PARTITION BY source, b) - 1) / 2 AS rb FROM raters)
         SELECT source, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) END AS spearman, count(*) AS n FROM r GROUP BY source""",
-    "support_rates": f"""WITH {_RATERS}, t AS (SELECT source, a >= 1 AS up, b >= 1 AS yes FROM raters) SELECT source, coalesce(round(count_if(up AND NOT yes) / nullif(count_if(NOT yes), 0), 6), 0) AS false_supported,
-        coalesce(round(count_if(NOT up AND yes) / nullif(count_if(yes), 0), 6), 0) AS false_unsupported, round(count_if(up = yes) / count(*), 6) AS agreement FROM t GROUP BY source""",
     "circuit_breaker": """WITH e AS (SELECT user_id, ts, event_id, event_type <> 'purchase' AS failed, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
         r AS (SELECT *, sum(failed::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS run FROM e),
         s AS (SELECT *, coalesce(max(run) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS worst FROM r)
         SELECT event_id, CASE WHEN worst >= 5 THEN 'skipped' WHEN failed THEN 'failed' ELSE 'succeeded' END AS status FROM s""",
-    "hash_chain_verify": """WITH e AS (SELECT user_id, event_id, event_type || '/' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events),
-        k AS (SELECT *, lag(sequence) OVER (PARTITION BY user_id ORDER BY sequence) AS last FROM e WHERE event_id % 29 <> 0),
-        f AS (SELECT user_id::VARCHAR AS run_id, sequence, CASE WHEN last IS NOT NULL AND sequence <> last + 1 THEN 'sequence gap' WHEN last IS NULL AND sequence > 1 THEN 'broken link' WHEN event_id % 13 = 0 THEN 'content changed' END AS fault FROM k)
-        SELECT * FROM f WHERE fault IS NOT NULL""",
     "latest_record_dedup": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1",
     "record_merge": """WITH a AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
         SELECT o_orderkey, 'succeeded' AS retrieval_status, CASE WHEN n IS NULL THEN 'not_applicable' WHEN n > 1 THEN 'failed' ELSE 'succeeded' END AS answer_status,
@@ -416,10 +779,87 @@ ORACLE_SQL: dict[str, str] = {
     "integrity_keys": """WITH a AS (SELECT o_custkey AS k, count(*) AS l FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, count(*) AS r FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1),
         f AS (SELECT CASE WHEN l IS NULL THEN 'missing left' WHEN r IS NULL THEN 'missing right' WHEN l > 1 OR r > 1 THEN 'duplicate' END AS reason FROM a FULL JOIN b USING (k)) SELECT reason, count(*) AS n FROM f WHERE reason IS NOT NULL GROUP BY 1""",
     "append_absent": "SELECT doc_id, 'old' AS origin FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 0",
-    "corpus_hash": "SELECT source, sha256(array_to_string(list_sort(list(doc_id || ':' || sha256(text))), '|')) AS content_hash FROM documents GROUP BY source",
     "index_namespace": "SELECT lang, substr(sha256('v1|' || lang || '|' || count(*) || '|True'), 1, 16) AS namespace FROM documents GROUP BY lang",
     "slugs": "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' -- ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part",
+    **{label: f"WITH {sql} SELECT * FROM {label}" for label, sql in _STRATEGY_SQL.items()},
+    "raptor_levels": f"WITH {_TREE} SELECT doc_id, level, ord, text, len(ids) AS n_ids FROM tree",
+    "question_metrics": _ALL + "SELECT strategy, question_id, recall, precision, mrr, ndcg, drm FROM qm",
+    "strategy_scorecard": _ALL + f", {_CARD} SELECT * FROM card",
+    "scorecard_lines": _ALL + f""", {_CARD} SELECT row_number() OVER (ORDER BY ndcg DESC, mrr DESC, strategy) AS place, strategy, rpad(strategy, 14, ' ') || ' ' || format('{{:9.3f}} {{:12.3f}} {{:8.3f}} {{:6.3f}} {{:7.3f}} {{:4d}} {{:6d}}', recall, precision, ndcg, mrr, drm, n, errors) AS line FROM card""",
+    "breakdown_by_norm": _ALL + f"SELECT strategy, member, {_MEANS}, 'document' AS dimension FROM qm JOIN (SELECT DISTINCT question_id, norm AS member FROM qrels) USING (question_id) GROUP BY strategy, member",
+    "ordered_ids": f"""WITH {_bm25(_DOCS)}, x AS (SELECT question_id, rank, unnest([source, source || '::' || lang]) AS r, unnest([0, 1]) AS i FROM bm25 JOIN documents ON doc_id = chunk_id),
+        f AS (SELECT question_id, r, min(rank * 10 + i) AS pl FROM x GROUP BY ALL) SELECT question_id, string_agg(r, ',' ORDER BY pl) AS ids FROM f GROUP BY 1""",
+    "embed_missing": f"SELECT sha256(text) AS text, count(*) AS n, len({_TOK.format('text')}) AS words FROM conversations GROUP BY conversations.text",
+    "citation_parse": r"""WITH t AS (SELECT doc_id, regexp_extract_all('See [' || source || '::doc-' || doc_id || '] and [' || source || '] [' || source || '::doc-' || doc_id || '].[a::b::c]', '\[([^\[\]]+)\]', 1) AS c FROM documents),
+        u AS (SELECT doc_id, list_filter(c, lambda x, i: list_position(c, x) = i) AS c FROM t)
+        SELECT doc_id, array_to_string(c, ',') AS candidates, array_to_string(list_filter(c, lambda x: len(string_split(x, '::')) IN (2, 3) AND NOT list_contains(string_split(x, '::'), '')), ',') AS citations FROM u""",
     "claim_segments": r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-ZÀ-Ú"\[])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS c FROM conversations)
-        SELECT conv_id, turn, pos - 1 AS pos, claim, contains(lower(claim), 'não encontrei') OR contains(lower(claim), 'não há informação') OR contains(lower(claim), 'não é possível responder') OR contains(lower(claim), 'insufficient information') OR contains(lower(claim), 'cannot answer') OR contains(lower(claim), 'no information') AS abstains
+        SELECT conv_id, turn, pos - 1 AS pos, claim, regexp_matches(lower(claim), 'não há evidência|evidência insuficiente|não foi possível|insuficiente para responder|não consta|não localizei') AS abstains
         FROM (SELECT conv_id, turn, unnest(c) AS claim, generate_subscripts(c, 1) AS pos FROM s)""",
+    "citation_checks": f"WITH {_bm25(_DOCS)}, {_AUDIT} SELECT * FROM checks",
+    "audit_outcomes": f"WITH {_bm25(_DOCS)}, {_AUDIT} SELECT * FROM outcomes",
+    "audit_rates": f"""WITH {_bm25(_DOCS)}, {_AUDIT}, c AS (SELECT count_if(NOT well_formed) / count(*) AS a, count_if(well_formed AND NOT exists) / count_if(well_formed) AS b, count_if(well_formed AND exists AND NOT retrieved) / count_if(well_formed AND exists) AS c FROM checks),
+        m AS (SELECT count_if(material AND NOT cites) / count_if(material) AS d, count_if(material AND verdict <> 'supported') / count_if(material AND verdict IS NOT NULL) AS e FROM cl),
+        o AS (SELECT count_if(rewritten) / count(*) AS f, count_if(rewritten AND outcome LIKE 'accepted%') / count_if(rewritten) AS g, count_if(outcome = 'abstain') / count(*) AS h, count(*) AS n FROM outcomes)
+        SELECT round(a, 6) AS malformed_citation_rate, round(b, 6) AS nonexistent_citation_rate, round(c, 6) AS citation_not_in_context_rate, round(d, 6) AS uncited_material_claim_rate, round(e, 6) AS unsupported_claim_rate,
+               round(f, 6) AS rewrite_rate, round(g, 6) AS rewrite_success_rate, round(h, 6) AS abstention_rate, n FROM c, m, o""",
+    "claim_status": f"WITH {_bm25(_DOCS)}, {_AUDIT} SELECT * FROM statuses",
+    "valid_sources": f"""WITH {_bm25(_DOCS)}, {_AUDIT}, v AS (SELECT question_id, s.text, min(s.claim) AS pl FROM good g JOIN shown s USING (question_id, claim) WHERE valid GROUP BY ALL)
+        SELECT question_id, count(*) AS n, sha256(string_agg(text, '|' ORDER BY pl)) AS digest FROM v GROUP BY 1""",
+    "audit_lineage": f"""WITH {_bm25(_DOCS)}, {_AUDIT}, w AS (SELECT question_id, string_agg(claim || ':' || status, ',' ORDER BY claim) AS claims FROM statuses GROUP BY 1)
+        SELECT question_id, outcome, rewritten::INT AS rewrite_count, sha256('"Ol\\u00e1 \\"q' || question_id || '\\"\\n"') AS original_answer_hash, sha256('"fim"') AS final_answer_hash, claims FROM outcomes JOIN w USING (question_id)""",
+    "judge_lineage": """SELECT doc_id AS question_id, sha256('{"abstention_appropriate": ' || CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END || ', "abstention_rationale": "raz\\u00e3o ' || doc_id || '", "answer_relevancy": 0.5, "faithfulness": ' || quality || '}') AS raw_output_hash FROM labels""",
+    "context_blocks": f"WITH {_bm25(_DOCS)} SELECT question_id, sha256(string_agg('[structural_ids: ' || source || '::doc-' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM bm25 JOIN documents ON doc_id = chunk_id GROUP BY 1",
+    "support_rates": f"""WITH {_RATERS}, t AS (SELECT source, a >= 1 AS up, b >= 1 AS yes FROM raters) SELECT source, coalesce(round(count_if(up AND NOT yes) / nullif(count_if(up), 0), 6), 0) AS false_supported,
+        coalesce(round(count_if(NOT up AND yes) / nullif(count_if(NOT up), 0), 6), 0) AS false_unsupported, round(count_if(up = yes) / count(*), 6) AS agreement FROM t GROUP BY source""",
+    "hash_chain_verify": """WITH e AS (SELECT user_id::VARCHAR AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events),
+        k AS (SELECT *, lag(sequence) OVER (PARTITION BY run_id ORDER BY sequence) AS last FROM e WHERE event_id % 29 <> 0)
+        SELECT run_id, sequence, 'content changed' AS fault FROM k WHERE event_id % 13 = 0 UNION ALL SELECT run_id, sequence, 'sequence gap' FROM k WHERE sequence <> last + 1
+        UNION ALL SELECT run_id, sequence, 'broken link' FROM k WHERE coalesce(last, 0) <> sequence - 1""",
+    "stage_durations": "SELECT user_id::VARCHAR AS run_id, 'use' AS stage, event_type AS name, (max(event_id) FILTER (WHERE event_id % 2 = 1) - min(event_id) FILTER (WHERE event_id % 2 = 0))::DOUBLE AS seconds FROM events GROUP BY ALL",
+    "corpus_hash": "SELECT sha256(array_to_string(list_sort(list(s_name || ':' || sha256(s_suppkey::VARCHAR))), '|')) AS content_hash FROM supplier WHERE s_suppkey % 2 = 0",
+    "answer_means": f"""WITH {_ANSWERS} SELECT strategy, round(coalesce(avg(citation_accuracy) FILTER (WHERE j), 0), 6) AS citation_accuracy, round(coalesce(avg(faithfulness) FILTER (WHERE j), 0), 6) AS faithfulness, round(coalesce(avg(answer_relevancy) FILTER (WHERE j), 0), 6) AS answer_relevancy,
+        round(coalesce(avg(abstention_appropriate) FILTER (WHERE j), 0), 6) AS abstention_appropriate, count(citation_accuracy) FILTER (WHERE j) AS citation_n, count_if(j)::BIGINT AS answer_n, count_if(generation_status = 'failed' OR judge_status = 'failed')::BIGINT AS answer_errors
+        FROM (SELECT *, judge_status = 'succeeded' AS j FROM ans) GROUP BY 1""",
+    "record_breakdowns": f"""WITH {_ANSWERS}, g AS (SELECT *, unnest(['query_class', 'document']) AS dimension, unnest([coalesce(query_class, 'unknown'), CASE WHEN n_refs = 0 THEN '__unanswerable__' ELSE source END]) AS member FROM ans),
+        c AS (SELECT dimension, strategy, member, count(*) AS selected, count_if(retrieval_status = 'succeeded')::BIGINT AS retrieval_succeeded, count_if(generation_status = 'succeeded')::BIGINT AS answer_succeeded FROM g GROUP BY ALL),
+        v AS (SELECT dimension, strategy, member, metric, round(avg(value), 6) AS mean, count(value) AS n FROM (SELECT dimension, strategy, member, unnest(['faithfulness', 'answer_relevancy', 'abstention_appropriate', 'citation_accuracy']) AS metric, unnest([faithfulness, answer_relevancy, abstention_appropriate, citation_accuracy]) AS value FROM g) WHERE value IS NOT NULL GROUP BY ALL)
+        SELECT * FROM c JOIN v USING (dimension, strategy, member)""",
+    "calibration_features": f"WITH {_ANSWERS}, {_TAGS} SELECT question_id, strategy, stratum, array_to_string(features, ',') AS features FROM tags",
+    "feature_coverage": f"WITH {_ANSWERS}, {_TAGS} SELECT feature, count(*) AS n FROM (SELECT unnest(features) AS feature FROM tags) GROUP BY 1",
+    "calibration_labels": f"WITH {_ANSWERS} SELECT sample_id, dimension, NULL::DOUBLE AS human_score FROM lab",
+    "calibration_sealed": f"WITH {_ANSWERS} SELECT sample_id, judge_score FROM lab WHERE usable",
+    "calibration_report": f"WITH {_ANSWERS}, {_KAPPA} SELECT * FROM rep",
+    "calibration_gate": f"WITH {_ANSWERS}, {_KAPPA} SELECT bool_and(passed) FILTER (WHERE required) AND count_if(required) = 3 AS passed, coalesce(string_agg(scope, ',' ORDER BY scope) FILTER (WHERE required AND NOT passed), '') AS failed, 0.6::DOUBLE AS floor, 0.7::DOUBLE AS target FROM rep",
+    "calibration_disagreements": f"WITH {_ANSWERS}, {_KAPPA} SELECT sample_id, judge_score, human_score FROM scored WHERE CASE WHEN judge_score < 1 / 3 THEN 0 WHEN judge_score < 2 / 3 THEN 1 ELSE 2 END <> CASE WHEN human_score < 1 / 3 THEN 0 WHEN human_score < 2 / 3 THEN 1 ELSE 2 END",
+    "calibration_faults": f"""WITH {_ANSWERS} SELECT CASE WHEN question_id % 17 = 0 THEN 'missing left' ELSE 'missing right' END AS fault, sample_id FROM scored WHERE (question_id % 17 = 0) <> (question_id % 29 = 0)
+        UNION ALL SELECT CASE WHEN question_id % 19 = 0 THEN 'no score' ELSE 'not a score' END, sample_id FROM scored WHERE question_id % 17 <> 0 AND (question_id % 19 = 0 OR question_id % 23 = 0)""",
+    "worksheet": f"""WITH {_ANSWERS} SELECT question_id, sha256(concat_ws(chr(10) || chr(10), '## `' || question_id || '-' || strategy || '`' || CASE WHEN unanswerable THEN ' (unanswerable)' ELSE '' END, '### Question', 'pergunta', '### Contexts', '#### Context 1' || chr(10) || chr(10) || '> ' || source, '### Answer', trim(answer_text, ' '),
+        '### Scores', '| faithfulness | |' || chr(10) || '| answer_relevancy | |' || CASE WHEN unanswerable THEN chr(10) || '| abstention | |' ELSE '' END)) AS digest FROM usable""",
+    "checkpoint_status": f"WITH {_ANSWERS} SELECT DISTINCT strategy, strategy <> 'dense' AS complete FROM ans",
+    "identity_faults": """WITH n AS (SELECT s_suppkey AS run_id, s_name AS model, s_nationkey::VARCHAR AS split FROM supplier)
+        SELECT run_id, 'model' AS field, CASE WHEN run_id % 9 > 0 AND run_id % 4 > 0 THEN model END AS previous, model AS current FROM n WHERE run_id % 9 = 0 OR run_id % 4 = 0
+        UNION ALL SELECT run_id, 'split', CASE WHEN run_id % 9 > 0 THEN 'other' END, split FROM n WHERE run_id % 9 = 0 OR run_id % 5 = 0""",
+    "manifest_faults": f"""WITH {_MANIFESTS} SELECT run_id, 'git_sha is missing' AS fault FROM man WHERE no_sha UNION ALL SELECT run_id, 'unknown status' FROM man WHERE st NOT IN ('F', 'O') UNION ALL SELECT run_id, 'completed without evidence' FROM man WHERE st = 'F' AND no_time""",
+    "artifacts_missing": f"WITH {_MANIFESTS} SELECT run_id, s AS strategy FROM (SELECT run_id, unnest(['dense', 'raptor']) AS s FROM man WHERE st = 'F') WHERE (run_id, s) NOT IN (SELECT l_orderkey::VARCHAR, CASE WHEN l_returnflag = 'R' THEN 'raptor' ELSE 'dense' END FROM lineitem)",
+    "question_artifacts": f"""WITH {_bm25(_DOCS)} SELECT item_id AS question_id, 'bm25' AS strategy, '{{"question_record":{{"question_id":' || item_id || ',"strategy":"bm25","retrieval_status":"succeeded"}},"candidate_lineage":[' || coalesce(string_agg('{{"candidate_rank":' || (rank - 1) || ',"chunk_id":' || chunk_id || ',"score":0.5}}', ',' ORDER BY rank), '') || ']}}' AS body
+        FROM benchmark LEFT JOIN bm25 ON question_id = item_id GROUP BY item_id""",
+    "merge_summaries": "SELECT n_name AS strategy, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS body FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 > 0",
+    "pending_strategies": "SELECT n_name AS strategy, n_nationkey AS ord FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0)",
+    "split_judgments": "SELECT doc_id AS question_id, doc_id AS ord, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('split-v1:' || lang || ':' || doc_id), doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE i <= least(greatest(round_even(n * 0.15, 0), 1), n - 1)",
+    "split_faults": """SELECT doc_id AS question_id, 'duplicated' AS fault FROM documents WHERE doc_id % 10 > 0 AND doc_id % 7 = 0 UNION ALL SELECT doc_id, 'unknown' FROM documents WHERE doc_id % 9 = 0 AND (doc_id % 10 > 0 OR doc_id % 7 = 0)
+        UNION ALL SELECT doc_id, 'not selected' FROM documents WHERE doc_id % 9 > 0 AND doc_id % 10 = 0 AND doc_id % 7 > 0""",
+    "source_faults": """SELECT p_name AS norm_id, p_partkey::VARCHAR AS source_path, CASE WHEN p_partkey % 13 = 0 THEN 'hash or count not given' WHEN p_partkey % 5 = 0 THEN 'file not found' ELSE 'hash differs' END AS fault FROM part
+        WHERE p_partkey % 2 = 0 AND (p_partkey % 13 = 0 OR p_partkey % 5 = 0 OR (p_partkey % 6 = 0 AND p_type <> 'x'))""",
+    "published_runs": """WITH n AS (SELECT *, '20260726T' || lpad(n_nationkey::VARCHAR, 6, '0') || CASE WHEN n_nationkey % 5 = 4 THEN '' ELSE 'Z' END AS run_id FROM nation)
+        SELECT run_id, n_name AS title, CASE WHEN n_nationkey % 5 = 4 THEN 'run id is malformed' WHEN n_nationkey = 0 THEN 'run id is listed twice' WHEN n_nationkey % 7 = 1 THEN 'files are missing or of another run' WHEN n_nationkey % 6 = 5 THEN 'not completed'
+               WHEN n_nationkey % 11 = 10 THEN 'time without a zone' WHEN n_nationkey % 8 = 0 THEN 'recommended strategy has no metrics' END AS fault, run_id = '20260726T000003Z' AS latest, row_number() OVER (ORDER BY run_id DESC) AS place FROM n""",
+    "trace_metadata": "SELECT p_partkey, CASE WHEN length(p_name) <= 256 THEN 'feature' ELSE '' END || CASE WHEN length(p_type) * CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 1 END <= 256 THEN ',operation' ELSE '' END AS keys FROM part",
+    "legal_parse": f"WITH {_NORMS} SELECT ref, kind, text, heads AS headings FROM nodes",
+    "corpus_text": f"""WITH {_NORMS}, own AS (SELECT * FROM nodes WHERE kind IN ('article', 'paragraph')) SELECT ref, CASE WHEN kind = 'article' THEN (SELECT string_agg(x.text, chr(10) ORDER BY x.o) FROM own x WHERE x.k = own.k) ELSE text END AS text FROM own""",
+    "html_lite": f"WITH p AS (SELECT page_id, {_PAGE} AS text FROM pages) SELECT page_id, sha256(text) AS digest, length(text) AS n_chars FROM p",
+    "extraction_choice": f"SELECT page_id, CASE WHEN page_id % 5 > 0 AND length(trim(substr({_PAGE}, 1, page_id % 40), ' ' || chr(9) || chr(10) || chr(160))) >= 20 THEN 'primary' ELSE 'fallback' END AS chosen FROM pages",
+    "ingest_gate": "SELECT DISTINCT 'N-' || l_orderkey AS norm_id, 2 AS expected, 1 AS found FROM lineitem WHERE l_orderkey % 10 = 7",
+    "ingest_chunks": f"""WITH {_NORMS} SELECT ref AS chunk_id, kind AS role, CASE WHEN kind = 'article' THEN (SELECT count(*) FROM nodes x WHERE x.k = nodes.k AND x.o >= 0) ELSE 0 END AS n_ids, CASE WHEN kind = 'article' AND heads <> '' THEN heads END AS section, sha256(whole.text) AS source_hash
+        FROM nodes JOIN whole USING (k) WHERE kind IN ('article', 'preamble')""",
 }

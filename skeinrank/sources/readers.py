@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 JUDGMENTS = "version string, judgments array<struct<question_id string, text string, query_class string, relevant_refs array<struct<ref string, grade string>>, reference_answer string>>"
@@ -42,9 +42,11 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The last record of each strategy and question, by line."""
-    rows = spark.read.json(path, schema=RECORDS, mode="FAILFAST").withColumn("__line", F.monotonically_increasing_id())
-    w = W.partitionBy("strategy", "question_id").orderBy(F.desc("__line"))
-    return rows.withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i", "__line")
+    rows = spark.read.json(path, schema=RECORDS, mode="FAILFAST").select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__line"))
+    rest = [c for c in rows.columns if c not in ("strategy", "question_id", "__file", "__line")]
+    # lines of one file follow each other; files follow by name
+    last = rows.groupBy("strategy", "question_id").agg(F.max_by(F.struct(*rest), F.struct("__file", "__line")).alias("r"))
+    return last.select("question_id", "strategy", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
 def replace_strategy(records: DataFrame, path: str) -> None:
@@ -83,5 +85,89 @@ def write_atomic(path: str, text: str) -> None:
 
 
 def canonical_hash(value) -> str:
-    """sha256 of JSON with sorted keys and no spaces."""
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    """sha256 of JSON with sorted keys."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(norm_id, source_path, extractor, expected_article_count, source_sha256, enabled) of a corpus manifest (YAML, read on
+    the driver: a handful of documents). An enabled document without count or hash is an error."""
+    import yaml
+
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    names = ["norm_id", "source_path", "extractor", "expected_article_count", "source_sha256", "enabled"]
+    rows = [[d[n] if n in ("norm_id", "source_path", "extractor", "enabled") else d.get(n) for n in names] for d in yaml.safe_load(text)["documents"]]
+    for r in rows:
+        if r[5] and (r[3] is None or r[4] is None):
+            raise ValueError(f"{r[0]}: an enabled document needs expected_article_count and source_sha256")
+    return spark.createDataFrame(rows, "norm_id string, source_path string, extractor string, expected_article_count long, source_sha256 string, enabled boolean")
+
+
+def read_run_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Run manifests, a file each; `evidence.manifest_faults` says what is wrong with them."""
+    from ..operators.evidence import MANIFEST
+
+    return spark.read.json(path, schema=MANIFEST, multiLine=True, mode="FAILFAST")
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, schema="sample_id string, dimension string, human_score double", multiLine=True, mode="FAILFAST")
+
+
+def read_sealed(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, sample_id, judge_score)."""
+    rows = spark.read.json(path, schema="schema_version int, evidence_schema_version int, run_id string, judge_scores map<string,double>", multiLine=True, mode="FAILFAST")
+    return rows.select("run_id", F.explode("judge_scores").alias("sample_id", "judge_score"))
+
+
+def read_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(relative_path, text) of HTML files: UTF-8, else Windows-1252."""
+    from ..functions.text import decoded, html_lite
+
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("relative_path"), html_lite(decoded(F.col("content"))).alias("text"))
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written to the folder that all executors share (spark.checkpoint.dir), and read back, so that what follows is made once;
+    the folder goes when the application ends. Without such a folder the plan is left as it is."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df
+    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}/{label}"
+    df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# ---------------------------------------------------------------- stored indexes
+
+
+def write_vectors(chunks: DataFrame, path: str, dimensions: int) -> None:
+    """A vector table: chunks(chunk_id, text, embedding); of an id that repeats the last by `ord` stays, another length is an error."""
+    from ..operators.chunking import latest_chunks
+
+    latest_chunks(chunks, "ord", dimensions).write.mode("overwrite").parquet(path)
+
+
+def write_postings(chunks: DataFrame, path: str, analyzer) -> None:
+    """A sparse index: postings in buckets of terms, and the chunks' number and mean length. chunks(chunk_id, text, ord)."""
+    from ..operators.chunking import latest_chunks
+    from ..operators.retrieve import index_stats, postings
+
+    own = latest_chunks(chunks, "ord")
+    rows = postings(own, analyzer).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index_stats(own, analyzer).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table or index."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

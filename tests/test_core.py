@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinrank.functions import text as tx
-from skeinrank.operators import audit, chunking, metrics, records, retrieve, sampling
+from skeinrank import ports
+from skeinrank.operators import audit, calibration, chunking, evidence, metrics, records, retrieve, sampling
 
 
 def hits_of(spark, rows):
@@ -73,32 +74,56 @@ def test_fusion_and_parents(spark):
 
 
 LEGAL = """Preamble line
-CAPÍTULO I
+CAPITULO I
 Do objeto
 Art. 1º Object.
-Art. 2º Scope:
+Artigo 2º Scope:
 § 1º First:
-I - one;
+I — one;
 II - two:
 a) letter
-Parágrafo único. Sole.
+Paragrafo unico. Sole.
 Art. 3-A Other.
 Art. 2º again
-ANEXO I
-Art. 1º Annexed"""
+Subseção II
+ANEXO
+§ 9 stays with what is open
+Art. 1º Annexed
+ANEXO II - Regras
+Art. 1º Annexed again"""
 
 
 def test_legal_grammar(spark):
-    nodes = chunking.parse_legal(spark.createDataFrame([("N", LEGAL), ("E", None), ("B", "")], "norm_id string, text string"))
+    docs = spark.createDataFrame([("N", LEGAL), ("E", None), ("B", "")], "norm_id string, text string")
+    nodes = chunking.parse_legal(docs)
     got = {r.ref: r for r in nodes.collect()}
-    assert set(got) >= {"N::preamble", "N::art-1", "N::art-2::par-1-inc-ii-ali-a", "N::art-2::par-unico", "N::art-3-a", "N::anexo-i-art-1"}
-    assert got["N::art-2"].text == "Art. 2º Scope:\nArt. 2º again"
-    assert got["N::anexo-i-art-1"].headings == ["CAPÍTULO I", "ANEXO I"]
-    chunks = {r.chunk_id: r for r in chunking.chunk_nodes(nodes, limit=40).collect()}
+    assert set(got) == {
+        "N::preamble", "N::art-1", "N::art-2", "N::art-2::par-1", "N::art-2::par-1-inc-i", "N::art-2::par-1-inc-ii", "N::art-2::par-1-inc-ii-ali-a", "N::art-2::par-unico", "N::art-3-a",
+        "N::art-2::par-9", "N::anexo-1-art-1", "N::anexo-ii-regras-art-1",
+    }
+    assert got["N::art-2"].text == "Artigo 2º Scope:\nArt. 2º again" and got["N::preamble"].text == "Preamble line\nDo objeto"
+    assert got["N::anexo-1-art-1"].headings == ["CAPITULO I", "Subseção II", "ANEXO"]
+    by = lambda df: {r.chunk_id: r for r in df.collect()}
+    chunks = by(chunking.chunk_nodes(nodes, limit=40))
+    assert chunks == by(chunking.chunk_legal(docs, limit=40))
     assert chunks["N::art-2"].structural_ids[0] == "N::art-2" and chunks["N::art-2::par-1"].role == "fragment" and chunks["N::art-2::par-1"].parent_id == "N::art-2"
-    assert "N::art-1::par-1" not in chunks
-    gate = chunking.count_gate(nodes, spark.createDataFrame([("N", 4), ("X", 1), ("B", None)], "norm_id string, expected int")).collect()
+    assert "N::art-1::par-1" not in chunks and chunks["N::art-3-a"].section == "CAPITULO I"
+    gate = chunking.count_gate(nodes, spark.createDataFrame([("N", 5), ("X", 1), ("B", None)], "norm_id string, expected int")).collect()
     assert [r.norm_id for r in gate] == ["X"]
+    made, faults = chunking.ingest(docs.selectExpr("*", "'h' AS source_hash"), spark.createDataFrame([("N", 4)], "norm_id string, expected int"))
+    assert by(made)["N::art-1"].metadata == {"norm": "N", "section": "CAPITULO I", "source_hash": "h"} and [(r.expected, r.found) for r in faults.collect()] == [(4, 5)]
+    text = {r.ref: r.text for r in chunking.corpus_text(nodes).collect()}
+    assert text["N::art-2::par-1-inc-ii"] == "II - two:\na) letter" and text["N::art-2"].startswith("Artigo 2º Scope:\nArt. 2º again\n§ 1º First:\nI — one;")
+
+
+def test_colliding_ids_keep_the_last(spark):
+    nodes = chunking.parse_legal(spark.createDataFrame([("N", "Art. 1º A.\n§ 1º old\nArt. 1º A again.\n§ 1º new")], "norm_id string, text string"))
+    assert {r.ref: r.text for r in chunking.corpus_text(nodes).collect()}["N::art-1::par-1"] == "§ 1º new"
+    assert [(r.ref, r.n) for r in chunking.collisions(nodes).collect()] == [("N::art-1::par-1", 2)]
+    rows = spark.createDataFrame([("a", "x", 1, [1.0]), ("a", "y", 2, [2.0])], "chunk_id string, text string, ord int, embedding array<double>")
+    assert [r.text for r in chunking.latest_chunks(rows, "ord", 1).collect()] == ["y"]
+    with pytest.raises(Exception, match="2 dimensions"):
+        chunking.latest_chunks(rows, "ord", 2).collect()
 
 
 def test_citations_claims_refs(spark):
@@ -106,7 +131,7 @@ def test_citations_claims_refs(spark):
     r = df.select(tx.citations(F.col("t")).alias("c"), tx.claims(F.col("t")).alias("s"), tx.ref_parts(F.lit("a::b")).alias("p")).first()
     assert r.c == ["N::art-1"] and r.p.norm == "a" and r.p.fragment is None
     assert r.s == ["See [N::art-1] and [N::art-1][bad][a::b::c::d] [x::].", "Then Ok!", '"Quoted" não. fim']
-    assert df.select(tx.abstains(F.lit("NÃO encontrei nada"))).first()[0]
+    assert df.select(tx.abstains(F.lit("NÃO HÁ evidência disso"))).first()[0]
 
 
 def test_breaker(spark):
@@ -142,13 +167,33 @@ def test_records(spark):
     assert records.usage(calls, ["g"], 1.0, 2.0).first().cost == 2.0 and records.usage(calls, ["g"], None, 2.0).first().cost is None
 
 
+CHECK = "question_id int, claim int, ref_id int, well_formed boolean, exists boolean, in_document boolean, retrieved boolean, hash_matches boolean"
+
+
 def test_audit_without_claims(spark):
-    checks = spark.createDataFrame([], "question_id int, claim int, ref_id int, well_formed boolean, exists boolean, in_document boolean, retrieved boolean, hash_matches boolean")
-    r = audit.rates(checks).first()
-    assert r.n == 0 and r.not_exists_rate == 0.0
-    claims = spark.createDataFrame([(1, 0, False, None), (2, 0, True, "supported")], "question_id int, claim int, material boolean, verdict string")
-    got = {x.question_id: x.outcome for x in audit.outcomes(audit.claim_support(claims, checks)).collect()}
+    none = spark.createDataFrame([], CHECK)
+    claims = spark.createDataFrame([(1, 0, False, False, None), (2, 0, True, True, "supported")], "question_id int, claim int, material boolean, cites boolean, verdict string")
+    got = {x.question_id: x.outcome for x in audit.outcomes(audit.claim_support(claims, none)).collect()}
     assert got == {1: "accepted", 2: "abstain"}
+    r = audit.rates(spark.createDataFrame([], "outcome string, rewritten boolean"), claims.limit(0), none).first()
+    assert r.n == 0 and all(r[x] == 0.0 for x in audit.RATES)
+
+
+def test_audit_rates_look_at_what_was_let_pass(spark):
+    t, f = True, False
+    checks = spark.createDataFrame([(1, 0, 1, f, f, t, f, t), (1, 1, 2, t, f, t, f, t), (1, 2, 3, t, t, t, f, t), (2, 0, 4, t, t, t, t, t)], CHECK)
+    claims = spark.createDataFrame([(1, t, t, None), (1, t, f, None), (1, f, f, None), (2, t, t, "supported"), (2, t, t, "unsupported")], "question_id int, material boolean, cites boolean, verdict string")
+    audits = spark.createDataFrame([("accepted", f), ("accepted_with_caveat", t), ("abstain", t), ("audit_failed", f)], "outcome string, rewritten boolean")
+    assert [audit.rates(audits, claims, checks).first()[x] for x in audit.RATES] == pytest.approx([1 / 4, 1 / 3, 1 / 2, 1 / 4, 1 / 2, 1 / 2, 1 / 2, 1 / 4], abs=1e-6)
+
+
+def test_one_rewrite_at_most(spark):
+    t, f = True, False
+    rows = lambda *r: spark.createDataFrame(r, "question_id int, claim int, material boolean, supported boolean")
+    first = rows((1, 0, t, t), (2, 0, t, f), (3, 0, t, f), (4, 0, t, f), (5, 0, t, f), (6, 0, t, f))
+    second = rows((1, 0, t, f), (2, 0, t, t), (3, 0, t, t), (3, 1, t, f), (4, 0, t, f), (5, 0, t, t))
+    got = {r.question_id: (r.outcome, r.rewritten) for r in audit.final_outcomes(first, second, rows((5, 0, t, f))).collect()}
+    assert got == {1: ("accepted", f), 2: ("accepted", t), 3: ("accepted_with_caveat", t), 4: ("abstain", t), 5: ("audit_failed", f), 6: ("accepted", t)}
 
 
 def test_raptor(spark):
@@ -157,8 +202,145 @@ def test_raptor(spark):
     assert {(r.doc_id, r.level): r["count"] for r in got} == {(1, 0): 12, (1, 1): 3, (1, 2): 1, (2, 0): 1}
 
 
-def test_every_query_runs(spark):
+def test_every_query_has_its_sql(spark):
     import __spark_entry__ as entry
+    from skeinrank.plans.queries import ORACLE_SQL, QUERIES
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.entry(spark).count() == 3
+    # a greedy cover is no query of SQL: tests/test_calibration.py compares it with a loop
+    assert set(QUERIES) - set(ORACLE_SQL) == {"calibration_selection"}
+    assert entry.entry(spark).count() == 10
+
+
+def test_strategies(spark):
+    q = spark.createDataFrame([(1, "sigilo bancário das instituições")], "question_id int, text string")
+    texts = ["As instituições financeiras conservarão sigilo em suas operações.", "Esta Resolução dispõe sobre a política de segurança cibernética."]
+    c = spark.createDataFrame(list(enumerate(texts, 1)), "chunk_id int, text string")
+    hit = retrieve.bm25(q, c, 2, tx.terms).collect()
+    assert [r.chunk_id for r in hit] == [1] and hit[0].score > 0
+    assert retrieve.bm25(q.selectExpr("question_id", "'de a os' AS text"), c, 2, tx.terms).count() == 0
+    near = retrieve.dense_texts(q, c, 2, ports.HashedTerms()).collect()
+    assert [r.chunk_id for r in near][0] == 1 and len(near) == 2  # a question's number isn't a chunk's
+    assert [r.chunk_id for r in retrieve.rerank(retrieve.bm25(q, c, 2), q, c, 2, ports.SharedTerms()).collect()] == [r.chunk_id for r in retrieve.rerank(retrieve.bm25(q, c, 2), q, c, 2).collect()]
+    for bad in ([], "dense", ["dense", "dense"], ["nope"], [1]):
+        with pytest.raises(ValueError):
+            retrieve.requested(bad)
+    assert retrieve.requested(list(retrieve.STRATEGIES)) == list(retrieve.STRATEGIES) and len(retrieve.STRATEGIES) == 10
+
+
+def test_nearest_keeps_ties_by_id():
+    import numpy as np
+
+    v = np.array([[1.0, 0], [1, 0], [0, 1], [1, 0], [1, 1]])
+    got = retrieve._nearest(np.array([7]), np.array([[1.0, 0]]), np.array([5, 3, 1, 7, 2]), v, 2, False)
+    assert got.values.tolist() == [[7, 3, 1.0], [7, 5, 1.0]]
+
+
+def test_copies_take_away_no_entity(spark):
+    q = spark.createDataFrame([(1, "zebra")], "question_id int, text string")
+    c = spark.createDataFrame([(i, "a zebra crossing") for i in range(9)] + [(20, "other words")], "chunk_id int, text string")
+    assert [(r.chunk_id, r.score) for r in retrieve.graph_local(q, c, 5).collect()] == [(8, 1.0)]
+
+
+def test_misses_are_embedded_once(spark):
+    class Counting(ports.HashedTerms):
+        def embed(self, texts):
+            assert "known" not in texts and len(texts) == len(set(texts))
+            return super().embed(texts)
+
+    model = Counting(8)
+    import hashlib
+
+    cache = spark.createDataFrame([(hashlib.sha256(b"hashed-terms-8\0known").hexdigest(), [1.0] * 8)], "key string, embedding array<double>")
+    out, fresh = retrieve.embed_missing(spark.createDataFrame([("known",), ("new",), ("new",)], "text string"), cache, model)
+    assert out.count() == 3 and fresh.count() == 1
+
+
+def test_chain_is_that_of_a_loop(spark):
+    import hashlib
+    import json
+
+    rows = [("r", i, f"id{i}", None if i % 2 else "c", "stage \"x\" é 😀\n", "t\\u", f"2026-{i}", "p") for i in range(4)]
+    events = records.chained(spark.createDataFrame(rows, "run_id string, ord int, event_id string, correlation_id string, stage string, event_type string, occurred_at string, payload_hash string"))
+    assert records.chain_faults(events).count() == 0
+    before = None
+    for e in events.orderBy("sequence").collect():
+        body = {k: e[k] for k in records.ENVELOPE}
+        assert body["previous_event_hash"] == before
+        before = hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
+        assert e.event_hash == before
+    broken = events.withColumn("previous_event_hash", F.when(F.col("sequence") == 3, F.lit("x")).otherwise(F.col("previous_event_hash"))).where("sequence <> 2")
+    assert sorted((r.sequence, r.fault) for r in records.chain_faults(broken).collect()) == [(3, "broken link"), (3, "content changed"), (3, "sequence gap")]
+
+
+def test_evidence_of_a_run(spark, tmp_path):
+    from skeinrank.sources import readers
+
+    folder = str(tmp_path / "run")
+    hashes = {k: k for k in evidence.HASHES}
+    m = evidence.start_manifest(folder, "r", {"judge": "x"}, ["dense"], {"k": 5}, **hashes)
+    log = evidence.EventLog("r", folder + "/events.jsonl")
+    log.emit("index", "started", {"n": 1})
+    evidence.EventLog("r", folder + "/events.jsonl").emit("index", "completed", {"é": 2})
+    with pytest.raises(ValueError):
+        evidence.EventLog("other", folder + "/events.jsonl")
+    assert records.chain_faults(readers.read_events(spark, folder + "/events.jsonl")).count() == 0
+    done = evidence.finish_manifest(folder, m)
+    assert evidence.manifest_faults(readers.read_run_manifests(spark, folder + "/manifest.json")).count() == 0 and done["status"] == "completed"
+    found = readers.file_checksums(spark, folder).where("relative_path not like '%checksums%' and relative_path not like '%.crc'")
+    assert readers.checksum_faults(readers.read_checksums(spark, folder + "/checksums.sha256"), found).count() == 0
+    for again in (lambda: evidence.start_manifest(folder, "r", {}, [], {}, **hashes), lambda: evidence.finish_manifest(folder, done)):
+        with pytest.raises(ValueError):
+            again()
+    marker = {"stage": "sac", "fingerprint": "f", "chunk_count": 3, "dense": True, "sparse": False}
+    evidence.mark_complete(folder, **marker)
+    assert evidence.marked_complete(folder, **marker) and not evidence.marked_complete(folder, **marker | {"chunk_count": 4})
+    evidence.invalidate(folder, "sac")
+    assert not evidence.marked_complete(folder, **marker)
+
+
+def test_metadata_contexts_and_pages(spark, tmp_path):
+    from skeinrank.sources import readers
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    long = "y" * 257
+    assert one(tx.trace_metadata(F.create_map(*map(F.lit, ["feature", "a", "content", "b", "operation", long])))) == {"feature": "a"}
+    assert one(tx.context_block(F.array(F.struct(F.lit(2), F.array(F.lit("b")).alias("ids"), F.lit("two").alias("text")), F.struct(F.lit(1), F.array(F.lit("a"), F.lit("c")).alias("ids"), F.lit("one").alias("text"))))) == "[structural_ids: a, c]\none\n\n[structural_ids: b]\ntwo"
+    assert one(tx.mended(F.lit("ąm Ćuxo"))) == "fim fluxo" and one(tx.first_good(F.lit("  short  "), F.lit("other"))) == "other"
+    (tmp_path / "a.htm").write_bytes("<p>Resolução&nbsp;1</p><!-- x --><style>p{}</style><b>n&#186; &amp;lt; &#x;</b>".encode("cp1252"))
+    (tmp_path / "b.htm").write_bytes("<div class='p'>ção</div><product>z</product>".encode())
+    got = {r.relative_path: r.text for r in readers.read_pages(spark, str(tmp_path)).collect()}
+    assert got == {"a.htm": "\nResolução\u00a01\nnº &lt; &#x;", "b.htm": "\nção\nz"}
+
+
+def test_stored_indexes(spark, tmp_path):
+    from skeinrank.sources import readers
+
+    c = spark.createDataFrame([("a", "old text", 1), ("a", "sigilo das operações", 2), ("b", "outra coisa", 1)], "chunk_id string, text string, ord int")
+    readers.write_postings(c, str(tmp_path / "sparse"), tx.terms)
+    q = spark.createDataFrame([(1, "operação sigilosa sigilo"), (2, "old")], "question_id int, text string")
+    stored = retrieve.score_bm25(q, *readers.read_postings(spark, str(tmp_path / "sparse")), 5, tx.terms).collect()
+    assert stored == retrieve.bm25(q, chunking.latest_chunks(c, "ord"), 5, tx.terms).collect() and {r.chunk_id for r in stored} == {"a"}
+    readers.write_vectors(c.withColumn("embedding", F.array(F.lit(1.0))), str(tmp_path / "dense"), 1)
+    assert chunking.same_ids(spark.read.parquet(str(tmp_path / "dense")), c) and spark.read.parquet(str(tmp_path / "dense")).count() == 2
+    readers.drop(spark, str(tmp_path / "dense"))
+    assert not (tmp_path / "dense").exists()
+
+
+def test_ports_have_stand_ins():
+    for port, made in ports.NAMES.items():
+        own = made()
+        assert all(hasattr(own, m) for m in vars(port) if not m.startswith("_") and callable(getattr(port, m)))
+    said = ports.Extractive().answer("q", [(["N::art-1"], "The rule holds. More.")])
+    assert said == "The rule holds [N::art-1]." and ports.Containment().verify("q", said, [("N::art-1", "The rule holds.")]) == "supported"
+
+
+def test_breakdowns_and_means(spark):
+    r = spark.createDataFrame([("s", "q1", "c", "succeeded", "succeeded", "succeeded", {"faithfulness": 1.0, "citation_accuracy": 0.5}), ("s", "q2", None, "failed", "failed", "not_applicable", {})], "strategy string, question_id string, query_class string, retrieval_status string, generation_status string, judge_status string, metrics map<string,double>")
+    j = spark.createDataFrame([("q1", ["N", "M", "N"]), ("q2", [])], "question_id string, norms array<string>")
+    got = {(x.dimension, x.member): (x.selected, x.retrieval_succeeded, x.metric) for x in metrics.record_breakdowns(r, j).where("metric is null or metric = 'faithfulness'").collect()}
+    assert got == {("query_class", "c"): (1, 1, "faithfulness"), ("query_class", "unknown"): (1, 0, None), ("document", "N"): (1, 1, "faithfulness"), ("document", "M"): (1, 1, "faithfulness"), ("document", "__unanswerable__"): (1, 0, None)}
+    a = metrics.answer_means(r).first()
+    assert (a.faithfulness, a.citation_accuracy, a.citation_n, a.answer_n, a.answer_errors) == (1.0, 0.5, 1, 1, 1)
+    with pytest.raises(Exception, match="no judgment"):
+        metrics.record_breakdowns(r, j.limit(1)).collect()
