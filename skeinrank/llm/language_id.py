@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams of labelled texts in every task, adds the counts up by language
-and bucket, and brings a matrix of (languages x buckets) to the driver, whose size is fixed
-by the number of buckets and bounded in the languages. The log-probability matrix is
+and bucket, and brings a matrix of (languages x buckets) to the driver. Its size is bounded: the
+more languages, the fewer buckets (with over 16,384 labels it grows by 8 KB for each). The log-probability matrix is
 broadcast; scoring counts each text's buckets sparsely and multiplies in numpy.
 
 The fit may use a bounded sample: `max_rows` labelled rows, about, taken by a hash of the
@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 from .shared import let_go, mix64, sliced
 
-#: Buckets, n-gram lengths, labelled rows to fit on (about), and languages at most.
-BUCKETS, ORDERS, MAX_ROWS, MAX_LANGUAGES = 1 << 15, (1, 2, 3), 20_000, 512
+#: Buckets, n-gram lengths, and labelled rows to fit on (about).
+BUCKETS, ORDERS, MAX_ROWS = 1 << 15, (1, 2, 3), 20_000
+#: Cells of the matrix that is broadcast (128 MB): with more than 512 languages there are fewer buckets, but these at least.
+CELLS, FEWEST = 1 << 24, 1 << 10
 #: Additive smoothing.
 ALPHA = 0.5
 #: Characters counted at a time.
@@ -69,9 +71,8 @@ class NaiveBayes:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS, buckets: int = BUCKETS) -> NaiveBayes:
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("string").alias("id")).where("lang is not null and text is not null")
-    documents = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(documents) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    documents = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    buckets = min(buckets, max(FEWEST, 1 << (CELLS // max(1, len(documents))).bit_length() - 1))
     total = sum(documents.values())
     if total > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(max_rows / total * (1 << 30)))
@@ -79,7 +80,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     def count(batches):
         own: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
                 own.setdefault(lang, np.zeros(buckets, np.int64))
                 own[lang] += bucket_counts(text.as_py(), buckets)

@@ -1,6 +1,7 @@
 """License scans with Spark's own functions: phrases, and an exact containment join with templates.
 
-A document's blocks are its lines. A block meets a template when it holds at least
+A document's blocks are its lines, and for templates of `LONG` words or more, which are often
+wrapped, runs of up to `WRAPPED` lines from each line on, to the next blank one. A block meets a template when it holds at least
 `threshold` of the template's distinct words. Words are ordered by how many documents hold
 them, rarest first; a block that meets a template of n words, of which it needs k, must hold
 one of the template's first n - k + 1 words (prefix filter), must have k words (length), and
@@ -9,8 +10,8 @@ without any such word drop out before they are cut into blocks; the words of tho
 joined to the index of prefix words, which is as small as the templates are.
 
 Edge cases: null and empty texts have no words, no labels and score 0; templates without
-words never match; rows that repeat an id are one document here (its blocks' labels are
-gathered by id), null ids have base labels only; extra columns are ignored.
+words never match; different texts under one id, and null ids, are judged each by itself; rows
+that repeat an id and a text are alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ TEMPLATES = {
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 THRESHOLD = 0.9
+#: Distinct words from which on a template may be wrapped, and lines it may take.
+LONG, WRAPPED = 12, 5
 
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,14 +69,18 @@ def _exact(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
 
+def _hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`")).alias("hash")
+
+
 def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base): the phrases' places, counted in words from 0."""
+    """(id, hash, n_words, n_base, first_word, last_word, base): the phrases' places, counted in words from 0."""
     heads = F.array(*(F.lit(w) for w in ("license", "cc")))
-    step = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _words(_text(f"`{text_col}`")).alias("words"))
-    step = step.select("id", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", heads), F.col("text")).alias("text"))
+    step = docs.select(F.col(f"`{id_col}`").alias("id"), _hash(text_col), F.col(f"`{text_col}`").alias("text"), _words(_text(f"`{text_col}`")).alias("words"))
+    step = step.select("id", "hash", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", heads), F.col("text")).alias("text"))
     # every word between two spaces of its own, so that neighbours of a phrase may be phrases
     padded = F.concat(F.lit(""), F.array_join(F.transform(_words(_exact(F.col("text"))), lambda w: F.concat(F.lit(" "), w, F.lit(" "))), ""))
-    step = step.select("id", "n_words", F.when(F.col("text").isNotNull(), padded).otherwise(F.lit("")).alias("s"))
+    step = step.select("id", "hash", "n_words", F.when(F.col("text").isNotNull(), padded).otherwise(F.lit("")).alias("s"))
     seek = {p: "".join(f" {w} " for w in p.split()) for p in PHRASES}
     n_of = {p: ((F.length("s") - F.length(F.replace("s", F.lit(x)))) / len(x)).cast("long") for p, x in seek.items()}
     before = lambda upto: ((F.length(upto) - F.length(F.replace(upto, F.lit(" ")))) / 2).cast("long")
@@ -84,11 +91,11 @@ def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         back = F.instr(F.reverse("s"), x[::-1])
         last.append(F.when(back > 0, before(F.substring(F.col("s"), F.lit(1), F.length("s") - back - len(x) + 1))))
     base = F.array_compact(F.array(*(F.when(n_of[p] > 0, F.lit(label)) for p, label in PHRASES.items())))
-    return step.select("id", "n_words", sum(n_of.values(), F.lit(0).cast("long")).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"))
+    return step.select("id", "hash", "n_words", sum(n_of.values(), F.lit(0).cast("long")).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"))
 
 
 def license_blocks(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, block, label, template, containment) of every line that meets a template; lines count from 0."""
+    """(id, hash, block, label, template, containment) of every block that meets a template; a block is named by its first line, from 0."""
     spark = docs.sparkSession
     listed = [(label, t, _split(t)) for label, ts in (TEMPLATES if templates is None else templates).items() for t in ts]
     listed = [x for x in listed if x[2]]
@@ -104,26 +111,37 @@ def license_blocks(docs: DataFrame, templates: dict[str, list[str]] | None = Non
     for k, (label, text, ws) in enumerate(listed):
         ws = sorted(ws, key=rank.__getitem__)
         need = math.ceil(threshold * len(ws) - 1e-9)
-        index += [(ws[i], k, label, text, ws, need, i) for i in range(len(ws) - need + 1)]
-    schema = "word string, t int, label string, template string, words array<string>, need int, place int"
+        index += [(ws[i], k, label, text, ws, need, i, len(ws) >= LONG) for i in range(len(ws) - need + 1)]
+    schema = "word string, t int, label string, template string, words array<string>, need int, place int, wide boolean"
     prefix = F.broadcast(spark.createDataFrame(index, schema))  # as small as the templates
     marks = F.array(*(F.lit(w) for w in sorted({x[0] for x in index}, key=rank.__getitem__)), F.lit("\x00"))
 
-    lines = rows.where(F.arrays_overlap(_words(_text("text")), marks)).select("id", F.posexplode(F.split(_exact(F.col("text")), "\n")).alias("block", "line"))
-    sets = lines.select("id", "block", F.array_distinct(_words(F.col("line"))).alias("own"))
+    held = rows.where(F.arrays_overlap(_words(_text("text")), marks)).select("id", _hash("text"), F.split(_exact(F.col("text")), "\n").alias("lines"))
+
+    def run(i):
+        """The lines from the i-th on, to a blank one."""
+        some = F.slice("lines", i + 1, F.lit(WRAPPED))
+        blank = F.array_position(F.transform(some, lambda x: F.trim(x) == ""), True)
+        return F.array_join(F.slice(some, F.lit(1), F.when(blank > 0, blank - 1).otherwise(F.size(some)).cast("int")), " ")
+
+    block = lambda i, wide, line: F.struct(i.alias("block"), F.lit(wide).alias("wide"), line.alias("line"))
+    blocks = F.concat(F.transform("lines", lambda x, i: block(i, False, x)), F.transform("lines", lambda x, i: block(i, True, run(i))))
+    lines = held.select("id", "hash", F.explode(blocks).alias("b")).select("id", "hash", "b.block", "b.wide", "b.line")
+    sets = lines.select("id", "hash", "block", "wide", F.array_distinct(_words(F.col("line"))).alias("own"))
     # the words that templates know, in the common order; others can't be shared
     ranked = F.array(*(F.lit(w) for w in order), F.lit("\x00"))
-    sets = sets.where(F.arrays_overlap("own", marks)).select("id", "block", F.array_intersect(ranked, F.col("own")).alias("own"))
-    met = sets.select("id", "block", "own", F.posexplode("own").alias("at", "word")).join(prefix, "word")
+    sets = sets.where(F.arrays_overlap("own", marks)).select("id", "hash", "block", "wide", F.array_intersect(ranked, F.col("own")).alias("own"))
+    met = sets.select("id", "hash", "block", "wide", "own", F.posexplode("own").alias("at", "word")).join(prefix, ["word", "wide"])
     met = met.where((F.size("own") >= F.col("need")) & (1 + F.least(F.size("words") - F.col("place") - 1, F.size("own") - F.col("at") - 1) >= F.col("need") - F.col("place")))
     both = F.size(F.array_intersect("own", "words"))
-    met = met.where(both >= F.col("need")).select("id", "block", "t", "label", "template", (both / F.size("words")).alias("containment"))
-    return met.groupBy("id", "block", "t").agg(F.first("label").alias("label"), F.first("template").alias("template"), F.max("containment").alias("containment")).drop("t")
+    met = met.where(both >= F.col("need")).select("id", "hash", "block", "t", "label", "template", (both / F.size("words")).alias("containment"))
+    return met.groupBy("id", "hash", "block", "t").agg(F.first("label").alias("label"), F.first("template").alias("template"), F.max("containment").alias("containment")).drop("t")
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """base_scan's columns, and labels (both kinds) and score: 1 where a phrase stands, else the best containment."""
-    found = license_blocks(docs, templates, threshold, id_col, text_col).groupBy("id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    out = base_scan(docs, id_col, text_col).join(found, "id", "left")
+    found = license_blocks(docs, templates, threshold, id_col, text_col).groupBy(F.col("id").alias("of"), F.col("hash").alias("text_hash")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    out = base_scan(docs, id_col, text_col)
+    out = out.join(found, out["id"].eqNullSafe(found["of"]) & (out["hash"] == found["text_hash"]), "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base", labels.alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))

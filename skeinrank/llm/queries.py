@@ -16,8 +16,8 @@ from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
-from .shared import materialize, short_batches, table
-from .token_counts import token_counts, write_tokens
+from .shared import materialize, scratch_folder, scratch_root, short_batches, table
+from .token_counts import local_path, read_token_files, token_counts, write_token_files, write_tokens
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The flat files' vocabulary, whose id 50256 is free, and so ends a document.
@@ -39,12 +39,23 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents go to flat token files, whose separators are then found again."""
-    files = materialize(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(FILE_VOCABULARY), public_tokenizers.PATTERN, END_OF_DOCUMENT), "token-files")
-    counts = token_counts(files, END_OF_DOCUMENT)
-    ids = files.select("file", "block", "ids")
-    before = F.coalesce(F.sum(F.size("ids")).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    names = ids.withColumn("before", before).select("file", "before", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("before") + F.col("k")).cast("long").alias("doc"), "doc_id")
+    """Documents go to flat token files in the shared folder, whose separators are then found again; where Python can't
+    open that folder, to blocks in a table."""
+    docs, vocabulary = table(spark, sf_dir, "documents"), public_tokenizers.path(FILE_VOCABULARY)
+    root = local_path(scratch_root(spark))
+    if root is None:
+        made = materialize(write_tokens(docs, vocabulary, public_tokenizers.PATTERN, END_OF_DOCUMENT), "token-files")
+        before = F.coalesce(F.sum(F.size("ids")).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        blocks, listed = made, made.select("file", "ids", before.alias("first"))
+    else:
+        folder = scratch_folder(spark, "token-files")
+        listed = materialize(write_token_files(docs, local_path(folder), vocabulary, public_tokenizers.PATTERN, END_OF_DOCUMENT), "listed")
+        # a retried task's first file isn't listed
+        blocks = read_token_files(spark, folder) if not listed.isEmpty() else read_token_files(spark, scratch_root(spark)).limit(0)
+        listed = listed.withColumn("file", F.element_at(F.split("file", "/"), -1))
+        blocks = blocks.withColumn("file", F.element_at(F.split("file", "/"), -1)).join(F.broadcast(listed.select("file").distinct()), "file", "left_semi")  # a name a task
+    counts = token_counts(blocks, END_OF_DOCUMENT)
+    names = listed.select("file", "first", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).cast("long").alias("doc"), "doc_id")
     return counts.join(names, ["file", "doc"]).select("doc_id", "file", "first_token", "n_tokens")
 
 

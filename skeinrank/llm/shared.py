@@ -44,6 +44,17 @@ def size_of(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, for what an operator writes by itself; it goes as `materialize`'s do."""
+    path = f"{scratch_root(spark).rstrip('/')}/skeinrank-{uuid.uuid4().hex}/{label}"
+    _scratch.append(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def materialize(df: DataFrame, label: str, at_most: int | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut, a lost executor costs nothing.
 
@@ -52,13 +63,10 @@ def materialize(df: DataFrame, label: str, at_most: int | None = None) -> DataFr
     doesn't delete it before.
     """
     spark = session_of(df)
-    path = f"{scratch_root(spark).rstrip('/')}/skeinrank-{uuid.uuid4().hex}/{label}"
     if at_most is not None:
         df = df.coalesce(_files(df, at_most))
+    path = scratch_folder(spark, label)
     df.write.parquet(path)
-    _scratch.append(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,10 @@ within. Documents that cross blocks are stitched by a prefix scan over the block
 a running count of separators numbers the documents, a running maximum of the last
 separator's place gives the tokens that each block takes over from those before it.
 
-`write_tokens` makes such blocks from texts, a file a task, and the list of what was
-written; `read_token_files` cuts files on disk into blocks.
+`write_token_files` writes such files from texts, one a task, by Python's own file calls, so
+its folder has to be mounted on all executors; `write_tokens` makes blocks in a table
+instead. `read_token_files` cuts files into ranges of bytes, which tasks read on their own;
+files of stores that can't be mounted come whole from Spark's reader (2 GB at most).
 
 Edge cases: an empty document (null or empty text) counts 0; tokens after the last separator
 are a document that is not closed; empty blocks and an empty file do no harm (an empty file
@@ -18,6 +20,9 @@ documents of their own; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
+from urllib.parse import unquote, urlparse
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import codec, read_ranks
+from .shared import materialize, size_of, sliced
 
 #: Ids of a block that is written.
 BLOCK_IDS = 1 << 18
@@ -68,22 +74,77 @@ def write_tokens(docs: DataFrame, ranks_path: str, pattern: str, eod: int, width
     return source.mapInArrow(run, schema)
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(file, block, data) of flat files of ids."""
+def local_path(path: str) -> str | None:
+    """The path of a file that Python can open, if it is one."""
+    parts = urlparse(path)
+    return unquote(parts.path) if parts.scheme in ("", "file") else None
+
+
+def write_token_files(docs: DataFrame, folder: str, ranks_path: str, pattern: str, eod: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(file, first, ids): flat files written to `folder` when the rows are made, and their documents in order, from the
+    `first` on. A task's retry writes another file; only those of the rows returned count."""
+    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("first", T.LongType()), T.StructField("ids", T.ArrayType(source.schema["id"].dataType))])
+    end = np.array([eod], f"<u{width}").tobytes()
 
     def run(batches):
+        own, task = codec(*shared.value), TaskContext.get()
+        path, first, out = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}.bin", 0, None
+        for batch in sliced(batches, "text"):
+            if out is None:
+                os.makedirs(folder, exist_ok=True)
+                out = open(path, "wb")  # noqa: SIM115
+            for t in batch["text"]:
+                tokens = np.frombuffer(own.encode(t.as_py()), "<u4")
+                if len(tokens) and int(tokens.max()) >= 1 << 8 * width:
+                    raise ValueError(f"an id does not fit {width} bytes")
+                out.write(tokens.astype(f"<u{width}").tobytes() + end)
+            out.flush()
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first]), pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch["id"])], ["file", "first", "ids"])
+            first += len(batch)
+        if out is not None:
+            os.fsync(out.fileno())
+            out.close()
+
+    return source.mapInArrow(run, schema)
+
+
+def read_token_files(spark: SparkSession, path: str | list[str], width: int = 2) -> DataFrame:
+    """(file, block, data) of flat files of ids."""
+    size = BLOCK_IDS * width
+    files = spark.read.format("binaryFile").load(path)
+    paths = [path] if isinstance(path, str) else path
+    if all(local_path(p) is not None for p in paths):
+
+        def ranges(batches):
+            for batch in batches:
+                for file, block in zip(batch["file"].to_pylist(), batch["block"].to_pylist()):
+                    with open(local_path(file), "rb") as f:
+                        f.seek(block * size)
+                        data = f.read(size)
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([data], pa.binary())], ["file", "block", "data"])
+
+        # only names and lengths are listed; a large file's ranges go to many tasks
+        each = files.where("length > 0").select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
+        return each.repartition("file", "block").mapInArrow(ranges, "file string, block long, data binary")
+
+    def pieces(batches):
         for batch in batches:
             for file, data in zip(batch["path"].to_pylist(), batch["content"]):
                 data = data.as_buffer()
-                for k, lo in enumerate(range(0, data.size, BLOCK_IDS * width)):
-                    piece = data.slice(lo, min(BLOCK_IDS * width, data.size - lo)).to_pybytes()
+                for k, lo in enumerate(range(0, data.size, size)):
+                    piece = data.slice(lo, min(size, data.size - lo)).to_pybytes()
                     yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k]), pa.array([piece], pa.binary())], ["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    return files.select("path", "content").mapInArrow(pieces, "file string, block long, data binary")
 
 
 def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
-    """(file, doc, first_token, n_tokens, closed): each document's place in its file, counted from 0, and its tokens without the separator."""
+    """(file, doc, first_token, n_tokens, closed): each document's place in its file, counted from 0, and its tokens without the separator.
+
+    The prefix scan is over the blocks' summaries (four numbers each); the separators' places are stored and joined to its result.
+    """
     source = blocks.select("file", "block", "data")
 
     def run(batches):
@@ -92,19 +153,21 @@ def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
             for data in batch["data"]:
                 ids = np.frombuffer(data.as_buffer() if data.is_valid else b"", f"<u{width}")
                 n.append(len(ids))
-                ends.append(np.flatnonzero(ids == eod).tolist())
+                ends.append(np.flatnonzero(ids == eod))
             yield pa.RecordBatch.from_arrays([batch["file"], batch["block"], pa.array(n, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["file", "block", "n", "ends"])
 
     found = source.mapInArrow(run, T.StructType([source.schema["file"], source.schema["block"], T.StructField("n", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))]))
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    placed = found.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placed = placed.withColumn("last", F.when(F.size("ends") > 0, F.col("start") + F.element_at("ends", -1) + 1))
-    placed = placed.withColumn("docs", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0))).withColumn("open", F.coalesce(F.max("last").over(before), F.lit(0)))
-    # the file's last block also ends what no separator closes
-    final = F.lead("block").over(W.partitionBy("file").orderBy("block")).isNull()
-    tail = F.col("start") + F.col("n") - F.coalesce("last", "open")
-    placed = placed.withColumn("marks", F.transform("ends", lambda e: F.struct((F.col("start") + e).alias("at"), F.lit(True).alias("closed"))))
-    placed = placed.withColumn("marks", F.when(final & (tail > 0), F.concat("marks", F.array(F.struct((F.col("start") + F.col("n")).alias("at"), F.lit(False).alias("closed"))))).otherwise(F.col("marks")))
-    each = placed.select("file", "docs", "open", "marks", F.posexplode("marks").alias("k", "mark"))
+    found = materialize(found, "separators", size_of(source))
+    by_block = W.partitionBy("file").orderBy("block")
+    before = by_block.rowsBetween(W.unboundedPreceding, -1)
+    each = found.select("file", "block", "n", F.size("ends").alias("k"), F.try_element_at("ends", F.lit(-1)).alias("e"))
+    each = each.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("last", F.col("start") + F.col("e") + 1)
+    # `open`: where what a block begins with was begun; the file's last block also ends what no separator closes
+    placed = each.select("file", "block", "start", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("docs"), F.coalesce(F.max("last").over(before), F.lit(0)).alias("open"), F.lead("block").over(by_block).isNull().alias("final"), F.coalesce("last", F.max("last").over(before), F.lit(0)).alias("tail"))
+    placed = placed.join(found, ["file", "block"])
+    end = F.col("start") + F.col("n")
+    marks = F.transform("ends", lambda e: F.struct((F.col("start") + e).alias("at"), F.lit(True).alias("closed")))
+    marks = F.when(F.col("final") & (end > F.col("tail")), F.concat(marks, F.array(F.struct(end.alias("at"), F.lit(False).alias("closed"))))).otherwise(marks)
+    out = placed.withColumn("marks", marks).select("file", "docs", "open", "marks", F.posexplode("marks").alias("k", "mark"))
     first = F.when(F.col("k") == 0, F.col("open")).otherwise(F.get("marks", F.col("k") - 1)["at"] + 1)
-    return each.select("file", (F.col("docs") + F.col("k")).cast("long").alias("doc"), first.alias("first_token"), (F.col("mark.at") - first).alias("n_tokens"), F.col("mark.closed").alias("closed"))
+    return out.select("file", (F.col("docs") + F.col("k")).cast("long").alias("doc"), first.alias("first_token"), (F.col("mark.at") - first).alias("n_tokens"), F.col("mark.closed").alias("closed"))

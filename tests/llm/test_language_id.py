@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 from skeinrank.llm import language_id
 from skeinrank.llm.language_id import NaiveBayes, bucket_counts, fit, predict
@@ -26,6 +28,40 @@ def test_held_out_accuracy(spark):
     assert len(rows) == len(lang) and sum(r.lang_pred == lang[r.doc_id] for r in out) > 0.97 * len(out)
 
 
+def plain_bayes(labelled, text):
+    """Naive Bayes as it stands in a textbook, over the same buckets."""
+    seen, docs = {}, Counter()
+    for lang, t in labelled:
+        docs[lang] += 1
+        own = seen.setdefault(lang, Counter())
+        for b, n in enumerate(bucket_counts(t).tolist()):
+            own[b] += n
+    score = {}
+    counts = bucket_counts(text)
+    for lang, own in seen.items():
+        total = sum(own.values()) + language_id.ALPHA * language_id.BUCKETS
+        score[lang] = math.log(docs[lang] / sum(docs.values())) + sum(n * math.log((own[b] + language_id.ALPHA) / total) for b, n in enumerate(counts.tolist()) if n)
+    best = min(score, key=lambda k: (-score[k], k))
+    return best, 1 / sum(math.exp(v - score[best]) for v in score.values())
+
+
+def test_equals_plain_naive_bayes(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(df, fit(df.where("doc_id % 2 = 0")), keep={"doc_id": F.col("doc_id")}).collect()}
+    for i, text, _ in rows[:12]:
+        lang, score = plain_bayes([(lang, t) for j, t, lang in rows if j % 2 == 0], text)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9
+
+
+def test_many_languages(spark):
+    df = spark.range(700).selectExpr("id doc_id", "concat(decode(unhex(hex(19968 + id)), 'UTF-16BE'), decode(unhex(hex(19968 + 3 * id)), 'UTF-16BE'), decode(unhex(hex(19968 + id)), 'UTF-16BE')) text", "'l' || id lang")
+    model = fit(df)
+    assert len(model.languages) == 700 and model.log.shape == (1 << 14, 700)
+    got = predict(df, model, keep={"lang": F.col("lang")}).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.98 * 700
+
+
 def test_odd_rows_and_empty(spark):
     df = crowded(frame(spark), "score", "id", "__lang")
     model = fit(df)

@@ -1,7 +1,7 @@
 import math
 import re
 
-from skeinrank.llm.license_scan import PHRASES, TEMPLATES, license_blocks, license_scan
+from skeinrank.llm.license_scan import LONG, PHRASES, TEMPLATES, WRAPPED, license_blocks, license_scan
 from skeinrank.llm.queries import op5_license_scan
 
 from .helpers import SF, crowded, frame
@@ -27,11 +27,17 @@ def base(text):
 def blocks(docs, templates=TEMPLATES, threshold=0.9):
     out = set()
     for i, text in docs:
-        for k, line in enumerate((text or "").split("\n")):
-            own = set(words(line))
+        lines = (text or "").split("\n")
+        for k, line in enumerate(lines):
+            run = []
+            for x in lines[k : k + WRAPPED]:
+                if not x.strip(" "):
+                    break
+                run.append(x)
             for label, ts in templates.items():
                 for t in ts:
                     need = set(words(t))
+                    own = set(words(" ".join(run) if len(need) >= LONG else line))
                     if need and len(own & need) >= math.ceil(threshold * len(need) - 1e-9):
                         out.add((i, k, label, t))
     return out
@@ -46,6 +52,7 @@ TEXTS = [
     "MIT license MIT License mit-license", "CC BY cc by CC-BY", "GNU General Public License; Apache License", "the permit license", "MİT lİcense cc by", "mit\nlicense",
     "x\nReleased under the MIT License.\ny", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.",
     "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 now", "CC\x7fBY \x00mit\x1flicense",
+    "before\nPermission is hereby granted, free of charge,\nto any person obtaining a copy of this software\n# and associated documentation files\n\nafter", "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software and associated",
     "Redistribution and use in source and binary forms, with modification, are permitted provided that the following conditions are met",
 ]
 
@@ -71,6 +78,13 @@ def test_containment_thresholds(spark):
         assert got == blocks(docs, templates, threshold)
 
 
+def test_null_and_repeated_ids(spark):
+    mit = "Released under the MIT License"
+    rows = [(1, mit), (1, "nothing"), (None, "Licensed under CC BY-NC 4.0"), (None, "x"), (1, mit), (2, None)]
+    got = sorted((str(r.doc_id), r.n_words, ",".join(r.labels)) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [("1", 1, ""), ("1", 5, "mit"), ("1", 5, "mit"), ("2", 0, ""), ("None", 1, ""), ("None", 7, "cc-by,cc-by-nc")]
+
+
 def test_odd_rows_and_empty(spark):
     df = crowded(frame(spark), "words", "id", "label", "n_words")
     got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base), ",".join(r.labels)) for r in license_scan(df).collect()), key=repr)

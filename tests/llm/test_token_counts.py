@@ -4,7 +4,7 @@ import public_tokenizers as P
 from skeinrank.llm import token_counts as tc
 from skeinrank.llm.byte_bpe import codec, read_ranks
 from skeinrank.llm.queries import op4_token_counts
-from skeinrank.llm.token_counts import read_token_files, token_counts, write_tokens
+from skeinrank.llm.token_counts import read_token_files, token_counts, write_token_files, write_tokens
 
 from .helpers import SF, crowded, frame
 
@@ -45,8 +45,22 @@ def test_flat_files(spark, tmp_path, monkeypatch):
     ids = np.random.default_rng(1).integers(0, 9, 200).astype("<u4")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    got = token_counts(read_token_files(spark, str(tmp_path), 4), 5, 4).orderBy("doc").collect()
+    blocks = read_token_files(spark, str(tmp_path), 4)
+    assert blocks.count() == 29
+    got = token_counts(blocks, 5, 4).orderBy("doc").collect()
     assert [(r.n_tokens, r.closed) for r in got] == brute(ids.tolist(), 5)
+    # a store that Python can't open comes whole
+    monkeypatch.setattr(tc, "local_path", lambda p: None)
+    assert sorted(map(tuple, token_counts(read_token_files(spark, str(tmp_path), 4), 5, 4).collect())) == sorted(map(tuple, got))
+
+
+def test_written_files(spark, tmp_path):
+    df = crowded(frame(spark), "file", "first", "ids")
+    listed = write_token_files(df, str(tmp_path / "files"), PATH, P.PATTERN, 50256).cache()
+    own = codec(read_ranks(PATH), P.PATTERN)
+    assert sorted(i for r in listed.collect() for i in r.ids) == sorted(r.doc_id for r in df.collect())
+    got = token_counts(read_token_files(spark, str(tmp_path / "files")), 50256).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(len(own.encode(r.text)) // 4 for r in df.collect())
 
 
 def test_odd_rows_and_empty(spark, monkeypatch):
