@@ -50,10 +50,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     else:
         folder = scratch_folder(spark, "token-files")
         listed = materialize(write_token_files(docs, local_path(folder), vocabulary, public_tokenizers.PATTERN, END_OF_DOCUMENT), "listed")
-        # a retried task's first file isn't listed
-        blocks = read_token_files(spark, folder) if not listed.isEmpty() else read_token_files(spark, scratch_root(spark)).limit(0)
         listed = listed.withColumn("file", F.element_at(F.split("file", "/"), -1))
-        blocks = blocks.withColumn("file", F.element_at(F.split("file", "/"), -1)).join(F.broadcast(listed.select("file").distinct()), "file", "left_semi")  # a name a task
+        # a retried task's first file isn't listed
+        blocks = read_token_files(spark, folder if not listed.isEmpty() else scratch_root(spark), only=listed.select(F.col("file").alias("name")))
+        blocks = blocks.withColumn("file", F.element_at(F.split("file", "/"), -1))
     counts = token_counts(blocks, END_OF_DOCUMENT)
     names = listed.select("file", "first", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).cast("long").alias("doc"), "doc_id")
     return counts.join(names, ["file", "doc"]).select("doc_id", "file", "first_token", "n_tokens")

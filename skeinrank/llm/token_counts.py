@@ -110,10 +110,12 @@ def write_token_files(docs: DataFrame, folder: str, ranks_path: str, pattern: st
     return source.mapInArrow(run, schema)
 
 
-def read_token_files(spark: SparkSession, path: str | list[str], width: int = 2) -> DataFrame:
-    """(file, block, data) of flat files of ids."""
+def read_token_files(spark: SparkSession, path: str | list[str], width: int = 2, only: DataFrame | None = None) -> DataFrame:
+    """(file, block, data) of flat files of ids; of those that only(name) names, if it is given."""
     size = BLOCK_IDS * width
     files = spark.read.format("binaryFile").load(path)
+    if only is not None:  # before anything is read
+        files = files.join(only.select("name").distinct(), F.element_at(F.split("path", "/"), -1) == F.col("name"), "left_semi")
     paths = [path] if isinstance(path, str) else path
     if all(local_path(p) is not None for p in paths):
 
