@@ -33,14 +33,26 @@ def tokens(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """The analyzer of the sparse index: words in lower case without accents and stop words, cut to a light stem."""
+    """The analyzer of the sparse index: words in lower case without accents and stop words, cut to a light stem. The text
+    is rewritten as a whole, as a function for each word would leave generated code."""
     plain = F.translate(F.lower(text), "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
-    words = F.filter(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
-    return F.transform(words, lambda w: F.regexp_replace(w, stem_pattern(), "$1"))
+    letter = r"[\p{L}\p{N}]"
+    kept = F.regexp_replace(plain, f"(?<!{letter})(?:{_alternatives(STOP_WORDS)})(?!{letter})", " ")
+    # from the left the first place after three letters where a suffix ends the word: the longest one
+    stems = F.regexp_replace(kept, f"(?<={letter}{{3}})(?:{_alternatives(SUFFIXES)})(?!{letter})", "")
+    return F.regexp_extract_all(stems, F.lit(WORD), F.lit(0))
+
+
+def _alternatives(words: list[str]) -> str:
+    """Words grouped by their first letter, longest first, so that few are tried at a place."""
+    first: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        first.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items()))
 
 
 def stem_pattern() -> str:
-    """At least three letters stay; of several suffixes the longest goes."""
+    """The stemmer for a single word: at least three letters stay; of several suffixes the longest goes."""
     return f"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})$"
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,11 +61,15 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True) -
 
 
 def _nearest(names: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, itself: bool) -> pd.DataFrame:
-    """Of some vectors each query's k best; only what reaches the k-th score is sorted."""
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
     score = np.round(q @ v.T, 6) + 0.0
     if not itself:
         score[names[:, None] == ids[None]] = -np.inf
+    return _best(names, ids, score, k)
+
+
+def _best(names: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
+    """Of scores (question x chunk; -inf is none) each question's k best; only what reaches the k-th score is sorted."""
     least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(names), -np.inf)
     row, column = np.nonzero((score >= least[:, None]) & np.isfinite(score))
     order = np.lexsort((ids[column], -score[row, column], row))
@@ -129,12 +134,63 @@ def score_bm25(questions: DataFrame, held: DataFrame, stats: DataFrame, k: int,
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k: int, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """questions(question_id, text), chunks(chunk_id, text). Without a stored index, only the terms asked for are counted and shuffled."""
-    asked = questions.select(F.explode(analyzer(F.col("text"))).alias("term")).distinct()
+    """questions(question_id, text), chunks(chunk_id, text), without a stored index: nothing is shuffled but each task's
+    k best. One pass counts the terms asked for, one scores; of a chunk only those terms leave the JVM. Questions go
+    out in blocks, with their terms."""
+    asked = questions.select("question_id", F.explode(analyzer(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
+    blocks = max(1, math.ceil(questions.count() / QUERY_BLOCK))
+    schema = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+    out = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).orderBy("question_id", "term").toPandas()
+        part = ranked(_bm25_block(own, chunks, k, analyzer, schema), k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _bm25_block(asked: pd.DataFrame, chunks: DataFrame, k: int, analyzer, schema: str) -> DataFrame:
+    terms, term_of = np.unique(asked["term"].to_numpy(str), return_inverse=True)
+    names, question_of = np.unique(asked["question_id"].to_numpy(), return_inverse=True)
     words = chunks.select("chunk_id", analyzer(F.col("text")).alias("words"))
-    each = words.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked, "term", "left_semi")
-    held = each.groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
-    return score_bm25(questions, held, index_stats(chunks, analyzer), k, analyzer)
+    held = words.select("chunk_id", F.size("words").alias("len"), F.filter("words", lambda w: w.isin(terms.tolist())).alias("held"))
+    # a row without a term for each chunk: the chunks' number and length
+    counts = held.select("len", F.explode(F.concat(F.array_distinct("held"), F.array(F.lit(None).cast("string")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("len").alias("len")).collect()
+    n, total = next(((r.n, r.len) for r in counts if r.term is None), (0, 0))
+    df = dict((r.term, r.n) for r in counts)
+    df = np.array([df.get(t, 0) for t in terms.tolist()], float)
+    mean = max(total / max(n, 1), 1e-300)
+    # term by term its questions, with what an occurrence there is worth
+    order = np.argsort(term_of, kind="stable")
+    begin = np.searchsorted(term_of[order], np.arange(len(terms) + 1))
+    worth = np.log1p((n - df + 0.5) / (df + 0.5))[term_of[order]] * asked["times"].to_numpy(float)[order]
+    shared = chunks.sparkSession.sparkContext.broadcast((terms, names, question_of[order], begin, worth))
+
+    def best(batches):
+        terms, names, question, begin, worth = shared.value
+        place = {t: i for i, t in enumerate(terms.tolist())}
+        for batch in batches:
+            step = max(1, SCORES // max(1, len(names)))
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                lists = part["held"].combine_chunks() if hasattr(part["held"], "combine_chunks") else part["held"]
+                coded = lists.flatten().dictionary_encode()
+                own = np.array([place[t] for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                both, tf = np.unique(row * len(terms) + own, return_counts=True)
+                row, own = both // max(1, len(terms)), both % max(1, len(terms))
+                norm = tf / (tf + K1 * (1 - B + B * part["len"].to_numpy()[row] / mean))
+                times = begin[own + 1] - begin[own]
+                at = np.repeat(begin[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                cell, value = question[at] * len(part) + np.repeat(row, times), worth[at] * np.repeat(norm, times)
+                score = np.round(np.bincount(cell, value, len(names) * len(part)).reshape(len(names), len(part)), 6)
+                found = np.bincount(cell, minlength=len(names) * len(part)).reshape(score.shape) > 0
+                yield _best(names, np.array(part["chunk_id"].to_pylist()), np.where(found, score, -np.inf), k)
+
+    def run(batches):
+        for frame in best(batches):
+            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    return held.mapInArrow(run, schema)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
@@ -195,16 +251,35 @@ def graph_local(questions: DataFrame, chunks: DataFrame, k: int, rare: int = 5)
 
 class Corpus:
     """What the strategies are built from: questions(question_id, text), chunks(chunk_id, text), fragments(chunk_id, text,
-    parent_id), contextual, summarized and both (chunk_id, text), nodes of the summary tree (chunk_id, text)."""
+    parent_id), contextual, summarized and both (chunk_id, text), nodes of the summary tree (chunk_id, text).
 
-    def __init__(self, model: EmbeddingModel, analyzer: Callable[[Column], Column] = tokens, **frames: DataFrame):
-        self.model, self.analyzer, self.frames = model, analyzer, frames
+    With `store`, a ranking that several strategies need is made once, as deep as any of them asks, and read from there.
+    """
+
+    def __init__(self, model: EmbeddingModel, analyzer: Callable[[Column], Column] = tokens, store: Callable[[DataFrame, str], DataFrame] | None = None, **frames: DataFrame):
+        self.model, self.analyzer, self.store, self.frames, self.kept = model, analyzer, store, frames, {}
+
+    def _ranking(self, kind: str, name: str, k: int) -> DataFrame:
+        def make(depth):
+            if kind == "near":
+                return dense_texts(self.frames["questions"], self.frames[name], depth, self.model)
+            return bm25(self.frames["questions"], self.frames[name], depth, self.analyzer)
+
+        if self.store is None or name not in ("chunks", "contextual"):
+            return make(k)
+        depth = max(POOL, k) if name == "chunks" else k
+        if (kind, name) not in self.kept:
+            self.kept[kind, name] = self.store(make(depth), f"{kind}-{name}")
+        return self.kept[kind, name].where(F.col("rank") <= k)
 
     def near(self, name: str, k: int) -> DataFrame:
-        return dense_texts(self.frames["questions"], self.frames[name], k, self.model)
+        return self._ranking("near", name, k)
+
+    def sparse(self, name: str, k: int) -> DataFrame:
+        return self._ranking("sparse", name, k)
 
     def hybrid(self, name: str, k: int) -> DataFrame:
-        return fuse(self.near(name, k), bm25(self.frames["questions"], self.frames[name], k, self.analyzer), k)
+        return fuse(self.near(name, k), self.sparse(name, k), k)
 
 
 #: A pool for the scorer, at least.
@@ -217,7 +292,7 @@ def _reranked(c: Corpus, k: int) -> DataFrame:
 
 STRATEGIES: dict[str, Callable[[Corpus, int], DataFrame]] = {
     "dense": lambda c, k: c.near("chunks", k),
-    "sparse_bm25": lambda c, k: bm25(c.frames["questions"], c.frames["chunks"], k, c.analyzer),
+    "sparse_bm25": lambda c, k: c.sparse("chunks", k),
     "hybrid_rrf": lambda c, k: c.hybrid("chunks", k),
     "reranked": _reranked,
     "contextual": lambda c, k: c.hybrid("contextual", k),

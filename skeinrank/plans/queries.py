@@ -28,7 +28,7 @@ def _questions(spark, sf):
 
 
 def _chunks(spark, sf):
-    return _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return readers.spread(_t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def _ids(spark, sf):
@@ -42,7 +42,7 @@ def qrels(spark, sf) -> DataFrame:
     # a text's first words, up to six, of its first line; documents are joined on their lines' runs of as many words
     items = items.withColumn("w", F.slice(F.split("head", " "), 1, 6)).withColumn("n", F.size("w")).withColumn("key", six("w"))
     sizes = [r.n for r in items.select("n").distinct().orderBy("n").limit(7).collect()]
-    docs = _t(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = readers.spread(_t(spark, sf, "documents").select("doc_id", "source", "text"))
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.split("line", " ").alias("w"))
     runs = None
 
@@ -68,13 +68,13 @@ def dense_topk(spark, sf):
 
 
 def _fragments(spark, sf):
-    docs = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("norm"), "text")
+    docs = readers.spread(_t(spark, sf, "documents").select("doc_id", F.col("source").alias("norm"), "text"))
     return chunking.chunk_lines(docs)
 
 
 def _tree(spark, sf):
     """Documents are groups of lines; lines are leaves."""
-    docs = _t(spark, sf, "documents")
+    docs = readers.spread(_t(spark, sf, "documents").select("doc_id", "text"))
     leaves = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).withColumn("node_id", F.concat_ws("::", F.col("doc_id").cast("string"), F.col("ord").cast("string")))
     return chunking.raptor(leaves.withColumn("ids", F.array("node_id")))
 
@@ -83,14 +83,14 @@ def raptor_levels(spark, sf):
     return _tree(spark, sf).select("doc_id", "level", "ord", "text", F.size("ids").cast("long").alias("n_ids"))
 
 
-def _corpus(spark, sf):
-    docs = _t(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+def _corpus(spark, sf, store=None):
+    docs = readers.spread(_t(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
     plain = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
     sections = docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("context"))
     leads = docs.select("doc_id", chunking.lead(F.col("text")).alias("context"))
     contextual = chunking.contextual(plain, sections)
     return retrieve.Corpus(
-        ports.HashedTerms(), tx.terms, questions=_questions(spark, sf), chunks=plain, fragments=_fragments(spark, sf), contextual=contextual,
+        ports.HashedTerms(), tx.terms, store, questions=_questions(spark, sf), chunks=plain, fragments=_fragments(spark, sf), contextual=contextual,
         summarized=chunking.contextual(plain, leads), both=chunking.contextual(contextual, leads), nodes=_tree(spark, sf).select(F.col("node_id").alias("chunk_id"), "text"),
     )
 
@@ -108,9 +108,9 @@ STRATEGY_QUERIES = [_strategy(label) for label in retrieve.STRATEGIES]
 
 def _all_hits(spark, sf):
     """The hits of all ten strategies, stored: what is scored afterwards reads them."""
-    out = None
-    for f in STRATEGY_QUERIES:
-        own = f(spark, sf).select(F.lit(f.__name__).alias("strategy"), "question_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "score")
+    out, corpus = None, _corpus(spark, sf, readers.stored)
+    for label, strategy in retrieve.STRATEGIES.items():
+        own = strategy(corpus, K).select(F.lit(label).alias("strategy"), "question_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "score")
         out = own if out is None else out.unionByName(own)
     return readers.stored(out, "hits")
 
