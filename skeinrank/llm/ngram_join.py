@@ -359,10 +359,10 @@ def ngram_join(docs: DataFrame, width: int = 4, p: int = 85, q: int = 100, id_co
 
     edges = pairs.union(stars)
     room = size_of(classes)
-    blocks = materialize(components(edges), "blocks", room)
+    blocks = components(edges)
     degree = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
     hubs = materialize(blocks.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"), F.count("*").alias("members")), "block-hubs", room)
-    links = materialize(components(_verified(source, blocks.join(hubs, "component"), classes, width, schemes)), "links", room)
+    links = components(_verified(source, blocks.join(hubs, "component"), classes, width, schemes))
     names = links.join(classes.select(F.col("cls").alias("node"), "low"), "node")
     lowest = materialize(names.groupBy("component").agg(F.min("low").alias("component_id"), F.min("node").alias("first")), "lowest", room)
     named = links.join(lowest, "component").select(F.col("node").alias("cls"), "component_id", "first")
@@ -406,7 +406,7 @@ def _sets_of(source: DataFrame, members: DataFrame, width: int) -> DataFrame:
 def _verified(source: DataFrame, blocks: DataFrame, classes: DataFrame, width: int, schemes: Schemes) -> DataFrame:
     """Edges (a, b) that join all that links join: blocks(node, component, hub, members)."""
     members = materialize(blocks.join(classes.select(F.col("cls").alias("node"), "low", "n"), "node").withColumnRenamed("node", "cls"), "members", 3 * size_of(classes))
-    sets = materialize(_sets_of(source, members, width).join(members, "cls").select("cls", "component", "hub", "members", "n", "tokens").dropDuplicates(["cls"]), "members-sets", 8 * size_of(source))
+    sets = materialize(_sets_of(source, members, width).join(members, "cls").select("cls", "component", "hub", "members", "n", "tokens").dropDuplicates(["cls"]), "members-sets", size_of(source))
     hubs = sets.where("cls = hub").select("component", F.col("tokens").alias("hub_tokens"))
 
     def meet(batches):
@@ -419,7 +419,7 @@ def _verified(source: DataFrame, blocks: DataFrame, classes: DataFrame, width: i
             yield pa.RecordBatch.from_arrays([batch["cls"], batch["hub"], batch["component"], batch["members"], batch["n"], pa.array(linked, pa.bool_())], ["cls", "hub", "component", "members", "n", "linked"])
 
     asked = sets.where("cls <> hub").join(hubs, "component")
-    met = materialize(asked.mapInArrow(meet, "cls long, hub long, component long, members long, n long, linked boolean"), "met", size_of(members))
+    met = materialize(asked.mapInArrow(meet, "cls long, hub long, component long, members long, n long, linked boolean"), "met", size_of(sets))
     stars = met.where("linked").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
 
     # the loose sets meet all others of their component but the hub
@@ -447,7 +447,7 @@ def _verified(source: DataFrame, blocks: DataFrame, classes: DataFrame, width: i
 
     more = ones.select(*columns).unionByName(others.select(*columns)).groupBy("component", "t", "u").applyInPandas(verify, "a long, b long")
     # written before they are contracted: a stage with two steps in Python doubles the workers that stay
-    return stars.unionByName(materialize(more, "verified", size_of(members)))
+    return stars.unionByName(materialize(more, "verified"))
 
 
 def forest(one: list[np.ndarray], two: list[np.ndarray] | None, schemes: Schemes, joined: np.ndarray | None = None) -> list[tuple[int, int]]:

@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 #: Rows in one Arrow batch of the registered queries; texts vary from a few bytes to megabytes, so batches stay short.
 BATCH_ROWS = 256
 #: Bytes of text that an operator works on at a time, whatever the batch holds (or one longer text); bytes of a scratch file, about.
-PIECE_BYTES, FILE_BYTES = 1 << 20, 1 << 25
+PIECE_BYTES, FILE_BYTES = 1 << 20, 1 << 22
+#: Edges that one task may finish (16 MB); beyond that `components` goes on in rounds.
+LAST_EDGES = 1 << 20
 
 _scratch: list[str] = []
 
@@ -58,9 +60,9 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str, at_most: int | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut, a lost executor costs nothing.
 
-    `at_most` is a bound in bytes, if one is known: a table goes to no more files than that
-    needs (but to two for each core). The folder goes when the application ends, if `release`
-    doesn't delete it before.
+    `at_most` is a bound in bytes, if one is known: a table that takes little work is made by no
+    more tasks, and goes to no more files, than that needs. The folder goes when the
+    application ends, if `release` doesn't delete it before.
     """
     spark = session_of(df)
     if at_most is not None:
@@ -315,16 +317,19 @@ def settled(docs: DataFrame, verdicts: DataFrame, key_of, key_type: T.DataType,
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over `edges(a, b)`; only nodes with an edge appear.
+def components(edges: DataFrame, max_rounds: int = 60, last_edges: int = LAST_EDGES) -> DataFrame:
+    """(node, component), written: the smallest node reachable over `edges(a, b)`; only nodes with an edge appear.
 
-    Alternating large-star and small-star steps over written tables. Each step first
-    contracts every task's own edges to a spanning forest, so a hub is never gathered
-    in one place: stars are joined on written tables, where skewed keys can be split.
+    First every task contracts its own edges to a spanning forest, so a hub is never gathered in one place. If few
+    edges are left (they are counted), one task ends it; else alternating large-star and small-star steps go on over
+    written tables, joined where skewed keys can be split, until that is so or the graph is stars.
     """
     e = materialize(_contracted(edges), "cc-0")
     old: list[str] = []
     for r in range(1, max_rounds):
+        if e.count() <= last_edges:
+            e = _contracted(e.coalesce(1), whole=True)
+            break
         before, room = scratch_paths(), 2 * size_of(e)
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"cc-{r}m", room)
@@ -346,12 +351,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    leaf = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return leaf.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    stars = e.select("a", "b").union(e.select("b", "b"))
+    return materialize(stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "components", 2 * size_of(e))
 
 
 def _files(df: DataFrame, at_most: int) -> int:
-    return max(2 * session_of(df).sparkContext.defaultParallelism, min(-(-at_most // FILE_BYTES), 1 << 30))
+    return min(max(2, session_of(df).sparkContext.defaultParallelism // 2, -(-at_most // FILE_BYTES)), 1 << 30)
 
 
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -369,8 +374,8 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[own], ids[up[own]]
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """Per task, the edges replaced by stars on each local component's smallest node."""
+def _contracted(edges: DataFrame, whole: bool = False) -> DataFrame:
+    """Per task, the edges replaced by stars on each local component's smallest node; unless `whole`, a task with very many goes on in parts."""
 
     def run(batches):
         let_go()
@@ -379,7 +384,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
             a, b = np.concatenate([a, batch["a"].to_numpy()]), np.concatenate([b, batch["b"].to_numpy()])
             if len(a) > 500_000:
                 a, b = _roots(a, b)
-                if len(a) > 250_000:
+                if len(a) > 250_000 and not whole:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
                     a, b = a[:0], b[:0]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in _roots(a, b)], ["a", "b"])

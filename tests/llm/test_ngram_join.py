@@ -144,3 +144,26 @@ def test_query(spark):
 
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in op3_ngram_join(spark, SF).collect()) == brute(docs)
+
+
+def test_components_in_rounds_and_at_once(spark):
+    from skeinrank.llm.shared import components
+
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(900, 900 + i) for i in range(1, 50)]
+    up = {}
+    for a, b in edges:
+        group = up.setdefault(a, {a}) | up.setdefault(b, {b})
+        for x in group:
+            up[x] = group
+    want = {x: min(g) for x, g in up.items() if len(g) > 1}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for last in (0, 1 << 20):
+        assert {r.node: r.component for r in components(df, last_edges=last).collect()} == want
+
+
+def test_a_task_ends_a_long_chain(spark):
+    from skeinrank.llm.shared import components
+
+    got = components(spark.range(700_000).selectExpr("id a", "id + 1 b"))
+    assert sorted(got.agg({"component": "max", "node": "count"}).first()) == [0, 700_001]
