@@ -184,13 +184,10 @@ def _bm25_block(asked: pd.DataFrame, chunks: DataFrame, k: int, analyzer, schema
                 cell, value = question[at] * len(part) + np.repeat(row, times), worth[at] * np.repeat(norm, times)
                 score = np.round(np.bincount(cell, value, len(names) * len(part)).reshape(len(names), len(part)), 6)
                 found = np.bincount(cell, minlength=len(names) * len(part)).reshape(score.shape) > 0
-                yield _best(names, np.array(part["chunk_id"].to_pylist()), np.where(found, score, -np.inf), k)
+                got = _best(names, np.array(part["chunk_id"].to_pylist()), np.where(found, score, -np.inf), k)
+                yield pa.RecordBatch.from_arrays([pa.array(got["question_id"]), pa.array(got["chunk_id"], part.schema.field("chunk_id").type), pa.array(got["score"], pa.float64())], list(got.columns))
 
-    def run(batches):
-        for frame in best(batches):
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(best, schema)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
