@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import citation_candidates, citations, ordinal_bin, unit_score
 from . import records as rec
 
-# The seed of the selection, the least number of answers, the gate, and what the features look for.
-SEED = "regrag-br-calibration-v2"
+#: The seed of the selection; whoever wants an earlier sample again gives that sample's.
+SEED = "calibration-v2"
+# The least number of answers, the gate, and what the features look for.
 LEAST, FLOOR, TARGET = 30, 0.60, 0.70
 METRIC_OF = {"faithfulness": "faithfulness", "answer_relevancy": "answer_relevancy", "abstention": "abstention_appropriate"}
 BASE = ["faithfulness", "answer_relevancy"]
@@ -63,11 +64,11 @@ def features(records: DataFrame, judgments: DataFrame) -> DataFrame:
     return rows.select("question_id", "strategy", F.concat_ws(":", "s.query_class", "s.answerability", "s.strength").alias("stratum"), tags.alias("features"))
 
 
-def selection_key() -> Column:
-    return F.sha2(F.concat_ws("\0", F.lit(SEED), F.col("question_id").cast("string"), "strategy"), 256)
+def selection_key(seed: str = SEED) -> Column:
+    return F.sha2(F.concat_ws("\0", F.lit(seed), F.col("question_id").cast("string"), "strategy"), 256)
 
 
-def select(tagged: DataFrame, size: int, least: int = LEAST, concepts: list[str] | None = None) -> list[tuple]:
+def select(tagged: DataFrame, size: int, least: int = LEAST, concepts: list[str] | None = None, seed: str = SEED) -> list[tuple]:
     """(question_id, strategy) of a sample of `size`: greedily those that cover most of what is uncovered (of equals the
     smallest key), then the strata in turn, largest key first.
 
@@ -79,7 +80,7 @@ def select(tagged: DataFrame, size: int, least: int = LEAST, concepts: list[str]
         raise ValueError(f"at least {least} samples are needed")
     if (n := tagged.count()) < size:
         raise ValueError(f"only {n} usable records for {size} requested")
-    keyed = tagged.withColumn("key", selection_key())
+    keyed = tagged.withColumn("key", selection_key(seed))
     kind = W.partitionBy("stratum", "features")
     pool = keyed.withColumn("up", F.row_number().over(kind.orderBy("key"))).withColumn("down", F.row_number().over(kind.orderBy(F.desc("key")))).where((F.col("up") <= size) | (F.col("down") <= 2 * size))
     left = sorted((r.key, r.question_id, r.strategy, r.stratum, frozenset(r.features)) for r in pool.drop("up", "down").collect())
