@@ -13,11 +13,14 @@ from . import html_text, language_id, toxicity
 from .byte_bpe import bpe_encode
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .shared import materialize, scratch_folder, scratch_root, short_batches, table
+from .simhash import simhash_dedup
 from .token_counts import local_path, read_token_files, token_counts, write_token_files, write_tokens
+from .vector_codes import books_digest, compress
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The flat files' vocabulary, whose id 50256 is free, and so ends a document.
@@ -101,6 +104,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"), width=4, radius=4, seed=42)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    coded = materialize(coded, "codes")
+    sums = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    out = coded.join(sums, F.col("label").eqNullSafe(F.col("of")))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, positives=5, negatives=3, label=label, scale=256)
 
 
 def _short(query):
@@ -116,12 +134,45 @@ def _short(query):
 
 QUERIES = {
     f.__name__: _short(f)
-    for f in (op1_language_id, op2_html_text, op3_ngram_join, op4_token_counts, op5_license_scan, op6_line_dedup, op7_exact_dedup, op8_byte_bpe, op9_decontaminate, op10_toxicity)
+    for f in (op1_language_id, op2_html_text, op3_ngram_join, op4_token_counts, op5_license_scan, op6_line_dedup, op7_exact_dedup, op8_byte_bpe, op9_decontaminate, op10_toxicity, op11_simhash, op12_vector_codes, op13_hard_negatives)
 }
 
 _LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Vectors that are whole, as integers.
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The rounds one after the other, every part against every entry."""
+    ctes = [
+        f"kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_WHOLE})",
+        f"cut AS (SELECT vec_id, p.p AS p, list_slice(v, (p.p * (len(v) // {parts}) + 1)::INT, ((p.p + 1) * (len(v) // {parts}))::INT) AS x FROM kept, (SELECT unnest(range({parts})) AS p) p)",
+        f"b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM cut WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS best FROM cut JOIN b{r} USING (p) GROUP BY vec_id, p, x)")
+        if r < rounds:
+            ctes.append(f"s{r} AS (SELECT p, e, i, sum(y) AS s, count(*) AS n FROM (SELECT p, best.e AS e, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{r}) GROUP BY p, e, i)")
+            ctes.append(f"m{r} AS (SELECT p, e, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS c FROM s{r} GROUP BY p, e)")
+            ctes.append(f"b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, e))")
+    return f"""WITH {', '.join(ctes)},
+        w AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS digest FROM b{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM w JOIN kept USING (vec_id), h"""
+
+
 ORACLE_SQL = {
+    "op12_vector_codes": _codes_sql(),
+    "op13_hard_negatives": f"""
+        WITH kept AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+                      FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND {_WHOLE}),
+        s AS MATERIALIZED (SELECT a.vec_id AS a, r.vec_id AS r, a.label = r.label AS same, list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2]))::BIGINT AS score
+                           FROM kept a JOIN kept r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT a, r AS positive, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, r) <= 5),
+        n AS (SELECT p.a, positive, ps, s.r, s.score, row_number() OVER (PARTITION BY p.a, positive ORDER BY s.score DESC, s.r) AS place
+              FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * ps <= 100 * s.score AND 100 * s.score <= 95 * ps)
+        SELECT a AS anchor_id, positive AS positive_id, place::INT AS rank, r AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE place <= 3""",
     "op7_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_LOWER_AZ}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
