@@ -147,7 +147,7 @@ def _rounds(rows: DataFrame, books: list[np.ndarray], edges: list[int]) -> list[
 def train(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, id_col: str = "vec_id") -> tuple[list[np.ndarray], list[int]]:
     """A codebook for each part, and where parts begin and end, of rows(id, v)."""
     first = rows.select(F.col(f"`{id_col}`").alias("id"), "v").orderBy(F.asc_nulls_last("id"), "v").limit(entries).collect()
-    start = np.array([r["v"] for r in first], np.int64).reshape(len(first), -1)
+    start = np.array([r["v"] for r in first], np.int64).reshape(len(first), len(first[0]["v"]) if first else 0)
     edges = bounds_of(start.shape[1], parts)
     books = [start[:, a:b] for a, b in zip(edges, edges[1:])]
     for _ in range(rounds if len(first) else 0):
