@@ -10,11 +10,10 @@ row whose bounds can't reach what is wanted goes without a look at its vector; t
 get exact integer products, and the wanted ones are chosen among these.
 
 Anchors go out in blocks of `ANCHORS`, each against all rows. First each anchor's positives: a task
-takes the rows of its label whose upper bound reaches the n-th highest lower bound, ranks them
-exactly and sends its n best, whose last one raises the bar as it goes on; Spark cuts these to n. Then the negatives of each anchor and positive,
+takes the rows of its label whose upper bound reaches the n-th best exact score so far, ranks them
+exactly and sends its n best; Spark cuts these to n. Then the negatives of each anchor and positive,
 rows of other labels whose exact score lies in the positive's window: a task looks at the rows whose
-bounds meet the window and whose upper bound reaches the n-th highest lower bound among those
-certainly inside. What a block needs of the driver is its anchors and their positives. Blocks are
+bounds meet a window of the anchor between the n-th best found in it so far and its upper end. What a block needs of the driver is its anchors and their positives. Blocks are
 written as they come, so no plan grows with their number.
 
 Edge cases: rows with a null id, a null label, a null vector or a null or non-finite component take
@@ -39,13 +38,15 @@ from .shared import let_go, materialize
 from .vector_codes import _matrix, code_type, encode, integers, train
 
 #: Codebooks' size and rounds (trained on all rows; they decide how much is looked at, never what is found).
-PARTS, ENTRIES, ROUNDS = 8, 64, 2
+PARTS, ENTRIES, ROUNDS = 16, 32, 2
 #: What a component is multiplied by, and its bound.
 SCALE, LIMIT = 256, 1 << 23
 #: Anchors of a block, and scores (windows x rows) held at a time.
 ANCHORS, SCORES = 2048, 1 << 20
 #: More than the table scores' rounding errors, of their size.
 SLACK = 1e-9
+#: A pair among so many of anchors x rows is a good part of them.
+DENSE = 32
 
 
 class Anchors:
@@ -67,20 +68,24 @@ class Anchors:
         return score - most, score + most
 
     def exact(self, of: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Integer products of pairs (anchor, row), a bounded number at a time."""
+        """Integer products of pairs (anchor, row), in the narrowest kind of number that holds them exactly. Where the pairs are a good
+        part of their anchors x rows, these are multiplied as matrices."""
+        if not len(of):
+            return np.zeros(0, np.int64)
+        most = float(np.sqrt((self.vectors.astype(float) ** 2).sum(1).max() * (vectors.astype(float) ** 2).sum(1).max()))
+        kind = np.float32 if most < 1 << 23 else np.float64 if most < 1 << 52 else np.int64
+        own, rows = self.vectors.astype(kind), vectors.astype(kind)
+        a, i = np.unique(of, return_inverse=True)
+        r, j = np.unique(at, return_inverse=True)
+        if len(of) * DENSE >= len(a) * len(r) and kind is not np.int64:
+            return (own[a] @ rows[r].T)[i, j].astype(np.int64)
         out = np.zeros(len(of), np.int64)
-        for lo in range(0, len(of), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            out[part] = (self.vectors[of[part]] * vectors[at[part]]).sum(1)
+        for lo in range(0, len(of), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
+            out[part] = np.einsum("ij,ij->i", own[of[part]], rows[at[part]])
         return out
 
 
-def _reach(low: np.ndarray, ok: np.ndarray, n: int) -> np.ndarray:
-    """Per line the n-th highest `low` of those that are `ok` (all, if fewer: no bar)."""
-    low = np.where(ok, low, -np.inf)
-    return np.partition(low, low.shape[1] - n, axis=1)[:, low.shape[1] - n] if low.shape[1] >= n else np.full(len(low), -np.inf)
-
-
 class Best:
     """The n best (score, then smaller id) of each line so far, over a task's batches."""
 
@@ -121,9 +126,8 @@ def _positives(rows: DataFrame, shared, n: int) -> DataFrame:
         own = shared.value
         every, best = np.arange(len(own.ids)), Best(len(own.ids), n)
         for ids, labels, code, left, vectors in _coded(batches, len(own.ids), own.kind):
-            low, high = own.bounds(every, code, left)
-            ok = (own.labels[:, None] == labels[None]) & (own.ids[:, None] != ids[None])
-            a, r = np.nonzero(ok & (high >= np.maximum(best.bar, _reach(low, ok, n))[:, None]))
+            _, high = own.bounds(every, code, left)
+            a, r = np.nonzero((high >= best.bar[:, None]) & (own.labels[:, None] == labels[None]) & (own.ids[:, None] != ids[None]))
             best.add(a, own.exact(a, vectors, r), ids[r])
         yield best.batch("anchor")
 
@@ -138,16 +142,24 @@ def _negatives(rows: DataFrame, shared, asked, n: int) -> DataFrame:
     def run(batches):
         let_go()
         own, (of, least, most) = shared.value, asked.value
-        every, best = np.arange(len(own.ids)), Best(len(of), n)
-        for ids, labels, code, left, vectors in _coded(batches, max(len(of), len(own.ids)), own.kind):
-            bounds = own.bounds(every, code, left)
-            low, high = bounds[0][of], bounds[1][of]
-            other = own.labels[of][:, None] != labels[None]
-            inside = other & (low >= least[:, None]) & (high <= most[:, None])
-            maybe = other & (low <= most[:, None]) & (high >= np.maximum(np.maximum(least, best.bar), _reach(low, inside, n))[:, None])
-            w, r = np.nonzero(maybe)
-            score = own.exact(of[w], vectors, r)
-            fits = (score >= least[w]) & (score <= most[w])
+        best, every = Best(len(of), n), np.arange(len(own.ids))
+        begin = np.searchsorted(of, np.append(every, len(every)))  # an anchor's windows stand together
+        size = np.diff(begin)
+        asks = np.flatnonzero(size)
+        if not len(asks):
+            return
+        top = np.maximum.reduceat(most, begin[asks])
+        for ids, labels, code, left, vectors in _coded(batches, len(asks), own.kind):
+            low, high = own.bounds(asks, code, left)
+            need = np.minimum.reduceat(np.maximum(least, best.bar), begin[asks])
+            a, r = np.nonzero((high >= need[:, None]) & (low <= top[:, None]) & (own.labels[asks][:, None] != labels[None]))
+            a = asks[a]
+            score = own.exact(a, vectors, r)
+            fits = (score >= need[np.searchsorted(asks, a)]) & (score <= top[np.searchsorted(asks, a)])
+            a, r, score = a[fits], r[fits], score[fits]
+            w = np.repeat(begin[a], size[a]) + np.arange(size[a].sum()) - np.repeat(np.cumsum(size[a]) - size[a], size[a])
+            r, score = np.repeat(r, size[a]), np.repeat(score, size[a])
+            fits = (score >= np.maximum(least, best.bar)[w]) & (score <= most[w])
             best.add(w[fits], score[fits], ids[r[fits]])
         yield best.batch("window")
 

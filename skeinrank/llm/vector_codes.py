@@ -87,19 +87,19 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         part = x[lo : lo + step]
         own = Segments(part)
         # how much the terms of a bound may be off by rounding
-        loose = SLACK * (own.square[:, None] + of_entries.square[None]) + 1e-3
-        row, entry = np.repeat(np.arange(len(part)), k), np.tile(np.arange(k), len(part))
+        loose = SLACK * (own.square + of_entries.square.max()) + 1e-3
         most = np.full(len(part), np.inf)
-        for (a, ra), (b, rb) in zip(own.levels, of_entries.levels):
-            low = ((a[row] - b[entry]) ** 2).sum(1) + (ra[row] - rb[entry]) ** 2 - loose[row, entry]
-            # an exact distance for each row, of the entry with the lowest bound: pairs stand row by row, each with one at least
-            begin = np.searchsorted(row, np.arange(len(part)))
-            least = np.flatnonzero(low == np.repeat(np.minimum.reduceat(low, begin), np.diff(np.append(begin, len(row)))))
-            guess = entry[least[np.searchsorted(row[least], np.arange(len(part)))]]
-            most = np.minimum(most, ((part - entries[guess]) ** 2).sum(1) * (1 + SLACK))
+        row, entry = np.divmod(np.arange(len(part) * k), k)
+        for level, ((a, ra), (b, rb)) in enumerate(zip(own.levels, of_entries.levels)):
+            if level:
+                low = np.full((len(part), k), np.inf)
+                low[row, entry] = ((a[row] - b[entry]) ** 2).sum(1) + (ra[row] - rb[entry]) ** 2
+            else:
+                low = (a - b.T) ** 2 + (ra[:, None] - rb[None]) ** 2
+            # an exact distance for each row, of the entry with the lowest bound
+            most = np.minimum(most, ((part - entries[low.argmin(1)]) ** 2).sum(1) * (1 + SLACK) + loose)
             exact += len(part)
-            stays = low <= most[row]
-            row, entry = row[stays], entry[stays]
+            row, entry = np.nonzero(low <= most[:, None])
         exact += len(row)
         distance = np.full((len(part), k), np.iinfo(np.int64).max)
         distance[row, entry] = ((part[row] - entries[entry]) ** 2).sum(1)
