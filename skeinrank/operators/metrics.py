@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import failure_runs
+
 NAMES = ["recall", "precision", "mrr", "ndcg", "drm"]
 
 
@@ -13,6 +15,12 @@ def _share(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def _mean(name: str):
+    """The mean of values of six digits, half up to six digits: added up as whole numbers, so that no order of rows shows."""
+    total, n = F.sum(F.round(F.col(name) * 1_000_000).cast("long")), F.count(name)
+    return (F.floor((2 * total + n) / (2 * n)).cast("long") / 1_000_000).alias(name)
+
+
 def question_metrics(hits: DataFrame, ids: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """One row a strategy and question with judgments. A judged id counts once, at the first rank that covers
     it; a rank gains its best new id; precision divides by what was returned; the reciprocal rank sees all hits."""
@@ -44,7 +52,7 @@ def question_metrics(hits: DataFrame, ids: DataFrame, qrels: DataFrame, k: int)
 
 def scorecard(metrics: DataFrame, k: int = 5, failed: DataFrame | None = None) -> DataFrame:
     """Means by strategy with n, k and how many questions failed: failed(strategy, question_id)."""
-    means = metrics.groupBy("strategy").agg(*(F.round(F.avg(m), 6).alias(m) for m in NAMES), F.count("*").alias("n"))
+    means = metrics.groupBy("strategy").agg(*map(_mean, NAMES), F.count("*").alias("n"))
     if failed is not None:
         n = failed.groupBy("strategy").agg(F.count("*").alias("errors"))
         means = means.join(n, "strategy", "full").fillna(0.0, NAMES).fillna(0, ["n"])
@@ -106,7 +114,7 @@ def result_line(width: int = 14):
 
 def breakdown(metrics: DataFrame, members: DataFrame, dimension: str) -> DataFrame:
     """Means by a group that a question may be in more than one of: members(question_id, member)."""
-    return metrics.join(members.distinct(), "question_id").groupBy("strategy", "member").agg(*(F.round(F.avg(m), 6).alias(m) for m in NAMES), F.count("*").alias("n")).withColumn("dimension", F.lit(dimension))
+    return metrics.join(members.distinct(), "question_id").groupBy("strategy", "member").agg(*map(_mean, NAMES), F.count("*").alias("n")).withColumn("dimension", F.lit(dimension))
 
 
 def citation_accuracy(answers: DataFrame) -> DataFrame:
@@ -115,11 +123,7 @@ def citation_accuracy(answers: DataFrame) -> DataFrame:
     return answers.select("question_id", F.round(_share(F.size(F.array_intersect(cited, F.col("relevant"))), F.size(cited)), 6).alias("citation_accuracy"))
 
 
-def circuit_breaker(events: DataFrame, partition: str, order: list[str], failed: str, limit: int = 5) -> DataFrame:
-    """`status`: skipped after `limit` failures in a row, else failed or succeeded."""
-    w = W.partitionBy(partition).orderBy(*order)
-    runs = events.withColumn("__good", F.sum(F.when(~F.col(failed), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    run = F.sum(F.col(failed).cast("int")).over(W.partitionBy(partition, "__good").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    runs = runs.withColumn("__run", run)
-    open_ = F.coalesce(F.max(F.col("__run") >= limit).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
-    return runs.withColumn("status", F.when(open_, "skipped").when(F.col(failed), "failed").otherwise("succeeded")).drop("__good", "__run")
+def circuit_breaker(events: DataFrame, partition: str, order: list[str], failed: str, limit: int = 5, segments: int | None = None) -> DataFrame:
+    """`status`: skipped after `limit` failures in a row, else failed or succeeded. A key may hold any number of events."""
+    runs = failure_runs(events, [partition], order, failed, limit, segments)
+    return runs.withColumn("status", F.when(F.col("__open"), "skipped").when(F.col(failed), "failed").otherwise("succeeded")).drop("__open")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json
+from .scan import previous, running_before
 
 
 def latest(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -92,9 +93,8 @@ def chained(events: DataFrame) -> DataFrame:
 
 def chain_faults(events: DataFrame) -> DataFrame:
     """(run_id, sequence, fault), a row for each thing wrong with an event: its own hash isn't that of its content, its
-    number doesn't follow, its link isn't the hash of the event before (null for the first)."""
-    w = W.partitionBy("run_id").orderBy("sequence")
-    step = events.withColumn("before", F.lag("event_hash").over(w)).withColumn("last", F.lag("sequence").over(w))
+    number doesn't follow, its link isn't the hash of the event before (null for the first). A run may have any length."""
+    step = previous(events, ["run_id"], ["sequence", "event_hash"], {"before": "event_hash", "last": "sequence"})
     faults = F.array(
         F.when(F.col("event_hash") != event_hash(), "content changed"),
         F.when(F.col("last").isNotNull() & (F.col("sequence") != F.col("last") + 1), "sequence gap"),
@@ -103,13 +103,6 @@ def chain_faults(events: DataFrame) -> DataFrame:
     return step.select("run_id", "sequence", F.explode(F.array_compact(faults)).alias("fault"))
 
 
-def set_digest(rows: DataFrame, group: list[str], name: str, digest: str) -> DataFrame:
-    """sha256 of the sorted `name:digest` list of each group. It is one digest of one list, so a group is a manifest's
-    enabled documents, not a corpus' texts: a list of some hundred thousand lines is what one task should hold."""
-    item = F.concat_ws(":", F.col(name).cast("string"), digest)
-    return rows.groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "|"), 256).alias("content_hash"))
-
-
 # ---------------------------------------------------------------- agreement of two raters
 
 
@@ -134,12 +127,12 @@ def kappa(pairs: DataFrame, group: list[str]) -> DataFrame:
 
 
 def spearman(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Pearson's correlation of average ranks, null when a side is constant. Ranks come from each value's count, not from a sort of all rows."""
+    """Pearson's correlation of average ranks, null when a side is constant. Ranks come from the values' counts, which
+    are added up range by range, so a group may hold all rows and as many values."""
 
     def ranks(side: str) -> DataFrame:
         n = pairs.groupBy(*group, side).agg(F.count("*").alias("n"))
-        below = F.coalesce(F.sum("n").over(W.partitionBy(*group).orderBy(side).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return n.select(*group, side, (below + (F.col("n") + 1) / 2).alias(f"r{side}"))
+        return running_before(n, group, [side], "n", "below").select(*group, side, (F.col("below") + (F.col("n") + 1) / 2).alias(f"r{side}"))
 
     both = pairs.join(ranks("a"), [*group, "a"]).join(ranks("b"), [*group, "b"])
     s = both.groupBy(*group).agg(F.covar_pop("ra", "rb").alias("c"), F.stddev_pop("ra").alias("x"), F.stddev_pop("rb").alias("y"), F.count("*").alias("n"))

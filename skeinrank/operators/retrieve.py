@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..ports import EmbeddingModel, Reranker
+from ..sources.readers import stored
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Query vectors of one broadcast block, and scores held at a time: bounds on memory, not on what is searched.
@@ -37,6 +38,8 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True) -
     n = queries.count()
     blocks = max(1, math.ceil(n / QUERY_BLOCK))
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)))
+    if blocks > 1:  # every block reads them: they are made once
+        numbered, vectors = stored(numbered, "questions"), stored(vectors.select("chunk_id", "embedding"), "vectors")
     parts = []
     for b in range(blocks):
         rows = numbered.where(F.col("block") == b).select("question_id", "embedding").toArrow()
@@ -106,35 +109,11 @@ def dense_texts(questions: DataFrame, chunks: DataFrame, k: int, model: Embeddin
     return dense(embedded(questions, model, "question_id"), embedded(chunks, model, "chunk_id"), k)
 
 
-# ---------------------------------------------------------------- the sparse index
-
-
-def postings(chunks: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """(term, chunk_id, tf, len) of chunks(chunk_id, text); of an id that repeats the caller keeps one row."""
-    words = chunks.select("chunk_id", analyzer(F.col("text")).alias("words"))
-    each = words.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term"))
-    return each.groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
-
-
-def index_stats(chunks: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """One row: n chunks and their mean length, those without terms included."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(analyzer(F.col("text")))).alias("mean"))
-
-
-def score_bm25(questions: DataFrame, held: DataFrame, stats: DataFrame, k: int, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """Over postings and stats, stored or made: any common term makes a hit; a question's repeated terms count."""
-    asked = questions.select("question_id", F.explode(analyzer(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    # only the terms asked for are scored
-    held = held.join(asked.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    scored = asked.join(df, "term").join(held, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return ranked(scored.groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("times") * idf * tf), 6).alias("score")), k)
+# ---------------------------------------------------------------- sparse
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k: int, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """questions(question_id, text), chunks(chunk_id, text), without a stored index: nothing is shuffled but each task's
+    """questions(question_id, text), chunks(chunk_id, text), without a stored index (`sparse_index`): nothing is shuffled but each task's
     k best. One pass counts the terms asked for, one scores; of a chunk only those terms leave the JVM. Questions go
     out in blocks, with their terms."""
     asked = questions.select("question_id", F.explode(analyzer(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
@@ -250,16 +229,19 @@ class Corpus:
     """What the strategies are built from: questions(question_id, text), chunks(chunk_id, text), fragments(chunk_id, text,
     parent_id), contextual, summarized and both (chunk_id, text), nodes of the summary tree (chunk_id, text).
 
-    With `store`, a ranking that several strategies need is made once, as deep as any of them asks, and read from there.
+    With `store`, a ranking that several strategies need is made once, as deep as any of them asks, and read from there. With
+    `index`, sparse rankings are searched in the stored index that it gives for a frame's name.
     """
 
-    def __init__(self, model: EmbeddingModel, analyzer: Callable[[Column], Column] = tokens, store: Callable[[DataFrame, str], DataFrame] | None = None, **frames: DataFrame):
-        self.model, self.analyzer, self.store, self.frames, self.kept = model, analyzer, store, frames, {}
+    def __init__(self, model: EmbeddingModel, analyzer: Callable[[Column], Column] = tokens, store: Callable[[DataFrame, str], DataFrame] | None = None, index=None, **frames: DataFrame):
+        self.model, self.analyzer, self.store, self.index, self.frames, self.kept = model, analyzer, store, index, frames, {}
 
     def _ranking(self, kind: str, name: str, k: int) -> DataFrame:
         def make(depth):
             if kind == "near":
                 return dense_texts(self.frames["questions"], self.frames[name], depth, self.model)
+            if self.index is not None:
+                return self.index(name, self.frames[name]).search(self.frames["questions"], depth)
             return bm25(self.frames["questions"], self.frames[name], depth, self.analyzer)
 
         if self.store is None or name not in ("chunks", "contextual"):

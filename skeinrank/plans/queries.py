@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from .. import ports
 from ..functions import text as tx
 from ..operators import audit, calibration, chunking, evidence, metrics, records, retrieve, sampling
+from ..operators.sparse_index import SparseIndex
+from ..operators.vector_index import VectorIndex
 from ..sources import readers
+from ..sources.tables import Table
 
 K = 5
 
@@ -67,6 +70,15 @@ def dense_topk(spark, sf):
     return retrieve.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10, itself=False)
 
 
+def vector_recall(spark, sf):
+    """How many of the ten nearest vectors of each 50th one the stored index finds."""
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "question_id")
+    found = VectorIndex.build(spark, readers.new_folder(spark, "vectors"), v).search(asked, 10, itself=False)
+    both = dense_topk(spark, sf).select("question_id", "chunk_id").join(found.select("question_id", "chunk_id", F.lit(1).alias("got")), ["question_id", "chunk_id"], "left")
+    return both.agg(F.count_distinct("question_id").alias("questions"), F.count("*").alias("near"), F.count("got").alias("found"), F.round(F.count("got") / F.count("*"), 6).alias("recall"))
+
+
 def _fragments(spark, sf):
     docs = readers.spread(_t(spark, sf, "documents").select("doc_id", F.col("source").alias("norm"), "text"))
     return chunking.chunk_lines(docs)
@@ -83,6 +95,22 @@ def raptor_levels(spark, sf):
     return _tree(spark, sf).select("doc_id", "level", "ord", "text", F.size("ids").cast("long").alias("n_ids"))
 
 
+def _kept(spark, sf, name, kind):
+    """Where an index over `name` made of documents is kept: by what the files of the table are, and by what makes the index."""
+    files = _t(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    own = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *files.columns))), ";"), 256)).head()[0]  # a line a file
+    return f"{readers.shared_folder(spark)}/index-{kind}-{name}-{own[:32]}"
+
+
+def sparse_index_topk(spark, sf):
+    """The sparse strategy's ranking from the stored index, which is built when the session first asks for it; its postings are committed last."""
+    index = SparseIndex(spark, _kept(spark, sf, "chunks", "terms"), tx.terms)
+    if not index.rows.versions():
+        readers.temporary(spark, index.path)
+        index = SparseIndex.build(spark, index.path, _chunks(spark, sf), tx.terms)
+    return index.search(_questions(spark, sf), K)
+
+
 def _corpus(spark, sf, store=None):
     docs = readers.spread(_t(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
     plain = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
@@ -305,6 +333,32 @@ def stage_durations(spark, sf):
     return metrics.stage_durations(e)
 
 
+def _records_table(spark, sf):
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("record"), F.col("o_orderpriority").alias("strategy"), F.col("o_orderstatus").alias("status"))
+    return o.withColumn("bucket", F.pmod(F.xxhash64("record"), F.lit(16)).cast("int"))
+
+
+def table_upsert(spark, sf):
+    """A stored table of orders, in which returned items' orders are overwritten and every order gets a sibling, the last of which counts."""
+    table = Table(spark, readers.new_folder(spark, "records"), key="record")
+    table.create(_records_table(spark, sf))
+    back = _t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.explode(F.array("l_orderkey", -F.col("l_orderkey"))).alias("record"), "l_linenumber")
+    new = back.select("record", F.lit("returned").alias("strategy"), F.concat(F.lit("line "), "l_linenumber").alias("status"), F.pmod(F.xxhash64("record"), F.lit(16)).cast("int").alias("bucket"), "l_linenumber")
+    table.upsert(new, order="l_linenumber")
+    return table.read().drop("bucket")
+
+
+def table_replace(spark, sf):
+    """The records of one strategy in place of those it had, in one step; then the rows that another append lacks."""
+    table = Table(spark, readers.new_folder(spark, "records"), key="record")
+    all_ = _records_table(spark, sf)
+    table.create(all_.where("status <> 'P'"))
+    urgent = F.col("strategy") == "1-URGENT"
+    table.replace(urgent, all_.where(urgent).where("record % 3 = 0").withColumn("status", F.lit("again")))
+    table.append(all_.withColumn("status", F.lit("late")))
+    return table.read().drop("bucket")
+
+
 def latest_record_dedup(spark, sf):
     e = _t(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value")
     return records.latest(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
@@ -575,9 +629,9 @@ def ingest_chunks(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        qrels, bm25_topk, dense_topk, *STRATEGY_QUERIES, raptor_levels, question_metrics, strategy_scorecard, scorecard_lines, breakdown_by_norm, ordered_ids, embed_missing,
+        qrels, bm25_topk, dense_topk, vector_recall, *STRATEGY_QUERIES, sparse_index_topk, raptor_levels, question_metrics, strategy_scorecard, scorecard_lines, breakdown_by_norm, ordered_ids, embed_missing,
         chunk_documents, html_lite, claim_segments, citation_parse, citation_accuracy, citation_checks, audit_rates, audit_outcomes, claim_status, valid_sources, audit_lineage, judge_lineage, context_blocks,
-        stratified_split, stratified_sample, kappa_report, spearman_report, support_rates, circuit_breaker, hash_chain_verify, stage_durations, latest_record_dedup, record_merge, usage_cost, integrity_refs, integrity_keys,
+        stratified_split, stratified_sample, kappa_report, spearman_report, support_rates, circuit_breaker, hash_chain_verify, stage_durations, table_upsert, table_replace, latest_record_dedup, record_merge, usage_cost, integrity_refs, integrity_keys,
         append_absent, corpus_hash, index_namespace, slugs, answer_means, record_breakdowns, calibration_features, feature_coverage, calibration_selection, calibration_labels, calibration_sealed, calibration_report, calibration_gate,
         calibration_disagreements, calibration_faults, worksheet, checkpoint_status, identity_faults, manifest_faults, artifacts_missing, question_artifacts, merge_summaries, pending_strategies, split_judgments, split_faults,
         source_faults, published_runs, trace_metadata, extraction_choice, legal_parse, corpus_text, ingest_gate, ingest_chunks,
@@ -681,7 +735,7 @@ _METRICS = f"""
                   round(coalesce(count_if(NOT near) / nullif(count(h.question_id), 0), 0), 6) AS drm, count(h.question_id) AS shown
            FROM (SELECT DISTINCT strategy FROM hits) CROSS JOIN ji LEFT JOIN h USING (strategy, question_id) GROUP BY strategy, question_id)"""
 _ALL = "WITH " + ", ".join(_STRATEGY_SQL.values()) + f", {_HITS}, {_QRELS}, {_METRICS} "
-_MEANS = "round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(drm), 6) AS drm, count(*) AS n"
+_MEANS = ", ".join(f"((2 * sum(round({m} * 1000000)::BIGINT) + count({m})) // (2 * count({m})))::BIGINT / 1000000 AS {m}" for m in metrics.NAMES) + ", count(*) AS n"
 _CARD = f"card AS (SELECT strategy, {_MEANS}, count_if(shown = 0)::BIGINT AS errors, {K} AS k FROM qm GROUP BY strategy)"
 _RATERS = "raters AS (SELECT source, quality + toxic AS a, least(n_chars // 1000, 2) AS b FROM labels JOIN documents USING (doc_id))"
 _AUDIT = """
@@ -769,6 +823,11 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, sum(failed::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS run FROM e),
         s AS (SELECT *, coalesce(max(run) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS worst FROM r)
         SELECT event_id, CASE WHEN worst >= 5 THEN 'skipped' WHEN failed THEN 'failed' ELSE 'succeeded' END AS status FROM s""",
+    "table_upsert": """WITH r AS (SELECT l_orderkey AS k, max(l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+        SELECT o_orderkey AS record, CASE WHEN n IS NULL THEN o_orderpriority ELSE 'returned' END AS strategy, CASE WHEN n IS NULL THEN o_orderstatus ELSE 'line ' || n END AS status FROM orders LEFT JOIN r ON k = o_orderkey
+        UNION ALL SELECT -k, 'returned', 'line ' || n FROM r WHERE k <> 0""",
+    "table_replace": """SELECT o_orderkey AS record, o_orderpriority AS strategy,
+        CASE WHEN o_orderpriority = '1-URGENT' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'again' ELSE 'late' END WHEN o_orderstatus = 'P' THEN 'late' ELSE o_orderstatus END AS status FROM orders""",
     "latest_record_dedup": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1",
     "record_merge": """WITH a AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
         SELECT o_orderkey, 'succeeded' AS retrieval_status, CASE WHEN n IS NULL THEN 'not_applicable' WHEN n > 1 THEN 'failed' ELSE 'succeeded' END AS answer_status,

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,20 +73,6 @@ def checksum_faults(recorded: DataFrame, found: DataFrame) -> DataFrame:
     return both.withColumn("reason", reason).where("reason is not null").select("relative_path", "reason")
 
 
-def write_atomic(path: str, text: str) -> None:
-    """Driver-side: a file appears whole or not at all."""
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        f.write(text)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(path + ".tmp", path)
-
-
-def canonical_hash(value) -> str:
-    """sha256 of JSON with sorted keys."""
-    return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()
-
-
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(norm_id, source_path, extractor, expected_article_count, source_sha256, enabled) of a corpus manifest (YAML, read on
     the driver: a handful of documents). An enabled document without count or hash is an error."""
@@ -128,49 +112,43 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("relative_path"), html_lite(decoded(F.col("content"))).alias("text"))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written to the folder that all executors share (spark.checkpoint.dir), and read back, so that what follows is made once;
-    the folder goes when the application ends. Without such a folder the plan is left as it is."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); one of this machine's own only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        return df
-    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: stored tables need a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="skeinrank-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Dealt out to all cores, if the source has fewer partitions than there are cores: a small table in one file. Larger ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
-
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that goes when the application ends."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    temporary(spark, path)
+    return f"{path}/{label}"
 
-# ---------------------------------------------------------------- stored indexes
-
-
-def write_vectors(chunks: DataFrame, path: str, dimensions: int) -> None:
-    """A vector table: chunks(chunk_id, text, embedding); of an id that repeats the last by `ord` stays, another length is an error."""
-    from ..operators.chunking import latest_chunks
-
-    latest_chunks(chunks, "ord", dimensions).write.mode("overwrite").parquet(path)
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """A folder that goes when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
 
-def write_postings(chunks: DataFrame, path: str, analyzer) -> None:
-    """A sparse index: postings in buckets of terms, and the chunks' number and mean length. chunks(chunk_id, text, ord)."""
-    from ..operators.chunking import latest_chunks
-    from ..operators.retrieve import index_stats, postings
 
-    own = latest_chunks(chunks, "ord")
-    rows = postings(own, analyzer).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index_stats(own, analyzer).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written to the folder that all executors share, and read back, so that what follows is made once."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt out to all cores, if the source has fewer partitions than there are cores: a small table in one file. Larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -207,8 +207,8 @@ def test_every_query_has_its_sql(spark):
     from skeinrank.plans.queries import ORACLE_SQL, QUERIES
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    # a greedy cover is no query of SQL: tests/test_calibration.py compares it with a loop
-    assert set(QUERIES) - set(ORACLE_SQL) == {"calibration_selection"}
+    # a greedy cover and an approximate search are no queries of SQL: tests/test_calibration.py and tests/test_indexes.py compare them with others
+    assert set(QUERIES) - set(ORACLE_SQL) == {"calibration_selection", "vector_recall"}
     assert entry.entry(spark).count() == 10
 
 
@@ -274,29 +274,28 @@ def test_chain_is_that_of_a_loop(spark):
 
 
 def test_evidence_of_a_run(spark, tmp_path):
+    import hashlib
+    import json
+
     from skeinrank.sources import readers
 
-    folder = str(tmp_path / "run")
-    hashes = {k: k for k in evidence.HASHES}
-    m = evidence.start_manifest(folder, "r", {"judge": "x"}, ["dense"], {"k": 5}, **hashes)
-    log = evidence.EventLog("r", folder + "/events.jsonl")
-    log.emit("index", "started", {"n": 1})
-    evidence.EventLog("r", folder + "/events.jsonl").emit("index", "completed", {"é": 2})
-    with pytest.raises(ValueError):
-        evidence.EventLog("other", folder + "/events.jsonl")
-    assert records.chain_faults(readers.read_events(spark, folder + "/events.jsonl")).count() == 0
-    done = evidence.finish_manifest(folder, m)
-    assert evidence.manifest_faults(readers.read_run_manifests(spark, folder + "/manifest.json")).count() == 0 and done["status"] == "completed"
-    found = readers.file_checksums(spark, folder).where("relative_path not like '%checksums%' and relative_path not like '%.crc'")
-    assert readers.checksum_faults(readers.read_checksums(spark, folder + "/checksums.sha256"), found).count() == 0
-    for again in (lambda: evidence.start_manifest(folder, "r", {}, [], {}, **hashes), lambda: evidence.finish_manifest(folder, done)):
-        with pytest.raises(ValueError):
-            again()
-    marker = {"stage": "sac", "fingerprint": "f", "chunk_count": 3, "dense": True, "sparse": False}
-    evidence.mark_complete(folder, **marker)
-    assert evidence.marked_complete(folder, **marker) and not evidence.marked_complete(folder, **marker | {"chunk_count": 4})
-    evidence.invalidate(folder, "sac")
-    assert not evidence.marked_complete(folder, **marker)
+    folder = tmp_path / "run"
+    folder.mkdir()
+    rows = [("r", i, f"id{i}", None, "index", kind, "2026-07-26T00:00:00Z", "p") for i, kind in enumerate(("started", "completed"))]
+    chain = records.chained(spark.createDataFrame(rows, "run_id string, ord int, event_id string, correlation_id string, stage string, event_type string, occurred_at string, payload_hash string"))
+    (folder / "events.jsonl").write_text("\n".join(r.e for r in chain.orderBy("sequence").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("e")).collect()))
+    assert records.chain_faults(readers.read_events(spark, str(folder / "events.jsonl"))).count() == 0
+    manifest = {"schema_version": 1, "run_id": "r", "status": "completed", "started_at": "t", "completed_at": "u", "models": {"judge": "x"}, "strategies": ["dense"], "execution": {"k": "5"}, "artifact_root_hash": "h"} | {k: k for k in evidence.HASHES}
+    (folder / "manifest.json").write_text(json.dumps(manifest))
+    assert evidence.manifest_faults(readers.read_run_manifests(spark, str(folder / "manifest.json"))).count() == 0
+    (folder / "old.json").write_text(json.dumps(manifest | {"completed_at": None, "git_sha": ""}))
+    assert {r.fault for r in evidence.manifest_faults(readers.read_run_manifests(spark, str(folder / "old.json"))).collect()} == {"git_sha is missing", "completed without evidence"}
+    sums = {n: hashlib.sha256((folder / n).read_bytes()).hexdigest() for n in ("events.jsonl", "manifest.json")} | {"gone.json": "0"}
+    (folder / "checksums.sha256").write_text("".join(f"{d}  {n}\n" for n, d in sums.items()))
+    (folder / "events.jsonl").write_text("changed")
+    found = readers.file_checksums(spark, str(folder)).where("relative_path <> 'checksums.sha256'")
+    faults = readers.checksum_faults(readers.read_checksums(spark, str(folder / "checksums.sha256")), found)
+    assert sorted((r.relative_path, r.reason) for r in faults.collect()) == [("events.jsonl", "modified"), ("gone.json", "missing"), ("old.json", "extra")]
 
 
 def test_metadata_contexts_and_pages(spark, tmp_path):
@@ -313,16 +312,14 @@ def test_metadata_contexts_and_pages(spark, tmp_path):
     assert got == {"a.htm": "\nResolução\u00a01\nnº &lt; &#x;", "b.htm": "\nção\nz"}
 
 
-def test_stored_indexes(spark, tmp_path):
+def test_latest_chunks(spark, tmp_path):
     from skeinrank.sources import readers
 
-    c = spark.createDataFrame([("a", "old text", 1), ("a", "sigilo das operações", 2), ("b", "outra coisa", 1)], "chunk_id string, text string, ord int")
-    readers.write_postings(c, str(tmp_path / "sparse"), tx.terms)
-    q = spark.createDataFrame([(1, "operação sigilosa sigilo"), (2, "old")], "question_id int, text string")
-    stored = retrieve.score_bm25(q, *readers.read_postings(spark, str(tmp_path / "sparse")), 5, tx.terms).collect()
-    assert stored == retrieve.bm25(q, chunking.latest_chunks(c, "ord"), 5, tx.terms).collect() and {r.chunk_id for r in stored} == {"a"}
-    readers.write_vectors(c.withColumn("embedding", F.array(F.lit(1.0))), str(tmp_path / "dense"), 1)
+    c = spark.createDataFrame([("a", "old text", 1), ("a", "sigilo das operações", 2), ("b", "outra coisa", 1)], "chunk_id string, text string, ord int").withColumn("embedding", F.array(F.lit(1.0)))
+    chunking.latest_chunks(c, "ord", 1).write.parquet(str(tmp_path / "dense"))
     assert chunking.same_ids(spark.read.parquet(str(tmp_path / "dense")), c) and spark.read.parquet(str(tmp_path / "dense")).count() == 2
+    with pytest.raises(Exception, match="2 dimensions"):
+        chunking.latest_chunks(c, "ord", 2).collect()
     readers.drop(spark, str(tmp_path / "dense"))
     assert not (tmp_path / "dense").exists()
 
