@@ -11,7 +11,7 @@ as in the rank file's own semantics).
 
 Edge cases: a null or empty text has no ids and decodes to nothing; text of any length is
 encoded whole (very long ones in parts cut where a piece must end); repeated rows give
-equal results; extra input columns are carried only if asked for by `keep`.
+equal results; extra input columns are carried only if asked for by `keep`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .shared import kept, sliced
 
 #: White space as the Unicode property has it, for engines whose \s has more.
 WHITE = r"\t-\r \x85\xa0  -     　"
-#: Entries of the piece memo and of the pair memo before they start anew.
-PIECE_MEMO, PAIR_MEMO = 600_000, 500_000
+#: Entries of the piece memo and of the pair memo before they start anew; characters of a piece that is kept.
+PIECE_MEMO, PAIR_MEMO, PIECE_SIZE = 600_000, 500_000, 48
 #: Characters that are split into pieces at a time.
 PART = 1 << 19
 
@@ -43,14 +43,18 @@ def read_ranks(path: str) -> bytes:
 
 
 class _Memo(dict):
-    def __init__(self, make, limit):
+    """With `size`, longer keys aren't kept, so that the entries bound the bytes."""
+
+    def __init__(self, make, limit, size=None):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.size = make, limit, size
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if self.size is None or len(key) <= self.size:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -63,7 +67,7 @@ class BpeCodec:
         self.halves = _Memo(self._halves, 1 << 62)
         self.shorter = _Memo(self._shorter, 1 << 62)
         self.fits = _Memo(lambda pair: self._fits(*pair), PAIR_MEMO)
-        self.pieces = _Memo(self._encode_piece, PIECE_MEMO)
+        self.pieces = _Memo(self._encode_piece, PIECE_MEMO, PIECE_SIZE)
         self.split = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.cut = regex.compile(r"\p{L}(?= \p{L})")
         self.find = ahocorasick.Automaton()

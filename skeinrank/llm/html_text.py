@@ -82,6 +82,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parent, self.kind, self.names, self.chars, self.linked = [-1], ["other"], [set()], [0], [0]
         self.open: list[tuple[str, int]] = [("", 0)]  # (element, its block)
+        self.places: dict[str, list[int]] = {}  # of each element's name, where it is open
         self.runs: list[tuple[int, str]] = []  # (block, text), in page order
         self.run: list[str] = []
         self.hidden = self.links = 0
@@ -101,15 +102,14 @@ class _Tree(HTMLParser):
                 self.flush()
             self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
+            self.places[tag].pop()
             self.open.pop()
 
     def last(self, tags, until=()):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in tags:
-                return i
-            if self.open[i][0] in until:
-                return 0
-        return 0
+        """The innermost open element of `tags`, if none of `until` is within it; a constant's work at any depth."""
+        inner = lambda names: max((at[-1] for n in names if (at := self.places.get(n))), default=0)
+        at = inner(tags)
+        return at if at >= inner(until) else 0
 
     def end_head(self):
         if self.open[-1][0] == "head":
@@ -143,6 +143,7 @@ class _Tree(HTMLParser):
                 self.names[-1].add("notice")
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, block))
 
     def handle_startendtag(self, tag, attrs):

@@ -6,11 +6,12 @@ more languages, the fewer buckets (with over 16,384 labels it grows by 8 KB for
 broadcast; scoring counts each text's buckets sparsely and multiplies in numpy.
 
 The fit may use a bounded sample: `max_rows` labelled rows, about, taken by a hash of the
-id (all when there are fewer). Every text is scored whole.
+id (all when there are fewer), and `LEAST` of each language that has them. Every text is scored whole.
 
 Edge cases: a null text, or one without letters, is `und` with score 0; with no labelled
 row every text is `und`; labels that are null are left out of training; ties go to the
-language first by name; repeated rows score alike; extra columns are ignored.
+language first by name; repeated rows score alike; texts of any length are counted a part at a
+time; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .shared import let_go, mix64, sliced
 
 #: Buckets, n-gram lengths, and labelled rows to fit on (about).
 BUCKETS, ORDERS, MAX_ROWS = 1 << 15, (1, 2, 3), 20_000
+#: Rows of a language that are drawn at least, about, if it has them.
+LEAST = 200
 #: Cells of the matrix that is broadcast (128 MB): with more than 512 languages there are fewer buckets, but these at least.
 CELLS, FEWEST = 1 << 24, 1 << 10
 #: Additive smoothing.
@@ -33,10 +36,9 @@ ALPHA = 0.5
 PART = 1 << 20
 
 
-def bucket_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """How often each bucket's n-grams stand in the lower-cased text."""
-    out = np.zeros(buckets, np.int64)
-    most = max(ORDERS)
+def grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """The buckets of the lower-cased text's n-grams, repeats included."""
+    out, most = [], max(ORDERS)
     for lo in range(0, len(text), PART):
         c = np.frombuffer(text[lo : lo + PART + most - 1].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         rolled = np.zeros(len(c), np.uint64)
@@ -46,9 +48,14 @@ def bucket_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
             rolled = rolled[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
             if n in ORDERS:
                 # the overlap with the next part counts there, but for what begins here
-                begin = rolled[: PART] if lo + PART < len(text) else rolled
-                out += np.bincount((mix64(begin) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-    return out
+                begin = rolled[:PART] if lo + PART < len(text) else rolled
+                out.append((mix64(begin) & np.uint64(buckets - 1)).astype(np.uint32))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def bucket_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """How often each bucket's n-grams stand in the lower-cased text."""
+    return np.bincount(grams(text, buckets), minlength=buckets)
 
 
 class NaiveBayes:
@@ -59,14 +66,30 @@ class NaiveBayes:
         self.log = np.log(smooth / smooth.sum(1, keepdims=True)).T if languages else np.zeros((counts.shape[1], 0))
         self.prior = np.log(documents / documents.sum()) if languages else np.zeros(0)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        counts = bucket_counts(text, self.log.shape[0])
-        at = np.flatnonzero(counts)
-        score = counts[at].astype(float) @ self.log[at] + self.prior
-        best = int(score.argmax())
-        return self.languages[best], float(1 / np.exp(score - score[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior) of each text: the batch's counts are a sparse matrix, multiplied once."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        own = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+        rows, buckets, times = sparse_counts([texts[i] for i in own], self.log.shape[0])
+        begin = np.flatnonzero(np.diff(rows, prepend=-1))
+        scores = np.add.reduceat(times[:, None] * self.log[buckets], begin) + self.prior if len(begin) else []
+        for i, score in zip(own, scores):  # a text with a letter has one n-gram at least
+            best = int(score.argmax())
+            out[i] = self.languages[best], float(1 / np.exp(score - score[best]).sum())
+        return out
+
+
+def sparse_counts(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, times) of what isn't zero, by row."""
+    rows, at, times = [], [], []
+    for i, text in enumerate(texts):
+        sorted_ = np.sort(grams(text, buckets))
+        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+        rows.append(np.full(len(first), i))
+        at.append(sorted_[first])
+        times.append(np.diff(np.append(first, len(sorted_))))
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(rows), join(at), join(times)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS, buckets: int = BUCKETS) -> NaiveBayes:
@@ -74,8 +97,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     documents = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     buckets = min(buckets, max(FEWEST, 1 << (CELLS // max(1, len(documents))).bit_length() - 1))
     total = sum(documents.values())
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(max_rows / total * (1 << 30)))
+    if total > max_rows:  # a language of few rows keeps `LEAST` of them
+        share = [(k, int(min(1.0, max(max_rows / total, LEAST / n)) * (1 << 30))) for k, n in documents.items()]
+        share = labelled.sparkSession.createDataFrame(share, "lang string, share long")
+        rows = rows.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share"))
     names = sorted(documents)
 
     def count(batches):
@@ -104,7 +129,7 @@ def predict(docs: DataFrame, model: NaiveBayes, text_col: str = "text", keep: di
     def run(batches):
         let_go()
         for batch in sliced(batches, "__text"):
-            got = [shared.value.predict(t.as_py()) for t in batch["__text"]]
+            got = shared.value.predict(batch["__text"].to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in carried), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], [*(f.name for f in carried), "lang_pred", "score"])
 
     return source.mapInArrow(run, T.StructType([*carried, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -1,17 +1,20 @@
 """License scans with Spark's own functions: phrases, and an exact containment join with templates.
 
-A document's blocks are its lines, and for templates of `LONG` words or more, which are often
-wrapped, runs of up to `WRAPPED` lines from each line on, to the next blank one. A block meets a template when it holds at least
-`threshold` of the template's distinct words. Words are ordered by how many documents hold
+A text's blocks
+are all runs of words that no line without words parts (a notice may be wrapped over any number of lines)
+and that are at most `SPREAD` times as long as the template. A block meets a template when it holds at
+least `threshold` of the template's distinct words. Words are ordered by how many documents hold
 them, rarest first; a block that meets a template of n words, of which it needs k, must hold
-one of the template's first n - k + 1 words (prefix filter), must have k words (length), and
-from the first word they share, enough must be left on both sides (positions). Documents
-without any such word drop out before they are cut into blocks; the words of those left are
+one of the template's first n - k + 1 words (prefix filter). So only the surroundings of such words are
+looked at: they must have k words (length), enough of the order must be left on both sides
+of the shared word (positions), and then every run around it is counted. Documents
+without any such word drop out; the places of those left are
 joined to the index of prefix words, which is as small as the templates are.
 
 Edge cases: null and empty texts have no words, no labels and score 0; templates without
 words never match; different texts under one id, and null ids, are judged each by itself; rows
-that repeat an id and a text are alike; extra columns are ignored.
+that repeat an id and a text are alike; extra columns are ignored; texts of any length are read whole;
+of blocks that hold as much the first one of a place is named; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,10 +39,12 @@ TEMPLATES = {
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 THRESHOLD = 0.9
-#: Distinct words from which on a template may be wrapped, and lines it may take.
-LONG, WRAPPED = 12, 5
+#: Words of a block for each word of the template: what stands between them may be half as many.
+SPREAD = 1.5
 
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+#: The end of a line that a line without words follows.
+BREAK = r"\n[^0-9a-z\x{80}-\x{10FFFF}\n]*(?=\n)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,15 +53,8 @@ def _words(text: Column) -> Column:
 
 
 def _split(template: str) -> list[str]:
-    out, word = [], ""
-    for ch in template.lower() + " ":
-        if ch.isascii() and not ch.isalnum():
-            if word and word not in out:
-                out.append(word)
-            word = ""
-        else:
-            word += ch
-    return out
+    """The template's words in order, repeats included."""
+    return "".join(ch if not ch.isascii() or ch.isalnum() else " " for ch in template.translate(str.maketrans(_UPPER, _LOWER))).split(" ")
 
 
 def _text(name: str) -> Column:
@@ -94,10 +92,17 @@ def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return step.select("id", "hash", "n_words", sum(n_of.values(), F.lit(0).cast("long")).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"))
 
 
+def _around(words: Column, at: Column, room: Column | int) -> tuple[Column, Column]:
+    """The words up to `room` - 1 places before and after place `at` (from 0), and `at` among them."""
+    first = F.greatest(at - room + 1, F.lit(0))
+    return F.slice(words, (first + 1).cast("int"), (at - first + room).cast("int")), (at - first).cast("int")
+
+
 def license_blocks(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash, block, label, template, containment) of every block that meets a template; a block is named by its first line, from 0."""
+    """(id, hash, block, label, template, containment): around each place of a rare word of a template that is met there, the best
+    block; it is named by its first word's place among words and breaks."""
     spark = docs.sparkSession
-    listed = [(label, t, _split(t)) for label, ts in (TEMPLATES if templates is None else templates).items() for t in ts]
+    listed = [(label, t, [w for w in _split(t) if w]) for label, ts in (TEMPLATES if templates is None else templates).items() for t in ts]
     listed = [x for x in listed if x[2]]
     vocabulary = sorted({w for *_, ws in listed for w in ws})
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -107,34 +112,41 @@ def license_blocks(docs: DataFrame, templates: dict[str, list[str]] | None = Non
     times = {r.word: r["count"] for r in held.collect()} if vocabulary else {}
     order = sorted(vocabulary, key=lambda w: (times.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    index = []
+    index, most = [], 1
     for k, (label, text, ws) in enumerate(listed):
-        ws = sorted(ws, key=rank.__getitem__)
+        room = math.ceil(SPREAD * len(ws))
+        ws = sorted(set(ws), key=rank.__getitem__)
         need = math.ceil(threshold * len(ws) - 1e-9)
-        index += [(ws[i], k, label, text, ws, need, i, len(ws) >= LONG) for i in range(len(ws) - need + 1)]
-    schema = "word string, t int, label string, template string, words array<string>, need int, place int, wide boolean"
+        index += [(ws[i], k, label, text, ws, need, i, room) for i in range(len(ws) - need + 1)]
+        most = max(most, room)
+    schema = "word string, t int, label string, template string, words array<string>, need int, place int, room int"
     prefix = F.broadcast(spark.createDataFrame(index, schema))  # as small as the templates
     marks = F.array(*(F.lit(w) for w in sorted({x[0] for x in index}, key=rank.__getitem__)), F.lit("\x00"))
 
-    held = rows.where(F.arrays_overlap(_words(_text("text")), marks)).select("id", _hash("text"), F.split(_exact(F.col("text")), "\n").alias("lines"))
-
-    def run(i):
-        """The lines from the i-th on, to a blank one."""
-        some = F.slice("lines", i + 1, F.lit(WRAPPED))
-        blank = F.array_position(F.transform(some, lambda x: F.trim(x) == ""), True)
-        return F.array_join(F.slice(some, F.lit(1), F.when(blank > 0, blank - 1).otherwise(F.size(some)).cast("int")), " ")
-
-    block = lambda i, wide, line: F.struct(i.alias("block"), F.lit(wide).alias("wide"), line.alias("line"))
-    blocks = F.concat(F.transform("lines", lambda x, i: block(i, False, x)), F.transform("lines", lambda x, i: block(i, True, run(i))))
-    lines = held.select("id", "hash", F.explode(blocks).alias("b")).select("id", "hash", "b.block", "b.wide", "b.line")
-    sets = lines.select("id", "hash", "block", "wide", F.array_distinct(_words(F.col("line"))).alias("own"))
-    # the words that templates know, in the common order; others can't be shared
+    # each place of such a word, with what stands around it
+    held = rows.where(F.arrays_overlap(_words(_text("text")), marks)).select("id", _hash("text"), F.regexp_extract_all(_exact(F.col("text")), F.lit(f"{WORD}|{BREAK}"), F.lit(0)).alias("all"))
+    at = F.filter(F.transform("all", lambda w, i: F.when(F.array_contains(marks, w), i)), lambda i: i.isNotNull())
+    near = held.select("id", "hash", F.explode(F.transform(at, lambda i: F.struct(i.alias("pos"), *(c.alias(n) for c, n in zip(_around(F.col("all"), i, most), ("near", "at")))))).alias("p"))
+    met = near.select("id", "hash", "p.*", F.get("p.near", F.col("p.at")).alias("word")).join(prefix, "word")
+
+    # no further than the template's room, nor beyond a line without words
+    for c, n in zip(_around(F.col("near"), F.col("at"), F.col("room")), ("own", "mid")):
+        met = met.withColumn(n, c)
+    breaks = F.filter(F.transform("own", lambda w, i: F.when(F.startswith(w, F.lit("\n")), i)), lambda i: i.isNotNull())
+    met = met.withColumn("breaks", breaks).withColumn("low", F.coalesce(F.array_max(F.filter("breaks", lambda b: b < F.col("mid"))) + 1, F.lit(0)))
+    high = F.coalesce(F.array_min(F.filter("breaks", lambda b: b > F.col("mid"))), F.size("own"))
+    met = met.withColumn("own", F.slice("own", F.col("low") + 1, high - F.col("low"))).withColumn("mid", F.col("mid") - F.col("low")).where(F.size("own") >= F.col("need"))
+    # the words that templates know, in the common order: enough must be left beyond the shared one on both sides
     ranked = F.array(*(F.lit(w) for w in order), F.lit("\x00"))
-    sets = sets.where(F.arrays_overlap("own", marks)).select("id", "hash", "block", "wide", F.array_intersect(ranked, F.col("own")).alias("own"))
-    met = sets.select("id", "hash", "block", "wide", "own", F.posexplode("own").alias("at", "word")).join(prefix, ["word", "wide"])
-    met = met.where((F.size("own") >= F.col("need")) & (1 + F.least(F.size("words") - F.col("place") - 1, F.size("own") - F.col("at") - 1) >= F.col("need") - F.col("place")))
-    both = F.size(F.array_intersect("own", "words"))
-    met = met.where(both >= F.col("need")).select("id", "hash", "block", "t", "label", "template", (both / F.size("words")).alias("containment"))
+    shared = F.array_intersect(ranked, F.col("own"))
+    left = F.size("shared") - F.array_position("shared", F.col("word"))
+    met = met.withColumn("shared", shared).where((1 + F.least(F.size("words") - F.col("place") - 1, left) >= F.col("need") - F.col("place")) & (F.size(F.array_intersect("shared", "words")) >= F.col("need")))
+    # every run of that room around the word
+    starts = F.sequence(F.greatest(F.col("mid") - F.col("room") + 1, F.lit(0)), F.col("mid"))
+    met = met.withColumn("both", F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("own", s + 1, F.col("room")), F.col("words")))))
+    best = F.array_max("both")
+    block = F.col("pos") - F.col("mid") + F.greatest(F.col("mid") - F.col("room") + 1, F.lit(0)) + F.array_position("both", best).cast("int") - 1
+    met = met.where(best >= F.col("need")).select("id", "hash", block.alias("block"), "t", "label", "template", (best / F.size("words")).alias("containment"))
     return met.groupBy("id", "hash", "block", "t").agg(F.first("label").alias("label"), F.first("template").alias("template"), F.max("containment").alias("containment")).drop("t")
 
 

@@ -32,8 +32,8 @@ GRADE, BAD = "CASE WHEN toxic > 0 THEN 2 WHEN toxic = 0 THEN CASE WHEN quality =
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
-    model = language_id.fit(docs.where(~held_out))
-    return language_id.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+    model = language_id.fit(docs.where(~held_out))  # nor is a null id learned from
+    return language_id.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": F.coalesce(held_out, F.lit(False))})
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

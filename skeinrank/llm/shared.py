@@ -161,14 +161,17 @@ SPACE_WORDS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM_WORDS = np.zeros(256, bool)
 ALNUM_WORDS[0x30:0x3A] = ALNUM_WORDS[0x41:0x5B] = ALNUM_WORDS[0x61:0x7B] = ALNUM_WORDS[0x80:] = True
 
-_powers = np.ones(1, np.uint64)
+#: Powers that are kept; those beyond are products of two.
+_NEAR = 1 << 12
+_powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_NEAR - 1, _P)]))
 
 
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 64), _P)]))
-    return _powers
+def _powers_of(place: np.ndarray) -> np.ndarray:
+    """_P to the power of each place."""
+    if not len(place) or (most := int(place.max())) < _NEAR:
+        return _powers[place]
+    far = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.repeat(_powers[-1:] * _P, most // _NEAR)]))
+    return _powers[place % _NEAR] * far[place // _NEAR]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +229,7 @@ def sized_words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[
             begin = np.searchsorted(inside, at)
             size = np.diff(np.append(begin, len(inside)))
             place = np.arange(len(inside)) - np.repeat(begin, size)
-            value = _BYTE[part[inside]] * _powers_to(int(size.max()) + 1)[place]
+            value = _BYTE[part[inside]] * _powers_of(place)
             hashes.append(mix64(np.add.reduceat(value, begin) ^ size.astype(np.uint64)))
             starts.append(at + lo)
             sizes.append(size)
@@ -238,7 +241,7 @@ def sized_words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[
 
 def beginnings(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int):
     """For n = 1..most: (n, the words of n bytes or more, the hashes of their first n bytes)."""
-    value, at, left, power = np.zeros(len(starts), np.uint64), np.arange(len(starts)), sizes, _powers_to(most + 1)
+    value, at, left, power = np.zeros(len(starts), np.uint64), np.arange(len(starts)), sizes, _powers_of(np.arange(most + 1))
     for n in range(1, most + 1):
         at = at[left[at] >= n]
         value[at] += _BYTE[buf[starts[at] + n - 1]] * power[n - 1]

@@ -71,3 +71,13 @@ def test_query(spark, library):
         assert r.n_tokens == len(own)
         assert r.ids_sha256 == hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_long_pieces_are_not_kept():
+    from skeinrank.llm.byte_bpe import PIECE_SIZE
+
+    own = codec(read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    for i in range(50):
+        text = f"{chr(97 + i % 26)}" * 3000 + str(i)
+        assert own.decode(own.encode(text)) == text.encode()
+    assert max(map(len, own.pieces)) <= PIECE_SIZE

@@ -77,3 +77,18 @@ def test_head_left_open_and_embedded_text():
     assert texts("<html><head><title>t</title><article><p>One two.</p></article>") == ["One two."]
     assert texts("<head><meta charset=utf-8><noscript><style>a{}</style></noscript><script>x<p>y</script>Plain text.") == ["Plain text."]
     assert texts("<article><p>Let <math><mi>x</mi></math> be <object>a thing</object><noscript> seen</noscript>.</p></article>") == ["Let x be a thing seen."]
+
+
+def test_depth_costs_no_more_than_length():
+    import time
+
+    from skeinrank.llm.html_text import read
+
+    def seconds(n):
+        began = time.process_time()
+        tree = read("<div><p>" * n + "deep" + "</div>" * n)
+        assert len(tree.parent) == 2 * n + 1 and tree.runs == [(2 * n, "deep")]
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(64_000) < 12 * max(0.2, seconds(8_000))

@@ -77,3 +77,20 @@ def test_sample_bound(spark):
     df = spark.range(2000).selectExpr("id doc_id", "'a' || id text", "if(id % 2 = 0, 'x', 'y') lang")
     model = fit(df, max_rows=200)
     assert isinstance(model, NaiveBayes) and model.languages == ["x", "y"]
+
+
+def test_a_rare_language_is_drawn(spark):
+    rows = [(i, f"the quick brown fox number {i} runs over the lazy dog", "en") for i in range(3000)] + [(5000 + i, "η γρήγορη καφέ αλεπού", "el") for i in range(2)] + [(None, "the end", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(df, max_rows=30)
+    assert model.languages == ["el", "en"]
+    flat = model.log[:, 0]
+    assert flat.max() > flat.min()  # not the row of a language without texts
+    assert model.predict(["η αλεπού", "the dog", None, "123", ""])[:1] == [("el", model.predict(["η αλεπού"])[0][1])]
+    assert [x[0] for x in model.predict(["the dog", None, "123", ""])] == ["en", "und", "und", "und"]
+
+
+def test_null_id_is_not_held_out(spark, tmp_path):
+    rows = [(None, "ein kleiner Text", "de"), (1, "a small text", "en"), (4, "ein Text", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.held_out for r in op1_language_id(spark, str(tmp_path)).collect()} == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in (None, 1, 4)}

@@ -1,7 +1,7 @@
 import math
 import re
 
-from skeinrank.llm.license_scan import LONG, PHRASES, TEMPLATES, WRAPPED, license_blocks, license_scan
+from skeinrank.llm.license_scan import PHRASES, SPREAD, TEMPLATES, license_blocks, license_scan
 from skeinrank.llm.queries import op5_license_scan
 
 from .helpers import SF, crowded, frame
@@ -24,28 +24,35 @@ def base(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), labels
 
 
+def paragraphs(text):
+    """Runs of words that no line without words parts."""
+    run = []
+    for line in (text or "").split("\n"):
+        own = words(line)
+        if not own and run:
+            yield run
+            run = []
+        run = run + own
+    if run:
+        yield run
+
+
 def blocks(docs, templates=TEMPLATES, threshold=0.9):
+    """(id, label, template): all runs of words of any place, against all templates."""
     out = set()
     for i, text in docs:
-        lines = (text or "").split("\n")
-        for k, line in enumerate(lines):
-            run = []
-            for x in lines[k : k + WRAPPED]:
-                if not x.strip(" "):
-                    break
-                run.append(x)
+        for run in paragraphs(text):
             for label, ts in templates.items():
                 for t in ts:
-                    need = set(words(t))
-                    own = set(words(" ".join(run) if len(need) >= LONG else line))
-                    if need and len(own & need) >= math.ceil(threshold * len(need) - 1e-9):
-                        out.add((i, k, label, t))
+                    need, room = set(words(t)), math.ceil(SPREAD * len(words(t)))
+                    if any(len(need.intersection(run[s : s + room])) >= math.ceil(threshold * len(need) - 1e-9) for s in range(len(run)) if need):
+                        out.add((i, label, t))
     return out
 
 
 def brute(docs):
     found = blocks(docs)
-    return sorted(((i, *base(t)[:4], ",".join(sorted(base(t)[4])), ",".join(sorted(base(t)[4] | {x[2] for x in found if x[0] == i}))) for i, t in docs), key=repr)
+    return sorted(((i, *base(t)[:4], ",".join(sorted(base(t)[4])), ",".join(sorted(base(t)[4] | {x[1] for x in found if x[0] == i}))) for i, t in docs), key=repr)
 
 
 TEXTS = [
@@ -53,6 +60,8 @@ TEXTS = [
     "x\nReleased under the MIT License.\ny", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.",
     "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 now", "CC\x7fBY \x00mit\x1flicense",
     "before\nPermission is hereby granted, free of charge,\nto any person obtaining a copy of this software\n# and associated documentation files\n\nafter", "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software and associated",
+    "Permission is hereby\n granted, free\n * of charge, to\n * any person\n * obtaining a copy\n * of this software\n * and associated\n documentation files", "Licensed under CC\nBY-NC 4.0", "Licensed\nunder\nCC\nBY-NC\n4.0", "Licensed\n\nunder CC BY-NC 4.0",
+    "Licensed under a deal of many other words that go on and on, CC BY-SA 4.0", "x " * 3000 + "Released under the MIT License" + " y" * 3000,
     "Redistribution and use in source and binary forms, with modification, are permitted provided that the following conditions are met",
 ]
 
@@ -74,7 +83,7 @@ def test_containment_thresholds(spark):
     docs = [(i, "\n".join(line(rng.randint(0, 16)) for _ in range(rng.randint(0, 5)))) for i in range(80)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for threshold in (0.5, 0.75, 1.0):
-        got = {(r.id, r.block, r.label, r.template) for r in license_blocks(df, templates, threshold).collect()}
+        got = {(r.id, r.label, r.template) for r in license_blocks(df, templates, threshold).collect()}
         assert got == blocks(docs, templates, threshold)
 
 
