@@ -6,7 +6,9 @@ returns the columns of `documents`. Of rows that repeat an id and
 a text one stays. Null and empty
 texts are never rejected as such; they are equal to each other, so one of them stays.
 Decisions hold for an id and a text (or its set of shingles), so different texts under one
-id, and null ids, are judged each by itself.
+id, and null ids, are judged each by itself. Other columns are kept whatever their names are, but for the
+last stage, which drops them. Texts of any length are judged whole; a severity at the cut is rejected; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,12 +44,25 @@ def _staged(stage):
     return run
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` under column names that clash with none of an operator's, and the new name of each."""
+    names = {c: f"__column{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _settled(docs: DataFrame, verdicts: DataFrame, key_of, key_type: T.DataType) -> DataFrame:
+    plain, names = _numbered(docs)
+    return settled(plain, verdicts, key_of, key_type, names["doc_id"], names["text"]).toDF(*docs.columns)
+
+
 @_staged
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the rejection's."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity_model.fit(docs, labels, GRADE, bad_from=BAD)
-    return toxicity_model.severity(docs, model, keep=tuple(docs.columns)).where(F.col("severity") < model.reject).drop("severity")
+    plain, names = _numbered(docs)
+    judged = toxicity_model.severity(plain, model, text_col=names["text"], keep=tuple(plain.columns))
+    return judged.where(F.col("severity") < model.reject).drop("severity").toDF(*docs.columns)
 
 
 @_staged
@@ -56,7 +71,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = exact_dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     # each id and text that is dropped or stands more than once
     some = found.where("group_size > 1").groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("key")).agg(F.count("*").alias("n"), F.every("kept").alias("stays"))
-    return settled(docs, materialize(some.where("n > 1 OR NOT stays").drop("n"), "verdicts"), digests_of, T.BinaryType())
+    return _settled(docs, materialize(some.where("n > 1 OR NOT stays").drop("n"), "verdicts"), digests_of, T.BinaryType())
 
 
 @_staged
@@ -66,14 +81,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "cls")
     groups = materialize(found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("members")).where("members > 1"), "groups", size_of(found))
     every = found.join(groups, "component").select(F.col("doc_id").alias("id"), F.col("cls").alias("key"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("cls") == F.col("first.cls"))).alias("stays"))
-    return settled(docs, materialize(every.distinct(), "verdicts", size_of(found)), class_of(5), T.LongType())
+    return _settled(docs, materialize(every.distinct(), "verdicts", size_of(found)), class_of(5), T.LongType())
 
 
 @_staged
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    plain, names = _numbered(docs)
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias(names["text"]))
+    found = contamination(plain, items, id_col=names["doc_id"], text_col=names["text"], keep=tuple(plain.columns))
+    return found.where(F.size("spans") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 @_staged
