@@ -100,7 +100,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     if total > max_rows:  # a language of few rows keeps `LEAST` of them
         share = [(k, int(min(1.0, max(max_rows / total, LEAST / n)) * (1 << 30))) for k, n in documents.items()]
         share = labelled.sparkSession.createDataFrame(share, "lang string, share long")
-        rows = rows.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share"))
+        rows = rows.join(F.broadcast(share), "lang").where(  # a row for each of the matrix that is broadcast later
+            F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share")
+        )
     names = sorted(documents)
 
     def count(batches):
