@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import ports
 from ..functions import text as tx
-from ..operators import audit, calibration, chunking, evidence, metrics, records, retrieve, sampling
+from ..operators import answers, audit, calibration, chunking, evidence, metrics, records, retrieve, sampling
 from ..operators.sparse_index import SparseIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import readers
@@ -274,6 +274,47 @@ def audit_lineage(spark, sf):
     return out.withColumn("claims", F.concat_ws(",", "claims"))
 
 
+def _answered(spark, sf):
+    """Answers to all questions from their hits: (answers, what was shown, corpus, versions). One source in the manifest is missing, one
+    has no version, and documents whose quality was objected to were changed since."""
+    hits = readers.stored(bm25_topk(spark, sf), "hits")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(name, F.lit("::text")).alias("ref_id"), name.alias("norm"), "source", "text")
+    generator = ports.Extractive(6)
+    said = readers.stored(answers.generate(_questions(spark, sf), answers.contexts(hits, docs), generator, generator.identity), "answers")
+    shown = readers.stored(hits.join(docs, "chunk_id").select("question_id", "rank", "ref_id", "text"), "shown")
+    poor = _t(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("chunk_id"), F.lit("changed").alias("now")).distinct()
+    versions = docs.where("source <> 'src3'").join(poor, "chunk_id", "left").select("norm", F.coalesce("now", F.sha2("text", 256)).alias("hash"))
+    return said, shown, docs.where("source <> 'src2'").select("ref_id"), versions
+
+
+def _audited(spark, sf):
+    model = ports.Containment()
+    said, *rest = _answered(spark, sf)
+    return answers.audit_path(said, *rest, model, model)
+
+
+def answer_path(spark, sf):
+    """Question to hits to answer to claims to verdicts to one rewriting to what became of it."""
+    path = _audited(spark, sf)
+    count = lambda df, name: df.groupBy("question_id").agg(F.count("*").alias(name), F.count_if("supported").alias(f"{name}_supported"))
+    out = path["outcomes"].join(count(path["first"], "claims"), "question_id", "left").join(count(path["second"], "kept"), "question_id", "left").fillna(0)
+    return out.select("question_id", "outcome", "rewritten", "claims", "claims_supported", "kept", "kept_supported", F.sha2("original_answer", 256).alias("original"), F.sha2("final_answer", 256).alias("final"))
+
+
+def answer_rates(spark, sf):
+    """The audit's rates over the whole path, from what models said."""
+    path = _audited(spark, sf)
+    return audit.rates(path["outcomes"], path["first"], path["checks"])
+
+
+def answer_quality(spark, sf):
+    """A judge's scores of every answer."""
+    said, *_ = _answered(spark, sf)
+    model = ports.Containment()
+    return answers.judge(said, model, model.identity).select("question_id", *(F.round(n, 6).alias(n) for n in answers.SCORES))
+
+
 def judge_lineage(spark, sf):
     r = _t(spark, sf, "labels").select(F.col("doc_id").alias("question_id"), F.col("quality").cast("string").alias("faithfulness"), F.lit("0.5").alias("answer_relevancy"), F.when(F.col("toxic") == 1, "true").otherwise("false").alias("abstention_appropriate"), F.concat(F.lit("razão "), F.col("doc_id").cast("string")).alias("rationale"))
     return audit.judge_lineage(r)
@@ -630,7 +671,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         qrels, bm25_topk, dense_topk, vector_recall, *STRATEGY_QUERIES, sparse_index_topk, raptor_levels, question_metrics, strategy_scorecard, scorecard_lines, breakdown_by_norm, ordered_ids, embed_missing,
-        chunk_documents, html_lite, claim_segments, citation_parse, citation_accuracy, citation_checks, audit_rates, audit_outcomes, claim_status, valid_sources, audit_lineage, judge_lineage, context_blocks,
+        chunk_documents, html_lite, claim_segments, citation_parse, citation_accuracy, citation_checks, audit_rates, audit_outcomes, answer_path, answer_rates, answer_quality, claim_status, valid_sources, audit_lineage, judge_lineage, context_blocks,
         stratified_split, stratified_sample, kappa_report, spearman_report, support_rates, circuit_breaker, hash_chain_verify, stage_durations, table_upsert, table_replace, latest_record_dedup, record_merge, usage_cost, integrity_refs, integrity_keys,
         append_absent, corpus_hash, index_namespace, slugs, answer_means, record_breakdowns, calibration_features, feature_coverage, calibration_selection, calibration_labels, calibration_sealed, calibration_report, calibration_gate,
         calibration_disagreements, calibration_faults, worksheet, checkpoint_status, identity_faults, manifest_faults, artifacts_missing, question_artifacts, merge_summaries, pending_strategies, split_judgments, split_faults,
@@ -799,7 +840,25 @@ _NORMS = """
                      || CASE WHEN n = 5 THEN coalesce((SELECT chr(10) || 'goes on ' || x.p FROM ln x WHERE x.k = ln.k AND x.n = 6), '') ELSE '' END, heads FROM ln JOIN pre USING (k) WHERE n <> 6),
     whole AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'Preamble' || chr(10) || 'CAPITULO I' || chr(10) WHEN k % 4 = 1 THEN 'ANEXO' || chr(10) ELSE '' END || string_agg(text, chr(10) ORDER BY o) FILTER (WHERE o >= 0) AS text FROM nodes GROUP BY k)"""
 
+_SPACE = "' ' || chr(9) || chr(13) || chr(10)"
+_ANSWERED = f"""WITH {_bm25(_DOCS)},
+    d AS (SELECT doc_id, source, text, 'doc-' || doc_id || '::text' AS ref, trim(text, {_SPACE}) AS st, list_distinct({_TOK.format("text")}) AS dw, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS poor FROM documents),
+    qs AS (SELECT item_id AS question_id, text AS question, {_TOK.format("text")} AS qw FROM benchmark),
+    f AS (SELECT question_id, rank, d.*, qw, replace(replace(rtrim(CASE WHEN regexp_matches(st, '(?s)^.*?[.!?][ \t\r\n]') THEN regexp_extract(st, '(?s)^(.*?[.!?])[ \t\r\n]', 1) ELSE st END, '.!?'), '[', '('), ']', ')') AS sent
+          FROM bm25 JOIN d ON chunk_id = doc_id JOIN qs USING (question_id)),
+    c0 AS (SELECT *, 'Segundo a fonte, ' || array_to_string(qw[:6], ' ') || ' ' || sent || ' [' || ref || '].' AS statement FROM f WHERE st <> ''),
+    c1 AS (SELECT *, list_distinct({_TOK.format("regexp_replace(statement, '[[][^][]*[]]', '', 'g')")}) AS own FROM c0),
+    c2 AS (SELECT *, len(list_intersect(own, dw)) / len(own) AS share, source <> 'src2' AS known, source <> 'src3' AS versioned, source <> 'src2' AND source <> 'src3' AND NOT poor AS valid FROM c1),
+    c AS (SELECT *, valid AND share >= 0.8 AS supported FROM c2),
+    o1 AS (SELECT question_id, count(rank) AS claims, count(*) FILTER (supported) AS claims_supported, coalesce(string_agg(statement, ' ' ORDER BY rank), 'Não há evidência suficiente nas fontes recuperadas.') AS original FROM qs LEFT JOIN c USING (question_id) GROUP BY 1),
+    u AS (SELECT question_id, list_distinct(flatten(list(dw))) AS sw FROM c WHERE valid GROUP BY 1),
+    k AS (SELECT c.* FROM c JOIN o1 USING (question_id) JOIN u USING (question_id) WHERE claims_supported < claims AND len(list_intersect(own, sw)) / len(own) >= 0.8),
+    o2 AS (SELECT question_id, count(*) AS kept, count(*) FILTER (supported) AS kept_supported, string_agg(statement, ' ' ORDER BY rank) AS new FROM k GROUP BY 1),
+    p AS (SELECT *, claims_supported < claims AS rewritten, coalesce(kept, 0) AS n, coalesce(kept_supported, 0) AS s FROM o1 LEFT JOIN o2 USING (question_id)),
+    path AS (SELECT *, CASE WHEN NOT rewritten OR n = s THEN 'accepted' WHEN s > 0 THEN 'accepted_with_caveat' ELSE 'abstain' END AS outcome FROM p)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "sparse_index_topk": f"WITH {_sparse('sparse_bm25', _DOCS)} SELECT * FROM sparse_bm25",
     "qrels": f"WITH {_QRELS} SELECT * FROM qrels",
     "bm25_topk": f"WITH {_bm25(_DOCS)} SELECT * FROM bm25",
     "dense_topk": """WITH x AS (SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score
@@ -823,6 +882,16 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, sum(failed::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS run FROM e),
         s AS (SELECT *, coalesce(max(run) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS worst FROM r)
         SELECT event_id, CASE WHEN worst >= 5 THEN 'skipped' WHEN failed THEN 'failed' ELSE 'succeeded' END AS status FROM s""",
+    "answer_path": _ANSWERED + """ SELECT question_id, outcome, rewritten, CASE WHEN claims = 0 THEN 1 ELSE claims END AS claims, claims_supported, n AS kept, s AS kept_supported, sha256(original) AS original,
+        sha256(CASE WHEN NOT rewritten THEN original WHEN outcome = 'abstain' THEN 'Não há evidência suficiente nas fontes recuperadas.' ELSE coalesce(new, '') END) AS final FROM path""",
+    "answer_rates": _ANSWERED + """, x AS (SELECT count(*) AS cited, count(*) FILTER (NOT known) AS unknown, count(*) FILTER (valid) AS verified, count(*) FILTER (valid AND share < 0.8) AS denied FROM c),
+        y AS (SELECT count(*) AS n, count(*) FILTER (rewritten) AS r, count(*) FILTER (rewritten AND outcome <> 'abstain') AS ok, count(*) FILTER (outcome = 'abstain') AS ab FROM path)
+        SELECT 0.0::DOUBLE AS malformed_citation_rate, round(unknown / cited, 6) AS nonexistent_citation_rate, 0.0::DOUBLE AS citation_not_in_context_rate, 0.0::DOUBLE AS uncited_material_claim_rate, round(coalesce(denied / verified, 0.0), 6) AS unsupported_claim_rate,
+               round(r / n, 6) AS rewrite_rate, round(coalesce(ok / r, 0.0), 6) AS rewrite_success_rate, round(ab / n, 6) AS abstention_rate, n FROM x, y""",
+    "answer_quality": _ANSWERED + f""", a AS (SELECT question_id, original, list_distinct({_TOK.format("regexp_replace(original, '[[][^][]*[]]', '', 'g')")}) AS aw, list_distinct({_TOK.format("original")}) AS said FROM o1),
+        w AS (SELECT question_id, list_distinct(flatten(list(dw))) AS cw FROM f GROUP BY 1), z AS (SELECT question_id, list_distinct({_TOK.format("regexp_replace(question, '[[][^][]*[]]', '', 'g')")}) AS zw FROM qs)
+        SELECT question_id, round(coalesce(len(list_intersect(aw, cw)) / len(aw), 0.0), 6) AS faithfulness, round(CASE WHEN len(zw) = 0 THEN 0.0 ELSE len(list_intersect(zw, said)) / len(zw) END, 6) AS answer_relevancy, CASE WHEN cw IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS abstention_appropriate
+        FROM a JOIN z USING (question_id) LEFT JOIN w USING (question_id)""",
     "table_upsert": """WITH r AS (SELECT l_orderkey AS k, max(l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
         SELECT o_orderkey AS record, CASE WHEN n IS NULL THEN o_orderpriority ELSE 'returned' END AS strategy, CASE WHEN n IS NULL THEN o_orderstatus ELSE 'line ' || n END AS status FROM orders LEFT JOIN r ON k = o_orderkey
         UNION ALL SELECT -k, 'returned', 'line ' || n FROM r WHERE k <> 0""",

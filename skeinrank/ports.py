@@ -37,6 +37,8 @@ class DocumentSummarizer(Protocol):
 
 
 class AnswerGenerator(Protocol):
+    identity: str
+
     def answer(self, question: str, context: list[tuple[list[str], str]]) -> str: ...
 
 
@@ -47,6 +49,8 @@ class SupportVerifier(Protocol):
 
 
 class AnswerRewriter(Protocol):
+    identity: str
+
     def rewrite(self, question: str, answer: str, sources: list[str]) -> str: ...
 
 
@@ -58,12 +62,6 @@ class TextExtractor(Protocol):
     def extract(self, raw: bytes) -> str: ...
 
 
-class ResponseCache(Protocol):
-    def get(self, key: str) -> str | None: ...
-
-    def put(self, key: str, value: str) -> None: ...
-
-
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -116,10 +114,15 @@ class LeadText:
 
 
 class Extractive:
-    """Stand-in for a generator: the first sentence of each source with its first id."""
+    """Stand-in for a generator: the first sentence of each source with its first id; with `echo` after as many words of the question."""
+
+    def __init__(self, echo: int = 0):
+        self.echo, self.identity = echo, f"extractive-{echo}"
 
     def answer(self, question: str, context: list[tuple[list[str], str]]) -> str:
-        said = [f"{re.split(r'(?<=[.!?])\s', text.strip(), maxsplit=1)[0].rstrip('.!?')} [{ids[0]}]." for ids, text in context if ids and text.strip()]
+        lead = f"Segundo a fonte, {' '.join(words(question)[: self.echo])} " if self.echo else ""
+        firsts = [(ids[0], re.split(r"(?<=[.!?])[ \t\r\n]", text.strip(" \t\r\n"), maxsplit=1)[0]) for ids, text in context if ids and text and text.strip(" \t\r\n")]
+        said = [f"{lead}{first.rstrip('.!?').replace('[', '(').replace(']', ')')} [{ref}]." for ref, first in firsts]
         return " ".join(said) or "Não há evidência suficiente nas fontes recuperadas."
 
 
@@ -155,12 +158,7 @@ class Decoded:
             return raw.decode("cp1252", "replace")
 
 
-class MemoryCache(dict):
-    def put(self, key: str, value: str) -> None:
-        self[key] = value
-
-
 NAMES = {
     EmbeddingModel: HashedTerms, Reranker: SharedTerms, Contextualizer: LeadText, Summarizer: LeadText, DocumentSummarizer: LeadText, AnswerGenerator: Extractive,
-    SupportVerifier: Containment, AnswerRewriter: Containment, QualityJudge: Containment, TextExtractor: Decoded, ResponseCache: MemoryCache,
+    SupportVerifier: Containment, AnswerRewriter: Containment, QualityJudge: Containment, TextExtractor: Decoded,
 }
