@@ -205,23 +205,6 @@ def to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).select("question_id", "rank", F.col("own").alias("chunk_id"), F.col("best.score").alias("score"))
 
 
-def graph_local(questions: DataFrame, chunks: DataFrame, k: int, rare: int = 5) -> DataFrame:
-    """Entities are terms that at most `rare` different contents hold; a question's entities lead to their contents
-    (weight 1) and, over one more entity, to those contents' neighbours (weight 1/2). The k best are cut first, then
-    looked up by content, so a text that several chunks share is the last of them; scores are 1/rank. Copies of a
-    text are one content, so they take away no entity."""
-    content = chunks.groupBy(F.sha2(F.trim("text"), 256).alias("content")).agg(F.max("chunk_id").alias("owner"), F.min(F.trim("text")).alias("text"))
-    words = content.select(F.col("owner").alias("chunk_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    few = words.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= rare).select("term")
-    edges = words.join(few, "term")
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    near = asked.join(edges, "term").groupBy("question_id", "chunk_id").agg(F.count("*").cast("double").alias("w"))
-    hop = near.join(edges, "chunk_id").select("question_id", "term", "w", F.col("chunk_id").alias("via"))
-    far = hop.join(edges, "term").where(F.col("chunk_id") != F.col("via")).groupBy("question_id", "chunk_id").agg((F.count("*") * 0.5).alias("w"))
-    total = near.unionByName(far).groupBy("question_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return ranked(total, k).select("question_id", "rank", "chunk_id", (1.0 / F.col("rank")).alias("score"))
-
-
 # ---------------------------------------------------------------- the ten strategies
 
 
@@ -230,11 +213,11 @@ class Corpus:
     parent_id), contextual, summarized and both (chunk_id, text), nodes of the summary tree (chunk_id, text).
 
     With `store`, a ranking that several strategies need is made once, as deep as any of them asks, and read from there. With
-    `index`, sparse rankings are searched in the stored index that it gives for a frame's name.
+    `index`, sparse rankings are searched in the stored index that it gives for a frame's name. `graph` gives the stored graph of the chunks.
     """
 
-    def __init__(self, model: EmbeddingModel, analyzer: Callable[[Column], Column] = tokens, store: Callable[[DataFrame, str], DataFrame] | None = None, index=None, **frames: DataFrame):
-        self.model, self.analyzer, self.store, self.index, self.frames, self.kept = model, analyzer, store, index, frames, {}
+    def __init__(self, model: EmbeddingModel, analyzer: Callable[[Column], Column] = tokens, store: Callable[[DataFrame, str], DataFrame] | None = None, index=None, graph=None, **frames: DataFrame):
+        self.model, self.analyzer, self.store, self.index, self.graph, self.frames, self.kept = model, analyzer, store, index, graph, frames, {}
 
     def _ranking(self, kind: str, name: str, k: int) -> DataFrame:
         def make(depth):
@@ -279,7 +262,7 @@ STRATEGIES: dict[str, Callable[[Corpus, int], DataFrame]] = {
     "sac": lambda c, k: c.near("summarized", k),
     "sac_contextual": lambda c, k: c.near("both", k),
     "raptor": lambda c, k: c.near("nodes", k),
-    "graphrag": lambda c, k: graph_local(c.frames["questions"], c.frames["chunks"], k),
+    "graphrag": lambda c, k: c.graph().local(c.frames["questions"], k),
 }
 
 

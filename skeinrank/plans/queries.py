@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import ports
 from ..functions import text as tx
 from ..operators import answers, audit, calibration, chunking, evidence, metrics, records, retrieve, sampling
+from ..operators.graph import NEAR, ROUNDS, UNIT, WIDE, EntityGraph
 from ..operators.sparse_index import SparseIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import readers
@@ -111,6 +112,27 @@ def sparse_index_topk(spark, sf):
     return index.search(_questions(spark, sf), K)
 
 
+def _graph(spark, sf):
+    """The stored graph of documents, built when the session first asks for it."""
+    graph = EntityGraph(spark, _kept(spark, sf, "chunks", "graph"), tx.terms)
+    if not graph.built():
+        readers.temporary(spark, graph.path)
+        graph = EntityGraph.build(spark, graph.path, _chunks(spark, sf), tx.terms)
+    return graph
+
+
+def graph_global(spark, sf):
+    return _graph(spark, sf).global_(_questions(spark, sf), K)
+
+
+def graph_hybrid(spark, sf):
+    return _graph(spark, sf).hybrid(_questions(spark, sf), K)
+
+
+def graph_communities(spark, sf):
+    return _graph(spark, sf).communities()
+
+
 def _corpus(spark, sf, store=None):
     docs = readers.spread(_t(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
     plain = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
@@ -118,7 +140,7 @@ def _corpus(spark, sf, store=None):
     leads = docs.select("doc_id", chunking.lead(F.col("text")).alias("context"))
     contextual = chunking.contextual(plain, sections)
     return retrieve.Corpus(
-        ports.HashedTerms(), tx.terms, store, questions=_questions(spark, sf), chunks=plain, fragments=_fragments(spark, sf), contextual=contextual,
+        ports.HashedTerms(), tx.terms, store, None, lambda: _graph(spark, sf), questions=_questions(spark, sf), chunks=plain, fragments=_fragments(spark, sf), contextual=contextual,
         summarized=chunking.contextual(plain, leads), both=chunking.contextual(contextual, leads), nodes=_tree(spark, sf).select(F.col("node_id").alias("chunk_id"), "text"),
     )
 
@@ -670,7 +692,7 @@ def ingest_chunks(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        qrels, bm25_topk, dense_topk, vector_recall, *STRATEGY_QUERIES, sparse_index_topk, raptor_levels, question_metrics, strategy_scorecard, scorecard_lines, breakdown_by_norm, ordered_ids, embed_missing,
+        qrels, bm25_topk, dense_topk, vector_recall, *STRATEGY_QUERIES, graph_global, graph_hybrid, graph_communities, sparse_index_topk, raptor_levels, question_metrics, strategy_scorecard, scorecard_lines, breakdown_by_norm, ordered_ids, embed_missing,
         chunk_documents, html_lite, claim_segments, citation_parse, citation_accuracy, citation_checks, audit_rates, audit_outcomes, answer_path, answer_rates, answer_quality, claim_status, valid_sources, audit_lineage, judge_lineage, context_blocks,
         stratified_split, stratified_sample, kappa_report, spearman_report, support_rates, circuit_breaker, hash_chain_verify, stage_durations, table_upsert, table_replace, latest_record_dedup, record_merge, usage_cost, integrity_refs, integrity_keys,
         append_absent, corpus_hash, index_namespace, slugs, answer_means, record_breakdowns, calibration_features, feature_coverage, calibration_selection, calibration_labels, calibration_sealed, calibration_report, calibration_gate,
@@ -743,11 +765,26 @@ _TREE = "l0 AS (SELECT doc_id, 0 AS level, pos - 1 AS ord, doc_id || '::' || (po
     f""", l{k} AS (SELECT doc_id, {k} AS level, ord // 5 AS ord, 'summary::' || doc_id || '::{k}::' || (ord // 5) AS node_id, string_agg(substr(split_part(text, chr(10), 1), 1, 40), ' ' ORDER BY ord) AS text, list_distinct(flatten(list(ids ORDER BY ord))) AS ids
     FROM l{k - 1} WHERE doc_id IN (SELECT doc_id FROM l{k - 1} GROUP BY doc_id HAVING count(*) > 1) GROUP BY doc_id, ord // 5)""" for k in range(1, 6)
 ) + ", tree AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(6)) + ")"
-_GRAPH = f"""own AS (SELECT trim(text, ' ') AS text, max(doc_id) AS chunk_id FROM documents GROUP BY 1), gw AS (SELECT DISTINCT chunk_id, unnest({_TOK.format("text")}) AS term FROM own), ge AS (SELECT * FROM gw WHERE term IN (SELECT term FROM gw GROUP BY term HAVING count(*) <= 5)),
-    gq AS (SELECT DISTINCT item_id AS question_id, unnest({_TOK.format("text")}) AS term FROM benchmark), gn AS (SELECT question_id, chunk_id, count(*)::DOUBLE AS w FROM gq JOIN ge USING (term) GROUP BY ALL),
-    gf AS (SELECT question_id, b.chunk_id, count(*) * 0.5 AS w FROM gn JOIN ge a USING (chunk_id) JOIN ge b ON a.term = b.term AND b.chunk_id <> a.chunk_id GROUP BY ALL),
-    gs AS (SELECT question_id, chunk_id, round(sum(w), 6) AS score FROM (SELECT * FROM gn UNION ALL SELECT * FROM gf) GROUP BY ALL),
-    {_top("gk", K, "gs")}, graphrag AS (SELECT question_id, rank, chunk_id, 1.0::DOUBLE / rank AS score FROM gk)"""
+_VOTES = ", ".join(
+    f"g{r + 1}s AS (SELECT v.term, l.community, sum(strength) AS s FROM gv v JOIN g{r} l ON v.other = l.term GROUP BY ALL), g{r + 1}b AS (SELECT term, first(community ORDER BY s DESC, community) AS new FROM g{r + 1}s GROUP BY term),"
+    f" g{r + 1} AS MATERIALIZED (SELECT l.term, coalesce(new, l.community) AS community FROM g{r} l LEFT JOIN g{r + 1}b USING (term))"
+    for r in range(ROUNDS)
+)
+_GRAPH = f"""gown AS (SELECT trim(text, ' ') AS text, max(doc_id) AS chunk_id FROM documents WHERE text IS NOT NULL GROUP BY 1), gwords AS (SELECT chunk_id, {_TERMS.format("text")} AS w FROM gown),
+    gpair AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM (SELECT unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM gwords WHERE len(w) > 1) WHERE x <> y GROUP BY ALL),
+    gboth AS (SELECT a AS term, b AS other, n FROM gpair UNION ALL SELECT b, a, n FROM gpair), gdeg AS (SELECT term, sum(n)::BIGINT AS degree FROM gboth GROUP BY term),
+    gedge AS MATERIALIZED (SELECT * FROM (SELECT t.term, t.other, ({UNIT} * t.n) // (d.degree * o.degree) AS strength FROM gboth t JOIN gdeg d ON t.term = d.term JOIN gdeg o ON t.other = o.term) WHERE strength > 0),
+    gm AS (SELECT chunk_id, len(t) AS n, unnest(t) AS term FROM (SELECT chunk_id, list_distinct(w) AS t FROM gwords)), gfreq AS (SELECT term, count(*) AS df FROM gm GROUP BY term),
+    gv AS MATERIALIZED (SELECT * FROM gedge UNION ALL SELECT term, term, max(strength) FROM gedge GROUP BY term), g0 AS (SELECT term, term AS community FROM gfreq), {_VOTES},
+    gent AS MATERIALIZED (SELECT term, df, coalesce(degree, 0) AS degree, community FROM gfreq JOIN g{ROUNDS} USING (term) LEFT JOIN gdeg USING (term)),
+    ga AS (SELECT DISTINCT question_id, term FROM (SELECT item_id AS question_id, unnest({_TERMS.format("text")}) AS term FROM benchmark)), gask AS (SELECT question_id, term, 1.0::DOUBLE / df AS w, community FROM ga JOIN gent USING (term)),
+    gnear AS (SELECT term, other, row_number() OVER (PARTITION BY term ORDER BY strength DESC, other) AS i FROM gedge QUALIFY i <= {NEAR}),
+    glw AS (SELECT question_id, term, sum(w) AS w FROM (SELECT question_id, term, w FROM gask UNION ALL SELECT question_id, other, 0.5 * w / i FROM gask JOIN gnear USING (term)) GROUP BY ALL),
+    gls AS (SELECT question_id, chunk_id, round(sum(w), 9) AS score FROM glw JOIN gm USING (term) GROUP BY ALL),
+    gsum AS (SELECT question_id, community, round(sum(w), 9) AS w FROM gask GROUP BY ALL), gfelt AS (SELECT * FROM gsum QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY w DESC, community) <= {WIDE}),
+    gshare AS (SELECT chunk_id, community, n, count(*) AS m FROM gm JOIN gent USING (term) GROUP BY ALL),
+    ggs AS (SELECT question_id, chunk_id, round(sum(w * m / n), 9) AS score FROM gfelt JOIN gshare USING (community) GROUP BY ALL),
+    {_top("glr", K, "gls")}, {_top("ggr", K, "ggs")}, graphrag AS (SELECT question_id, rank, chunk_id, 1.0::DOUBLE / rank AS score FROM glr), ggl AS (SELECT question_id, rank, chunk_id, 1.0::DOUBLE / rank AS score FROM ggr)"""
 _RERANKED = f"""rp AS (SELECT question_id, rank AS r, chunk_id, list_distinct({_TOK.format("b.text")}) AS q, list_distinct({_TOK.format("d.text")}) AS t FROM pool JOIN benchmark b ON item_id = question_id JOIN documents d ON doc_id = chunk_id),
     rs AS (SELECT *, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM rp),
     reranked AS (SELECT question_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, r) AS rank FROM rs) WHERE rank <= {K})"""
@@ -858,6 +895,9 @@ _ANSWERED = f"""WITH {_bm25(_DOCS)},
     path AS (SELECT *, CASE WHEN NOT rewritten OR n = s THEN 'accepted' WHEN s > 0 THEN 'accepted_with_caveat' ELSE 'abstain' END AS outcome FROM p)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "graph_global": f"WITH {_GRAPH} SELECT * FROM ggl", "graph_hybrid": f"WITH {_GRAPH}, {_fused('gh', 'graphrag', 'ggl')} SELECT * FROM gh",
+    "graph_communities": f"""WITH {_GRAPH}, gi AS (SELECT community, term, degree, row_number() OVER (PARTITION BY community ORDER BY degree DESC, term) AS i FROM gent)
+        SELECT community, count(*) AS size, string_agg(term, ' ' ORDER BY i) FILTER (i <= 5) AS summary FROM gi GROUP BY community""",
     "sparse_index_topk": f"WITH {_sparse('sparse_bm25', _DOCS)} SELECT * FROM sparse_bm25",
     "qrels": f"WITH {_QRELS} SELECT * FROM qrels",
     "bm25_topk": f"WITH {_bm25(_DOCS)} SELECT * FROM bm25",

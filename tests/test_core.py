@@ -236,10 +236,20 @@ def test_nearest_keeps_ties_by_id():
     assert got.values.tolist() == [[7, 3, 1.0], [7, 5, 1.0]]
 
 
-def test_copies_take_away_no_entity(spark):
-    q = spark.createDataFrame([(1, "zebra")], "question_id int, text string")
-    c = spark.createDataFrame([(i, "a zebra crossing") for i in range(9)] + [(20, "other words")], "chunk_id int, text string")
-    assert [(r.chunk_id, r.score) for r in retrieve.graph_local(q, c, 5).collect()] == [(8, 1.0)]
+def test_graph_has_no_cap(spark, tmp_path):
+    from skeinrank.operators.graph import EntityGraph
+
+    q = spark.createDataFrame([(1, "zebra"), (2, "nothing known")], "question_id int, text string")
+    c = spark.createDataFrame([(i, f"a zebra crossing {i % 40}") for i in range(90)] + [(200, "crossing guard"), (201, "other words"), (202, None)], "chunk_id int, text string")
+    g = EntityGraph.build(spark, str(tmp_path / "g"), c, tx.tokens)
+    assert g.built() and not EntityGraph(spark, str(tmp_path / "h")).built()
+    # every content with the term is found, however many there are: copies are one, the last; then a neighbour's
+    found = {r.chunk_id for r in g.local(q, 500).collect()}
+    assert found == {*range(50, 90), 200}
+    assert {r.question_id for r in g.hybrid(q, 3).collect()} == {1}
+    own = {r.community: r.summary for r in g.communities().collect()}
+    assert any({"other", "words"} == set(v.split()) for v in own.values())
+    assert EntityGraph.build(spark, str(tmp_path / "e"), c.where("false"), tx.tokens).local(q, 5).count() == 0
 
 
 def test_misses_are_embedded_once(spark):
