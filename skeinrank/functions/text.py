@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,24 +100,55 @@ def decoded(raw: Column) -> Column:
     return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(western)
 
 
+#: Character references by name, most with their semicolon, and the names that do without one, longest first.
+NAMED = html5
+BARE = "|".join(sorted((n for n in NAMED if not n.endswith(";")), key=lambda n: (-len(n), n)))
+BLANK = "|".join(sorted(re.escape(n) for n, letters in NAMED.items() if letters.isspace() and n.endswith(";")))
+
+
+def references(text: Column) -> Column:
+    """Character references decoded once, as browsers do: all names, decimal and hexadecimal numbers, with a semicolon or, where
+    that is allowed, without. Numbers from 128 to 159 are Windows-1252; numbers that stand for nothing become a replacement mark,
+    those of control characters and non-characters nothing. What is no reference stays."""
+    table = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    names = F.map_keys(table)
+
+    def read(x):
+        digits = F.regexp_extract(x, "^#0*([0-9]*)", 1)
+        hexadecimal = F.regexp_extract(x, "^#[xX]0*([0-9a-fA-F]*)", 1)
+        number = F.when(F.length(digits) + F.length(hexadecimal) > 8, F.lit(0x110000)).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("int")).otherwise(F.coalesce(digits.try_cast("int"), F.lit(0)))
+        full = F.regexp_extract(x, "^([A-Za-z][A-Za-z0-9]*;)", 1)
+        name = F.when(F.array_contains(names, full), full).otherwise(F.regexp_extract(x, f"^({BARE})", 1))
+        is_number = x.rlike("^#([0-9]|[xX][0-9a-fA-F])")
+        return F.struct(F.when(is_number, number).alias("number"), F.when(~is_number, name).alias("name"), F.when(is_number, F.regexp_replace(x, "^#([0-9]+|[xX][0-9a-fA-F]+);?", "")).otherwise(x).alias("rest"))
+
+    high = [(c, bytes([c]).decode("cp1252", "ignore")) for c in range(0x80, 0xA0)]
+    western = F.create_map(*(F.lit(v) for c, w in high if w for v in (c, ord(w))))
+
+    def letter(n):
+        n = F.coalesce(F.element_at(western, n), n)
+        none = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+        none = none & ~n.isin(0x81, 0x8D, 0x8F, 0x90, 0x9D)  # bytes without a letter stay as they are
+        lost = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        return F.when(lost, "\ufffd").when(none, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def written(r):
+        named = F.concat(F.try_element_at(table, r["name"]), F.substr(r["rest"], F.length(r["name"]) + 1))
+        return F.when(r["number"].isNotNull(), F.concat(letter(r["number"]), r["rest"])).when(r["name"] != "", named).otherwise(F.concat(F.lit("&"), r["rest"]))
+
+    parts = F.split(text, "&", -1)
+    after = F.transform(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), read), written)
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(after, ""))).otherwise(text)
+
+
 def html_lite(html: Column) -> Column:
-    """Text of a page: scripts, styles and comments go, white space within text becomes a space, both ends of a
-    block become a newline, character references are decoded (the named ones of `REFERENCES`, and all numbers)."""
+    """Text of a page: scripts, styles and comments go, white space within text becomes a space (that of references, too),
+    both ends of a block become a newline, character references are decoded."""
     t = F.regexp_replace(html, r"(?is)<!--.*?-->|<![^>]*>|<script([\s/][^>]*)?>.*?</script\s*>|<style([\s/][^>]*)?>.*?</style\s*>", "")
+    t = F.regexp_replace(t, rf"&(?:{BLANK}|nbsp(?![A-Za-z0-9;])|#0*(?:9|10|12|13|32|160)(?:;|(?![0-9;]))|#[xX]0*(?:9|[aA]|[cC]|[dD]|20|[aA]0)(?:;|(?![0-9a-fA-F;])))", " ")
     t = F.regexp_replace(t, r"(?U)\s+", " ")
     t = F.regexp_replace(t, r"(?i)</?(p|div|br|li|tr|table|h1|h2|h3|h4|h5|h6)([\s/][^>]*)?>", "\n")
-    t = F.regexp_replace(t, r"</?[a-zA-Z][^>]*>", "")
-    for name, letter in REFERENCES.items():
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(letter))
-    number = lambda n: F.when(n.cast("int").between(1, 0xFFFF), F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 4, "0")), "UTF-16BE"))
-    parts = F.split(t, "&#", -1)
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x: F.when(x.rlike("^[0-9]{1,6};"), F.concat(F.coalesce(number(F.regexp_extract(x, "^([0-9]+);", 1)), F.lit("\ufffd")), F.regexp_replace(x, "^[0-9]+;", ""))).otherwise(F.concat(F.lit("&#"), x)))
-    t = F.when(F.contains(t, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(t)
-    return F.replace(t, F.lit("&amp;"), F.lit("&"))
-
-
-# Character references by name; &amp; is decoded last.
-REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "ordm": "º", "ordf": "ª", "sect": "§", "deg": "°", "laquo": "«", "raquo": "»"}
+    return references(F.regexp_replace(t, r"</?[a-zA-Z][^>]*>", ""))
 
 
 def mended(text: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+
 # The markers of the grammar's levels, and the chunk limit in characters.
 ARTICLE = re.compile(r"Art(?:igo)?\.?\s+(\d+)\s*[ºo°]?\s*(-[A-Z])?[\s.\-–]")
 PARAGRAPH = re.compile(r"§\s*(\d+)")
@@ -198,9 +200,11 @@ def same_ids(left: DataFrame, right: DataFrame) -> bool:
 # ---------------------------------------------------------------- enriched text
 
 
-def lead(text, n: int = 120):
-    """The stand-in for summaries and contexts: the first characters of the first line."""
-    return F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, n)
+def salient(text):
+    """The stand-in for summaries: of all sentences (also cut at line ends) the one with most distinct words, the first of several."""
+    sentences = F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
+    best = F.array_max(F.transform(sentences, lambda s, i: F.struct(F.size(F.array_distinct(tokens(s))).alias("words"), (-i).alias("at"))))
+    return F.get(sentences, -best["at"])
 
 
 def contextual(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -219,7 +223,7 @@ def raptor(leaves: DataFrame, group: int = 5, levels: int = 5) -> DataFrame:
         up = level.join(sizes, "doc_id").groupBy("doc_id", F.floor(F.col("ord") / group).alias("ord")).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "ids"))).alias("parts"))
         level = up.select(
             "doc_id", F.lit(k).alias("level"), "ord", F.concat_ws("::", F.lit("summary"), F.col("doc_id").cast("string"), F.lit(str(k)), F.col("ord").cast("string")).alias("node_id"),
-            F.array_join(F.transform("parts", lambda p: lead(p["text"], 40)), " ").alias("text"), F.array_distinct(F.flatten(F.transform("parts", lambda p: p["ids"]))).alias("ids"),
+            F.array_join(F.transform("parts", lambda p: salient(p["text"])), "\n").alias("text"), F.array_distinct(F.flatten(F.transform("parts", lambda p: p["ids"]))).alias("ids"),
         )
         out = out.unionByName(level)
     return out

@@ -14,7 +14,7 @@ from ..operators import answers, audit, calibration, chunking, evidence, metrics
 from ..operators.graph import NEAR, ROUNDS, UNIT, WIDE, EntityGraph
 from ..operators.sparse_index import SparseIndex
 from ..operators.vector_index import VectorIndex
-from ..sources import readers
+from ..sources import readers, runs
 from ..sources.tables import Table
 
 K = 5
@@ -137,7 +137,7 @@ def _corpus(spark, sf, store=None):
     docs = readers.spread(_t(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
     plain = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
     sections = docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("context"))
-    leads = docs.select("doc_id", chunking.lead(F.col("text")).alias("context"))
+    leads = docs.select("doc_id", chunking.salient(F.col("text")).alias("context"))
     contextual = chunking.contextual(plain, sections)
     return retrieve.Corpus(
         ports.HashedTerms(), tx.terms, store, None, lambda: _graph(spark, sf), questions=_questions(spark, sf), chunks=plain, fragments=_fragments(spark, sf), contextual=contextual,
@@ -646,6 +646,49 @@ def published_runs(spark, sf):
     return evidence.published(catalog, results, manifests)
 
 
+def published_files(spark, sf):
+    """Runs written as files and read back: a run a nation, whose strategies are its suppliers. Some are wrong in one way each."""
+    folder, k = readers.new_folder(spark, "published"), F.col("n_nationkey")
+    run = F.concat(F.lit("20260726T"), F.lpad(k.cast("string"), 6, "0"), F.lit("Z"))
+    score = (F.col("s_acctbal") / 10000).cast("double")
+    scores = [F.when(F.col("s_nationkey") % 9 != 4, score).alias(x) for x in "recall_at_k precision_at_k ndcg_at_k mrr drm_at_k citation_accuracy faithfulness answer_relevancy abstention_appropriate".split()]
+    metric = F.struct(*scores, F.lit(1).alias("errors"), F.lit(2).alias("answer_errors"), F.lit(5).alias("n"), F.lit(5).alias("answer_n"))
+    made = _t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.map_from_entries(F.collect_list(F.struct("s_name", metric))).alias("metrics"), F.min("s_name").alias("first"))
+    n = _t(spark, sf, "nation").select("n_nationkey", "n_name", run.alias("run")).join(made, "n_nationkey", "left")
+
+    def write(rows, name, **fields):
+        body = F.to_json(F.struct(*(v.alias(f) for f, v in fields.items())))
+        rows.select(F.col("run").alias("run_id"), body.alias("value")).repartition("run_id").write.partitionBy("run_id").text(f"{folder}/{name}")
+
+    said = lambda *names: {x: F.lit(x) for x in names}
+    model = F.struct(F.lit("p").alias("provider"), F.lit("m").alias("model"))
+    write(n.where(k % 10 != 3), "results", run_id=F.when(k % 7 == 1, "another").otherwise(F.col("run")), **said("mode", "config_path", "generation_model", "judge_provider", "judge_model"), embedding=model, k=F.lit(5), n_chunks=F.lit(9), metrics=F.col("metrics"))
+    write(n, "manifests", run_id=F.col("run"), status=F.when(k % 6 == 5, "running").otherwise("completed"), git_sha=F.lit("c0ffee"), completed_at=F.when(k % 11 == 10, "2026-07-26T00:00:00").otherwise("2026-07-26T00:00:00+00:00"))
+    sample = F.struct(F.lit(runs.SAMPLE_KIND).alias("kind"), F.lit(5).alias("question_count"), F.lit(9).alias("source_split_question_count"), F.lit("s").alias("sampling_seed"))
+    chosen = F.struct(F.when(k % 8 == 0, "absent").otherwise(F.coalesce("first", F.lit("none"))).alias("strategy"), F.lit("r").alias("rationale"), F.lit("s").alias("scope"))
+    entry = F.struct(F.col("run").alias("run_id"), F.col("n_name").alias("title"), sample.alias("sample"), chosen.alias("recommendation"))
+    catalog = n.agg(F.max("run").alias("latest_run_id"), F.collect_list(entry).alias("runs"))  # a run a nation
+    catalog.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), "latest_run_id", "runs"))).coalesce(1).write.text(f"{folder}/catalog")
+    shown = readers.stored(runs.published(runs.read_catalog(spark, f"{folder}/catalog/part-*"), runs.read_results(spark, f"{folder}/results/*/*"), runs.read_manifests(spark, f"{folder}/manifests/*/*")), "runs")
+    scored = runs.run_metrics(shown).select("run_id", "strategy", F.round("ndcg_at_k", 6).alias("ndcg"), "errors")
+    return shown.select("run_id", "title", "fault", "latest").join(scored, "run_id", "left")
+
+
+def piece_faults(spark, sf):
+    """Files of suppliers' names, a file a nation, and a copy in which some were changed, lengthened or left out: pieces of 64 bytes that differ."""
+    folder, k = readers.new_folder(spark, "pieces"), F.col("s_nationkey")
+    s = _t(spark, sf, "supplier").withColumn("other", F.when((k % 4 == 1) & (F.col("s_suppkey") % 3 == 0), F.translate("s_name", "0123456789", "9876543210")).otherwise(F.col("s_name")))
+
+    def write(name, column, tail, kept):
+        text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", column))), lambda x: x[column]), ","), tail)
+        s.where(kept).groupBy("s_nationkey").agg(text.alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(f"{folder}/{name}")
+        found = runs.file_pieces(spark, f"{folder}/{name}", 64)
+        return found.withColumn("relative_path", F.regexp_extract("relative_path", "^[^/]+", 0)).where(F.col("relative_path").startswith("s_nationkey="))
+
+    left = write("recorded", "s_name", F.lit(""), F.lit(True))
+    return runs.piece_faults(left, write("found", "other", F.when(k % 4 == 2, F.repeat(F.lit("+"), 100)).otherwise(""), k % 4 != 3))
+
+
 def trace_metadata(spark, sf):
     m = F.create_map(F.lit("feature"), F.col("p_name"), F.lit("operation"), F.repeat("p_type", F.when(F.col("p_partkey") % 2 == 0, 30).otherwise(1)), F.lit("content"), F.col("p_brand"))
     return _t(spark, sf, "part").select("p_partkey", F.concat_ws(",", F.array_sort(F.map_keys(tx.trace_metadata(m)))).alias("keys"))
@@ -697,7 +740,7 @@ QUERIES = {
         stratified_split, stratified_sample, kappa_report, spearman_report, support_rates, circuit_breaker, hash_chain_verify, stage_durations, table_upsert, table_replace, latest_record_dedup, record_merge, usage_cost, integrity_refs, integrity_keys,
         append_absent, corpus_hash, index_namespace, slugs, answer_means, record_breakdowns, calibration_features, feature_coverage, calibration_selection, calibration_labels, calibration_sealed, calibration_report, calibration_gate,
         calibration_disagreements, calibration_faults, worksheet, checkpoint_status, identity_faults, manifest_faults, artifacts_missing, question_artifacts, merge_summaries, pending_strategies, split_judgments, split_faults,
-        source_faults, published_runs, trace_metadata, extraction_choice, legal_parse, corpus_text, ingest_gate, ingest_chunks,
+        source_faults, published_runs, published_files, piece_faults, trace_metadata, extraction_choice, legal_parse, corpus_text, ingest_gate, ingest_chunks,
     )
 }
 
@@ -756,13 +799,14 @@ def _fused(name: str, one: str, two: str, k: int = K) -> str:
     {name} AS (SELECT question_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) AS rank FROM {name}_x) WHERE rank <= {k})"""
 
 
-_LEAD = "substr(split_part(text, chr(10), 1), 1, 120)"
+_SENTENCES = r"string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))"
+_SALIENT = f"list_sort(list_transform({_SENTENCES}, lambda s, i: {{'words': len(list_distinct({_TOK.format('s')})), 'place': -i, 'said': s}}), 'DESC')[1].said"
 _CONTEXT = "concat_ws(' ', source, lang) || chr(10) || chr(10) || text"
 _CTX_CHUNKS = f"SELECT doc_id AS chunk_id, {_CONTEXT} AS text FROM documents"
-_SAC_CHUNKS = f"SELECT doc_id AS chunk_id, {_LEAD} || chr(10) || chr(10) || text AS text FROM documents"
-_BOTH_CHUNKS = f"SELECT doc_id AS chunk_id, {_LEAD} || chr(10) || chr(10) || {_CONTEXT} AS text FROM documents"
+_SAC_CHUNKS = f"SELECT doc_id AS chunk_id, {_SALIENT} || chr(10) || chr(10) || text AS text FROM documents"
+_BOTH_CHUNKS = f"SELECT doc_id AS chunk_id, {_SALIENT} || chr(10) || chr(10) || {_CONTEXT} AS text FROM documents"
 _TREE = "l0 AS (SELECT doc_id, 0 AS level, pos - 1 AS ord, doc_id || '::' || (pos - 1) AS node_id, text, [doc_id || '::' || (pos - 1)] AS ids FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))" + "".join(
-    f""", l{k} AS (SELECT doc_id, {k} AS level, ord // 5 AS ord, 'summary::' || doc_id || '::{k}::' || (ord // 5) AS node_id, string_agg(substr(split_part(text, chr(10), 1), 1, 40), ' ' ORDER BY ord) AS text, list_distinct(flatten(list(ids ORDER BY ord))) AS ids
+    f""", l{k} AS (SELECT doc_id, {k} AS level, ord // 5 AS ord, 'summary::' || doc_id || '::{k}::' || (ord // 5) AS node_id, string_agg({_SALIENT}, chr(10) ORDER BY ord) AS text, list_distinct(flatten(list(ids ORDER BY ord))) AS ids
     FROM l{k - 1} WHERE doc_id IN (SELECT doc_id FROM l{k - 1} GROUP BY doc_id HAVING count(*) > 1) GROUP BY doc_id, ord // 5)""" for k in range(1, 6)
 ) + ", tree AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(6)) + ")"
 _VOTES = ", ".join(
@@ -865,8 +909,9 @@ _KAPPA = """
     rep AS (SELECT scope, round(CASE WHEN chance = 0 THEN 1.0 ELSE 1 - seen * n / chance END, 6) AS weighted_kappa, n, spearman, false_supported, false_unsupported, abstention_agreement, scope <> 'abstention' AS required,
             scope = 'abstention' OR round(CASE WHEN chance = 0 THEN 1.0 ELSE 1 - seen * n / chance END, 6) >= 0.6 AS passed FROM ob JOIN ex USING (scope) JOIN sp USING (scope) JOIN su USING (scope))"""
 _PAGE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<![^>]*>|<script([\s/][^>]*)?>.*?</script\s*>|<style([\s/][^>]*)?>.*?</style\s*>', '', 'g'), '\s+', ' ', 'g'), '(?i)</?(p|div|br|li|tr|table|h1|h2|h3|h4|h5|h6)([\s/][^>]*)?>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
-for _name, _letter in {**tx.REFERENCES, "amp": "&"}.items():
-    _PAGE = f"replace({_PAGE}, '&{_name};', chr({ord(_letter)}))"
+# the references that the tables' pages hold, with or without a semicolon
+for _name, _letter in {"quot": '"', "copy": "©", "middot": "·", "lt": "<", "gt": ">", "amp": "&"}.items():
+    _PAGE = f"regexp_replace({_PAGE}, '&{_name};?', chr({ord(_letter)}), 'g')"
 _MANIFESTS = "man AS (SELECT o_orderkey::VARCHAR AS run_id, o_orderkey % 7 = 0 AS no_sha, o_orderstatus AS st, o_orderkey % 3 = 0 AS no_time FROM orders)"
 _NORMS = """
     ln AS (SELECT k, n, p FROM (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY l, p) AS n FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS l, l_partkey AS p FROM lineitem)) WHERE n <= 7), pre AS (SELECT DISTINCT k, 'N-' || k || CASE WHEN k % 4 = 1 THEN '::anexo-1-art-' ELSE '::art-' END || k AS art, CASE WHEN k % 4 = 0 THEN 'CAPITULO I' WHEN k % 4 = 1 THEN 'ANEXO' ELSE '' END AS heads FROM ln),
@@ -1022,6 +1067,15 @@ ORACLE_SQL: dict[str, str] = {
     "published_runs": """WITH n AS (SELECT *, '20260726T' || lpad(n_nationkey::VARCHAR, 6, '0') || CASE WHEN n_nationkey % 5 = 4 THEN '' ELSE 'Z' END AS run_id FROM nation)
         SELECT run_id, n_name AS title, CASE WHEN n_nationkey % 5 = 4 THEN 'run id is malformed' WHEN n_nationkey = 0 THEN 'run id is listed twice' WHEN n_nationkey % 7 = 1 THEN 'files are missing or of another run' WHEN n_nationkey % 6 = 5 THEN 'not completed'
                WHEN n_nationkey % 11 = 10 THEN 'time without a zone' WHEN n_nationkey % 8 = 0 THEN 'recommended strategy has no metrics' END AS fault, run_id = '20260726T000003Z' AS latest, row_number() OVER (ORDER BY run_id DESC) AS place FROM n""",
+    "published_files": """WITH n AS (SELECT n_nationkey AS k, n_name, '20260726T' || lpad(n_nationkey::VARCHAR, 6, '0') || 'Z' AS run_id, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS m FROM nation),
+        f AS (SELECT *, k = (SELECT max(k) FROM n) AS latest, CASE WHEN k % 10 = 3 THEN 'results: no file' WHEN k % 7 = 1 THEN 'results: of another run' WHEN m = 0 THEN 'results: metrics is missing or of another type' WHEN k % 9 = 4 THEN 'results: a metric isn''t a finite number'
+            WHEN k % 6 = 5 THEN 'manifest: not completed' WHEN k % 11 = 10 THEN 'manifest: no time with a zone' WHEN k % 8 = 0 THEN 'recommended strategy has no metrics' END AS fault FROM n)
+        SELECT run_id, n_name AS title, fault, latest, s_name AS strategy, round(s_acctbal::DOUBLE / 10000, 6) AS ndcg, CASE WHEN s_name IS NOT NULL THEN 3::BIGINT END AS errors FROM f LEFT JOIN supplier ON fault IS NULL AND s_nationkey = k""",
+    "piece_faults": """WITH s AS (SELECT s_nationkey AS k, string_agg(s_name, ',' ORDER BY s_suppkey) || chr(10) AS a,
+            string_agg(CASE WHEN s_nationkey % 4 = 1 AND s_suppkey % 3 = 0 THEN translate(s_name, '0123456789', '9876543210') ELSE s_name END, ',' ORDER BY s_suppkey) || CASE WHEN s_nationkey % 4 = 2 THEN repeat('+', 100) ELSE '' END || chr(10) AS b FROM supplier GROUP BY 1),
+        x AS (SELECT k, unnest(range((length(a) + 63) // 64)) AS piece, a AS text FROM s), y AS (SELECT k, unnest(range((length(b) + 63) // 64)) AS piece, b AS text FROM s WHERE k % 4 <> 3),
+        z AS (SELECT coalesce(x.k, y.k) AS k, coalesce(x.piece, y.piece) AS piece, substr(x.text, x.piece * 64 + 1, 64) AS a, substr(y.text, y.piece * 64 + 1, 64) AS b FROM x FULL JOIN y ON x.k = y.k AND x.piece = y.piece)
+        SELECT 's_nationkey=' || k AS relative_path, piece, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' ELSE 'modified' END AS reason FROM z WHERE a IS DISTINCT FROM b""",
     "trace_metadata": "SELECT p_partkey, CASE WHEN length(p_name) <= 256 THEN 'feature' ELSE '' END || CASE WHEN length(p_type) * CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 1 END <= 256 THEN ',operation' ELSE '' END AS keys FROM part",
     "legal_parse": f"WITH {_NORMS} SELECT ref, kind, text, heads AS headings FROM nodes",
     "corpus_text": f"""WITH {_NORMS}, own AS (SELECT * FROM nodes WHERE kind IN ('article', 'paragraph')) SELECT ref, CASE WHEN kind = 'article' THEN (SELECT string_agg(x.text, chr(10) ORDER BY x.o) FROM own x WHERE x.k = own.k) ELSE text END AS text FROM own""",

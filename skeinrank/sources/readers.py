@@ -39,11 +39,16 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The last record of each strategy and question, by line."""
-    rows = spark.read.json(path, schema=RECORDS, mode="FAILFAST").select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__line"))
-    rest = [c for c in rows.columns if c not in ("strategy", "question_id", "__file", "__line")]
-    # lines of one file follow each other; files follow by name
-    last = rows.groupBy("strategy", "question_id").agg(F.max_by(F.struct(*rest), F.struct("__file", "__line")).alias("r"))
+    """The last record of each strategy and question, by line. A metric that isn't a finite number is an error."""
+    meta = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__line")]
+    rows = spark.read.json(path, schema=RECORDS, mode="FAILFAST").select("*", *meta)
+    bad = F.exists(F.map_values("metrics"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    fault = F.raise_error(F.concat(F.lit("a metric isn't a finite number: "), F.col("question_id")))
+    rows = rows.withColumn("metrics", F.when(bad, fault.cast("map<string,double>")).otherwise(F.col("metrics")))
+    rest = [c for c in rows.columns if c not in ("strategy", "question_id", "__file", "__from", "__line")]
+    # files follow by name, the ranges that tasks read of a file by their start, and the lines of a range as they were read: which
+    # task reads a range first doesn't matter
+    last = rows.groupBy("strategy", "question_id").agg(F.max_by(F.struct(*rest), F.struct("__file", "__from", "__line")).alias("r"))
     return last.select("question_id", "strategy", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
@@ -61,12 +66,6 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("value <> ''").select(F.get(line, F.lit(0)).alias("digest"), F.get(line, F.lit(1)).alias("relative_path"))
 
 
-def file_checksums(spark: SparkSession, root: str) -> DataFrame:
-    """(digest, relative_path) of the files below `root`."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return rows.select(F.sha2("content", 256).alias("digest"), F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\."), "").alias("p")).select("digest", F.regexp_replace("p", "^/+", "").alias("relative_path"))
-
-
 def checksum_faults(recorded: DataFrame, found: DataFrame) -> DataFrame:
     both = recorded.withColumnRenamed("digest", "a").join(found.withColumnRenamed("digest", "b"), "relative_path", "full")
     reason = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") != F.col("b"), "modified")

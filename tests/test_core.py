@@ -1,3 +1,4 @@
+import html
 import math
 import random
 
@@ -149,6 +150,35 @@ def test_samples(spark):
     assert split == {("exact", "validation"): 1, ("exact", "test"): 7, ("global", "validation"): 1, ("global", "test"): 1}
 
 
+@pytest.mark.parametrize("rows", [[(1, "a"), (2, "a"), (3, "b")], [(1, "a"), (2, "a"), (3, None)]])
+def test_classes_that_cannot_be_split(spark, rows):
+    df = spark.createDataFrame(rows, "id int, c string")
+    with pytest.raises(Exception, match="a class needs two rows or more: b|a row has no class: 3"):
+        sampling.stratified_split(df, "id", "c", 0.5, "s").collect()
+
+
+def test_samples_smaller_than_the_classes(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(10)], "id int, c string")
+    with pytest.raises(Exception, match="5 rows can't hold a row of each class: 10"):
+        sampling.stratified_sample(df, "id", "c", 5, "s").collect()
+    assert sampling.stratified_sample(df, "id", "c", 10, "s").count() == 10
+    assert sampling.stratified_sample(df.where("id < 0"), "id", "c", 5, "s").count() == 0
+
+
+def test_character_references(spark):
+    texts = ["&#x41;&#128512;&euro;&eacute; &amp;lt; a&b &notin;&notit; &copy2 &am &amp", "&#0; &#55296; &#x110000; &#99999999999; &#150;&#x81;&#1; &;&#;&#x; &#", "&NotEqualTilde; &#65 x &hellip", "none", "", "&", "x&&amp;&", "&#xFFFF;a&#11;b", "&#000000000065;"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(tx.references(F.col("t"))).collect()]
+    assert got == [html.unescape(t) for t in texts]
+    page = spark.createDataFrame([("<p>a&nbsp; b&#10;c</p>d &ensp;e<br>&lt;p&gt;&eacute;",), (None,)], "t string").coalesce(1).select(tx.html_lite(F.col("t")))
+    assert [r[0] for r in page.collect()] == ["\na b c\nd e\n<p>é", None]
+
+
+def test_salient_sentence(spark):
+    texts = ["a a a a. b c d! e\nf g", "x\ny", "", None, "one two. three four"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(chunking.salient(F.col("t"))).collect()]
+    assert got == ["b c d!", "x", "", None, "one two."]
+
+
 def test_agreement(spark):
     p = lambda *rows: spark.createDataFrame([("g", a, b) for a, b in rows], "g string, a int, b int")
     assert records.kappa(p((0, 0), (1, 1), (2, 2)), ["g"]).first().kappa == 1.0
@@ -287,7 +317,7 @@ def test_evidence_of_a_run(spark, tmp_path):
     import hashlib
     import json
 
-    from skeinrank.sources import readers
+    from skeinrank.sources import readers, runs
 
     folder = tmp_path / "run"
     folder.mkdir()
@@ -303,7 +333,7 @@ def test_evidence_of_a_run(spark, tmp_path):
     sums = {n: hashlib.sha256((folder / n).read_bytes()).hexdigest() for n in ("events.jsonl", "manifest.json")} | {"gone.json": "0"}
     (folder / "checksums.sha256").write_text("".join(f"{d}  {n}\n" for n, d in sums.items()))
     (folder / "events.jsonl").write_text("changed")
-    found = readers.file_checksums(spark, str(folder)).where("relative_path <> 'checksums.sha256'")
+    found = runs.file_digests(spark, str(folder)).where("relative_path <> 'checksums.sha256'")
     faults = readers.checksum_faults(readers.read_checksums(spark, str(folder / "checksums.sha256")), found)
     assert sorted((r.relative_path, r.reason) for r in faults.collect()) == [("events.jsonl", "modified"), ("gone.json", "missing"), ("old.json", "extra")]
 
@@ -319,7 +349,7 @@ def test_metadata_contexts_and_pages(spark, tmp_path):
     (tmp_path / "a.htm").write_bytes("<p>Resolução&nbsp;1</p><!-- x --><style>p{}</style><b>n&#186; &amp;lt; &#x;</b>".encode("cp1252"))
     (tmp_path / "b.htm").write_bytes("<div class='p'>ção</div><product>z</product>".encode())
     got = {r.relative_path: r.text for r in readers.read_pages(spark, str(tmp_path)).collect()}
-    assert got == {"a.htm": "\nResolução\u00a01\nnº &lt; &#x;", "b.htm": "\nção\nz"}
+    assert got == {"a.htm": "\nResolução 1\nnº &lt; &#x;", "b.htm": "\nção\nz"}
 
 
 def test_latest_chunks(spark, tmp_path):

@@ -1,6 +1,6 @@
 import json
 
-from skeinrank.sources import readers
+from skeinrank.sources import readers, runs
 
 
 def test_judgments_split_and_records(spark, tmp_path):
@@ -19,7 +19,7 @@ def test_checksums(spark, tmp_path):
     (root / "sub").mkdir(parents=True)
     (root / "a.txt").write_text("a")
     (root / "sub" / "b.txt").write_text("b")
-    found = {r.relative_path: r.digest for r in readers.file_checksums(spark, str(root)).collect()}
+    found = {r.relative_path: r.digest for r in runs.file_digests(spark, str(root)).collect()}
     (tmp_path / "sums").write_text(f"{found['a.txt']}  a.txt\n{'0' * 64}  sub/b.txt\n{'1' * 64}  gone.txt\n")
-    faults = readers.checksum_faults(readers.read_checksums(spark, str(tmp_path / "sums")), readers.file_checksums(spark, str(root))).collect()
+    faults = readers.checksum_faults(readers.read_checksums(spark, str(tmp_path / "sums")), runs.file_digests(spark, str(root))).collect()
     assert {r.relative_path: r.reason for r in faults} == {"sub/b.txt": "modified", "gone.txt": "missing"}
