@@ -695,8 +695,12 @@ def trace_metadata(spark, sf):
 
 
 def extraction_choice(spark, sf):
-    t = tx.first_good(F.when(F.col("page_id") % 5 > 0, F.substring(tx.mended(tx.html_lite(F.col("html"))), 1, (F.col("page_id") % 40).cast("int"))), F.lit("fallback"))
-    return _t(spark, sf, "pages").select("page_id", F.when(t == "fallback", "fallback").otherwise("primary").alias("chosen"))
+    """The whole text of a page, unless its extraction failed (each fifth one) or left little (some of each seventh)."""
+    page = F.col("page_id")
+    whole = tx.mended(tx.html_lite(F.col("html")))
+    first = F.when(page % 5 > 0, F.when(page % 7 == 1, F.substring(whole, 1, (page % 40).cast("int"))).otherwise(whole))
+    made = _t(spark, sf, "pages").select("page_id", tx.first_good(first, F.lit("fallback")).alias("t"))
+    return made.select("page_id", F.when(F.col("t") == "fallback", "fallback").otherwise("primary").alias("chosen"), F.sha2("t", 256).alias("digest"))
 
 
 # The lines of the made-up norms, in order.
@@ -716,7 +720,7 @@ def legal_parse(spark, sf):
 
 
 def corpus_text(spark, sf):
-    return chunking.corpus_text(chunking.parse_legal(_norms(spark, sf)).where("kind IN ('article', 'paragraph')"))
+    return chunking.corpus_text(chunking.parse_legal(_norms(spark, sf)))
 
 
 def ingest_gate(spark, sf):
@@ -729,7 +733,7 @@ def ingest_gate(spark, sf):
 def ingest_chunks(spark, sf):
     docs = _norms(spark, sf).withColumn("source_hash", F.sha2("text", 256))
     chunks = chunking.ingest(docs, docs.select("norm_id", F.lit(1).alias("expected")), limit=60)[0]
-    return chunks.where("role <> 'fragment'").select("chunk_id", "role", F.size("structural_ids").cast("long").alias("n_ids"), F.col("metadata")["section"].alias("section"), F.col("metadata")["source_hash"].alias("source_hash"))
+    return chunks.select("chunk_id", "role", F.sha2("text", 256).alias("digest"), F.size("structural_ids").cast("long").alias("n_ids"), F.col("metadata")["section"].alias("section"), F.col("metadata")["source_hash"].alias("source_hash"))
 
 
 QUERIES = {
@@ -921,6 +925,9 @@ _NORMS = """
                      CASE n WHEN 1 THEN '§ 1º item ' WHEN 2 THEN 'I - item ' WHEN 3 THEN 'a) item ' WHEN 4 THEN 'Parágrafo único. item ' WHEN 5 THEN 'II — item ' ELSE '§ 2 item ' END || p
                      || CASE WHEN n = 5 THEN coalesce((SELECT chr(10) || 'goes on ' || x.p FROM ln x WHERE x.k = ln.k AND x.n = 6), '') ELSE '' END, heads FROM ln JOIN pre USING (k) WHERE n <> 6),
     whole AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'Preamble' || chr(10) || 'CAPITULO I' || chr(10) WHEN k % 4 = 1 THEN 'ANEXO' || chr(10) ELSE '' END || string_agg(text, chr(10) ORDER BY o) FILTER (WHERE o >= 0) AS text FROM nodes GROUP BY k)"""
+#: Each node with the text of all below it, whose references go on from its own.
+_BELOW = """below AS (SELECT n.k, n.ref, n.kind, n.heads, count(*) AS n, string_agg(x.text, chr(10) ORDER BY x.o) AS text
+    FROM nodes n JOIN nodes x ON n.k = x.k AND (x.ref = n.ref OR starts_with(x.ref, n.ref || CASE n.kind WHEN 'article' THEN '::' ELSE '-' END)) GROUP BY ALL)"""
 
 _SPACE = "' ' || chr(9) || chr(13) || chr(10)"
 _ANSWERED = f"""WITH {_bm25(_DOCS)},
@@ -1078,10 +1085,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 's_nationkey=' || k AS relative_path, piece, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' ELSE 'modified' END AS reason FROM z WHERE a IS DISTINCT FROM b""",
     "trace_metadata": "SELECT p_partkey, CASE WHEN length(p_name) <= 256 THEN 'feature' ELSE '' END || CASE WHEN length(p_type) * CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 1 END <= 256 THEN ',operation' ELSE '' END AS keys FROM part",
     "legal_parse": f"WITH {_NORMS} SELECT ref, kind, text, heads AS headings FROM nodes",
-    "corpus_text": f"""WITH {_NORMS}, own AS (SELECT * FROM nodes WHERE kind IN ('article', 'paragraph')) SELECT ref, CASE WHEN kind = 'article' THEN (SELECT string_agg(x.text, chr(10) ORDER BY x.o) FROM own x WHERE x.k = own.k) ELSE text END AS text FROM own""",
+    "corpus_text": f"WITH {_NORMS}, {_BELOW} SELECT ref, text FROM below",
     "html_lite": f"WITH p AS (SELECT page_id, {_PAGE} AS text FROM pages) SELECT page_id, sha256(text) AS digest, length(text) AS n_chars FROM p",
-    "extraction_choice": f"SELECT page_id, CASE WHEN page_id % 5 > 0 AND length(trim(substr({_PAGE}, 1, page_id % 40), ' ' || chr(9) || chr(10) || chr(160))) >= 20 THEN 'primary' ELSE 'fallback' END AS chosen FROM pages",
+    "extraction_choice": f"""WITH w AS (SELECT page_id, replace(replace({_PAGE}, 'ą', 'fi'), 'Ć', 'fl') AS t FROM pages), p AS (SELECT page_id, CASE WHEN page_id % 7 = 1 THEN substr(t, 1, page_id % 40) ELSE t END AS t FROM w),
+        c AS (SELECT page_id, t, page_id % 5 > 0 AND length(trim(t, ' ' || chr(10))) >= 20 AS good FROM p)
+        SELECT page_id, CASE WHEN good THEN 'primary' ELSE 'fallback' END AS chosen, sha256(CASE WHEN good THEN t ELSE 'fallback' END) AS digest FROM c""",
     "ingest_gate": "SELECT DISTINCT 'N-' || l_orderkey AS norm_id, 2 AS expected, 1 AS found FROM lineitem WHERE l_orderkey % 10 = 7",
-    "ingest_chunks": f"""WITH {_NORMS} SELECT ref AS chunk_id, kind AS role, CASE WHEN kind = 'article' THEN (SELECT count(*) FROM nodes x WHERE x.k = nodes.k AND x.o >= 0) ELSE 0 END AS n_ids, CASE WHEN kind = 'article' AND heads <> '' THEN heads END AS section, sha256(whole.text) AS source_hash
-        FROM nodes JOIN whole USING (k) WHERE kind IN ('article', 'preamble')""",
+    "ingest_chunks": f"""WITH {_NORMS}, {_BELOW}, long AS (SELECT k FROM below WHERE kind = 'article' AND length(text) > 60)
+        SELECT ref AS chunk_id, CASE kind WHEN 'paragraph' THEN 'fragment' ELSE kind END AS role, sha256(below.text) AS digest, CASE kind WHEN 'preamble' THEN 0 ELSE n END AS n_ids, CASE WHEN kind <> 'preamble' AND heads <> '' THEN heads END AS section, sha256(whole.text) AS source_hash
+        FROM below JOIN whole USING (k) WHERE kind IN ('article', 'preamble') OR kind = 'paragraph' AND k IN (SELECT k FROM long)""",
 }
