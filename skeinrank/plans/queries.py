@@ -479,7 +479,7 @@ def _answers(spark, sf):
     return d.select(
         F.col("doc_id").alias("question_id"), F.when(by(3) == 0, "dense").when(by(3) == 1, "sparse_bm25").otherwise("raptor").alias("strategy"), F.when(by(5) > 0, F.col("lang")).alias("query_class"), (F.col("toxic") == 1).alias("unanswerable"),
         F.when(by(11) == 0, "failed").otherwise("succeeded").alias("retrieval_status"), gen.alias("generation_status"), F.when(gen != "succeeded", "not_applicable").when(by(13) == 0, "failed").otherwise("succeeded").alias("judge_status"), values.alias("metrics"),
-        F.concat(F.substring("text", 1, 200), F.lit(" [a::b]"), F.when(by(4) == 0, " [bad]").when(by(4) == 1, " sem salvo").otherwise("")).alias("answer_text"), F.array("source").alias("judge_contexts"), F.array_repeat("source", F.when(F.col("toxic") == 1, 0).otherwise(by(3).cast("int"))).alias("norms"),
+        F.concat("text", F.lit(" [a::b]"), F.when(by(4) == 0, " [bad]").when(by(4) == 1, " sem salvo").otherwise("")).alias("answer_text"), F.array("source").alias("judge_contexts"), F.array_repeat("source", F.when(F.col("toxic") == 1, 0).otherwise(by(3).cast("int"))).alias("norms"),
     )
 
 
@@ -884,7 +884,7 @@ _ANSWERS = """
             CASE WHEN lost THEN 'failed' ELSE 'succeeded' END AS retrieval_status, CASE WHEN lost THEN 'not_applicable' WHEN failed THEN 'failed' ELSE 'succeeded' END AS generation_status,
             CASE WHEN lost OR failed THEN 'not_applicable' WHEN doc_id % 13 = 0 THEN 'failed' ELSE 'succeeded' END AS judge_status,
             (n_chars % 3) / 2 AS faithfulness, (n_chars % 5) / 4 AS answer_relevancy, quality::DOUBLE AS abstention_appropriate, CASE WHEN toxic = 0 THEN round((doc_id % 4) / 3, 6) END AS citation_accuracy,
-            substr(text, 1, 200) || ' [a::b]' || CASE doc_id % 4 WHEN 0 THEN ' [bad]' WHEN 1 THEN ' sem salvo' ELSE '' END AS answer_text, CASE WHEN toxic = 1 THEN 0 ELSE doc_id % 3 END AS n_refs, text FROM ad),
+            text || ' [a::b]' || CASE doc_id % 4 WHEN 0 THEN ' [bad]' WHEN 1 THEN ' sem salvo' ELSE '' END AS answer_text, CASE WHEN toxic = 1 THEN 0 ELSE doc_id % 3 END AS n_refs, text FROM ad),
     usable AS (SELECT * FROM ans WHERE generation_status = 'succeeded' AND judge_status = 'succeeded'),
     dims AS (SELECT *, unnest(CASE WHEN unanswerable THEN ['faithfulness', 'answer_relevancy', 'abstention'] ELSE ['faithfulness', 'answer_relevancy'] END) AS dimension FROM ans),
     lab AS (SELECT question_id || '-' || strategy || '-' || dimension AS sample_id, question_id, strategy, dimension, generation_status = 'succeeded' AND judge_status = 'succeeded' AS usable,
