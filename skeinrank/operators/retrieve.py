@@ -9,6 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from ..ports import EmbeddingModel, Reranker
 from ..sources.readers import stored
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Query vectors of one broadcast block, and scores held at a time: bounds on memory, not on what is searched.
-QUERY_BLOCK, SCORES = 8192, 4_000_000
+#: Query vectors of one broadcast block, scores held at a time, and rows taken at a time: bounds on memory, not on what is searched.
+QUERY_BLOCK, SCORES, ROWS = 8192, 1_000_000, 1000
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -28,8 +29,39 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "rank", "chunk_id", "score")
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True) -> DataFrame:
-    """Exact cosine top-k. queries(question_id, embedding), vectors(chunk_id, embedding).
+class _Kept:
+    """The k best of each question among what a task has seen so far; `least` is how many rows wait until they are cut."""
+
+    def __init__(self, k: int, least: int = 200_000):
+        self.k, self.least, self.n, self.parts = k, least, 0, []
+
+    def add(self, part: pd.DataFrame) -> None:
+        self.parts.append(part)
+        self.n += len(part)
+        if self.n > self.least:
+            whole = self.cut()
+            self.parts, self.n, self.least = [whole], len(whole), max(self.least, 4 * len(whole))
+
+    def cut(self) -> pd.DataFrame:
+        if not self.parts:
+            return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
+        whole = pd.concat(self.parts, ignore_index=True)
+        order = whole.sort_values(["question_id", "score", "chunk_id"], ascending=[True, False, True])
+        return order[order.groupby("question_id", sort=False).cumcount() < self.k]
+
+    def batches(self, question_type: pa.DataType, chunk_type: pa.DataType):
+        got = self.cut()
+        if len(got):
+            yield pa.RecordBatch.from_arrays([pa.array(got["question_id"].tolist(), question_type), pa.array(got["chunk_id"].tolist(), chunk_type), pa.array(got["score"], pa.float64())], list(got.columns))
+
+
+def _schema(questions: DataFrame, chunks: DataFrame) -> str:
+    return f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True, model: EmbeddingModel | None = None) -> DataFrame:
+    """Exact cosine top-k. queries(question_id, embedding), vectors(chunk_id, embedding); with `model` chunks(chunk_id, text), which
+    are embedded where they are compared, so that their vectors don't leave the task.
 
     Queries go out in blocks of a fixed size; every task keeps its k best a query before
     anything is shuffled. Unless `itself`, a question's own vector (equal ids) isn't a hit of it.
@@ -39,24 +71,29 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True) -
     blocks = max(1, math.ceil(n / QUERY_BLOCK))
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)))
     if blocks > 1:  # every block reads them: they are made once
+        vectors, model = (embedded(vectors, model, "chunk_id") if model else vectors), None
         numbered, vectors = stored(numbered, "questions"), stored(vectors.select("chunk_id", "embedding"), "vectors")
     parts = []
     for b in range(blocks):
         rows = numbered.where(F.col("block") == b).select("question_id", "embedding").toArrow()
         q = np.array(rows["embedding"].to_pylist(), float).reshape(len(rows), -1)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((np.array(rows["question_id"].to_pylist()), q))
+        shared = spark.sparkContext.broadcast((np.array(rows["question_id"].to_pylist()), q, rows.schema.field("question_id").type))
 
-        def best(frames):
-            names, q = shared.value
+        def best(batches, shared=shared, model=model):
+            names, q, kind = shared.value
             if not len(names):
                 return
-            step = max(1, SCORES // len(names))
-            for f in frames:
-                for lo in range(0, len(f), step):
-                    yield _nearest(names, q, f["chunk_id"].to_numpy()[lo : lo + step], np.array(f["embedding"].iloc[lo : lo + step].tolist(), float), k, itself)
-
-        parts.append(vectors.select("chunk_id", "embedding").mapInPandas(best, f"question_id {queries.schema['question_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"))
+            kept, step, own = _Kept(k), max(1, min(ROWS, SCORES // len(names))), None
+            for batch in batches:
+                own = batch.schema.field("chunk_id").type
+                for lo in range(0, len(batch), step):
+                    part = batch.slice(lo, step)
+                    v = _embed(model, part["text"].to_pylist()) if model else np.array(part["embedding"].to_pylist(), float)
+                    kept.add(_nearest(names, q, np.array(part["chunk_id"].to_pylist()), v, k, itself))
+            yield from kept.batches(kind, own)
+
+        parts.append(vectors.select("chunk_id", "text" if model else "embedding").mapInArrow(best, _schema(queries, vectors)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -82,15 +119,19 @@ def _best(names: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> pd.D
     return pd.DataFrame({"question_id": names[row], "chunk_id": ids[column], "score": score[row, column]})
 
 
+def _embed(model: EmbeddingModel, texts: list[str | None]) -> np.ndarray:
+    vectors = model.embed([t or "" for t in texts])
+    if vectors.shape != (len(texts), model.dimensions):
+        raise ValueError(f"the embedder returned {vectors.shape} for {len(texts)} texts of {model.dimensions} dimensions")
+    return vectors
+
+
 def embedded(texts: DataFrame, model: EmbeddingModel, id_col: str) -> DataFrame:
     """(id, embedding) of texts(id, text), a batch of texts at a time, with the vector in the row of its text."""
 
     def run(frames):
         for f in frames:
-            vectors = model.embed(f["text"].fillna("").tolist())
-            if vectors.shape != (len(f), model.dimensions):
-                raise ValueError(f"the embedder returned {vectors.shape} for {len(f)} texts of {model.dimensions} dimensions")
-            yield pd.DataFrame({id_col: f[id_col], "embedding": list(vectors)})
+            yield pd.DataFrame({id_col: f[id_col], "embedding": list(_embed(model, f["text"].tolist()))})
 
     return texts.select(id_col, "text").mapInPandas(run, f"{id_col} {texts.schema[id_col].dataType.simpleString()}, embedding array<double>")
 
@@ -106,7 +147,7 @@ def embed_missing(texts: DataFrame, cache: DataFrame, model: EmbeddingModel) ->
 
 def dense_texts(questions: DataFrame, chunks: DataFrame, k: int, model: EmbeddingModel) -> DataFrame:
     """questions(question_id, text), chunks(chunk_id, text)."""
-    return dense(embedded(questions, model, "question_id"), embedded(chunks, model, "chunk_id"), k)
+    return dense(embedded(questions, model, "question_id"), chunks, k, model=model)
 
 
 # ---------------------------------------------------------------- sparse
@@ -118,55 +159,72 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int, analyzer: Callable[[Co
     out in blocks, with their terms."""
     asked = questions.select("question_id", F.explode(analyzer(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
     blocks = max(1, math.ceil(questions.count() / QUERY_BLOCK))
-    schema = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
     out = None
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).orderBy("question_id", "term").toPandas()
-        part = ranked(_bm25_block(own, chunks, k, analyzer, schema), k)
+        part = ranked(_bm25_block(own, chunks, k, analyzer, _schema(questions, chunks)), k)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _bm25_block(asked: pd.DataFrame, chunks: DataFrame, k: int, analyzer, schema: str) -> DataFrame:
-    terms, term_of = np.unique(asked["term"].to_numpy(str), return_inverse=True)
-    names, question_of = np.unique(asked["question_id"].to_numpy(), return_inverse=True)
+    terms = sorted(asked["term"].unique().tolist())
     words = chunks.select("chunk_id", analyzer(F.col("text")).alias("words"))
-    held = words.select("chunk_id", F.size("words").alias("len"), F.filter("words", lambda w: w.isin(terms.tolist())).alias("held"))
+    held = words.select("chunk_id", F.size("words").alias("len"), F.filter("words", lambda w: w.isin(terms)).alias("held"))
     # a row without a term for each chunk: the chunks' number and length
     counts = held.select("len", F.explode(F.concat(F.array_distinct("held"), F.array(F.lit(None).cast("string")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("len").alias("len")).collect()
     n, total = next(((r.n, r.len) for r in counts if r.term is None), (0, 0))
-    df = dict((r.term, r.n) for r in counts)
-    df = np.array([df.get(t, 0) for t in terms.tolist()], float)
+    df = asked["term"].map(dict((r.term, r.n) for r in counts)).fillna(0).to_numpy(float)
     mean = max(total / max(n, 1), 1e-300)
+    worth = np.log1p((n - df + 0.5) / (df + 0.5)) * asked["times"].to_numpy(float)
+    return gathered(held, asked.assign(w=worth), k, lambda tf, length: tf / (tf + K1 * (1 - B + B * length / mean)), 6, schema)
+
+
+def gathered(held: DataFrame, asked: pd.DataFrame, k: int, value: Callable[[np.ndarray, np.ndarray], np.ndarray], digits: int, schema: str) -> DataFrame:
+    """Each task's k best of a question, by the sum of w * value(tf, len) over the terms that both have. asked(question_id, term, w) goes
+    out to all; held(chunk_id, len, held: terms, of which any may be unknown). A task holds SCORES products at a time, however long its chunks are."""
+    terms, term_of = np.unique(asked["term"].to_numpy(str), return_inverse=True)
+    names, question_of = np.unique(asked["question_id"].to_numpy(), return_inverse=True)
     # term by term its questions, with what an occurrence there is worth
     order = np.argsort(term_of, kind="stable")
     begin = np.searchsorted(term_of[order], np.arange(len(terms) + 1))
-    worth = np.log1p((n - df + 0.5) / (df + 0.5))[term_of[order]] * asked["times"].to_numpy(float)[order]
-    shared = chunks.sparkSession.sparkContext.broadcast((terms, names, question_of[order], begin, worth))
-
-    def best(batches):
-        terms, names, question, begin, worth = shared.value
-        place = {t: i for i, t in enumerate(terms.tolist())}
-        for batch in batches:
-            step = max(1, SCORES // max(1, len(names)))
-            for lo in range(0, len(batch), step):
-                part = batch.slice(lo, step)
-                lists = part["held"].combine_chunks() if hasattr(part["held"], "combine_chunks") else part["held"]
-                coded = lists.flatten().dictionary_encode()
-                own = np.array([place[t] for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                both, tf = np.unique(row * len(terms) + own, return_counts=True)
-                row, own = both // max(1, len(terms)), both % max(1, len(terms))
-                norm = tf / (tf + K1 * (1 - B + B * part["len"].to_numpy()[row] / mean))
-                times = begin[own + 1] - begin[own]
-                at = np.repeat(begin[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                cell, value = question[at] * len(part) + np.repeat(row, times), worth[at] * np.repeat(norm, times)
-                score = np.round(np.bincount(cell, value, len(names) * len(part)).reshape(len(names), len(part)), 6)
-                found = np.bincount(cell, minlength=len(names) * len(part)).reshape(score.shape) > 0
-                got = _best(names, np.array(part["chunk_id"].to_pylist()), np.where(found, score, -np.inf), k)
-                yield pa.RecordBatch.from_arrays([pa.array(got["question_id"]), pa.array(got["chunk_id"], part.schema.field("chunk_id").type), pa.array(got["score"], pa.float64())], list(got.columns))
-
-    return held.mapInArrow(best, schema)
+    kind = pa.array(asked["question_id"]).type
+    shared = held.sparkSession.sparkContext.broadcast((terms, names, question_of[order], begin, asked["w"].to_numpy(float)[order], kind))
+
+    return held.select("chunk_id", "len", "held").mapInArrow(lambda batches: _gather(batches, shared.value, k, value, digits), schema)
+
+
+def _gather(batches, shared: tuple, k: int, value, digits: int):
+    """What a task of `gathered` does."""
+    terms, names, question, begin, worth, kind = shared
+    place = {t: i for i, t in enumerate(terms.tolist())}
+    kept, field, step = _Kept(k), None, max(1, min(ROWS, SCORES // max(1, len(names))))
+    for batch in batches:
+        field = batch.schema.field("chunk_id").type
+        for lo in range(0, len(batch), step):
+            part = batch.slice(lo, step)
+            lists = part["held"]
+            coded = lists.flatten().dictionary_encode()
+            own = np.array([place.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(part)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            both, tf = np.unique((row * len(terms) + own)[own >= 0], return_counts=True)
+            row, own = both // max(1, len(terms)), both % max(1, len(terms))
+            norm, times = value(tf, part["len"].to_numpy()[row]), begin[own + 1] - begin[own]
+            ids, ends = np.array(part["chunk_id"].to_pylist()), np.concatenate(([0], np.cumsum(times)))
+            first = np.searchsorted(row, np.arange(len(part) + 1))
+            a = 0
+            while a < len(part):  # as many chunks as give SCORES products, one at least
+                b = max(a + 1, int(np.searchsorted(ends[first], ends[first[a]] + SCORES, "right")) - 1)
+                x, y, wide = first[a], first[b], b - a
+                at = np.repeat(begin[own[x:y]] - ends[x:y], times[x:y]) + np.arange(ends[x], ends[y])
+                cell = question[at] * wide + np.repeat(row[x:y] - a, times[x:y])
+                score = np.bincount(cell, worth[at] * np.repeat(norm[x:y], times[x:y]), len(names) * wide)
+                found = np.zeros(len(names) * wide, bool)
+                found[cell] = True
+                score = np.where(found, np.round(score, digits), -np.inf).reshape(len(names), wide)
+                kept.add(_best(names, ids[a:b], score, k))
+                a = b
+    yield from kept.batches(kind, field)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
