@@ -55,7 +55,7 @@ class _Kept:
             yield pa.RecordBatch.from_arrays([pa.array(got["question_id"].tolist(), question_type), pa.array(got["chunk_id"].tolist(), chunk_type), pa.array(got["score"], pa.float64())], list(got.columns))
 
 
-def _schema(questions: DataFrame, chunks: DataFrame) -> str:
+def question_hits(questions: DataFrame, chunks: DataFrame) -> str:
     return f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
 
 
@@ -93,7 +93,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True, m
                     kept.add(_nearest(names, q, np.array(part["chunk_id"].to_pylist()), v, k, itself))
             yield from kept.batches(kind, own)
 
-        parts.append(vectors.select("chunk_id", "text" if model else "embedding").mapInArrow(best, _schema(queries, vectors)))
+        parts.append(vectors.select("chunk_id", "text" if model else "embedding").mapInArrow(best, question_hits(queries, vectors)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -162,7 +162,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int, analyzer: Callable[[Co
     out = None
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).orderBy("question_id", "term").toPandas()
-        part = ranked(_bm25_block(own, chunks, k, analyzer, _schema(questions, chunks)), k)
+        part = ranked(_bm25_block(own, chunks, k, analyzer, question_hits(questions, chunks)), k)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -177,11 +177,11 @@ def _bm25_block(asked: pd.DataFrame, chunks: DataFrame, k: int, analyzer, schema
     df = asked["term"].map(dict((r.term, r.n) for r in counts)).fillna(0).to_numpy(float)
     mean = max(total / max(n, 1), 1e-300)
     worth = np.log1p((n - df + 0.5) / (df + 0.5)) * asked["times"].to_numpy(float)
-    return gathered(held, asked.assign(w=worth), k, lambda tf, length: tf / (tf + K1 * (1 - B + B * length / mean)), 6, schema)
+    return gathered(held, asked.assign(w=worth), k, lambda w, tf, length: w * (tf / (tf + K1 * (1 - B + B * length / mean))), 6, schema)
 
 
-def gathered(held: DataFrame, asked: pd.DataFrame, k: int, value: Callable[[np.ndarray, np.ndarray], np.ndarray], digits: int, schema: str) -> DataFrame:
-    """Each task's k best of a question, by the sum of w * value(tf, len) over the terms that both have. asked(question_id, term, w) goes
+def gathered(held: DataFrame, asked: pd.DataFrame, k: int, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], digits: int, schema: str) -> DataFrame:
+    """Each task's k best of a question, by the sum of value(w, tf, len), half up to `digits`, over the terms that both have. asked(question_id, term, w) goes
     out to all; held(chunk_id, len, held: terms, of which any may be unknown). A task holds SCORES products at a time, however long its chunks are."""
     terms, term_of = np.unique(asked["term"].to_numpy(str), return_inverse=True)
     names, question_of = np.unique(asked["question_id"].to_numpy(), return_inverse=True)
@@ -209,7 +209,7 @@ def _gather(batches, shared: tuple, k: int, value, digits: int):
             row = np.repeat(np.arange(len(part)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
             both, tf = np.unique((row * len(terms) + own)[own >= 0], return_counts=True)
             row, own = both // max(1, len(terms)), both % max(1, len(terms))
-            norm, times = value(tf, part["len"].to_numpy()[row]), begin[own + 1] - begin[own]
+            length, times = part["len"].to_numpy()[row], begin[own + 1] - begin[own]
             ids, ends = np.array(part["chunk_id"].to_pylist()), np.concatenate(([0], np.cumsum(times)))
             first = np.searchsorted(row, np.arange(len(part) + 1))
             a = 0
@@ -218,10 +218,11 @@ def _gather(batches, shared: tuple, k: int, value, digits: int):
                 x, y, wide = first[a], first[b], b - a
                 at = np.repeat(begin[own[x:y]] - ends[x:y], times[x:y]) + np.arange(ends[x], ends[y])
                 cell = question[at] * wide + np.repeat(row[x:y] - a, times[x:y])
-                score = np.bincount(cell, worth[at] * np.repeat(norm[x:y], times[x:y]), len(names) * wide)
+                again = lambda each: np.repeat(each[x:y], times[x:y])  # noqa: B023, E731
+                score = np.bincount(cell, value(worth[at], again(tf), again(length)), len(names) * wide)
                 found = np.zeros(len(names) * wide, bool)
                 found[cell] = True
-                score = np.where(found, np.round(score, digits), -np.inf).reshape(len(names), wide)
+                score = np.where(found, np.floor(score * 10**digits + 0.5) / 10**digits, -np.inf).reshape(len(names), wide)
                 kept.add(_best(names, ids[a:b], score, k))
                 a = b
     yield from kept.batches(kind, field)

@@ -15,7 +15,7 @@ def test_products_of_common_terms_are_held_in_parts():
     shared = (terms, names, np.tile(names, 40), np.arange(41) * 200, np.linspace(0.1, 1, 8000), pa.int64())
     batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(3000)), "len": [40 + i % 7 for i in range(3000)], "held": [terms.tolist()] * 3000})
     tracemalloc.start()
-    got = pa.Table.from_batches(list(retrieve._gather([batch], shared, 5, lambda tf, length: tf / length, 6))).to_pandas()
+    got = pa.Table.from_batches(list(retrieve._gather([batch], shared, 5, lambda w, tf, length: w * tf / length, 6))).to_pandas()
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150e6
@@ -36,3 +36,16 @@ def test_vectors_of_chunks_stay_in_their_task(spark):
     hits = retrieve.dense_texts(rows.withColumnRenamed("chunk_id", "question_id"), rows, 1, ports.HashedTerms())
     assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 1
     assert {(r.question_id, r.chunk_id) for r in hits.collect()} == {(i, i) for i in range(6)}
+
+
+def test_contents_are_not_shuffled_to_be_scored(spark, tmp_path):
+    """Every question meets every content: only each task's k best of a question may be shuffled, not a row for each of both."""
+    from skeinrank.functions import text as tx
+    from skeinrank.operators.graph import EntityGraph
+
+    chunks = spark.range(2000).selectExpr("id AS chunk_id", "concat('shared words here w', id % 50, ' x', id) AS text").repartition(4)
+    questions = spark.range(30).selectExpr("id AS question_id", "concat('shared words here w', id) AS text")
+    g = EntityGraph.build(spark, str(tmp_path / "g"), chunks, tx.tokens)
+    for hits in (g.local(questions, 3), g.global_(questions, 3)):
+        assert hits.count() == 90
+        assert "MapInArrow" in hits._jdf.queryExecution().optimizedPlan().toString()
