@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.readers import stored
 
 # The markers of the grammar's levels, and the chunk limit in characters.
 ARTICLE = re.compile(r"Art(?:igo)?\.?\s+(\d+)\s*[ºo°]?\s*(-[A-Z])?[\s.\-–]")
@@ -215,9 +216,10 @@ def contextual(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 def raptor(leaves: DataFrame, group: int = 5, levels: int = 5) -> DataFrame:
     """leaves(doc_id, ord, node_id, text, ids): summaries of `group` neighbours, level by level, until one node is left
-    or `levels` are made; all levels together. Positions follow from `ord`, so a level is one grouping without a sort."""
+    or `levels` are made; all levels together. Positions follow from `ord`, so a level is one grouping without a sort. Each level
+    is stored, as what follows reads it three times."""
     out = leaves.select("doc_id", F.lit(0).alias("level"), F.col("ord").cast("long").alias("ord"), "node_id", "text", "ids")
-    level = out
+    out = level = stored(out, "level-0")
     for k in range(1, levels + 1):
         sizes = level.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
         up = level.join(sizes, "doc_id").groupBy("doc_id", F.floor(F.col("ord") / group).alias("ord")).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "ids"))).alias("parts"))
@@ -225,5 +227,6 @@ def raptor(leaves: DataFrame, group: int = 5, levels: int = 5) -> DataFrame:
             "doc_id", F.lit(k).alias("level"), "ord", F.concat_ws("::", F.lit("summary"), F.col("doc_id").cast("string"), F.lit(str(k)), F.col("ord").cast("string")).alias("node_id"),
             F.array_join(F.transform("parts", lambda p: salient(p["text"])), "\n").alias("text"), F.array_distinct(F.flatten(F.transform("parts", lambda p: p["ids"]))).alias("ids"),
         )
+        level = stored(level, f"level-{k}")
         out = out.unionByName(level)
     return out

@@ -49,3 +49,13 @@ def test_contents_are_not_shuffled_to_be_scored(spark, tmp_path):
     for hits in (g.local(questions, 3), g.global_(questions, 3)):
         assert hits.count() == 90
         assert "MapInArrow" in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_levels_are_made_once(spark):
+    """A plan that holds a level's making in each later one doubles with every level."""
+    from skeinrank.operators import chunking
+
+    leaves = spark.createDataFrame([(1, i, f"n{i}", f"text {i}", [f"n{i}"]) for i in range(40)], "doc_id int, ord int, node_id string, text string, ids array<string>")
+    tree = chunking.raptor(leaves)
+    assert tree._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    assert sorted((r.level, r["count"]) for r in tree.groupBy("level").count().collect()) == [(0, 40), (1, 8), (2, 2), (3, 1)]
