@@ -222,10 +222,12 @@ def raptor(leaves: DataFrame, group: int = 5, levels: int = 5) -> DataFrame:
     out = level = stored(out, "level-0")
     for k in range(1, levels + 1):
         sizes = level.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-        up = level.join(sizes, "doc_id").groupBy("doc_id", F.floor(F.col("ord") / group).alias("ord")).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "ids"))).alias("parts"))
+        # a node's sentence is chosen where the node lies: only that is shuffled
+        up = level.join(sizes, "doc_id").select("doc_id", "ord", salient(F.col("text")).alias("lead"), "ids")
+        up = up.groupBy("doc_id", F.floor(F.col("ord") / group).alias("ord")).agg(F.array_sort(F.collect_list(F.struct("ord", "lead", "ids"))).alias("parts"))
         level = up.select(
             "doc_id", F.lit(k).alias("level"), "ord", F.concat_ws("::", F.lit("summary"), F.col("doc_id").cast("string"), F.lit(str(k)), F.col("ord").cast("string")).alias("node_id"),
-            F.array_join(F.transform("parts", lambda p: salient(p["text"])), "\n").alias("text"), F.array_distinct(F.flatten(F.transform("parts", lambda p: p["ids"]))).alias("ids"),
+            F.array_join(F.transform("parts", lambda p: p["lead"]), "\n").alias("text"), F.array_distinct(F.flatten(F.transform("parts", lambda p: p["ids"]))).alias("ids"),
         )
         level = stored(level, f"level-{k}")
         out = out.unionByName(level)

@@ -89,7 +89,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True, m
                 own = batch.schema.field("chunk_id").type
                 for lo in range(0, len(batch), step):
                     part = batch.slice(lo, step)
-                    v = _embed(model, part["text"].to_pylist()) if model else np.array(part["embedding"].to_pylist(), float)
+                    v = _embed(model, part["text"].to_pylist()) if model else _matrix(part["embedding"])
                     kept.add(_nearest(names, q, np.array(part["chunk_id"].to_pylist()), v, k, itself))
             yield from kept.batches(kind, own)
 
@@ -100,6 +100,13 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True, m
     return ranked(out, k)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    values, n = lists.flatten(), len(lists)
+    if lists.null_count or values.null_count or not n or len(values) % n or pc.count_distinct(lists.value_lengths()).as_py() > 1:
+        return np.array(lists.to_pylist(), float)
+    return values.to_numpy().astype(float).reshape(n, -1)
+
+
 def _nearest(names: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, itself: bool) -> pd.DataFrame:
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
     score = np.round(q @ v.T, 6) + 0.0
@@ -136,6 +143,17 @@ def embedded(texts: DataFrame, model: EmbeddingModel, id_col: str) -> DataFrame:
     return texts.select(id_col, "text").mapInPandas(run, f"{id_col} {texts.schema[id_col].dataType.simpleString()}, embedding array<double>")
 
 
+def embedded_parts(rows: DataFrame, model: EmbeddingModel, id_col: str, parts: list[str]) -> DataFrame:
+    """(id, a vector for each of the columns `parts`, of the same name) of rows(id, *parts), in one pass; a null counts as empty."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({id_col: f[id_col], **{p: list(_embed(model, f[p].tolist())) for p in parts}})
+
+    schema = ", ".join([f"{id_col} {rows.schema[id_col].dataType.simpleString()}", *(f"{p} array<double>" for p in parts)])
+    return rows.select(id_col, *parts).mapInPandas(run, schema)
+
+
 def embed_missing(texts: DataFrame, cache: DataFrame, model: EmbeddingModel) -> tuple[DataFrame, DataFrame]:
     """texts(text), cache(key, embedding): (text, embedding) of each row, and what is to be added to the cache.
     Only distinct texts that the cache lacks are embedded."""
@@ -154,8 +172,8 @@ def dense_texts(questions: DataFrame, chunks: DataFrame, k: int, model: Embeddin
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k: int, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """questions(question_id, text), chunks(chunk_id, text), without a stored index (`sparse_index`): nothing is shuffled but each task's
-    k best. One pass counts the terms asked for, one scores; of a chunk only those terms leave the JVM. Questions go
+    """questions(question_id, text), chunks(chunk_id, text; or words, if they are analysed already), without a stored index (`sparse_index`):
+    nothing is shuffled but each task's k best. One pass counts the terms asked for, one scores; of a chunk only those terms leave the JVM. Questions go
     out in blocks, with their terms."""
     asked = questions.select("question_id", F.explode(analyzer(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
     blocks = max(1, math.ceil(questions.count() / QUERY_BLOCK))
@@ -169,7 +187,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int, analyzer: Callable[[Co
 
 def _bm25_block(asked: pd.DataFrame, chunks: DataFrame, k: int, analyzer, schema: str) -> DataFrame:
     terms = sorted(asked["term"].unique().tolist())
-    words = chunks.select("chunk_id", analyzer(F.col("text")).alias("words"))
+    words = chunks.select("chunk_id", "words" if "words" in chunks.columns else analyzer(F.col("text")).alias("words"))
     held = words.select("chunk_id", F.size("words").alias("len"), F.filter("words", lambda w: w.isin(terms)).alias("held"))
     # a row without a term for each chunk: the chunks' number and length
     counts = held.select("len", F.explode(F.concat(F.array_distinct("held"), F.array(F.lit(None).cast("string")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("len").alias("len")).collect()
@@ -273,14 +291,32 @@ class Corpus:
 
     With `store`, a ranking that several strategies need is made once, as deep as any of them asks, and read from there. With
     `index`, sparse rankings are searched in the stored index that it gives for a frame's name. `graph` gives the stored graph of the chunks.
+
+    A frame may have its texts' terms in a column `words`. `made_of` says which columns of the frame `parts` (chunk_id and they) make a
+    frame's texts when they are joined by white space: with `store` and a model that is additive each part is embedded once for all of them.
     """
 
-    def __init__(self, model: EmbeddingModel, analyzer: Callable[[Column], Column] = tokens, store: Callable[[DataFrame, str], DataFrame] | None = None, index=None, graph=None, **frames: DataFrame):
-        self.model, self.analyzer, self.store, self.index, self.graph, self.frames, self.kept = model, analyzer, store, index, graph, frames, {}
+    def __init__(self, model: EmbeddingModel, analyzer: Callable[[Column], Column] = tokens, store: Callable[[DataFrame, str], DataFrame] | None = None, index=None, graph=None, made_of: dict[str, list[str]] | None = None, **frames: DataFrame):
+        self.model, self.analyzer, self.store, self.index, self.graph, self.made_of, self.frames, self.kept = model, analyzer, store, index, graph, made_of or {}, frames, {}
+
+    def _vectors(self, name: str) -> DataFrame | None:
+        """(chunk_id, embedding) of a frame's chunks as sums of their parts' vectors."""
+        if self.store is None or name not in self.made_of or not getattr(self.model, "additive", False):
+            return None
+        if "parts" not in self.kept:
+            columns = [c for c in self.frames["parts"].columns if c != "chunk_id"]
+            self.kept["parts"] = self.store(embedded_parts(self.frames["parts"], self.model, "chunk_id", columns), "parts")
+        first, *rest = map(F.col, self.made_of[name])
+        for c in rest:
+            first = F.zip_with(first, c, lambda a, b: a + b)
+        return self.kept["parts"].select("chunk_id", first.alias("embedding"))
 
     def _ranking(self, kind: str, name: str, k: int) -> DataFrame:
         def make(depth):
             if kind == "near":
+                vectors = self._vectors(name)
+                if vectors is not None:
+                    return dense(embedded(self.frames["questions"], self.model, "question_id"), vectors, depth)
                 return dense_texts(self.frames["questions"], self.frames[name], depth, self.model)
             if self.index is not None:
                 return self.index(name, self.frames[name]).search(self.frames["questions"], depth)

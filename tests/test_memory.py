@@ -59,3 +59,31 @@ def test_levels_are_made_once(spark):
     tree = chunking.raptor(leaves)
     assert tree._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
     assert sorted((r.level, r["count"]) for r in tree.groupBy("level").count().collect()) == [(0, 40), (1, 8), (2, 2), (3, 1)]
+
+
+def test_texts_that_share_parts_are_embedded_once(spark):
+    """The enriched texts of a scorecard are sums of the same parts: one pass of the embedder gives them all, and analysed words are read."""
+    from pyspark.sql import functions as F
+
+    from skeinrank.functions import text as tx
+
+    rows = [(1, "law", "One fee. Two fees", "One"), (2, "", "Fees are ΟΔΟΣ", "Fees"), (3, "tax fee", None, None), (4, "law tax", "", None)]
+    parts = spark.createDataFrame(rows, "chunk_id long, context string, text string, lead string")
+    asked = spark.createDataFrame([(1, "one fee"), (2, "ΟΔΟΣ law tax")], "question_id long, text string")
+    joined = lambda *c: parts.select("chunk_id", F.concat_ws("\n\n", *c).alias("text"))
+    frames = {"questions": asked, "chunks": parts.select("chunk_id", "text"), "contextual": joined("context", "text"), "both": joined("lead", "context", "text")}
+    made_of = {"chunks": ["text"], "contextual": ["context", "text"], "both": ["lead", "context", "text"]}
+    labels = []
+
+    def store(df, label):
+        labels.append(label)
+        return df
+
+    once = retrieve.Corpus(ports.HashedTerms(), tx.terms, store, made_of=made_of, parts=parts, **frames)
+    each = retrieve.Corpus(ports.HashedTerms(), tx.terms, **frames)
+    ranking = lambda df: sorted(map(tuple, df.collect()))
+    for name in made_of:
+        assert ranking(once.near(name, 4)) == ranking(each.near(name, 4))
+    assert labels == ["parts", "near-chunks", "near-contextual"]
+    analysed = frames["contextual"].select("chunk_id", tx.terms(F.col("text")).alias("words"))
+    assert ranking(retrieve.bm25(asked, analysed, 4, tx.terms)) == ranking(retrieve.bm25(asked, frames["contextual"], 4, tx.terms))
