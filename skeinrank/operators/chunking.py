@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ INCISO = re.compile(r"([IVXLCDM]+)\s*[-–—]\s+")
 ALINEA = re.compile(r"([a-z])\)\s+")
 HEADING = re.compile(r"(?:T[ÍI]TULO|CAP[ÍI]TULO|Se[çc][ãa]o|Subse[çc][ãa]o|ANEXO)\b")
 LIMIT = 1800
+#: Characters of joined texts that a task holds at a time, about.
+HELD = 4_000_000
 
 NODES = "norm_id string, node_ord int, kind string, ref string, parent_ord int, text string, headings array<string>"
 
@@ -171,7 +174,7 @@ def ingest(docs: DataFrame, manifest: DataFrame, limit: int = LIMIT) -> tuple[Da
 
 
 def corpus_text(nodes: DataFrame) -> DataFrame:
-    """(ref, text): the text of each structural id with all below it; of ids that collide the last one holds."""
+    """(ref, text) of a stored table of nodes: the text of each structural id with all below it; of ids that collide the last one holds."""
     up = nodes.select("norm_id", "node_ord", "parent_ord", "ref", "text")
     pairs = up.select("norm_id", F.col("node_ord").alias("top"), "node_ord", "text")
     level = up.where("parent_ord is not null").select("norm_id", F.col("parent_ord").alias("top"), "node_ord", "text")
@@ -184,6 +187,37 @@ def corpus_text(nodes: DataFrame) -> DataFrame:
     return named.groupBy("ref").agg(F.max_by("text", "top").alias("text"))
 
 
+def texts_of(nodes: list[tuple]) -> dict[str, str]:
+    """Of one document's nodes in order: the text of each id with all below it; of ids that collide the last one holds."""
+    over, held = {n[1]: n[4] for n in nodes}, {n[1]: [] for n in nodes}
+    for n in nodes:
+        o = n[1]
+        while o is not None:
+            held[o].append(n[5])
+            o = over[o]
+    return {n[3]: "\n".join(held[n[1]]) for n in nodes}
+
+
+def legal_texts(docs: DataFrame) -> DataFrame:
+    """`corpus_text` of docs(norm_id, text), whose ids mustn't repeat: parsed and joined in one pass over the documents, without a shuffle, as
+    a reference's last part tells where its norm's id ends, so that references of two norms can't collide."""
+
+    def run(batches):
+        for batch in batches:
+            refs, texts, size = [], [], 0
+            for i, t in zip(batch["norm_id"].to_pylist(), batch["text"].to_pylist()):
+                own = texts_of(parse(i, t))
+                refs += own.keys()
+                texts += own.values()
+                size += sum(map(len, own.values()))
+                if size > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(texts, pa.string())], ["ref", "text"])
+                    refs, texts, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(texts, pa.string())], ["ref", "text"])
+
+    return docs.select("norm_id", "text").mapInArrow(run, "ref string, text string")
+
+
 def latest_chunks(chunks: DataFrame, order: str, dimensions: int | None = None) -> DataFrame:
     """One row a chunk_id, the last loaded: structural references can collide. With `dimensions` a vector of another length is an error."""
     rest = [c for c in chunks.columns if c != "chunk_id"]

@@ -127,6 +127,18 @@ def test_colliding_ids_keep_the_last(spark):
         chunking.latest_chunks(rows, "ord", 2).collect()
 
 
+def test_texts_of_norms_come_from_one_pass(spark, monkeypatch):
+    again = "Art. 1º A.\n§ 1º old\nI - x\na) y\nArt. 2º B.\nII - z\nArt. 1º A again.\n§ 1º new\nb) w"
+    docs = spark.createDataFrame([("N", LEGAL), ("M", again), ("M::art-1", again), ("E", None), ("B", "")], "norm_id string, text string")
+    held = lambda df: sorted((r.ref, r.text) for r in df.collect())
+    want = held(chunking.corpus_text(chunking.parse_legal(docs)))
+    assert held(chunking.legal_texts(docs)) == want
+    monkeypatch.setattr(chunking, "HELD", 1)
+    assert held(chunking.legal_texts(docs)) == want
+    plan = chunking.legal_texts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") == 1 and "Exchange" not in plan
+
+
 def test_citations_claims_refs(spark):
     df = spark.createDataFrame([("See [N::art-1] and [N::art-1][bad][a::b::c::d] [x::]. Then Ok! \"Quoted\" não. fim",)], "t string")
     r = df.select(tx.citations(F.col("t")).alias("c"), tx.claims(F.col("t")).alias("s"), tx.ref_parts(F.lit("a::b")).alias("p")).first()
