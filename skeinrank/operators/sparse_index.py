@@ -31,6 +31,8 @@ from .retrieve import K1, B, ranked
 
 #: Chunks of a block (about), chunks for each bucket of terms, buckets at least and at most, and blocks of a question that are scored first.
 BLOCK, PER_BUCKET, FEWEST, MOST, FIRST = 64, 10_000, 8, 1024, 8
+#: Parts that all buckets together are packed in when an index is built, about: with more buckets than that a bucket is one.
+PARTS = 32
 #: Scores are rounded to six digits: a bound may be that much too low.
 ROUNDED = 1e-6
 
@@ -63,7 +65,10 @@ class SparseIndex:
         spark.createDataFrame([self._shape], "blocks long, buckets long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/shape")
         counted = self._counted(own)
         self.lengths.create(self._lengths(counted))
-        self.rows.create(self._packed(self._postings(counted)))
+        # postings are shuffled once: by bucket, in which they are packed and written; few buckets are dealt in parts
+        part = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(max(1, PARTS // self.shape[1]))).cast("int")
+        dealt = self._postings(counted).select("term", "chunk_id", "tf", "len", self._bucket().alias("bucket"), part.alias("part")).repartition("bucket", "part")
+        self.rows.create(self._packed(dealt.withColumn("block", self._block()), "bucket", "part"), dealt=True)
         return self
 
     # ------------------------------------------------------------ what is stored
@@ -84,12 +89,16 @@ class SparseIndex:
         ends = F.filter(F.transform("words", lambda w, i: F.when((i == 0) | (w != F.get("words", i - 1)), i)), lambda i: i.isNotNull())
         words = words.withColumn("at", F.concat(ends, F.array(F.size("words"))))
         each = words.select("chunk_id", "len", "words", F.explode(F.arrays_zip(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))).alias("a"), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))).alias("b"))).alias("x"))
-        return each.select(F.get("words", F.col("x.a")).alias("term"), F.pmod(F.xxhash64("chunk_id"), F.lit(self.blocks)).alias("block"), "chunk_id", (F.col("x.b") - F.col("x.a")).alias("tf"), "len")
+        return each.select(F.get("words", F.col("x.a")).alias("term"), self._block().alias("block"), "chunk_id", (F.col("x.b") - F.col("x.a")).alias("tf"), "len")
 
-    def _packed(self, postings: DataFrame) -> DataFrame:
-        packed = postings.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("chunk_id", "tf", "len")).alias("held"))
+    def _packed(self, postings: DataFrame, *dealt: str) -> DataFrame:
+        """`dealt`: what postings are dealt by already, which follows from the term."""
+        packed = postings.groupBy(*dealt, "term", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("chunk_id", "tf", "len")).alias("held"))
         return packed.select("term", "block", "n", "max_tf", "min_len", "held", self._bucket().alias("bucket"))
 
+    def _block(self) -> Column:
+        return F.pmod(F.xxhash64("chunk_id"), F.lit(self.blocks))
+
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(self.shape[1])).cast("int")
 
@@ -98,7 +107,7 @@ class SparseIndex:
         counted = self._counted(self._known(chunks, order))
         new = self._postings(counted)
         # of the ids, as a chunk may come back without a term
-        blocks = counted.select(F.pmod(F.xxhash64("chunk_id"), F.lit(self.blocks)).alias("block")).distinct()
+        blocks = counted.select(self._block().alias("block")).distinct()
         old = self.rows.read().join(blocks, "block", "left_semi")
         left = old.select("term", "block", F.inline("held")).join(counted.select("chunk_id"), "chunk_id", "left_anti")
         rows = stored(self._packed(left.select(new.columns).unionByName(new)), "packed")
@@ -130,7 +139,9 @@ class SparseIndex:
         bounds = stored(bounds.withColumn("place", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("bound"), "block"))), "bounds")
 
         def exact(pairs):
-            rows = worth.join(pairs.select("question_id", "block"), "question_id").join(held.select("term", "block", "held"), ["term", "block"])
+            # of the buckets' rows only those of terms asked for are shuffled
+            asked_for = held.select("term", "block", "held").join(worth.select("term").distinct(), "term", "left_semi")
+            rows = worth.join(pairs.select("question_id", "block"), "question_id").join(asked_for, ["term", "block"])
             rows = rows.select("question_id", "w", F.inline("held"))
             return rows.groupBy("question_id", "chunk_id").agg(F.round(F.sum(gives("tf", "len")), 6).alias("score"))
 
@@ -142,5 +153,5 @@ class SparseIndex:
     def looked_at(self, questions: DataFrame, k: int, first: int = FIRST) -> DataFrame:
         """(question_id, blocks, scored): the blocks with a term of the question, and how many of them hold chunks that were scored."""
         bounds, scored = self._steps(questions, k, first)
-        own = scored.select("question_id", F.pmod(F.xxhash64("chunk_id"), F.lit(self.blocks)).alias("block")).distinct().groupBy("question_id").agg(F.count("*").alias("scored"))
+        own = scored.select("question_id", self._block().alias("block")).distinct().groupBy("question_id").agg(F.count("*").alias("scored"))
         return bounds.groupBy("question_id").agg(F.count("*").alias("blocks")).join(own, "question_id", "left")

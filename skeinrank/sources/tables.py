@@ -106,11 +106,12 @@ class Table:
             stream.close()
         return number
 
-    def _write(self, rows: DataFrame) -> dict[int, str]:
-        """Writes rows by bucket: the buckets that got any, with the write's name."""
+    def _write(self, rows: DataFrame, dealt: bool = False) -> dict[int, str]:
+        """Writes rows by bucket: the buckets that got any, with the write's name. Rows that are dealt by bucket already stay where they are."""
         write = uuid.uuid4().hex
         salt = F.pmod(F.xxhash64(self.key), F.lit(self.split))
-        rows.withColumn("slot", F.col("bucket")).repartition("bucket", salt).write.partitionBy("slot").parquet(f"{self.path}/data/{write}")
+        rows = rows.withColumn("slot", F.col("bucket"))
+        (rows if dealt else rows.repartition("bucket", salt)).write.partitionBy("slot").parquet(f"{self.path}/data/{write}")
         return {int(n.removeprefix("slot=")): write for n in self._names(f"data/{write}") if n.startswith("slot=")}
 
     def _replace(self, touched: DataFrame, keep, rows: DataFrame) -> int:
@@ -125,10 +126,10 @@ class Table:
             new = keep(self._of(schema, {b: w for b, w in held.items() if b in set(buckets)})).unionByName(rows.select(*schema.names))
         return self._commit(base, schema or rows.schema, {b: w for b, w in held.items() if b not in set(buckets)} | self._write(new))
 
-    def create(self, rows: DataFrame) -> int:
-        """The first version, or one that replaces all rows."""
+    def create(self, rows: DataFrame, dealt: bool = False) -> int:
+        """The first version, or one that replaces all rows; `dealt` says that rows lie by bucket: few tasks hold rows of the same one."""
         base = max(self.versions(), default=0)
-        return self._commit(base, rows.schema, self._write(rows))
+        return self._commit(base, rows.schema, self._write(rows, dealt))
 
     def _last(self, rows: DataFrame, order: str | None) -> DataFrame:
         rest = [c for c in rows.columns if c not in (self.key, order)]

@@ -176,6 +176,28 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert "slot" not in plan  # the buckets asked for are listed, not filtered
 
 
+def test_postings_are_shuffled_once_and_only_terms_asked_for_are_looked_up(spark, tmp_path, monkeypatch):
+    plans, create = [], Table.create
+
+    def seen(self, rows, *args, **named):
+        plans.append((self.key, rows._jdf.queryExecution().executedPlan().toString()))
+        written.append(bool(named.get("dealt")))
+        return create(self, rows, *args, **named)
+
+    written = []
+    monkeypatch.setattr(Table, "create", seen)
+    chunks = spark.range(3000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("common w"), F.col("id") % 700, F.lit(" x"), F.col("id")).alias("text"))
+    index = SparseIndex.build(spark, str(tmp_path / "i"), chunks)
+    (plan,) = [p for key, p in plans if key == "term"]
+    assert plan.count("Exchange") == 1 and written == [False, True]
+    assert index.rows.read().groupBy("term", "block").count().where("count > 1").isEmpty()
+    asked = spark.createDataFrame([(1, "w5 x9"), (2, "common w7")], "question_id long, text string")
+    hits = index.search(asked, 3)
+    assert ranking(hits) == ranking(retrieve.bm25(asked, chunks, 3))
+    # rows of the index meet the terms asked for before they meet blocks
+    assert "LeftSemi" in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_repeated_and_empty_chunks(spark, tmp_path):
     rows_ = [(1, "a b", 1), (1, "c", 2), (None, "a", 3), (2, "", 4), (3, None, 5), (4, "a a a c", 6)]
     index = SparseIndex.build(spark, str(tmp_path / "i"), spark.createDataFrame(rows_, "chunk_id long, text string, ord int"), order="ord")
