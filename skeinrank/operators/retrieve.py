@@ -193,28 +193,36 @@ def _bm25_block(asked: pd.DataFrame, chunks: DataFrame, k: int, analyzer, schema
     counts = held.select("len", F.explode(F.concat(F.array_distinct("held"), F.array(F.lit(None).cast("string")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("len").alias("len")).collect()
     n, total = next(((r.n, r.len) for r in counts if r.term is None), (0, 0))
     df = asked["term"].map(dict((r.term, r.n) for r in counts)).fillna(0).to_numpy(float)
+    return gathered(held, *weighed(asked, df, n, total, k), 6, schema)
+
+
+def weighed(asked: pd.DataFrame, df: np.ndarray, n: int, total: int, k: int) -> tuple[pd.DataFrame, int, Callable]:
+    """BM25 for `gathered`: what the terms asked for are worth, k, and the value of an occurrence, in `n` chunks of `total` terms."""
     mean = max(total / max(n, 1), 1e-300)
     worth = np.log1p((n - df + 0.5) / (df + 0.5)) * asked["times"].to_numpy(float)
-    return gathered(held, asked.assign(w=worth), k, lambda w, tf, length: w * (tf / (tf + K1 * (1 - B + B * length / mean))), 6, schema)
+    return asked.assign(w=worth), k, lambda w, tf, length: w * (tf / (tf + K1 * (1 - B + B * length / mean)))
 
 
 def gathered(held: DataFrame, asked: pd.DataFrame, k: int, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], digits: int, schema: str) -> DataFrame:
     """Each task's k best of a question, by the sum of value(w, tf, len), half up to `digits`, over the terms that both have. asked(question_id, term, w) goes
     out to all; held(chunk_id, len, held: terms, of which any may be unknown). A task holds SCORES products at a time, however long its chunks are."""
+    shared = held.sparkSession.sparkContext.broadcast(by_term(asked))
+
+    return held.select("chunk_id", "len", "held").mapInArrow(lambda batches: _gather(batches, shared.value, k, value, digits), schema)
+
+
+def by_term(asked: pd.DataFrame) -> tuple:
+    """asked(question_id, term, w) as tasks use it: term by term its questions, with what an occurrence there is worth."""
     terms, term_of = np.unique(asked["term"].to_numpy(str), return_inverse=True)
     names, question_of = np.unique(asked["question_id"].to_numpy(), return_inverse=True)
-    # term by term its questions, with what an occurrence there is worth
     order = np.argsort(term_of, kind="stable")
     begin = np.searchsorted(term_of[order], np.arange(len(terms) + 1))
-    kind = pa.array(asked["question_id"]).type
-    shared = held.sparkSession.sparkContext.broadcast((terms, names, question_of[order], begin, asked["w"].to_numpy(float)[order], kind))
-
-    return held.select("chunk_id", "len", "held").mapInArrow(lambda batches: _gather(batches, shared.value, k, value, digits), schema)
+    return terms, names, question_of[order], begin, asked["w"].to_numpy(float)[order], pa.array(asked["question_id"]).type
 
 
 def _gather(batches, shared: tuple, k: int, value, digits: int):
     """What a task of `gathered` does."""
-    terms, names, question, begin, worth, kind = shared
+    terms, names, *_, kind = shared
     place = {t: i for i, t in enumerate(terms.tolist())}
     kept, field, step = _Kept(k), None, max(1, min(ROWS, SCORES // max(1, len(names))))
     for batch in batches:
@@ -225,27 +233,34 @@ def _gather(batches, shared: tuple, k: int, value, digits: int):
             coded = lists.flatten().dictionary_encode()
             own = np.array([place.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
             row = np.repeat(np.arange(len(part)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
-            both, tf = np.unique((row * len(terms) + own)[own >= 0], return_counts=True)
-            row, own = both // max(1, len(terms)), both % max(1, len(terms))
-            length, times = part["len"].to_numpy()[row], begin[own + 1] - begin[own]
-            ids, ends = np.array(part["chunk_id"].to_pylist()), np.concatenate(([0], np.cumsum(times)))
-            first = np.searchsorted(row, np.arange(len(part) + 1))
-            a = 0
-            while a < len(part):  # as many chunks as give SCORES products, one at least
-                b = max(a + 1, int(np.searchsorted(ends[first], ends[first[a]] + SCORES, "right")) - 1)
-                x, y, wide = first[a], first[b], b - a
-                at = np.repeat(begin[own[x:y]] - ends[x:y], times[x:y]) + np.arange(ends[x], ends[y])
-                cell = question[at] * wide + np.repeat(row[x:y] - a, times[x:y])
-                again = lambda each: np.repeat(each[x:y], times[x:y])  # noqa: B023, E731
-                score = np.bincount(cell, value(worth[at], again(tf), again(length)), len(names) * wide)
-                found = np.zeros(len(names) * wide, bool)
-                found[cell] = True
-                score = np.where(found, np.floor(score * 10**digits + 0.5) / 10**digits, -np.inf).reshape(len(names), wide)
-                kept.add(_best(names, ids[a:b], score, k))
-                a = b
+            for best in products(row[own >= 0], own[own >= 0], pc.fill_null(part["len"], 0).to_numpy(zero_copy_only=False), np.array(part["chunk_id"].to_pylist()), shared, k, value, digits):
+                kept.add(best)
     yield from kept.batches(kind, field)
 
 
+def products(row: np.ndarray, own: np.ndarray, lengths: np.ndarray, ids: np.ndarray, shared: tuple, k: int, value, digits: int):
+    """Each question's k best of some chunks, a part of them at a time: the chunk and the number of each occurrence of a term asked for."""
+    terms, names, question, begin, worth, _ = shared
+    both, tf = np.unique(row * len(terms) + own, return_counts=True)
+    row, own = both // max(1, len(terms)), both % max(1, len(terms))
+    length, times = lengths[row], begin[own + 1] - begin[own]
+    ends = np.concatenate(([0], np.cumsum(times)))
+    first = np.searchsorted(row, np.arange(len(ids) + 1))
+    a = 0
+    while a < len(ids):  # as many chunks as give SCORES products, one at least
+        b = max(a + 1, int(np.searchsorted(ends[first], ends[first[a]] + SCORES, "right")) - 1)
+        x, y, wide = first[a], first[b], b - a
+        at = np.repeat(begin[own[x:y]] - ends[x:y], times[x:y]) + np.arange(ends[x], ends[y])
+        cell = question[at] * wide + np.repeat(row[x:y] - a, times[x:y])
+        again = lambda each: np.repeat(each[x:y], times[x:y])  # noqa: B023, E731
+        score = np.bincount(cell, value(worth[at], again(tf), again(length)), len(names) * wide)
+        found = np.zeros(len(names) * wide, bool)
+        found[cell] = True
+        score = np.where(found, np.floor(score * 10**digits + 0.5) / 10**digits, -np.inf).reshape(len(names), wide)
+        yield _best(names, ids[a:b], score, k)
+        a = b
+
+
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """Reciprocal ranks added up; equal sums go to what was seen first, the first ranking before the second."""
     both = first.select("question_id", "chunk_id", "rank", F.lit(0).alias("branch")).unionByName(second.select("question_id", "chunk_id", "rank", F.lit(1).alias("branch")))
