@@ -241,8 +241,9 @@ def analysed(docs: DataFrame, questions: DataFrame, k: int, model) -> DataFrame:
 
 # ---------------------------------------------------------------- the second pass: counts
 
-#: Codes of what a term is counted for, beside the numbers of terms asked for, next to which it stands.
-DEGREE, IN_CONTENTS, IN_CHUNKS, IN_CONTEXTUAL, CHUNKS, CHUNK_TERMS, CONTEXTUAL, CONTEXTUAL_TERMS = range(-1, -9, -1)
+#: Codes of what a term is counted for, beside the numbers of terms asked for, next to which it stands. CONTEXTUAL_TERMS is the least.
+IN_CONTENTS, IN_CHUNKS, IN_CONTEXTUAL, CHUNKS, CHUNK_TERMS, CONTEXTUAL, CONTEXTUAL_TERMS = range(-1, -8, -1)
+#: Of each term its degree, and its count n by code.
 
 
 def _coded(part: pa.RecordBatch):
@@ -270,8 +271,17 @@ def _parts(batch: pa.RecordBatch, most: int):
         a = b
 
 
+COUNTS = "term string, degree long, codes array<int>, ns array<long>"
+
+
+def _counts(term, degree, ends, codes, ns) -> pa.RecordBatch:
+    ends = pa.array(ends, pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((codes, pa.int32()), (ns, pa.int64()))]
+    return pa.RecordBatch.from_arrays([term, pa.array(degree, pa.int64()), *lists], ["term", "degree", "codes", "ns"])
+
+
 def _count(batches, terms: dict):
-    """(term, code, n) of a task's rows, added up by WORDS terms."""
+    """Rows of COUNTS of a task's texts, added up by WORDS terms: one a term, and one for each number of rows."""
     many = max(1, len(terms))
     names = pa.array(sorted(terms, key=terms.get), pa.string())
     for batch in batches:
@@ -279,44 +289,59 @@ def _count(batches, terms: dict):
             found, code, row, own = _coded(part)
             asked = np.array([terms.get(t, -1) for t in found.to_pylist()] or [-1], np.int64)
             text = part["content"].is_valid().to_numpy(zero_copy_only=False)
-            out_term, out_code, out_n = [], [], []
-
-            def put(term, code, n):  # noqa: B023
-                out_term.append(term)  # noqa: B023
-                out_code.append(np.broadcast_to(np.asarray(code, np.int32), len(n)))  # noqa: B023
-                out_n.append(np.asarray(n, np.int64))  # noqa: B023
-
-            def documents(code_, kind):
-                """In how many of the rows each term asked for is."""
-                at = np.unique(row[code_] * many + asked[code[code_]]) % many  # noqa: B023
-                n = np.bincount(at, minlength=many)
-                put(names.take(pa.array(np.flatnonzero(n))), kind, n[n > 0])  # noqa: B023
-
-            known = asked[code] >= 0 if len(code) else np.zeros(0, bool)
-            content = own & _contents(part)[row]
+            known, content = asked[code] >= 0, own & _contents(part)[row]
+            # in how many rows each term asked for is
             for which, kind in ((own, IN_CHUNKS), (own | True, IN_CONTEXTUAL), (content, IN_CONTENTS)):
-                documents(np.flatnonzero(which & known), kind)
-            put(pa.array([""] * 4), [CHUNKS, CHUNK_TERMS, CONTEXTUAL, CONTEXTUAL_TERMS], [text.sum(), own.sum(), len(part), len(own)])
-            # neighbours in a content
-            next_ = np.flatnonzero(content[:-1] & content[1:] & (row[:-1] == row[1:]) & (code[:-1] != code[1:])) if len(code) else np.zeros(0, np.int64)
-            x, y = code[next_], code[next_ + 1]
-            degree = np.bincount(np.concatenate((x, y)), minlength=len(found))
-            put(found.take(pa.array(np.flatnonzero(degree))), DEGREE, degree[degree > 0])
-            x, y = np.concatenate((x, y)), np.concatenate((y, x))
-            known = asked[y] >= 0 if len(y) else np.zeros(0, bool)
-            pair, n = np.unique(x[known] * many + asked[y[known]], return_counts=True)
-            put(found.take(pa.array(pair // many)), pair % many, n)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(out_term), pa.array(np.concatenate(out_code), pa.int32()), pa.array(np.concatenate(out_n), pa.int64())], ["term", "code", "n"])
+                n = np.bincount(np.unique(row[which & known] * many + asked[code[which & known]]) % many, minlength=many)
+                held = np.flatnonzero(n)
+                yield _counts(names.take(pa.array(held)), np.zeros(len(held), np.int64), np.arange(len(held) + 1), np.full(len(held), kind), n[held])
+            yield _counts(pa.array([""]), [0], [0, 4], [CHUNKS, CHUNK_TERMS, CONTEXTUAL, CONTEXTUAL_TERMS], [text.sum(), own.sum(), len(part), len(own)])
+            # neighbours in a content, both ways
+            next_ = np.flatnonzero(content[:-1] & content[1:] & (row[:-1] == row[1:]) & (code[:-1] != code[1:]))
+            x, y = np.concatenate((code[next_], code[next_ + 1])), np.concatenate((code[next_ + 1], code[next_]))
+            degree = np.bincount(x, minlength=len(found))
+            pair, n = np.unique(x[asked[y] >= 0] * many + asked[y[asked[y] >= 0]], return_counts=True)
+            held = np.flatnonzero(degree)
+            ends = np.searchsorted(pair, np.append(held, len(found)) * many)  # a term without degree has no pair
+            yield _counts(found.take(pa.array(held)), degree[held], ends, pair % many, n)
+
+
+def _merge(batches, many: int):
+    """Rows of COUNTS that are sorted by term, added up by term; what stands next to no term asked for goes."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
+        if not rows:
+            continue
+        run = rows[0]["term"].dictionary_encode().indices.to_numpy()
+        last = int(np.searchsorted(run, run[-1]))
+        yield from _merged(rows[0].slice(0, last), many)
+        rest = rows[0].slice(last)
+    if rest is not None:
+        yield from _merged(rest, many)
+
+
+def _merged(rows: pa.RecordBatch, many: int):
+    if not len(rows):
+        return
+    coded = rows["term"].dictionary_encode()
+    run = coded.indices.to_numpy().astype(np.int64)
+    degree = np.add.reduceat(rows["degree"].to_numpy(), np.searchsorted(run, np.arange(len(coded.dictionary))))
+    wide = many - CONTEXTUAL_TERMS
+    key = np.repeat(run, rows["codes"].value_lengths().to_numpy()) * wide + (rows["codes"].flatten().to_numpy().astype(np.int64) - CONTEXTUAL_TERMS)
+    key, at = np.unique(key, return_inverse=True)
+    n = np.bincount(at, rows["ns"].flatten().to_numpy(), len(key)).astype(np.int64)  # whole numbers: exact below 2**53
+    held = np.unique(key // wide)
+    ends = np.searchsorted(key, np.append(held, len(degree)) * wide)
+    yield _counts(coded.dictionary.take(pa.array(held)), degree[held], ends, key % wide + CONTEXTUAL_TERMS, n)
 
 
 def counted(words: DataFrame, terms: list[str]) -> DataFrame:
-    """words(doc_id, content, ahead, words, copy): of each term that stands next to one asked for, or is one, (term, degree, own: array of (code, n))."""
+    """words(content, ahead, words, copy): COUNTS of each term that stands next to one asked for, or is one."""
     shared = words.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    counts = words.select("content", "ahead", "words", "copy").mapInArrow(lambda batches: _count(batches, shared.value), "term string, code int, n long")
-    # one shuffle serves both groupings
-    sums = counts.repartition("term").groupBy("term", "code").agg(F.sum("n").alias("n"))
-    own = F.when(F.col("code") != DEGREE, F.struct("code", "n"))
-    return sums.groupBy("term").agg(F.coalesce(F.max(F.when(F.col("code") == DEGREE, F.col("n"))), F.lit(0)).alias("degree"), F.collect_list(own).alias("own")).where(F.size("own") > 0)
+    counts = words.select("content", "ahead", "words", "copy").mapInArrow(lambda batches: _count(batches, shared.value), COUNTS)
+    many = max(1, len(terms))
+    return counts.repartition("term").sortWithinPartitions("term").mapInArrow(lambda batches: _merge(batches, many), COUNTS)
 
 
 # ---------------------------------------------------------------- the third pass: scores
@@ -344,13 +369,34 @@ def _score(batches, asked: dict, kinds: dict, kind: pa.DataType):
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), *out.columns], ["kind", *out.schema.names])
 
 
-def _followed(counts: DataFrame, known: pd.DataFrame, near: int = NEAR) -> pd.DataFrame:
-    """(of, i, term): the strongest neighbours of each term asked for, in order; known(code, term, degree)."""
-    of = F.broadcast(counts.sparkSession.createDataFrame([(int(c), t, int(d)) for c, t, d in known[["code", "term", "degree"]].itertuples(index=False)], "code int, of string, of_degree long"))
-    pairs = counts.select("term", "degree", F.explode("own").alias("p")).where(F.col("p.code") >= 0).select("term", "degree", "p.code", "p.n")
-    pairs = pairs.join(of, "code").select("of", "term", F.expr(f"n * {UNIT}L div (of_degree * degree)").alias("strength")).where("strength > 0")
-    place = F.row_number().over(W.partitionBy("of").orderBy(F.desc("strength"), "term"))
-    return pairs.withColumn("i", place).where(F.col("i") <= near).select("of", "i", "term").toPandas()
+def _strongest(batches, degrees: np.ndarray, near: int):
+    """A task's `near` strongest neighbours of each term asked for: (code, term, strength)."""
+    code, name, strength, least = np.zeros(0, np.int64), np.zeros(0, "U1"), np.zeros(0, np.int64), np.ones(len(degrees), np.int64)
+    for batch in batches:
+        row = np.repeat(np.arange(len(batch)), batch["codes"].value_lengths().to_numpy())
+        own, n = batch["codes"].flatten().to_numpy().astype(np.int64), batch["ns"].flatten().to_numpy()
+        row, own, n = row[own >= 0], own[own >= 0], n[own >= 0]
+        value = n * UNIT // (degrees[own] * batch["degree"].to_numpy()[row])
+        good = np.flatnonzero(value >= least[own])
+        if not len(good):
+            continue
+        used, at = np.unique(row[good], return_inverse=True)
+        names = np.array(batch["term"].take(pa.array(used)).to_pylist())[at]
+        code, name, strength = np.concatenate((code, own[good])), np.concatenate((name, names)), np.concatenate((strength, value[good]))
+        order = np.lexsort((name, -strength, code))
+        code, name, strength = code[order], name[order], strength[order]
+        place = np.arange(len(code)) - np.searchsorted(code, code)
+        least[code[place == near - 1]] = strength[place == near - 1]
+        code, name, strength = code[place < near], name[place < near], strength[place < near]
+    yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(name.tolist(), pa.string()), pa.array(strength, pa.int64())], ["code", "term", "strength"])
+
+
+def _followed(counts: DataFrame, degrees: np.ndarray, near: int = NEAR) -> DataFrame:
+    """(code, i, term): the strongest neighbours of each term asked for, in order; degrees: of the terms asked for."""
+    shared = counts.sparkSession.sparkContext.broadcast(degrees)
+    pairs = counts.mapInArrow(lambda batches: _strongest(batches, shared.value, near), "code int, term string, strength long")
+    place = F.row_number().over(W.partitionBy("code").orderBy(F.desc("strength"), "term"))
+    return pairs.withColumn("i", place).where(F.col("i") <= near).select("code", "i", "term")
 
 
 def scored(words: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -359,8 +405,8 @@ def scored(words: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     asked = questions.select("question_id", F.explode(tx.terms(F.col("text"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times")).orderBy("question_id", "term").toPandas()
     terms = sorted(asked["term"].unique().tolist())
     counts = stored(counted(words, terms), "counts")
-    own = counts.select("term", "degree", F.explode("own").alias("p")).where(F.col("p.code") < DEGREE).select("term", "degree", "p.code", "p.n").toPandas()
-    of = {c: dict(zip(own["term"][own["code"] == c], own["n"][own["code"] == c])) for c in range(CONTEXTUAL_TERMS, DEGREE)}
+    own = counts.where(F.array_min("codes") < 0).select("term", "degree", F.explode(F.arrays_zip("codes", "ns")).alias("p")).select("term", "degree", F.col("p.codes").alias("code"), F.col("p.ns").alias("n")).where("code < 0").toPandas()
+    of = {c: dict(zip(own["term"][own["code"] == c], own["n"][own["code"] == c])) for c in range(CONTEXTUAL_TERMS, 0)}
     kinds, tables = {}, {}
     for name, depth, df, n, total in (("chunks", max(POOL, k), IN_CHUNKS, CHUNKS, CHUNK_TERMS), ("contextual", k, IN_CONTEXTUAL, CONTEXTUAL, CONTEXTUAL_TERMS)):
         held = asked["term"].map(of[df]).fillna(0).to_numpy(float)
@@ -368,8 +414,9 @@ def scored(words: DataFrame, questions: DataFrame, k: int) -> DataFrame:
         tables[name], kinds[name] = retrieve.by_term(worth), (depth, value, 6)
     # entities asked for, and the neighbours of each
     direct = asked[["question_id", "term"]].assign(w=1.0 / asked["term"].map(of[IN_CONTENTS]).to_numpy(float)).dropna(subset=["w"])
-    known = own[own["code"] == IN_CONTENTS].assign(code=lambda f: f["term"].map({t: i for i, t in enumerate(terms)}))
-    beyond = direct.rename(columns={"term": "of"}).merge(_followed(counts, known), on="of")
+    degree = dict(zip(own["term"], own["degree"]))
+    followed = _followed(counts, np.array([degree.get(t, 0) for t in terms], np.int64)).toPandas()
+    beyond = direct.rename(columns={"term": "of"}).merge(followed.assign(of=[terms[c] for c in followed["code"]]), on="of")
     beyond = beyond.assign(w=0.5 * beyond["w"] / beyond["i"])[["question_id", "term", "w"]]
     weights = pd.concat([direct, beyond]).groupby(["question_id", "term"], as_index=False)["w"].sum()
     tables["contents"], kinds["contents"] = retrieve.by_term(weights), (k, _presence, 9)
